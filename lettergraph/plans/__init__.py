@@ -1,0 +1 @@
+"""Registered queries of the correspondence operators and their SQL."""
