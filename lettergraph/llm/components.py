@@ -1,4 +1,4 @@
-"""Connected components of a link table by alternating star contraction."""
+"""Connected components of a link table."""
 
 from __future__ import annotations
 
@@ -11,26 +11,22 @@ from lettergraph.llm._shared import written
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) for each node that has a link; component is the smallest node reachable.
 
-    Each round joins no two large sides by a hot key: a node passes its smallest
-    neighbour on to its larger neighbours (large star), then to its smaller ones
-    (small star), which at least halves the depth.  Links are written to the
-    shared folder every round, so lineage stays short and a lost executor costs
-    one round.  Null ends are ignored.
+    Every node points to a node that is no larger.  A round lets each node learn the smallest grandparent among its
+    neighbours; the node itself and its parent take it over, and pointers jump to their own targets, so depth halves.
+    All steps are aggregations with partial minima and joins on node, so a node with many links is no burden.  Pointers
+    are written to the shared folder every round: lineage stays short, and a lost executor costs one round.
+    Null ends are ignored.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    edges = written(edges, "links")
+    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    edges = written(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    at = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("up")), "pointers")
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        down = large.distinct()  # u > v from here on
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
-        after = written(small.distinct(), "links")
-        settled = after.count() == after.select("u").distinct().count() and after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
-        edges = after
-        if settled:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        far = at.join(at.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", "up", "far")
+        near = edges.join(far.select(F.col("node").alias("v"), F.col("far").alias("heard")), "v").groupBy("u").agg(F.min("heard").alias("heard"))
+        news = far.join(near, far["node"] == near["u"]).select("node", "up", F.least("far", "heard").alias("low"))
+        told = news.select(F.explode(F.array(F.struct("node", "low"), F.struct(F.col("up").alias("node"), "low"))).alias("t")).select("t.*").groupBy("node").agg(F.min("low").alias("low"))
+        after = written(at.join(told, "node").select("node", F.least("up", "low").alias("up"), (F.col("low") < F.col("up")).alias("moved")), "pointers")
+        at = after.select("node", "up")
+        if after.where("moved").isEmpty():
+            return at.withColumnRenamed("up", "component")
+    raise RuntimeError("components did not settle")

@@ -10,10 +10,9 @@ the second, so 64 tables of four hashes need 32 minhashes, not 256.  A pair with
 similarity 0.85 meets in some table with probability above 0.9999.
 
 Equal sets form one class first.  In each bucket all classes are compared with
-its smallest one; verified links give components.  Only buckets that still hold
-more than one component go on: those of up to ``small_bucket`` classes compare
-all classes of different components, larger ones compare all with leaders,
-others each round, until no new link appears, and then what is still apart.
+its smallest one, and verified links give components.  Of the buckets that still
+hold more than one component, each class is then compared with every class of
+another component that a prefix filter over the full sets leaves, which is exact.
 No pair within a component is built, and no candidate is dropped.
 
 Defined cases: null text is empty; null ids form no links and keep component
@@ -36,7 +35,6 @@ from lettergraph.llm.components import components
 SHINGLE = 5
 HALVES = 8
 ROWS = 2
-SMALL_BUCKET = 48
 _SIGNATURE = "struct<n:bigint,d1:bigint,d2:bigint,a:array<bigint>,b:array<bigint>>"
 
 
@@ -143,7 +141,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = SHINGLE, halves: int = HALVES,
-                    rows: int = ROWS, small_bucket: int = SMALL_BUCKET, max_rounds: int = 12) -> DataFrame:
+                    rows: int = ROWS) -> DataFrame:
     """One row a document: id, n_shingles, component (smallest id reachable)."""
     signed = docs.select(F.col(id_col).alias("id"), signatures(shingle, halves, rows)(F.col(text_col)).alias("s")).select("id", "s.*")
     signed = written(signed, "signatures")
@@ -162,58 +160,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables = (
         shared("a").join(shared("b"), "rep")
         .select("rep", F.explode("keys_a").alias("x"), "keys_b").select("rep", "x", F.explode("keys_b").alias("y"))
-        .select("rep", F.xxhash64("x.i", "x.h", "y.i", "y.h").alias("key"))
-        .join(classes.select("rep", "n"), "rep")
+        .select("rep", F.xxhash64("x.i", "x.h", "y.i", "y.h").alias("key"), (F.col("x.i") == F.col("y.i")).alias("diagonal"))
     )
     sizes = tables.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("low")).where("c > 1")
-    tables = written(tables.join(sizes, "key"), "tables")
-
-    pairs = written(tables.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    tables = written(tables.join(sizes, "key").select("key", "rep", "low", "diagonal"), "tables")
     wanted = tables.select(F.col("rep").alias("id")).distinct()
-    # The full sets of classes that share a bucket; a repeated id keeps one text a class.
+    # The full sets of classes that share a bucket.
     sets = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(wanted, "id", "left_semi")
     sets = sets.withColumn("set", shingle_sets(shingle)(F.col("t"))).select("id", F.size("set").cast("bigint").alias("n"), "set").where("n > 0")
     sets = written(sets, "sets")
 
-    links = written(_verified(pairs, sets, percent), "verified")
-    tried = pairs
-    for turn in range(max_rounds):
-        mixed = _mixed(tables, components(links))
-        large = mixed.where(F.col("c") > small_bucket)
-        # One leader a component and bucket, others each round, against the leader of the bucket's first component.
-        order = F.xxhash64("rep", F.lit(turn))
-        leaders = (
-            large.groupBy("key", "comp").agg(F.min(F.struct(order.alias("o"), F.col("rep"))).alias("l"))
-            .groupBy("key").agg(F.min(F.struct("l.o", "l.rep", "comp")).alias("l"))
-        )
-        led = large.join(leaders, "key").where("comp <> l.comp").select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b"))
-        more = led.union(_across(mixed.where(F.col("c") <= small_bucket))) if turn == 0 else led
-        more = written(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        gained = written(_verified(more, sets, percent), "verified")
-        tried = tried.union(more)
-        if gained.isEmpty():
-            break
-        links = links.union(gained)
-    rest = written(_across(_mixed(tables, components(links)).where(F.col("c") > small_bucket)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.union(written(_verified(rest, sets, percent), "verified"))
-    return _labelled(signed, classes, components(links))
+    stars = tables.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    found = components(written(_verified(stars, sets, percent), "verified"))
+    # A second star a bucket of the diagonal tables, around another class, for groups whose smallest class is off centre.
+    mixed = _mixed(tables.where("diagonal"), found)
+    leaders = mixed.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep")).alias("l"))
+    more = mixed.join(leaders, "key").where("comp <> l.comp").select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct()
+    found = _merged(found, written(_verified(more, sets, percent), "verified"))
+    apart = _mixed(tables, found).select(F.col("rep").alias("id"), "comp").distinct()
+    close = _close_pairs(sets.join(apart, "id"), percent)
+    found = _merged(found, written(_verified(close, sets, percent), "verified"))
+    return _labelled(signed, classes, found)
 
 
 def _mixed(tables: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows (key, c, rep, n, comp) of the buckets that hold more than one component."""
-    placed = tables.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "c", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    """Rows (key, rep, comp) of the buckets that hold more than one component."""
+    placed = tables.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     several = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    return placed.join(several, "key", "left_semi")
-
-
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose set sizes allow a link."""
-    p, q = rows.alias("p"), rows.alias("q")
-    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.comp") < F.col("q.comp")))
-    return met.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
+    return written(placed.join(several, "key", "left_semi"), "mixed")
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components with further links: these join whole components, so only their names are linked anew."""
+    if links.isEmpty():
+        return found
+    name = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"name_{end}"))
+    named = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("name_a", "a").alias("a"), F.coalesce("name_b", "b").alias("b"))
+    joined = components(named)
+    old = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return written(old.union(joined.join(old.select("node"), "node", "left_anti").select("node", "component")), "components")
+
+
+def _close_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that can be similar enough, from the rare ends of their sets.
+
+    With shingles ordered by frequency, two sets that share enough must share one of their first ``n - ceil(t n) + 1``,
+    and from their first common one on enough must be left in both.  Rare shingles tell copies with different edits
+    apart, so hardly a pair too far apart is built, and none that is close is missed.
+    """
+    rows = sets.select("id", "n", "comp", F.explode("set").alias("h"))
+    often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = rows.join(often, "h").groupBy("id", "n", "comp").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
+    alone = F.col("n") - F.size("t")  # shingles of this set only come first and match nothing
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    heads = ranked.where(first > 0).select("id", "n", "comp", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), first.cast("int"))).alias("i", "t"))
+    heads = heads.select("id", "n", "comp", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("t.h").alias("h"))
+    several = heads.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
+    heads = written(heads.join(several, "h", "left_semi"), "heads")
+    p, q = heads.alias("p"), heads.alias("q")
+    near = (F.col("p.h") == F.col("q.h")) & (F.col("p.comp") < F.col("q.comp")) & (
+        F.least("p.left", "q.left") * (100 + percent) >= (F.col("p.n") + F.col("q.n")) * percent
+    )
+    return p.join(q, near).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
 def _labelled(signed: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
