@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lettergraph.llm._shared import shared_dir
+from lettergraph.llm._shared import shared_dir, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STATE = {
@@ -88,19 +88,19 @@ def digest_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
 def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256,
                      files_per_batch: int | None = None) -> DataFrame:
     """One row an input row: id, keep_id, group_size, kept, digest, and its place (file, row)."""
-    state = digest_state(spark, path, id_col, text_col, digest, files_per_batch)
-    rows = _rows(spark.read.parquet(path), id_col, text_col, digest).join(state, "digest")
-    located = rows.where((F.col("n") > 1) & F.col("place").eqNullSafe(F.col("keep"))).select("digest", F.col("norm").alias("kept_norm"))
-    checked = rows.join(located, "digest", "left").withColumn("same", (F.col("n") == 1) | F.col("norm").eqNullSafe(F.col("kept_norm")))
-    hits = checked.where("same").select("digest", "place", "n", "keep", F.lit(None).cast("string").alias("other"))
-    # Digests that more than one text has: their texts decide.
-    other = checked.where("NOT same").select("digest", "norm", "place")
-    by_text = other.groupBy("digest", "norm").agg(F.count("*").alias("n"), F.max("place").alias("keep"))
-    clashes = other.join(by_text, ["digest", "norm"]).select("digest", "place", "n", "keep", F.col("norm").alias("other"))
-    lost = by_text.groupBy("digest").agg(F.sum("n").alias("lost"))
-    both = hits.unionByName(clashes).join(lost, "digest", "left")
-    size = F.when(F.col("other").isNull(), F.col("n") - F.coalesce("lost", F.lit(0))).otherwise(F.col("n"))
-    return both.select(
-        F.col("place.id").alias("id"), F.col("keep.id").alias("keep_id"), size.alias("group_size"),
-        F.col("place").eqNullSafe(F.col("keep")).alias("kept"), "digest", "place",
+    state = written(digest_state(spark, path, id_col, text_col, digest, files_per_batch), "state")
+    rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
+    # Texts travel once; those that share a digest are written, to be compared.
+    hits = written(rows.join(state.where("n > 1"), "digest"), "hits")
+    located = hits.where(F.col("place").eqNullSafe(F.col("keep"))).select("digest", F.col("norm").alias("kept_norm"))
+    other = written(hits.join(located, "digest").where("norm <> kept_norm").select("digest", "norm", "place"), "clashes")
+    # Digests that more than one text has: the texts decide.
+    by_text = other.groupBy("digest", "norm").agg(F.count("*").alias("own_n"), F.max("place").alias("own_keep"))
+    apart = written(other.join(by_text, ["digest", "norm"]).select("place", "own_n", "own_keep"), "apart")
+    lost = written(other.groupBy("digest").agg(F.count("*").alias("lost")), "lost")
+    found = rows.drop("norm").join(state, "digest").join(lost, "digest", "left").join(apart, "place", "left")
+    keep = F.coalesce("own_keep", "keep")
+    return found.select(
+        F.col("place.id").alias("id"), keep["id"].alias("keep_id"), F.coalesce(F.col("own_n"), F.col("n") - F.coalesce("lost", F.lit(0))).alias("group_size"),
+        F.col("place").eqNullSafe(keep).alias("kept"), "digest", "place",
     )
