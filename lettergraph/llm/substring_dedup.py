@@ -16,8 +16,9 @@ them, not to all documents: the reference is the corpus itself, so broadcasting
 every shard to every document would grow with its square.
 
 A shard holds at most ``shard_words`` words.  When one minimizer has more than
-``stretch_limit`` different stretches, the rest of its windows are counted by
-fingerprint in a shuffle with partial sums, so no task holds a hot group.
+``stretch_limit`` different stretches, the windows of the rest are counted by
+fingerprint, share by share, and the counts are summed in a shuffle, so no task
+holds a hot group.
 
 Defined cases: null and empty texts have no words; repeated rows are documents
 of their own, so their windows recur; a text shorter than the window keeps all;
@@ -26,6 +27,7 @@ the result column replaces one of the same name.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,9 +180,9 @@ def _carried(length: int, gram: int):
 
 
 def _matched(length: int, shard_words: int, stretch_limit: int):
-    """Over stretches sorted by minimizer: which of their windows recur (bit i: the window i words in), or, for
-    the surplus of a hot minimizer, the windows' fingerprints."""
-    kind = pa.schema([("m", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("recurs", pa.list_(pa.bool_())), ("prints", pa.list_(pa.int64()))])
+    """Over stretches sorted by minimizer: which of their windows recur, from the first on.  Of the surplus of a hot
+    minimizer: which recur in this share, the fingerprints of those that do not, and the share's counts."""
+    kind = pa.schema([("m", pa.int64()), ("d", pa.int64()), ("recurs", pa.list_(pa.bool_())), ("prints", pa.list_(pa.int64())), ("tally", pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))])
 
     def verdicts(shard: list) -> Iterator[dict]:
         sam = SuffixAutomaton()
@@ -188,42 +190,46 @@ def _matched(length: int, shard_words: int, stretch_limit: int):
             sam.add(words, times)
         sam.close()
         for m, d, times, words in shard:
-            yield {"m": m, "d": d, "n": times, "recurs": sam.repeats(words, length), "prints": None}
+            yield {"m": m, "d": d, "recurs": sam.repeats(words, length), "prints": None, "tally": None}
 
     def surplus(group: list) -> Iterator[dict]:
-        for m, d, times, words in group:
+        if not group:
+            return
+        prints, counts = [], Counter()
+        for _, _, times, words in group:
             c = Chunk(np.frombuffer(raw := b" ".join(words), dtype=np.uint8), np.array([0, len(raw)]), SPACED, False)
-            yield {"m": m, "d": d, "n": times, "recurs": None, "prints": c.grams(length).view(np.int64).tolist()}
+            prints.append(c.grams(length).view(np.int64).tolist())
+            for h in prints[-1]:
+                counts[h] += times
+        for (m, d, _, _), own in zip(group, prints, strict=True):
+            yield {"m": m, "d": d, "recurs": [counts[h] > 1 for h in own], "prints": [None if counts[h] > 1 else h for h in own], "tally": None}
+        yield {"m": group[0][0], "d": None, "recurs": None, "prints": None, "tally": [{"h": h, "c": n} for h, n in counts.items()]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, group, current, flooded, held, out = [], [], None, False, 0, []
+        shard, held, group, current, flooded, out = [], 0, [], None, False, []
         for batch in batches:
             for m, d, n, raw in zip(*(batch.column(k).to_pylist() for k in ("m", "d", "n", "words")), strict=True):
                 if m != current:
                     if flooded:
                         out.extend(surplus(group))
                     else:
-                        shard.extend(group)
+                        shard += group
+                        held += sum(len(g[3]) for g in group)
                     group, current, flooded = [], m, False
                     if held >= shard_words:
                         out.extend(verdicts(shard))
                         shard, held = [], 0
-                words = raw.split(b" ")
-                group.append((m, d, n, words))
-                held += len(words)
+                group.append((m, d, n, raw.split(b" ")))
                 if len(group) >= stretch_limit:
-                    flooded = True
-                if flooded:
                     out.extend(surplus(group))
-                    held = max(0, held - sum(len(g[3]) for g in group))
-                    group = []
+                    group, flooded = [], True
             if len(out) > 2000:
                 yield pa.RecordBatch.from_pylist(out, schema=kind)
                 out = []
         if flooded:
             out.extend(surplus(group))
         else:
-            shard.extend(group)
+            shard += group
         out.extend(verdicts(shard))
         yield pa.RecordBatch.from_pylist(out, schema=kind)
 
@@ -278,12 +284,15 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     texts = keyed.join(asked, "k")  # copies of one text answer alike
     words = texts.select(F.explode(_carried(length, gram)("t", "wanted")).alias("s")).select("s.*").groupBy("m", "d").agg(F.first("words").alias("words"))
     shards = carriers.select("m", "d", "n").join(words, ["m", "d"]).repartition("m").sortWithinPartitions("m", "d")
-    verdicts = written(shards.select("m", "d", "n", "words").mapInArrow(_matched(length, shard_words, stretch_limit), "m bigint, d bigint, n bigint, recurs array<boolean>, prints array<bigint>"), "verdicts")
-
-    loose = verdicts.where("prints IS NOT NULL").select("m", "d", "n", F.posexplode("prints").alias("i", "h"))
-    twice = loose.groupBy("m", "h").agg(F.sum("n").alias("c")).where("c > 1").select("m", "h", F.lit(True).alias("yes"))
-    counted = loose.join(twice, ["m", "h"], "left").groupBy("m", "d").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("yes", F.lit(False)).alias("yes")))).alias("w")).select("m", "d", F.col("w.yes").alias("recurs"))
-    judged = verdicts.where("prints IS NULL").select("m", "d", "recurs").union(counted).where(F.exists("recurs", lambda x: x))
+    verdicts = written(shards.select("m", "d", "n", "words").mapInArrow(_matched(length, shard_words, stretch_limit), "m bigint, d bigint, recurs array<boolean>, prints array<bigint>, tally array<struct<h:bigint,c:bigint>>"), "verdicts")
+
+    # Of hot minimizers: windows seen once in their task's share are looked up in the sums over all shares.
+    twice = verdicts.where("tally IS NOT NULL").select("m", F.explode("tally").alias("t")).groupBy("m", "t.h").agg(F.sum("t.c").alias("c")).where("c > 1").select("m", "h")
+    surplus = verdicts.where("prints IS NOT NULL")
+    single = surplus.select("m", "d", F.posexplode("prints").alias("i", "h")).where("h IS NOT NULL")
+    more = single.join(twice, ["m", "h"], "left_semi").groupBy("m", "d").agg(F.collect_list("i").alias("more"))
+    counted = surplus.join(more, ["m", "d"], "left").select("m", "d", F.transform("recurs", lambda x, i: x | F.coalesce(F.array_contains("more", i), F.lit(False))).alias("recurs"))
+    judged = verdicts.where("prints IS NULL AND d IS NOT NULL").select("m", "d", "recurs").union(counted).where(F.exists("recurs", lambda x: x))
     per_text = places.select("m", "d", "k").join(judged, ["m", "d"]).groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("d", "recurs")).alias(verdict))
 
     marked = docs.withColumn(key, F.xxhash64(F.lit(11), F.coalesce(F.col(text_col), F.lit(""))))
