@@ -36,12 +36,12 @@ def sentences(text: Column) -> Column:
 
 def own_text(text: Column) -> Column:
     """What stands before the mark of preserved quotes."""
-    return F.when(F.contains(text, F.lit(rules.PRESERVED)), F.rtrim(F.substring_index(text, rules.PRESERVED, 1))).otherwise(text)
+    return F.when(F.contains(text, F.lit(rules.PRESERVED)), F.regexp_replace(F.substring_index(text, rules.PRESERVED, 1), r"(?U)\s+$", "")).otherwise(text)
 
 
 def preserved_text(text: Column) -> Column:
     """What stands after the mark, else nothing."""
-    return F.when(F.contains(text, F.lit(rules.PRESERVED)), F.trim(F.substring(text, F.instr(text, rules.PRESERVED) + len(rules.PRESERVED), F.length(text)))).otherwise("")
+    return F.when(F.contains(text, F.lit(rules.PRESERVED)), F.regexp_replace(F.substring(text, F.instr(text, rules.PRESERVED) + len(rules.PRESERVED), F.length(text)), r"(?U)^\s+|\s+$", "")).otherwise("")
 
 
 def is_trivial(text: Column) -> Column:
@@ -51,44 +51,46 @@ def is_trivial(text: Column) -> Column:
     return (s == "") | ((s.startswith("++") | s.startswith("+ ")) & (F.length(s) <= rules.TRIVIAL_PLUS_MAX)) | core.isin(*rules.TRIVIAL)
 
 
-def signals(text: Column, subject: Column, names: list[str]) -> dict[str, Column]:
-    """The flags of one message, judged sentence by sentence.
+def _live(every: Column) -> Column:
+    """Sentences that may ask for something: none that withdraws, none about something done or asked earlier unless it reminds."""
+    return F.filter(every, lambda s: ~s.rlike(rules.WITHDRAWAL) & ~((s.rlike(rules.COMPLETION) | s.rlike(rules.HISTORICAL)) & ~s.rlike(rules.REMIND)))
 
-    A sentence that withdraws says nothing else; one about something done or asked earlier says nothing either, unless
-    it reminds.  What the others hold is joined with or.
-    """
+
+def signals(text: Column, subject: Column, names: list[str]) -> Column:
+    """The flags of one message as a struct, judged sentence by sentence and joined with or."""
     body = own_text(F.coalesce(text, F.lit("")))
-    every = sentences(body)
-    withdrawn = lambda s: s.rlike(rules.WITHDRAWAL)
-    done = lambda s: s.rlike(rules.COMPLETION)
-    live = F.filter(every, lambda s: ~withdrawn(s) & ~((done(s) | s.rlike(rules.HISTORICAL)) & ~s.rlike(rules.REMIND)))
-    strong = F.exists(live, lambda s: s.rlike(rules.STRONG_REQUEST) & ~s.rlike(rules.HEDGE))
-    weak = F.exists(live, lambda s: (s.rlike(rules.STRONG_REQUEST) & s.rlike(rules.HEDGE)) | (~s.rlike(rules.STRONG_REQUEST) & s.rlike(rules.WEAK_REQUEST) & ~s.rlike(rules.PLEASANTRY)))
     named = F.lit(False)
     for n in (x for x in names if len(x) >= 2):
         named = named | F.contains(F.lower(body), F.lit(n.lower()))
-    return {
-        "has_deadline": F.exists(live, lambda s: s.rlike(rules.DEADLINE)),
-        "has_decision": F.exists(live, lambda s: s.rlike(rules.DECISION)),
-        "has_request": strong | weak,
-        "has_strong_request": strong,
-        "has_weak_request": weak,
-        "has_question": F.exists(live, lambda s: s.rlike("[?？]")),
-        "has_completion": F.exists(every, lambda s: ~withdrawn(s) & done(s)),
-        "has_withdrawal": F.exists(every, withdrawn),
-        "mentions_me": named,
-        "mentions_group": body.rlike(rules.GROUP_CALL),
-        "is_trivial": is_trivial(text),
-        "subject_has_request": F.coalesce(subject, F.lit("")).rlike(rules.SUBJECT_REQUEST),
-    }
+
+    def asked(live: Column) -> Column:
+        # One strong phrase a sentence is looked up once: strong, or weak where it is hedged or only a weak phrase stands.
+        tone = F.transform(live, lambda s: F.when(s.rlike(rules.STRONG_REQUEST), F.when(s.rlike(rules.HEDGE), "weak").otherwise("strong")).when(s.rlike(rules.WEAK_REQUEST) & ~s.rlike(rules.PLEASANTRY), "weak"))
+        return let(F.array_distinct(F.array_compact(tone)), lambda t: F.struct(
+            F.exists(live, lambda s: s.rlike(rules.DEADLINE)).alias("has_deadline"), F.exists(live, lambda s: s.rlike(rules.DECISION)).alias("has_decision"), (F.size(t) > 0).alias("has_request"),
+            F.array_contains(t, F.lit("strong")).alias("has_strong_request"), F.array_contains(t, F.lit("weak")).alias("has_weak_request"), F.exists(live, lambda s: s.rlike("[?？]")).alias("has_question"),
+        ))
+
+    def judged(said: Column) -> Column:
+        plain = F.exists(said, lambda s: s.rlike("[?？]") & ~s.rlike(rules.GATE))
+        return let(F.filter(said, lambda s: s.rlike(rules.GATE)), lambda every: flags(every, plain))
+
+    def flags(every: Column, plain: Column) -> Column:
+        return let(let(_live(every), asked), lambda a: F.struct(
+            *[a[k].alias(k) for k in ("has_deadline", "has_decision", "has_request", "has_strong_request", "has_weak_request")], (a["has_question"] | plain).alias("has_question"),
+            F.exists(every, lambda s: ~s.rlike(rules.WITHDRAWAL) & s.rlike(rules.COMPLETION)).alias("has_completion"), F.exists(every, lambda s: s.rlike(rules.WITHDRAWAL)).alias("has_withdrawal"),
+            named.alias("mentions_me"), body.rlike(rules.GROUP_CALL).alias("mentions_group"), is_trivial(text).alias("is_trivial"),
+            F.coalesce(subject, F.lit("")).rlike(rules.SUBJECT_REQUEST).alias("subject_has_request"),
+        ))
+
+    return let(sentences(body), judged)
 
 
 def evidence_sentence(text: Column) -> Column:
     """The sentence that shows the request: decision, strong, deadline, weak, question, else the first line."""
     body = own_text(F.coalesce(text, F.lit("")))
-    said = F.filter(sentences(body), lambda s: ~s.rlike(rules.WITHDRAWAL) & ~((s.rlike(rules.COMPLETION) | s.rlike(rules.HISTORICAL)) & ~s.rlike(rules.REMIND)))
     first = lambda live, pattern: F.get(F.filter(live, lambda s: s.rlike(pattern)), F.lit(0))
-    best = let(said, lambda live: F.coalesce(*[first(live, p) for p in (rules.DECISION, rules.STRONG_REQUEST, rules.DEADLINE, rules.WEAK_REQUEST, "[?？]")]))
+    best = let(_live(sentences(body)), lambda live: F.coalesce(*[first(live, p) for p in (rules.DECISION, rules.STRONG_REQUEST, rules.DEADLINE, rules.WEAK_REQUEST, "[?？]")]))
     lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda s: s != "")
     return F.trim(F.coalesce(best, F.get(lines, F.lit(0)), F.lit("")))
 

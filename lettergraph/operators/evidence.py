@@ -40,7 +40,7 @@ def unique_source(found: DataFrame) -> DataFrame:
 
 def quote_context(body: Column, quote: Column, pad: int = 120) -> Column:
     """struct(pre, quote, post): the quote as written with what stands around it, up to sentence bounds within ``pad``."""
-    at = F.charindex(quote, body)
+    at = F.position(quote, body)
     start = at - 1
     before = F.substring(body, F.greatest(start - pad, F.lit(0)) + 1, F.least(start, F.lit(pad)))
     after = F.substring(body, start + F.length(quote) + 1, F.lit(pad))
@@ -84,9 +84,10 @@ def conversation_roots(asked: DataFrame, rounds: int = 20) -> DataFrame:
             low = after.drop("moved")
             break
         low = after.drop("moved")
-    settled = low.select(F.col("id").alias("up"), F.col("up").alias("above"))
-    ends = low.join(settled, "up", "left").select("id", F.when(F.col("above") == F.col("up"), F.col("up")).otherwise(F.col("low")).alias("root"))
-    return ends
+    # Where a path ends in a root, that is it; where it ends in a cycle, the least id of the cycle.
+    first = links.select(F.col("id").alias("up"), (F.col("id") == F.col("up")).alias("is_root"))
+    ends = low.select(F.col("id").alias("up"), F.col("low").alias("cycle")).join(first, "up")
+    return low.select("id", "up").join(ends, "up").select("id", F.when(F.col("is_root"), F.col("up")).otherwise(F.col("cycle")).alias("root"))
 
 
 def stale_since(m: DataFrame, basis: DataFrame) -> DataFrame:

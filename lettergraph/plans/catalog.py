@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettergraph.functions import html, text
 from lettergraph.functions.dates import date_group, stamp, workdays_since
-from lettergraph.operators import evidence, ingest, noise, people, promises, search, state, stats, threads, vocabulary
+from lettergraph.operators import evidence, ingest, noise, people, promises, reports, search, state, stats, threads, vocabulary
 from lettergraph.sources import adapters
 from lettergraph.sources.adapters import CONVERSATION_SQL, DOCUMENT_SQL, EVENT_SQL, ME, ORDER_SQL
+from lettergraph.streaming import fold as stream_fold
+from lettergraph.streaming import ingest as ingest_stream
 
 TODAY = "2024-01-31"
 WEEK = ("2024-01-15", "2024-01-21")
@@ -367,7 +370,7 @@ def search_tiers(m):
     return search.search(m, SEARCH_LINE).select("id", "tier")
 
 
-@query("documents", f"SELECT sender_addr, count(*) AS n FROM m WHERE {_sql_has('apache license')} GROUP BY sender_addr ORDER BY n DESC, sender_addr LIMIT 5")
+@query("documents", f", f AS (SELECT sender_addr, count(*) AS n FROM m WHERE {_sql_has('apache license')} GROUP BY sender_addr) SELECT * FROM f WHERE (SELECT count(*) FROM f) >= 2 ORDER BY n DESC, sender_addr LIMIT 5")
 def search_facets(m):
     return search.facets(search.search(m, '"apache license" apache', limit=2_000_000_000).where("tier <= 2"))
 
@@ -524,3 +527,91 @@ def done_key_antijoin(m):
 @query("events", """SELECT * FROM (SELECT id, thread_id, coalesce(count_if(NOT is_sent) OVER w, 0)::BIGINT AS replies_after, coalesce(bool_or(is_sent) OVER w, false) AS followed_up, is_sent FROM m WINDOW w AS (PARTITION BY thread_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) WHERE is_sent""")
 def promise_followup(m):
     return promises.followups(m).select("id", "thread_id", "replies_after", "followed_up", F.lit(True).alias("is_sent"))
+
+
+# ------------------------------------------------------------------ streams
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.event_messages(ingest_stream.file_stream(spark, f"{sf_dir}/events.parquet"))
+
+
+def stream_action_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The open requests again, folded by a stateful stream."""
+    rows = ingest_stream.run_to_table(stream_fold.open_actions_stream(_event_stream(spark, sf_dir)), "update", "fold")
+    return ingest_stream.newest(rows, ["thread_id"]).where("source_id > 0").drop("late")
+
+
+def stream_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly counts by sender from a windowed stream."""
+    rows = ingest_stream.run_to_table(ingest_stream.weekly_counts(_event_stream(spark, sf_dir)), "update", "weekly")
+    return ingest_stream.newest(rows, ["sender_addr", "week"])
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct subjects by a stream that remembers what it has seen."""
+    stream = _event_stream(spark, sf_dir).select(F.col("subject").alias("message_id"))
+    return ingest_stream.run_to_table(ingest_stream.deduplicated(stream), "append", "dedup").select("message_id")
+
+
+QUERIES |= {f.__name__: f for f in (stream_action_fold, stream_weekly_counts, stream_dedup)}
+ORACLE_SQL["stream_action_fold"] = ORACLE_SQL["action_fold"]
+ORACLE_SQL["stream_weekly_counts"] = f"WITH {EVENT_SQL} SELECT sender_addr, strftime(date_trunc('week', sent_ts), '%Y-%m-%d') AS week, count(*) AS n FROM m GROUP BY 1, 2"
+ORACLE_SQL["stream_dedup"] = f"WITH {EVENT_SQL} SELECT DISTINCT subject AS message_id FROM m"
+
+# ------------------------------------------------------------------ texts and reports
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a reader sees them."""
+    return _table(spark, sf_dir, "pages").select("page_id", html.html_text(F.col("html")).alias("text"))
+
+
+def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", html.html_markdown(F.col("html")).alias("markdown"))
+
+
+def html_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", html.safe_html(F.col("html")).alias("html"))
+
+
+QUERIES |= {f.__name__: f for f in (html_text, html_markdown, html_safe)}
+_DECODE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|head|template|noscript)\\b.*?</(?:script|style|head|template|noscript)\\s*>|<!--.*?-->|<!doctype[^>]*>', ' ', 'g'), '(?is)</?(?:p|div|br|tr|table|ul|ol|li|h[1-6]|blockquote|pre|section|article|header|footer|nav|hr)\\b[^>]*>', chr(10), 'g'), '(?is)<[a-z/!][^>]*>', '', 'g'), '[\\x{200B}-\\x{200D}\\x{FEFF}]', '', 'g')"
+for _entity, _char in html.ENTITIES.items():
+    _DECODE = f"replace({_DECODE}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+ORACLE_SQL["html_text"] = f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_DECODE}, '[ \\t\\x{{A0}}\\r]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM pages"""
+
+
+@query("documents")
+def message_signals(m):
+    """All flags of every message from its own text."""
+    return m.select("id", text.signals(F.col("body"), F.col("subject"), ["Thble"]).alias("s")).select("id", "s.*")
+
+
+@query("documents")
+def own_content(m):
+    """What each writer wrote, without quoted mail and signature; applied twice it changes nothing."""
+    return m.select("id", text.new_content(F.col("body")).alias("content"))
+
+
+@query("documents", """SELECT id, lower(trim(regexp_replace(regexp_replace(subject, '(?i)^\\s*(?:(?:re|fw|fwd|회신|답장|전달|답신)\\s*[:：]\\s*|\\[\\s*(?:re|fw|fwd)\\s*\\]\\s*)+', ''), '\\s+', ' ', 'g'))) AS norm FROM m""")
+def subject_norms(m):
+    return m.select("id", text.normalised_subject(F.col("subject")).alias("norm"))
+
+
+@query("events", f"""{_SCORES}, s AS (SELECT thread_id, score, CASE WHEN score >= 40 THEN 'mine' ELSE 'done' END AS state FROM sd), rk AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY score DESC, thread_id) AS nr, count(*) OVER (PARTITION BY state) AS n FROM s)
+SELECT state, max(n) AS n, string_agg('- #' || thread_id || ' (' || score || ')', chr(10) ORDER BY nr) FILTER (nr <= 5) || CASE WHEN max(n) > 5 THEN chr(10) || 'and ' || (max(n) - 5) || ' more' ELSE '' END AS text FROM rk GROUP BY state""")
+def weekly_board(m):
+    scored = stats.week_scores(m, *WEEK, me=ME).select("thread_id", "score", F.when(F.col("score") >= 40, "mine").otherwise("done").alias("state"))
+    return reports.board_lines(scored)
+
+
+@query("events", "SELECT sender_addr, count(*) AS n FROM m GROUP BY sender_addr")
+def sender_fingerprints(m):
+    """Counts a sender; the fingerprint beside them keys cached profiles."""
+    return m.groupBy("sender_addr").agg(F.count("*").alias("n")).join(vocabulary.fingerprint(m).select("sender_addr"), "sender_addr")
+
+
+@query("events", """, h AS (SELECT thread_id, max(sent_ts) FILTER (NOT is_sent) AS last_in, TIMESTAMP '2024-01-29' AS hidden_ts FROM m GROUP BY thread_id) SELECT thread_id FROM h WHERE last_in IS NULL OR last_in <= hidden_ts""")
+def still_hidden(m):
+    return threads.still_hidden(m, m.select("thread_id").distinct().withColumn("hidden_ts", F.lit("2024-01-29").cast("timestamp_ntz")))
