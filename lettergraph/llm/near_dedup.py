@@ -6,8 +6,9 @@ without words has an empty set and no links.
 
 Two collections of ``halves`` half keys, each of ``rows`` minhashes, stand for
 ``halves ** 2`` tables: table (i, j) is keyed by half i of the first and half j of
-the second, so 64 tables of four hashes need 32 minhashes, not 256.  A pair with
-similarity 0.85 meets in some table with probability above 0.9999.
+the second, so 100 tables of four hashes need 40 minhashes, not 400.  A pair with
+similarity 0.8 meets in some table with probability 0.99993, one with 0.85 with
+0.999995.
 
 Equal sets form one class first.  In each bucket all classes are compared with
 its smallest one, and verified links give components.  Of the buckets that still
@@ -33,7 +34,8 @@ from lettergraph.llm._words import SPACED, chunks, lists, mix
 from lettergraph.llm.components import components
 
 SHINGLE = 5
-HALVES = 8
+HALVES = 10
+PERCENT = 80
 ROWS = 2
 _SIGNATURE = "struct<n:bigint,d1:bigint,d2:bigint,a:array<bigint>,b:array<bigint>>"
 
@@ -140,7 +142,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(left, "a").join(right, "b").where(_similar(percent)(F.col("set_a"), F.col("set_b"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, shingle: int = SHINGLE, halves: int = HALVES,
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, halves: int = HALVES,
                     rows: int = ROWS) -> DataFrame:
     """One row a document: id, n_shingles, component (smallest id reachable)."""
     signed = docs.select(F.col(id_col).alias("id"), signatures(shingle, halves, rows)(F.col(text_col)).alias("s")).select("id", "s.*")

@@ -116,7 +116,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components at a similarity of 0.85 over five-word shingles."""
     small_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = near_dedup.near_duplicates(docs)
+    found = near_dedup.near_duplicates(docs, percent=85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
