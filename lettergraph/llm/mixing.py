@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettergraph.llm._shared import free_name, md5_int
+from lettergraph.llm._shared import free_name, md5_int, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -35,7 +35,9 @@ BUCKET_DIGITS = 3
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+    """Words with the space after them shrink to one letter each; no word is copied, which counting matches would do."""
+    left = F.ltrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.coalesce(F.length(F.regexp_replace(left, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")), F.lit(0)).cast("bigint")
 
 
 def source_targets(sized: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -70,11 +72,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         .withColumn(tie, F.xxhash64(F.col(text_col)))
     )
     bare = sized.select(F.col(src).alias("s"), F.col(none).alias("z"), F.col(size).alias("size"), F.col(band).alias("b"), F.col(slot).alias("k"))
-    sums = bare.groupBy("s", "z").agg(F.sum("size").alias("size"))
-    shares = source_targets(sums.select(F.when(~F.col("z"), F.col("s")).alias("src"), "size"), weights, max_repeat).select(
+    # One pass over the texts gives a row a bucket; the sums by source and by size class come from these rows.
+    counts = written(bare.groupBy("s", "z", "b", "k").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "buckets")
+    shares = source_targets(counts.select(F.when(~F.col("z"), F.col("s")).alias("src"), "size"), weights, max_repeat).select(
         F.coalesce("src", F.lit("")).alias("s"), F.col("src").isNull().alias("z"), "source_size", "target"
     )
-    counts = bare.groupBy("s", "z", "b", "k").agg(F.count("*").alias("n"))
     bands = counts.groupBy("s", "z", "b").agg(F.sum("n").alias("n"))
     up_to = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.select("s", "z", "b", F.coalesce(F.sum("n").over(up_to("s", "z", by="b")), F.lit(0)).alias("band_first"))
