@@ -92,7 +92,7 @@ HARD_TEXT = "\\### Assistant: </turn> ok"
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations folded, rendered and read back from the output."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    hard = spark.createDataFrame([(-7, 0, "user", HARD_TEXT), (-7, 1, "assistant", HARD_TEXT)], "conv_id bigint, turn bigint, role string, text string")
+    hard = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
     out = chat.format_conversations(turns.unionByName(hard))
     back = chat.read_turns(F.col("formatted"))
     learnt = chat.masked_text(F.col("formatted"), F.col("loss_mask"))
