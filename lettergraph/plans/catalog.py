@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lettergraph.functions import html, text
 from lettergraph.functions.dates import date_group, stamp, workdays_since
-from lettergraph.operators import evidence, ingest, noise, people, promises, reports, search, state, stats, threads, vocabulary
+from lettergraph.operators import daily, evidence, ingest, noise, people, promises, reports, search, state, stats, threads, vocabulary
 from lettergraph.sources import adapters
 from lettergraph.sources.adapters import CONVERSATION_SQL, DOCUMENT_SQL, EVENT_SQL, ME, ORDER_SQL
 from lettergraph.streaming import fold as stream_fold
@@ -615,3 +615,69 @@ def sender_fingerprints(m):
 @query("events", """, h AS (SELECT thread_id, max(sent_ts) FILTER (NOT is_sent) AS last_in, TIMESTAMP '2024-01-29' AS hidden_ts FROM m GROUP BY thread_id) SELECT thread_id FROM h WHERE last_in IS NULL OR last_in <= hidden_ts""")
 def still_hidden(m):
     return threads.still_hidden(m, m.select("thread_id").distinct().withColumn("hidden_ts", F.lit("2024-01-29").cast("timestamp_ntz")))
+
+
+# ------------------------------------------------------------------ a day, a period, a person
+
+DAY = "2024-01-17"
+
+
+@query("events", f"""SELECT thread_id, arg_min(id, (sent_ts, id)) AS id FROM m WHERE NOT is_sent AND sent_ts::DATE = DATE '{DAY}' AND has_deadline AND NOT contains(sender_addr, '@d3.test') AND len(to_addrs) + len(cc_addrs) < 3 GROUP BY thread_id""")
+def deadline_signals(m):
+    return daily.deadline_signals(m, DAY, noise.hard_sender(F.col("sender_addr"), IGNORED))
+
+
+@query("events", f""", a AS (SELECT thread_id, count(*) AS n, arg_max(is_sent, (sent_ts, id)) AS mine_last FROM m WHERE sent_ts::DATE = DATE '{DAY}' GROUP BY thread_id),
+i AS (SELECT thread_id, arg_max(sender_addr, (sent_ts, id)) AS who FROM m WHERE NOT is_sent AND sent_ts < TIMESTAMP '{DAY}' + INTERVAL 1 DAY GROUP BY thread_id)
+SELECT thread_id, n, mine_last, coalesce(who, '') AS who FROM a LEFT JOIN i USING (thread_id) WHERE thread_id NOT IN (SELECT thread_id FROM m WHERE NOT is_sent GROUP BY thread_id HAVING bool_and(contains(sender_addr, '@d3.test')))""")
+def day_digest(m):
+    hard = noise.hard_sender(F.col("sender_addr"), IGNORED)
+    kinds = noise.thread_kind(m, hard, F.lit(False), F.lit(False), broadcast_to=1000)
+    return daily.day_digest(m, DAY, kinds)
+
+
+@query("events", f"""{_SCORES}, x AS (SELECT thread_id, max(sent_ts) AS last_ts FROM r GROUP BY thread_id)
+SELECT thread_id, score, {_STAMP.format('last_ts')} AS last_on FROM sd JOIN x USING (thread_id) WHERE (score >= 5 OR deadlines > 0) AND thread_id IN (SELECT thread_id FROM m WHERE sent_ts::DATE = DATE '{DAY}') ORDER BY score DESC, last_ts DESC, thread_id LIMIT 3""")
+def headlines(m):
+    none = m.sparkSession.createDataFrame([], "thread_id long")
+    return daily.headlines(stats.week_scores(m, *WEEK, me=ME), threads.active_between(m, DAY, DAY), none)
+
+
+@query("events", f"""SELECT strftime(date_trunc('week', sent_ts), '%Y-%m-%d') AS week, count_if(NOT is_sent)::BIGINT AS received, count_if(is_sent)::BIGINT AS sent FROM m
+WHERE sender_addr = '{PERSON}' OR (is_sent AND (list_contains(to_addrs, '{PERSON}') OR list_contains(cc_addrs, '{PERSON}'))) GROUP BY 1""")
+def person_weeks(m):
+    return daily.person_weeks(m, PERSON)
+
+
+@query("events", _pairs_sql("is_sent", "sender_addr") + _pairs_sql("NOT is_sent", "to_addrs[1]").replace("x AS", "x2 AS").replace("FROM x ", "FROM x2 ").replace("pr AS", "pr2 AS").replace("FROM pr ", "FROM pr2 ").replace("pairs AS", "pairs2 AS")
+       + """, a AS (SELECT who AS addr, round(median(hours), 3) AS mine, count(*) AS n_mine FROM pairs GROUP BY 1), b AS (SELECT who AS addr, round(median(hours), 3) AS theirs, count(*) AS n_theirs FROM pairs2 GROUP BY 1) SELECT * FROM a FULL JOIN b USING (addr)""")
+def person_response(m):
+    return daily.person_response(m).withColumns({"mine": F.round("mine", 3), "theirs": F.round("theirs", 3)})
+
+
+@query("events", f"SELECT count(*) AS messages, count(DISTINCT thread_id) AS threads, count_if(is_sent)::BIGINT AS sent, count_if(NOT is_sent AND NOT read)::BIGINT AS unread, {_STAMP.format('min(sent_ts)')} AS first_on, {_STAMP.format('max(sent_ts)')} AS last_on, max(seq) AS basis FROM m")
+def store_totals(m):
+    return daily.totals(m)
+
+
+@query("events", f"SELECT id, thread_id, {_STAMP.format('sent_ts')} AS sent_on, subject FROM m ORDER BY sent_ts DESC, id DESC LIMIT 30")
+def recent_messages(m):
+    return daily.recent(m)
+
+
+@query("events", f""", r AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY sent_ts, id) AS from_start, row_number() OVER (PARTITION BY thread_id ORDER BY sent_ts DESC, id DESC) AS from_end, has_decision OR has_deadline OR has_withdrawal OR has_completion AS sig FROM m
+WHERE sent_ts >= TIMESTAMP '{WEEK[0]}' AND sent_ts < TIMESTAMP '{WEEK[1]}' + INTERVAL 1 DAY), f AS (SELECT *, from_start = 1 OR from_end <= 4 AS fx FROM r),
+g AS (SELECT *, 8 - count_if(fx) OVER (PARTITION BY thread_id) AS room, count_if(sig AND NOT fx) OVER (PARTITION BY thread_id ORDER BY from_end) AS nth FROM f) SELECT thread_id, id, from_start::INTEGER AS from_start FROM g WHERE fx OR (sig AND nth <= room)""")
+def period_rows(m):
+    lo, hi = (F.lit(d).cast("timestamp_ntz") for d in WEEK)
+    return evidence.evidence_sample(m.where((F.col("sent_ts") >= lo) & (F.col("sent_ts") < hi + F.make_dt_interval(F.lit(1)))), last=4, most=8)
+
+
+@query("events", f""", s AS (SELECT *, (year(sent_ts) % 100) * 10000 + month(sent_ts) * 100 + day(sent_ts) AS d FROM m) SELECT count(*) AS faults FROM s WHERE id // 100000 <> d""")
+def numbering_faults(m):
+    return daily.numbering_faults(m).agg(F.count("*").alias("faults"))
+
+
+@query("events", """, l AS (SELECT thread_id, arg_max(struct_pack(id := id, s := is_sent, w := sender_addr, b := body), (sent_ts, id)) AS r FROM m GROUP BY thread_id) SELECT thread_id, r.id AS id, CASE WHEN r.s THEN 'me' ELSE r.w END AS who, r.b AS line FROM l""")
+def last_lines(m):
+    return daily.last_lines(m)
