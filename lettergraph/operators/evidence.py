@@ -90,10 +90,17 @@ def conversation_roots(asked: DataFrame, rounds: int = 20) -> DataFrame:
     return low.select("id", "up").join(ends, "up").select("id", F.when(F.col("is_root"), F.col("up")).otherwise(F.col("cycle")).alias("root"))
 
 
-def stale_since(m: DataFrame, basis: DataFrame) -> DataFrame:
-    """How many messages arrived after each cached answer (key, basis): counted by arrival, never by id."""
-    counts = basis.join(m.select("seq"), F.col("seq") > F.col("basis"), "left")
-    return counts.groupBy("key").agg(F.count("seq").alias("newer"))
+def stale_since(m: DataFrame, basis: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """How many messages arrived after each cached answer (key, basis): counted by arrival, never by id.
+
+    Whole ranges of ``width`` arrivals come from one count a range; only the answer's own range is compared row by row.
+    """
+    ranged = lambda c: F.floor(F.col(c) / width)
+    asked = basis.withColumn("range", ranged("basis"))
+    inside = asked.join(m.select("seq", ranged("seq").alias("range")), "range").where("seq > basis").groupBy("key").agg(F.count("*").alias("inside"))
+    sizes = m.groupBy(ranged("seq").alias("later")).agg(F.count("*").alias("n"))
+    above = asked.join(sizes, F.col("later") > F.col("range")).groupBy("key").agg(F.sum("n").alias("above"))
+    return basis.select("key").join(inside, "key", "left").join(above, "key", "left").select("key", (F.coalesce("inside", F.lit(0)) + F.coalesce("above", F.lit(0))).alias("newer"))
 
 
 def newer_than(m: DataFrame, basis: int) -> DataFrame:

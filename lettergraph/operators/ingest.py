@@ -43,9 +43,10 @@ def allocated_ids(records: DataFrame, order: str = "arrival") -> DataFrame:
     return seated.withColumn("id", F.when(fits, new_id).otherwise(F.raise_error(F.lit("a day holds more records than ids")).cast("bigint")).cast("bigint")).drop("day", "quarter", "number", "first")
 
 
-def arrival_numbers(records: DataFrame, offset: int = 0, order: str = "arrival", buckets: int = 4096) -> DataFrame:
+def arrival_numbers(records: DataFrame, offset: int = 0, order: str = "arrival") -> DataFrame:
     """1-based arrival numbers, numbered within ranges of the order key so that no task holds all rows."""
-    ranged = records.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    # Checkpointed: both uses below must see the same ranges, on a retry too.
+    ranged = records.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).checkpoint()
     starts = ranged.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_first", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     number = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     return ranged.withColumn("_nr", number).join(F.broadcast(starts.select("_part", "_first")), "_part").withColumn("seq", F.col("_first") + F.col("_nr") + offset).drop("_part", "_nr", "_first")  # one row a partition

@@ -12,8 +12,9 @@ from lettergraph.functions.text import collapsed, own_text
 
 def followups(m: DataFrame) -> DataFrame:
     """For each own message: later answers in its thread, by id, and whether I wrote again."""
-    later = Window.partitionBy("thread_id").orderBy("id").rowsBetween(1, Window.unboundedFollowing)
-    rows = m.withColumn("replies_after", F.count_if(~F.col("is_sent")).over(later)).withColumn("followed_up", F.coalesce(F.bool_or("is_sent").over(later), F.lit(False)))
+    # Newest first, so that what came later is a running count.
+    later = Window.partitionBy("thread_id").orderBy(F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = m.withColumn("replies_after", F.coalesce(F.count_if(~F.col("is_sent")).over(later), F.lit(0))).withColumn("followed_up", F.coalesce(F.bool_or("is_sent").over(later), F.lit(False)))
     return rows.where("is_sent").select("id", "thread_id", "sent_ts", "replies_after", "followed_up")
 
 

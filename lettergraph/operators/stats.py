@@ -29,11 +29,10 @@ def heatmap(m: DataFrame) -> DataFrame:
 
 def reply_pairs(m: DataFrame, mine: bool) -> DataFrame:
     """Each waiting message with the first answer after it: mine to what came in, or theirs to what I sent."""
-    order = Window.partitionBy("thread_id").orderBy("sent_ts", "id")
+    # Newest first: the least answer so far is the next one in time, kept up as a running minimum.
+    later = Window.partitionBy("thread_id").orderBy(F.col("sent_ts").desc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1)
     answer = F.col("is_sent") if mine else ~F.col("is_sent")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    # min over the following rows is the first answer, as rows are in time order; no row is joined to another.
-    reply = F.min(F.when(answer, F.struct("sent_ts", "id", "sender_addr"))).over(after)
+    reply = F.min(F.when(answer, F.struct("sent_ts", "id", "sender_addr"))).over(later)
     pairs = m.select("thread_id", "id", "sent_ts", "is_sent", F.get("to_addrs", F.lit(0)).alias("first_to"), "sender_addr", reply.alias("r")).where(~answer & F.col("r").isNotNull())
     who = F.col("sender_addr") if mine else F.col("first_to")
     return pairs.select("thread_id", "id", F.col("r.id").alias("reply_id"), who.alias("who"), F.col("r.sent_ts").alias("reply_ts"), _hours(F.col("sent_ts"), F.col("r.sent_ts")).alias("hours")).where((F.col("hours") > 0) & (F.col("hours") < MAX_HOURS))
