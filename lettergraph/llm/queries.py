@@ -135,6 +135,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"[x FOR x IN string_split_regex({text}, '[\x20\x09-\x0D]+') IF x <> '']"
 _LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: CRC-32 of the sixteen half bytes, lowest bit first.
+_CRC = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[]"
+
+
+def _half(u: str) -> str:
+    return f"xor(({u}) >> 4, ({_CRC})[(({u}) & 15) + 1])"
+
+
+def _won(paths: list[str], weights: list[int]) -> str:
+    """Number of the child whose draw is smallest; paths are SQL."""
+    draws = [f"-ln((('0x' || substr(md5('{sharding.SEED}' || {p} || ':' || key), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(16**13)}) / {w}" for p, w in zip(paths, weights, strict=True)]
+    return f"(SELECT list_position(d, list_min(d)) - 1 FROM (SELECT [{', '.join(draws)}] AS d))"
+
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": rf"""
@@ -174,6 +187,14 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_sharding": f"""
+WITH k AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, encode(coalesce(text, '')) AS bytes FROM documents),
+g AS (SELECT *, {_won(["'/g0'", "'/g1'"], [8, 8])} AS region, {_won(["'/g0'", "'/g1'", "'/g2'"], [8, 8, 1])} AS grown FROM k),
+r AS (SELECT *, {_won(["'/g' || region || '/k0'", "'/g' || region || '/k1'"], [4, 4])} AS rack FROM g),
+s AS (SELECT *, (region * 8 + rack * 4 + {_won([f"'/g' || region || '/k' || rack || '/' || (region * 8 + rack * 4 + {i})" for i in range(4)], [1] * 4)})::INTEGER AS shard FROM r)
+SELECT doc_id, octet_length(bytes)::BIGINT + 1 AS size, 'key' AS law, shard, (CASE grown WHEN 2 THEN 16 ELSE shard END)::INTEGER AS grown_shard,
+  xor(list_reduce([4294967295::BIGINT] || [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(bytes), '..')], lambda c, b: {_half(_half("xor(c, b)"))}), 4294967295::BIGINT) AS text_crc32,
+  row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('slot {sharding.SEED}:' || key), 1, {sharding.BUCKET_DIGITS}))::BIGINT, doc_id NULLS FIRST) - 1 AS slot FROM s""",
     "op8_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
