@@ -68,8 +68,10 @@ def digest_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     def log(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{work}/log/batch={batch}")
 
-    before = {k: spark.conf.get(k, None) for k in _STATE}
-    for k, v in _STATE.items():
+    # A single batch opens each store once: closed at its commit, a store leaves no local files beside the shared ones.
+    settings = _STATE | {"spark.sql.streaming.stateStore.unloadOnCommit": str(not files_per_batch).lower()}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         query = seen.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
