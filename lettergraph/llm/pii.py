@@ -7,13 +7,16 @@ entity.  How strongly a term reveals one is measured on the corpus: with
 share among texts that hold the term, the disclosure is
 ``log(p(e|t) / p(e)) / log(1 / p(e))``, pointwise mutual information over the
 entity's own information: 1 when the term never occurs without the entity, 0
-when they are unrelated.  Words of letters within ``reach`` characters of an
-entity, in at least ``support`` different texts, are judged; those at or above
-``disclosure`` become spans of kind ``term`` in the texts that hold the entity.
+when they are unrelated.  Every run of two or more letters and digits anywhere
+in a text that holds an entity is judged, however far from it.  For ``p(e|t)``
+stands the lower end of its Wilson interval (one-sided, ``z``) without the one
+joint text that made the pair a candidate, so rare pairs need more agreement and
+a single text proves nothing.  Terms at or above ``disclosure`` become spans of
+kind ``term`` in the texts that hold the entity.
 ``sanitised`` puts a general name in place of entities and removes terms.
 
-Only DataFrame functions are used.  Counts cover all texts and are summed
-partially before each shuffle; copies of one text count once.
+Only DataFrame functions are used.  Counts cover whole texts and all of them and
+are summed partially before each shuffle; copies of one text count once.
 
 Defined cases: null text is empty; a term inside a base span is covered by it;
 rows that repeat a text get the same spans; an empty table has no rows; result
@@ -35,10 +38,9 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-TERM = r"\p{L}{4,}"
-REACH = 60
-SUPPORT = 3
+TERM = r"[\p{L}\p{N}]{2,}"
 DISCLOSURE = 0.9
+Z = 1.2816  # 90 %, one-sided
 
 
 def _passes(kind: str, value: Column) -> Column:
@@ -87,36 +89,39 @@ def _entity(span: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
+def _least_share(both: Column, of: Column, z: float) -> Column:
+    """Lower end of the Wilson interval for ``both`` of ``of`` texts, the first joint text left out; 0 if it was the only one."""
+    n, p = of - 1, (both - 1) / (of - 1)
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return F.when(both > 1, low).otherwise(0.0)
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, z: float = Z) -> tuple[DataFrame, DataFrame]:
     """(entity, term, score) above the threshold, and (k, terms): the terms to take out of each text, by its key."""
     texts = docs.select(F.xxhash64(F.lit(3), F.col(text_col)).alias("k"), F.col(text_col).alias("t"))
-    places = (
-        texts.withColumn("s", base_spans(F.col("t"))).where(F.size("s") > 0).select("k", "t", F.explode("s").alias("s"))
-        .select("k", _entity(F.col("s")).alias("entity"), F.col("s.start").alias("start"),
-                # The neighbourhood, without words cut off at its ends.
-                F.regexp_replace(F.substring("t", F.greatest(F.col("s.start") - reach, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach))), F.when(F.col("s.start") > reach, r"^\p{L}+").otherwise(r"^(?!)"), "").alias("left"),
-                F.regexp_replace(F.substring("t", F.col("s.end") + 1, F.lit(reach)), F.when(F.length("t") > F.col("s.end") + reach, r"\p{L}+$").otherwise(r"(?!)$"), "").alias("right"))
-        .select("k", "entity", _terms(F.concat_ws(" ", "left", "right")).alias("near"))
-    )
-    places = written(places, "entities")
-    held = places.groupBy("entity").agg(F.count_distinct("k").alias("with_entity")).where(F.col("with_entity") >= support)
-    pairs = places.join(held.select("entity"), "entity", "left_semi").select("k", "entity", F.explode("near").alias("term")).distinct()
-    joint = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support).join(held, "entity"), "joint")
+    holders = texts.withColumn("s", base_spans(F.col("t"))).where(F.size("s") > 0).select("k", F.array_distinct(F.transform("s", _entity)).alias("entities"), _terms(F.col("t")).alias("terms"))
+    holders = written(holders.dropDuplicates(["k"]), "entities")
+    places = holders.select("k", F.explode("entities").alias("entity"))
+    # An entity of one text has pairs of one joint text only, whose bound is 0.
+    held = places.groupBy("entity").agg(F.count("*").alias("with_entity")).where("with_entity > 1")
+    total = texts.agg(F.count_distinct("k").alias("texts"))
+    held = written(held.crossJoin(F.broadcast(total)).withColumn("share", F.col("with_entity") / F.col("texts")).where("share < 1").drop("texts"), "held")  # one row
+    score = lambda of: 1 - F.log(_least_share(F.col("both"), of, z)) / F.log("share")
+    pairs = holders.select(F.explode("entities").alias("entity"), "terms").join(held.select("entity"), "entity", "left_semi").select("entity", F.explode("terms").alias("term"))
+    # A term has at least its joint texts, and the score falls with its texts: what fails on these fails on all.
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where("both > 1").join(held, "entity").where(score(F.col("both")) >= disclosure)
+    joint = written(joint, "joint")
     if joint.isEmpty():
         empty = docs.sparkSession.createDataFrame([], "entity string, term string, score double")
         return empty, docs.sparkSession.createDataFrame([], "k bigint, terms array<string>")
-    distinct_texts = texts.dropDuplicates(["k"]).select(_terms(F.coalesce("t", F.lit(""))).alias("terms"), "k")
+    distinct_texts = texts.dropDuplicates(["k"]).select(_terms(F.coalesce("t", F.lit(""))).alias("terms"))
     with_term = distinct_texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    total = texts.agg(F.count_distinct("k").alias("texts"))
-    rated = joint.join(with_term, "term").crossJoin(F.broadcast(total))  # one row
-    share = F.col("with_entity") / F.col("texts")
-    score = F.when(share < 1, F.log(F.col("both") / F.col("with_term") / share) / -F.log(share)).otherwise(0.0)
-    terms = written(rated.select("entity", "term", score.alias("score")).where(F.col("score") >= disclosure), "terms")
+    terms = written(joint.join(with_term, "term").select("entity", "term", score(F.col("with_term")).alias("score")).where(F.col("score") >= disclosure), "terms")
     reveals = terms.groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    per_text = places.select("k", "entity").distinct().join(reveals, "entity").groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
+    per_text = places.join(reveals, "entity").groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
     return terms, written(per_text, "per-text")
 
 

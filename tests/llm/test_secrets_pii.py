@@ -115,6 +115,20 @@ def test_terms_that_disclose(spark):
     assert all(s.kind == "email" for s in rows[10].pii) and rows[60].pii == [] and rows[60].clean == texts[60]
 
 
+def test_terms_far_away_short_and_rare(spark):
+    far = " ".join(["alpha beta gamma"] * 30)
+    texts = [f"Ng9 writes {far} {'Zorblax' if i < 3 else far} jo@corp.test {'Zorblax' if i >= 3 else far} {i} Solo{i} {'unter' * (i + 1)}" for i in range(10)]
+    texts += [f"{far} other{i}@corp.test {i} Lone{i}" for i in range(20)] + [f"{far} {i} Ng" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms, _ = pii.disclosing_terms(docs)
+    found = {(t.entity, t.term): t.score for t in terms.collect()}
+    # In all ten texts of the entity, whatever the distance; words of one text and common ones prove nothing.
+    assert {t for _, t in found} == {"ng9", "zorblax", "writes", "jo"} and {e for e, _ in found} == {"email:jo@corp.test"}
+    assert found["email:jo@corp.test", "zorblax"] > 0.94
+    row = pii.find_pii(docs).where("doc_id = 9").first()
+    assert [s.value for s in row.pii if s.kind == "term"] == ["Ng9", "writes", "Zorblax"]
+
+
 def test_pii_digests_and_empty(spark, tmp_path):
     from lettergraph.llm.queries import op7_pii
 
