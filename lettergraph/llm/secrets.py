@@ -7,6 +7,8 @@ From a bounded sample of each kind (``sample``, by a hash of the value) a prefix
 tree over character classes is built, and its states are merged where their
 outgoing frequencies are statistically compatible (Hoeffding's bound, applied
 to the futures too, as ALERGIA does), which gives a probabilistic automaton.
+The tree is ``DEPTH`` symbols deep; what lies beyond is counted in the merged
+states that it runs through.  Tokens are scored whole, at any length.
 Each token of 16 or more credential characters that mixes letters and digits is
 a candidate.  Its format likelihood is the mean log2 probability of its classes
 under the best automaton; it is a span of kind ``format`` when that is no lower
@@ -39,7 +41,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 SAMPLE = 3_000
 ALPHA = 0.05
 MISS = 0.02
-LONGEST = 80
+DEPTH = 80  # of the prefix tree
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so these are the runs of HEX that are long enough
 _CLASSES = str.maketrans({c: "0" if c.isdigit() else "h" if c in "abcdefABCDEF" else "z" for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -67,7 +69,7 @@ class Automaton:
         self.total, self.ends, self.out, self.to = [0], [0], [{}], [{}]
         for word, n in sorted(words.items()):
             s = 0
-            for c in word:
+            for c in word[:DEPTH]:
                 self.total[s] += n
                 self.out[s][c] = self.out[s].get(c, 0) + n
                 if c not in self.to[s]:
@@ -77,12 +79,30 @@ class Automaton:
                     self.to.append({})
                     self.to[s][c] = len(self.total) - 1
                 s = self.to[s][c]
-            self.total[s] += n
-            self.ends[s] += n
+            if len(word) <= DEPTH:
+                self.total[s] += n
+                self.ends[s] += n
         self._merge(math.sqrt(0.5 * math.log(2 / alpha)))
+        for word, n in sorted(words.items()):
+            if len(word) > DEPTH:
+                self._run_on(word, n)
+
+    def _run_on(self, word: str, n: int) -> None:
+        """Count the symbols past the tree in the merged states; one without a way on stays where it is."""
+        s = 0
+        for c in word[:DEPTH]:
+            s = self.to[s][c]
+        for c in word[DEPTH:]:
+            self.total[s] += n
+            self.out[s][c] = self.out[s].get(c, 0) + n
+            s = self.to[s].setdefault(c, s)
+        self.total[s] += n
+        self.ends[s] += n
 
     def _differ(self, a: int, b: int, bound: float) -> bool:
         n, m = self.total[a], self.total[b]
+        if not n or not m:  # the tree was cut there
+            return False
         slack = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
         if abs(self.ends[a] / n - self.ends[b] / m) > slack:
             return True
@@ -121,6 +141,9 @@ class Automaton:
             b = self.to[p].get(c)
             if b is None or b in accepted:
                 continue
+            if not self.total[b]:
+                self.to[p][c] = p
+                continue
             home = next((a for a in accepted if self._compatible(a, b, bound)), None)
             if home is None:
                 accepted.append(b)
@@ -163,7 +186,7 @@ class Grammar:
 
     def accepts(self, token: str) -> bool:
         """Is the token's format as likely as a labelled credential's, and likelier than an ordinary token's?"""
-        word = symbols(token[:LONGEST])
+        word = symbols(token)
         best = [score - least for automaton, least in self.automata.values() if (score := automaton.score(word)) >= least and score > self.background(word)]
         return bool(best)
 
@@ -188,10 +211,10 @@ def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
             t, found = t or "", []
             spans = base_matches(t)
             for k, _, _, v in spans:
-                found.append({"kind": k, "word": symbols(v[:LONGEST]), "h": zlib.crc32(v.encode())})
+                found.append({"kind": k, "word": symbols(v), "h": zlib.crc32(v.encode())})
             for s, e, token in _candidates(t):
                 if not any(a < e and s < b for _, a, b, _ in spans):
-                    found.append({"kind": "ordinary", "word": symbols(token[:LONGEST]), "h": zlib.crc32(token.encode())})
+                    found.append({"kind": "ordinary", "word": symbols(token), "h": zlib.crc32(token.encode())})
             out.append(found)
         return pa.array(out, type=kind)
 

@@ -64,6 +64,17 @@ def test_automaton_merges_and_scores():
     assert automaton.score(secrets.symbols(hexed(r, 32))) > automaton.score("z" * 32) + 3
 
 
+def test_tokens_are_scored_whole():
+    from collections import Counter
+
+    r = random.Random(3)
+    words = Counter(secrets.symbols(hexed(r, n)) for n in (40, 120, 200) for _ in range(100))
+    grammar = secrets.Grammar({"hex": words}, Counter({"zzhz/zhzz.zz": 50}))
+    start = hexed(r, 100).upper()
+    assert grammar.accepts(start) and grammar.accepts(start + hexed(r, 100).upper())
+    assert not grammar.accepts(start + "/tmp/long.path/of/words" * 10)
+
+
 LUHN_OK, LUHN_BAD = "4111 1111-1111 1111", "4111111111111112"
 
 
