@@ -9,8 +9,8 @@ outgoing frequencies are statistically compatible (Hoeffding's bound, applied
 to the futures too, as ALERGIA does), which gives a probabilistic automaton.
 The tree is ``DEPTH`` symbols deep; what lies beyond is counted in the merged
 states that it runs through.  Tokens are scored whole, at any length.
-Each token of 16 or more credential characters that mixes letters and digits is
-a candidate.  Its format likelihood is the mean log2 probability of its classes
+Each maximal run of 6 or more credential characters, the shortest labelled
+length, is a candidate, whatever it is made of.  Its format likelihood is the mean log2 probability of its classes
 under the best automaton; it is a span of kind ``format`` when that is no lower
 than all but ``miss`` of the labelled credentials' own and above the mean under
 the ordinary tokens' class bigrams.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = (*LEAST, "format")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_CANDIDATE = re.compile(r"[0hz+/_.=-]{6,}")  # over classes: maximal runs of credential characters, from the shortest labelled length on
 
 SAMPLE = 3_000
 ALPHA = 0.05
@@ -186,16 +187,16 @@ class Grammar:
 
     def accepts(self, token: str) -> bool:
         """Is the token's format as likely as a labelled credential's, and likelier than an ordinary token's?"""
-        word = symbols(token)
-        best = [score - least for automaton, least in self.automata.values() if (score := automaton.score(word)) >= least and score > self.background(word)]
-        return bool(best)
+        return self.accepts_classes(symbols(token))
+
+    def accepts_classes(self, word: str) -> bool:
+        return any((score := automaton.score(word)) >= least and score > self.background(word) for automaton, least in self.automata.values())
 
 
 def _candidates(text: str):
-    for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if re.search("[0-9]", token) and re.search("[A-Za-z]", token):
-            yield m.start(), m.end(), token
+    """(start, end, classes) of each candidate."""
+    for m in _CANDIDATE.finditer(symbols(text)):
+        yield m.start(), m.end(), m[0]
 
 
 def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Grammar:
@@ -212,9 +213,9 @@ def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
             spans = base_matches(t)
             for k, _, _, v in spans:
                 found.append({"kind": k, "word": symbols(v), "h": zlib.crc32(v.encode())})
-            for s, e, token in _candidates(t):
+            for s, e, word in _candidates(t):
                 if not any(a < e and s < b for _, a, b, _ in spans):
-                    found.append({"kind": "ordinary", "word": symbols(token), "h": zlib.crc32(token.encode())})
+                    found.append({"kind": "ordinary", "word": word, "h": zlib.crc32(t[s:e].encode())})
             out.append(found)
         return pa.array(out, type=kind)
 
@@ -242,11 +243,12 @@ def find_secrets(docs: DataFrame, text_col: str = "text", grammar: Grammar | Non
 
     @F.arrow_udf(_SPANS_TYPE)
     def scan(text: pa.Array) -> pa.Array:
-        rows = []
+        short, rows = lru_cache(1 << 16)(grammar.accepts_classes), []
+        accepts = lambda word: (short if len(word) <= 64 else grammar.accepts_classes)(word)
         for t in text.to_pylist():
             t = t or ""
             spans = [(s, KINDS.index(k), e) for k, s, e, _ in base_matches(t)]
-            spans += [(s, 3, e) for s, e, token in _candidates(t) if not any(a < e and s < b for a, _, b in spans) and grammar.accepts(token)]
+            spans += [(s, 3, e) for s, e, word in _candidates(t) if accepts(word) and not any(a < e and s < b for a, _, b in spans)]
             rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)])
         return pa.array(rows, type=_SPANS)
 

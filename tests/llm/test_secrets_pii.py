@@ -75,6 +75,17 @@ def test_tokens_are_scored_whole():
     assert not grammar.accepts(start + "/tmp/long.path/of/words" * 10)
 
 
+def test_short_and_lettered_tokens_are_candidates(spark):
+    r = random.Random(6)
+    word = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = [f"password={word('abcdefABCDEF', 12)} some Ordinary number 1234 and nouns plainly written {i}" for i in range(300)]
+    planted = {1000: word("abcdefABCDEF", 12), 1001: word("abcdef", 12)}
+    docs = spark.createDataFrame([*enumerate(texts), *((k, f"use {v} wisely") for k, v in planted.items())], "doc_id long, text string")
+    got = {x.doc_id: [tuple(s) for s in x.secrets] for x in secrets.find_secrets(docs).collect()}
+    assert all(got[k] == [("format", 4, 4 + len(v))] for k, v in planted.items())
+    assert all([s[0] for s in got[i]] == ["assign"] for i in range(300))
+
+
 LUHN_OK, LUHN_BAD = "4111 1111-1111 1111", "4111111111111112"
 
 
