@@ -13,7 +13,7 @@ Each maximal run of 6 or more credential characters, the shortest labelled
 length, is a candidate, whatever it is made of.  Its format likelihood is the mean log2 probability of its classes
 under the best automaton; it is a span of kind ``format`` when that is no lower
 than all but ``miss`` of the labelled credentials' own and above the mean under
-the ordinary tokens' class bigrams.
+the class bigrams of all ordinary tokens: candidates outside base spans.
 
 Defined cases: null text is empty; without labelled credentials only base spans
 are found; a candidate inside a base span is covered by it; repeated rows get
@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lettergraph.llm._shared import written
+
 # The base patterns and least lengths, kinds in the order of the report.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -46,6 +48,7 @@ DEPTH = 80  # of the prefix tree
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so these are the runs of HEX that are long enough
 _CLASSES = str.maketrans({c: "0" if c.isdigit() else "h" if c in "abcdefABCDEF" else "z" for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_WORDS = pa.schema([("kind", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
 _SPANS_TYPE = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -166,18 +169,25 @@ class Automaton:
         return (bits + math.log2((self.ends[s] + 0.01) / (self.total[s] + 1))) / (len(word) + 1)
 
 
+def class_bigrams(words: Counter) -> Counter:
+    """Pairs of neighbouring classes, ``^`` before the first and ``$`` after the last."""
+    pairs = Counter()
+    for word, n in words.items():
+        for pair, m in Counter(zip("^" + word, word + "$", strict=True)).items():
+            pairs[pair] += n * m
+    return pairs
+
+
 class Grammar:
     """Automata by kind with their least accepted score, and the class bigrams of ordinary tokens."""
 
-    def __init__(self, credentials: dict[str, Counter], ordinary: Counter, alpha: float = ALPHA, miss: float = MISS):
-        self.automata, self.bigrams = {}, Counter()
+    def __init__(self, credentials: dict[str, Counter], ordinary: Counter, alpha: float = ALPHA, miss: float = MISS, bigrams: Counter | None = None):
+        self.automata, self.bigrams = {}, Counter(bigrams or {})
         for kind, words in sorted(credentials.items()):
             automaton = Automaton(words, alpha)
             scores = sorted(s for w, n in words.items() for s in [automaton.score(w)] * n)
             self.automata[kind] = (automaton, scores[int(miss * len(scores))])
-        for word, n in ordinary.items():
-            for pair in zip("^" + word, word + "$", strict=True):
-                self.bigrams[pair] += n
+        self.bigrams.update(class_bigrams(ordinary))
         self.firsts = Counter()
         for (a, _), n in self.bigrams.items():
             self.firsts[a] += n
@@ -200,41 +210,45 @@ def _candidates(text: str):
 
 
 def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Grammar:
-    """Fit on about ``sample`` labelled values a kind and as many ordinary tokens, chosen by a hash of the value."""
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("word", pa.string()), ("h", pa.int64())]))
+    """Fit on about ``sample`` labelled values a kind, chosen by a hash of the value, and on all ordinary tokens.
 
-    @F.arrow_udf("array<struct<kind:string,word:string,h:bigint>>")
-    def labelled(text: pa.Array) -> pa.Array:
+    The background is summed by pair of classes, in each task first: about a hundred rows at any size.
+    """
+
+    def labelled(batches):
         import zlib
 
-        out = []
-        for t in text.to_pylist():
-            t, found = t or "", []
-            spans = base_matches(t)
-            for k, _, _, v in spans:
-                found.append({"kind": k, "word": symbols(v), "h": zlib.crc32(v.encode())})
-            for s, e, word in _candidates(t):
-                if not any(a < e and s < b for _, a, b, _ in spans):
-                    found.append({"kind": "ordinary", "word": word, "h": zlib.crc32(t[s:e].encode())})
-            out.append(found)
-        return pa.array(out, type=kind)
-
-    words = docs.select(F.explode(labelled(F.col(text_col))).alias("w")).select("w.*")
-    # 256 shares by the value's hash; as many shares are taken as hold about ``sample`` values of the kind.
-    shares = words.groupBy("kind", (F.col("h") % 256).alias("share")).agg(F.count_distinct("h").alias("n"))
-    shares.cache()
-    held: dict[str, int] = Counter()
-    for k, _, n in shares.collect():  # 4 kinds of 256 shares
-        held[k] += n
-    shares.unpersist()
+        ordinary, pairs, chars = Counter(), Counter(), 0
+        for batch in batches:
+            found = []
+            for t in batch.column(0).to_pylist():
+                t = t or ""
+                spans = base_matches(t)
+                found += [(k, symbols(v), zlib.crc32(v.encode()), 1) for k, _, _, v in spans]
+                if spans:
+                    ordinary.update(w for s, e, w in _candidates(t) if not any(a < e and s < b for _, a, b, _ in spans))
+                else:
+                    ordinary.update(_CANDIDATE.findall(symbols(t)))
+                chars += len(t)
+                if chars > 4_000_000:
+                    pairs.update(class_bigrams(ordinary))
+                    ordinary.clear()
+                    chars = 0
+            yield pa.RecordBatch.from_pylist([dict(zip(_WORDS.names, x, strict=True)) for x in found], schema=_WORDS)
+        pairs.update(class_bigrams(ordinary))
+        yield pa.RecordBatch.from_pylist([{"kind": "pair", "word": "".join(p), "h": 0, "n": n} for p, n in pairs.items()], schema=_WORDS)
+
+    words = written(docs.select(text_col).mapInArrow(labelled, "kind string, word string, h bigint, n bigint"), "labelled")
+    bigrams = Counter({tuple(pair): n for pair, n in words.where("kind = 'pair'").groupBy("word").agg(F.sum("n")).collect()})  # a pair of 11 classes each
+    words = words.where("kind <> 'pair'")
+    held = {k: n for k, n in words.groupBy("kind").agg(F.count_distinct("h")).collect()}  # 3 kinds
     keep = F.lit(False)
     for k, n in held.items():
         keep = keep | ((F.col("kind") == k) & (F.col("h") % 65_536 < math.ceil(65_536 * min(1.0, sample / n))))
     found: dict[str, Counter] = {}
     for k, word, n in words.where(keep).groupBy("kind", "word").agg(F.count_distinct("h").alias("n")).collect() if held else []:
         found.setdefault(k, Counter())[word] += n
-    ordinary = found.pop("ordinary", Counter())
-    return Grammar(found, ordinary)
+    return Grammar(found, Counter(), bigrams=bigrams)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", grammar: Grammar | None = None, out: str = "secrets", **options) -> DataFrame:

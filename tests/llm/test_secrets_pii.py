@@ -86,6 +86,15 @@ def test_short_and_lettered_tokens_are_candidates(spark):
     assert all([s[0] for s in got[i]] == ["assign"] for i in range(300))
 
 
+def test_background_counts_all_ordinary_tokens(spark):
+    from collections import Counter
+
+    texts = [f"password=abcdef{i} token{i} word/{'x' * (i % 9)}" for i in range(200)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(5)
+    ordinary = [w for t in texts for w in re.findall("[A-Za-z0-9+/_.=-]{6,}", t) if not w.startswith("password")]
+    assert secrets.infer_grammar(docs, sample=2).bigrams == Counter(p for w in map(secrets.symbols, ordinary) for p in zip("^" + w, w + "$", strict=True))
+
+
 LUHN_OK, LUHN_BAD = "4111 1111-1111 1111", "4111111111111112"
 
 
