@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettergraph.functions.text import let, squashed
+from lettergraph.functions.text import squashed
+from lettergraph.llm._shared import written
 
 
 def verified_quotes(claims: DataFrame, m: DataFrame, least: int = 10, most: int = 300) -> DataFrame:
@@ -16,21 +17,17 @@ def verified_quotes(claims: DataFrame, m: DataFrame, least: int = 10, most: int
 
 
 def located_quotes(quotes: DataFrame, m: DataFrame, least: int = 10) -> DataFrame:
-    """(quote_id, id) for quotes that name no message: the rarest three-word run of a quote finds candidates by equality,
-    the text decides."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(3)), " "))
-    grams = lambda c: let(F.filter(F.split(F.col(c), r"(?U)\s+"), lambda w: w != ""), runs)
-    keyed = quotes.where(F.length(squashed(F.col("quote"))) >= least).withColumn("g", grams("quote"))
-    # A quote may begin or end inside a word: its inner runs are whole, so the second one (else the first) is looked up.
-    key = keyed.select("quote_id", "quote", F.coalesce(F.get("g", F.lit(1)), F.get("g", F.lit(0))).alias("gram"), (F.size("g") > 2).alias("inner"))
-    long_ones = key.where("inner")
-    texts = m.select("id", F.explode(F.array_distinct(grams("body"))).alias("gram"))
-    met = texts.join(long_ones, "gram").select("quote_id", "quote", "id").distinct()
-    hit = met.join(m.select("id", "body"), "id").where(F.contains(squashed(F.col("body")), squashed(F.col("quote")))).select("quote_id", "id")
-    # Quotes of four words or fewer have no inner run; they are few, as quotes are at least ten letters, and scanned for.
-    short = key.where("NOT inner").select("quote_id", "quote")
-    scanned = m.select("id", "body").join(short, F.contains(squashed(F.col("body")), squashed(F.col("quote")))).select("quote_id", "id")
-    return hit.union(scanned).distinct()
+    """(quote_id, id) for quotes that name no message, white space aside: of the runs of ``least`` letters of a quote the one
+    rarest in the messages finds candidates by equality of fingerprints, the text decides."""
+    runs = lambda c: F.transform(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"(?s)(?=(.{{{least}}}))"), F.lit(1))), lambda g: F.xxhash64(g))
+    keyed = quotes.select("quote_id", squashed(F.col("quote")).alias("q")).where(F.length("q") >= least).select("quote_id", "q", F.explode(runs("q")).alias("run"))
+    texts = m.select("id", squashed(F.col("body")).alias("t")).select("id", F.explode(runs("t")).alias("run"))
+    held = written(texts.join(keyed.select("run").distinct(), "run", "left_semi").distinct(), "runs")
+    n = held.groupBy("run").agg(F.count("*").alias("n"))
+    # A run that no message has is the rarest: its quote stands nowhere.
+    rarest = keyed.join(n, "run", "left").groupBy("quote_id", "q").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
+    met = held.join(rarest, "run").select("quote_id", "q", "id")
+    return met.join(m.select("id", "body"), "id").where(F.contains(squashed(F.col("body")), F.col("q"))).select("quote_id", "id").distinct()
 
 
 def unique_source(found: DataFrame) -> DataFrame:

@@ -126,6 +126,12 @@ def test_quotes(spark):
     assert (row.pre, row.quote, row.post) == ("It ", "was", " here.")
 
 
+def test_quotes_spaced_differently(spark):
+    m = spark.createDataFrame([(1, "He said it 's late , and the re-\nport is due."), (2, "예산 안을 월요일에 승인 했습니다 그렇게"), (3, "short one here")], "id long, body string")
+    q = spark.createDataFrame([(1, "said it's late, and the re-port is due"), (2, "예산안을 월요일에 승인했습니다"), (3, "short one he"), (4, "it's late, and the report is due")], "quote_id long, quote string")
+    assert sorted((r.quote_id, r.id) for r in evidence.located_quotes(q, m).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_roots_with_a_cycle(spark):
     asked = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5), (7, 6)], "id long, parent_id long")
     got = {r.id: r.root for r in evidence.conversation_roots(asked).collect()}
