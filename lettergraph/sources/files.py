@@ -50,7 +50,11 @@ def mail_folder(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for raw in batch["value"]:
                 m = email.message_from_string(raw, policy=policy.compat32)
-                part = {p.get_content_type(): (p.get_payload(decode=True) or b"").decode(p.get_content_charset() or "utf-8", "replace") for p in m.walk() if not p.is_multipart() and not p.get_filename()}
+                texts = {}
+                for p in m.walk():
+                    if not p.is_multipart() and not p.get_filename() and p.get_content_disposition() != "attachment":
+                        texts.setdefault(p.get_content_type(), []).append((p.get_payload(decode=True) or b"").decode(p.get_content_charset() or "utf-8", "replace"))
+                part = {kind: "\n".join(found) for kind, found in texts.items()}
                 name, addr = parseaddr(m.get("From", ""))
                 people = lambda h, m=m: [a.lower() for _, a in getaddresses(m.get_all(h, [])) if a]
                 try:

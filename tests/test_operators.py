@@ -132,6 +132,17 @@ def test_quotes_spaced_differently(spark):
     assert sorted((r.quote_id, r.id) for r in evidence.located_quotes(q, m).collect()) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_mail_parts_are_joined(spark, tmp_path):
+    from lettergraph.sources import files
+
+    part = lambda kind, text: f"--b\nContent-Type: {kind}\n\n{text}\n"
+    mail = "From a@x Mon\nMessage-ID: <1>\nFrom: a@x.test\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b\n\n"
+    mail += part("text/plain", "The letter.") + part("text/html", "<p>one</p>") + part("text/plain", "List footer") + part("text/html", "<p>two</p>") + "--b--\n"
+    (tmp_path / "in.mbox").write_text(mail)
+    row = files.mail_folder(spark, str(tmp_path / "in.mbox")).first()
+    assert row.body_text.split("\n") == ["The letter.", "List footer"] and row.body_html.split("\n") == ["<p>one</p>", "<p>two</p>"]
+
+
 def test_roots_with_a_cycle(spark):
     asked = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5), (7, 6)], "id long, parent_id long")
     got = {r.id: r.root for r in evidence.conversation_roots(asked).collect()}
