@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettergraph.functions.rules import STOP_WORDS
@@ -47,9 +47,11 @@ def _score(df: Column, n: Column, other: Column, other_n: Column, phrase: bool)
 
 
 def top_terms(scores: DataFrame, limit: int = 25) -> DataFrame:
-    """Each person's best terms; the heap of a group never holds more than ``limit`` rows a task."""
-    best = scores.groupBy("who").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "term", "df", "lift", "score"))), 1, limit).alias("t"))
-    return best.select("who", F.explode("t").alias("t")).select("who", "t.term", "t.df", "t.lift", "t.score")
+    """Each person's best terms: the best ``limit`` of 64 shares by the term's hash, then the best of these."""
+    best = scores.select("who", "term", "df", "lift", "score", F.pmod(F.xxhash64("term"), F.lit(64)).alias("share"))
+    for keys in (["who", "share"], ["who"]):
+        best = best.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(-F.col("score"), "term"))).where(F.col("nth") <= limit)
+    return best.drop("share", "nth")
 
 
 def npmi(b: DataFrame, chosen: DataFrame, least: int = MIN_SUPPORT) -> DataFrame:

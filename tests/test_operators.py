@@ -143,6 +143,13 @@ def test_mail_parts_are_joined(spark, tmp_path):
     assert row.body_text.split("\n") == ["The letter.", "List footer"] and row.body_html.split("\n") == ["<p>one</p>", "<p>two</p>"]
 
 
+def test_top_terms_hold_no_list_of_all(spark):
+    rows = [(w, f"t{i}", i, 0.0, float(i * 7919 % 501 // 2)) for w in ("p", "q") for i in range(500)]
+    top = vocabulary.top_terms(spark.createDataFrame(rows, "who string, term string, df long, lift double, score double"), 12)
+    assert sorted((r.who, -r.score, r.term) for r in top.collect()) == [x for w in "pq" for x in sorted((w, -r[4], r[1]) for r in rows if r[0] == w)[:12]]
+    assert "collect_list" not in top._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_roots_with_a_cycle(spark):
     asked = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5), (7, 6)], "id long, parent_id long")
     got = {r.id: r.root for r in evidence.conversation_roots(asked).collect()}
