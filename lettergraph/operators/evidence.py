@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettergraph.functions.text import squashed
-from lettergraph.llm._shared import written
+from lettergraph.shared import written
 
 
 def verified_quotes(claims: DataFrame, m: DataFrame, least: int = 10, most: int = 300) -> DataFrame:
@@ -76,7 +76,8 @@ def conversation_roots(asked: DataFrame, rounds: int = 20) -> DataFrame:
     low = links.select("id", "up", F.least("id", "up").alias("low"))
     for _ in range(rounds):
         jump = low.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("next_low"))
-        after = low.join(jump, "up").select("id", F.col("next").alias("up"), F.least("low", "next_low").alias("low"), (F.col("up") != F.col("next")).alias("moved")).checkpoint()
+        after = low.join(jump, "up").select("id", F.col("next").alias("up"), F.least("low", "next_low").alias("low"), (F.col("up") != F.col("next")).alias("moved"))
+        after = written(after, "roots")
         if not after.where("moved").limit(1).count():
             low = after.drop("moved")
             break

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettergraph.functions.text import normalised_subject
+from lettergraph.shared import written
 
 
 def first_arrivals(records: DataFrame, key: str = "message_id", order: str = "arrival") -> DataFrame:
@@ -45,8 +46,8 @@ def allocated_ids(records: DataFrame, order: str = "arrival") -> DataFrame:
 
 def arrival_numbers(records: DataFrame, offset: int = 0, order: str = "arrival") -> DataFrame:
     """1-based arrival numbers, numbered within ranges of the order key so that no task holds all rows."""
-    # Checkpointed: both uses below must see the same ranges, on a retry too.
-    ranged = records.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    # Written: both uses below must see the same ranges, on a retry too.
+    ranged = written(records.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
     starts = ranged.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_first", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     number = F.row_number().over(Window.partitionBy("_part").orderBy(order))
     return ranged.withColumn("_nr", number).join(F.broadcast(starts.select("_part", "_first")), "_part").withColumn("seq", F.col("_first") + F.col("_nr") + offset).drop("_part", "_nr", "_first")  # one row a partition

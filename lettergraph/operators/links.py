@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lettergraph.shared import discard, written
+
 
 def linked(pairs: DataFrame, row: str, key: str, rounds: int = 50) -> DataFrame:
     """(row, component) from (row, key) pairs: the least label spreads from rows to keys and back until nothing changes.
 
     Every step is an aggregation by key or row with partial minima, so a key that many rows share is no burden; labels
-    jump to the label of their label too, which halves long chains.  Each round is checkpointed.
+    jump to the label of their label too, which halves long chains.  Each round is written to the shared folder.
     """
     labels = pairs.select(row).distinct().withColumn("component", F.col(row))
     for _ in range(rounds):
         by_key = pairs.join(labels, row).groupBy(key).agg(F.min("component").alias("low"))
         after = pairs.join(by_key, key).groupBy(row).agg(F.min("low").alias("component"))
         jumps = after.select(F.col(row).alias("component"), F.col("component").alias("further"))
-        after = after.join(jumps, "component", "left").select(row, F.least("component", "further").alias("component")).checkpoint()
+        after = after.join(jumps, "component", "left").select(row, F.least("component", "further").alias("component"))
+        after = written(after, "labels")
         changed = after.join(labels.withColumnRenamed("component", "old"), row).where("component <> old").limit(1).count()
+        if hasattr(labels, "_shared_path"):
+            discard(labels)
         labels = after
         if not changed:
             return labels
