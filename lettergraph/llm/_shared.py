@@ -1,34 +1,11 @@
-"""Shared-folder tables and session settings used by several operators."""
+"""Column names, session settings and draws used by several operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session that
-    has none (local tests) gets a temporary one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="lettergraph-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not use yet."""
     taken, name = {c.lower() for c in df.columns}, stem
@@ -38,8 +15,13 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound an Arrow batch to ``rows`` rows, as documents can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound an Arrow batch to ``rows`` rows, as documents can be long; a session that has it smaller keeps that.
+
+    Plans run later than they are made, so the setting stays with the session.
+    """
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < now <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def md5_int(*cols, digits: int = 13):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lettergraph.llm._shared import shared_dir, written
+from lettergraph.shared import shared_path, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STATE = {
@@ -58,7 +58,7 @@ def _rows(source: DataFrame, id_col: str, text_col: str, digest: Callable[[Colum
 def digest_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256,
                  files_per_batch: int | None = None) -> DataFrame:
     """Run the stream over all files there are; the final state as (digest, n, keep)."""
-    work = shared_dir(spark, "exact")
+    work = shared_path(spark, "exact")
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
