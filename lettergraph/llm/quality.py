@@ -17,9 +17,10 @@ chosen by a hash of the id, so the driver holds a bounded matrix; scoring reads
 every whole text.
 
 Defined cases: null and empty texts have all figures 0 and get the score the
-model gives those; without positives every score is 0.5; repeated rows score
-alike; null ids are not held out and never fitted on; the result column replaces
-one of the same name.
+model gives those, texts of any length are read whole; without positives every
+score is 0.5; repeated rows score alike, in any batch; null ids are not held out
+and never fitted on; an empty table has no rows; the result column replaces one
+of the same name.
 """
 
 from __future__ import annotations
@@ -86,9 +87,19 @@ class Model:
         self.centre, self.scale, self.weights, self.prior = centre, scale, weights, prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of label 1.  Sums run figure by figure in a fixed order, not as a matrix product, whose last bits
+        depend on a batch's size: a text scores the same in any batch."""
         if not self.weights:
             return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(_forward(np.clip((x - self.centre) / self.scale, -6, 6), self.weights)[0], -30, 30)))
+        x = np.clip((x - self.centre) / self.scale, -6, 6)
+        w1, b1, w2, b2 = self.weights
+        z = np.full(len(x), b2[0])
+        for unit in range(len(w2)):
+            inner = np.full(len(x), b1[unit])
+            for k in range(x.shape[1]):
+                inner += x[:, k] * w1[k, unit]
+            z += np.tanh(inner) * w2[unit]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _forward(x: np.ndarray, weights: list[np.ndarray]):
@@ -123,6 +134,23 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(np.min(ratio - error), 0.02, 0.98))
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(z: np.ndarray, n_positive: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of outputs ``z``, positives first, and the step's slope for each row.
+
+    While the estimate of the negatives' risk is below 0, the slope leads back up on that estimate alone.
+    """
+    s, loss_as_0, n_p, n_u = sigmoid(z), np.logaddexp(0, z), n_positive, len(z) - n_positive
+    positive = prior * np.logaddexp(0, -z[:n_p]).mean()
+    negative = loss_as_0[n_p:].mean() - prior * loss_as_0[:n_p].mean()
+    if negative < 0:
+        return positive, np.concatenate([prior * s[:n_p] / n_p, -s[n_p:] / n_u])
+    return positive + negative, np.concatenate([prior * (s[:n_p] - 1) / n_p - prior * s[:n_p] / n_p, s[n_p:] / n_u])
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS, hidden: int = HIDDEN, seed: int = SEED, prior: float | None = None) -> Model:
     """Fit the non-negative risk to feature matrices of positives and unlabelled rows."""
     if not len(positive) or not len(unlabelled):
@@ -130,7 +158,6 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS, hidden
     both = np.concatenate([positive, unlabelled])
     centre, scale = both.mean(0), both.std(0) + 1e-6
     x, n_p, n_u = np.clip((both - centre) / scale, -6, 6), len(positive), len(unlabelled)
-    sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     if prior is None:  # each half is judged by the model of the other, else the positives learnt by heart lower it
         halves, outputs = np.arange(n_p + n_u) % 2, np.zeros(n_p + n_u)
@@ -138,19 +165,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS, hidden
         for half in (0, 1):
             seen = halves != half
             k_p, k_u = max((is_p & seen).sum(), 1), max((~is_p & seen).sum(), 1)
-            slope = lambda z, p=is_p[seen], a=k_p, b=k_u: np.where(p, (sigma(z) - 1) / a, sigma(z) / b)
+            slope = lambda z, p=is_p[seen], a=k_p, b=k_u: np.where(p, (sigmoid(z) - 1) / a, sigmoid(z) / b)
             outputs[~seen] = _forward(x[~seen], _train(x[seen], slope, np.random.default_rng(seed), steps, hidden))[0]
         prior = estimate_prior(outputs[:n_p], outputs[n_p:])
-
-    def non_negative(z: np.ndarray) -> np.ndarray:
-        s, loss0 = sigma(z), np.logaddexp(0, z)
-        as_one = prior * (s[:n_p] - 1) / n_p
-        negative = loss0[n_p:].mean() - prior * loss0[:n_p].mean()
-        if negative < 0:  # the estimate of a risk fell below 0: step back up on it alone
-            return np.concatenate([prior * s[:n_p] / n_p, -s[n_p:] / n_u])
-        return np.concatenate([as_one - prior * s[:n_p] / n_p, s[n_p:] / n_u])
-
-    return Model(centre, scale, _train(x, non_negative, np.random.default_rng(seed + 1), steps, hidden), prior)
+    return Model(centre, scale, _train(x, lambda z: risk(z, n_p, prior)[1], np.random.default_rng(seed + 1), steps, hidden), prior)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -158,26 +176,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _matrix(rows: DataFrame, id_col: str, text_col: str) -> np.ndarray:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = SEED) -> Model:
+    """Fit on hash samples of about ``sample`` trusted positives and as many unlabelled rows, none held out; one scan of the texts."""
+
     @F.arrow_udf("array<double>")
     def figures(text: pa.Array) -> pa.Array:
         x = features(text)
         return pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), N_FEATURES).cast(pa.list_(pa.float64()))
 
-    got = sorted((r[0], r[1]) for r in rows.select(id_col, figures(text_col)).collect())
-    return np.array([r[1] for r in got]) if got else np.zeros((0, N_FEATURES))
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = SEED) -> Model:
-    """Fit on hash samples of about ``sample`` trusted positives and as many unlabelled rows, none held out."""
-    known = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, text_col)
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull() & ~held_out("_id"))
     trusted = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_labelled")).distinct()
     draw = lambda c, n: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1)))
     trusted = trusted.where(draw(F.col("_labelled"), trusted.count()))
     # At most about ``sample`` ids: small enough to broadcast at any size of the corpus.
-    positive = known.join(F.broadcast(trusted), F.col(id_col) == F.col("_labelled"), "left_semi")
-    other = known.where(draw(F.concat(F.lit("u"), F.col(id_col).cast("string")), known.count()))
-    return fit(_matrix(positive, id_col, text_col), _matrix(other, id_col, text_col), seed=seed)
+    drawn = known.join(F.broadcast(trusted), F.col("_id") == F.col("_labelled"), "left").select(
+        "_id", "_text", F.col("_labelled").isNotNull().alias("positive"), draw(F.concat(F.lit("u"), F.col("_id").cast("string")), known.count()).alias("other")
+    ).where("positive OR other")
+    rows = sorted((r[0], r[3], r[1], r[2]) for r in drawn.select("_id", "positive", "other", figures("_text")).collect())
+    matrix = lambda take: np.array([x for _, x, p, u in rows if take(p, u)]).reshape(-1, N_FEATURES)
+    return fit(matrix(lambda p, u: p), matrix(lambda p, u: u), seed=seed)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:

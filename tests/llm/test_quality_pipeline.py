@@ -1,4 +1,5 @@
 """Held-out accuracy of the classifier; the pipeline against its stages done by hand."""
+import math
 import zlib
 
 import numpy as np
@@ -42,6 +43,48 @@ def test_odd_texts_and_no_positives(spark):
     assert quality.score(odd.limit(0), model).collect() == []
 
 
+def test_scores_do_not_depend_on_the_batch(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text")
+    model = quality.learn(docs, spark.read.parquet(f"{DATA}/sf0.01/labels.parquet"))
+    text = docs.toPandas().sort_values("doc_id").text.tolist()
+    whole = model.score(quality.features(pa.array(text)))
+    for size in (1, 7, 500):
+        assert np.array_equal(whole, np.concatenate([model.score(quality.features(pa.array(text[i : i + size]))) for i in range(0, len(text), size)]))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            assert [r.score for r in quality.score(docs.repartition(size + 2), model).orderBy("doc_id").collect()] == whole.tolist()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def plain_risk(z, n_p, prior):
+    """The non-negative risk row by row, as it is written down."""
+    as_one = sum(math.log(1 + math.exp(-x)) for x in z[:n_p]) / n_p
+    as_none = sum(math.log(1 + math.exp(x)) for x in z[:n_p]) / n_p
+    unlabelled = sum(math.log(1 + math.exp(x)) for x in z[n_p:]) / (len(z) - n_p)
+    return prior * as_one, unlabelled - prior * as_none
+
+
+def test_risk_and_slope_against_a_plain_loop():
+    r = np.random.default_rng(8)
+    for prior, shift in ((0.3, 0.0), (0.9, 3.0), (0.6, -1.0)):
+        z = np.concatenate([r.normal(shift, 1, 17), r.normal(-shift, 1, 29)])
+        positive, negative = plain_risk(z, 17, prior)
+        value, slope = quality.risk(z, 17, prior)
+        assert abs(value - (positive + max(0.0, negative))) < 1e-12
+        step = 1e-6
+        # Below 0 the slope climbs on the estimate alone, else it is that of the whole risk.
+        part = (lambda p, n: -n) if negative < 0 else (lambda p, n: p + n)
+        for k in range(len(z)):
+            up, down = z.copy(), z.copy()
+            up[k] += step
+            down[k] -= step
+            assert abs((part(*plain_risk(up, 17, prior)) - part(*plain_risk(down, 17, prior))) / (2 * step) - slope[k]) < 1e-7
+    assert plain_risk(np.concatenate([r.normal(3, 1, 17), r.normal(-3, 1, 29)]), 17, 0.9)[1] < 0
+
+
 def test_stages(spark):
     sf, docs = f"{DATA}/sf0.001", spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").cache()
     names = [n for n, _ in corpus_pipeline.STAGES]
