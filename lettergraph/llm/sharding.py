@@ -12,9 +12,14 @@ Slots number a shard's rows from 0 without gaps: rows are counted by shard and
 hash bucket, the counts give each bucket's first slot, and rows are numbered
 within their bucket, so no task holds a shard.
 
+Beyond ``base`` shards the tree of ``even_tree`` is flat: each further shard is a
+region of its own.  ``text_col`` only orders rows that repeat a key; any column
+that tells them apart will do, so callers need not move texts.
+
 Defined cases: the key alone decides, rows that repeat it share a shard and get
-slots of their own; a null key is a key; null text has no bytes and weighs 1;
-empty tables give empty results; result columns replace those of the same name.
+slots of their own; a null key is a key; null, empty and very long texts are
+placed like others; empty tables give empty results; result columns replace
+those of the same name.
 """
 
 from __future__ import annotations
