@@ -15,20 +15,24 @@ twice, a window recurs.  The automata are sent to the stretches that can match
 them, not to all documents: the reference is the corpus itself, so broadcasting
 every shard to every document would grow with its square.
 
-A shard holds at most ``shard_words`` words.  When one minimizer has more than
-``stretch_limit`` different stretches, the windows of the rest are counted by
-fingerprint, share by share, and the counts are summed in a shuffle, so no task
-holds a hot group.
+A shard holds about ``shard_words`` words and groups of at most ``stretch_limit``
+stretches.  A minimizer with more different stretches than that is split: its
+stretches are cut anew by the two smallest fingerprints of each window, then by
+the four smallest and so on, at last by the window's own, until every group
+fits.  Equal windows agree in all of these, so they still meet in one shard, and
+every verdict comes from an automaton over the words themselves.
 
 Defined cases: null and empty texts have no words; repeated rows are documents
 of their own, so their windows recur; a text shorter than the window keeps all;
-the result column replaces one of the same name.
+texts of any length are read whole; an empty table has no rows; the result column
+replaces one of the same name.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from lettergraph.llm._shared import free_name
 from lettergraph.llm._words import SPACED, Chunk, chunks, lists, mix, powers
-from lettergraph.shared import written
+from lettergraph.shared import discard, written
 
 LENGTH = 35
 GRAM = 6
@@ -155,82 +159,87 @@ def _anchors(length: int, gram: int):
 
 
 def _carried(length: int, gram: int):
-    """Words of the wanted stretches of a text."""
-    kind = pa.list_(pa.struct([("m", pa.int64()), ("d", pa.int64()), ("words", pa.binary())]))
+    """Words of the wanted stretches of a text, with what was asked along with them."""
+    kind = pa.list_(pa.struct([("m", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("crowded", pa.bool_()), ("words", pa.binary())]))
 
-    @F.arrow_udf("array<struct<m:bigint,d:bigint,words:binary>>")
+    @F.arrow_udf("array<struct<m:bigint,d:bigint,n:bigint,crowded:boolean,words:binary>>")
     def run(text: pa.Array, wanted: pa.Array) -> pa.Array:
         out, asked = [], wanted.to_pylist()
         for lo, hi, c in chunks(text):
             doc, at, n, m, d = _stretches(c, hi - lo, length, gram)
             bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
             for row in range(hi - lo):
-                want, found = set(asked[lo + row] or ()), []
+                want, found = {w["d"]: w for w in asked[lo + row] or ()}, []
                 if want:
                     words, base = c.words(row), int(c.first[row])
                     for i in range(bounds[row], bounds[row + 1]):
-                        key = int(d[i].view(np.int64))
-                        if key in want:
-                            want.discard(key)
+                        w = want.pop(int(d[i].view(np.int64)), None)
+                        if w:
                             a = int(at[i]) - base
-                            found.append({"m": int(m[i].view(np.int64)), "d": key, "words": b" ".join(words[a : a + int(n[i]) + length - 1])})
+                            found.append({"m": int(m[i].view(np.int64)), "d": w["d"], "n": w["n"], "crowded": w["crowded"], "words": b" ".join(words[a : a + int(n[i]) + length - 1])})
                 out.append(found)
         return pa.array(out, type=kind)
 
     return run
 
 
-def _matched(length: int, shard_words: int, stretch_limit: int):
-    """Over stretches sorted by minimizer: which of their windows recur, from the first on.  Of the surplus of a hot
-    minimizer: which recur in this share, the fingerprints of those that do not, and the share's counts."""
-    kind = pa.schema([("m", pa.int64()), ("d", pa.int64()), ("recurs", pa.list_(pa.bool_())), ("prints", pa.list_(pa.int64())), ("tally", pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))])
+def _split(length: int, gram: int, depth: int | None):
+    """Stretches cut into runs of windows whose ``depth`` smallest fingerprints agree; without a depth, into single windows."""
+    kind = pa.schema([("m", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("of_m", pa.int64()), ("of_d", pa.int64()), ("at", pa.int32())])
+
+    def keys(raw: bytes) -> np.ndarray:
+        c = Chunk(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), SPACED, False)
+        if depth is None:
+            return c.grams(length)
+        low = np.sort(np.lib.stride_tricks.sliding_window_view(c.grams(gram), length - gram + 1), axis=1)[:, :depth]
+        return mix((low * powers(depth)[0][:depth]).sum(axis=1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for m, d, n, raw in zip(*(batch.column(k).to_pylist() for k in ("m", "d", "n", "words")), strict=True):
+                words, key = raw.split(b" "), keys(raw)
+                edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+                for s, e in zip(edges, edges[1:], strict=False) if depth else ((i, i + 1) for i in range(len(key))):
+                    own = b" ".join(words[s : e + length - 1])
+                    digest = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
+                    out.append({"m": int(key[s].view(np.int64)), "d": digest, "n": n, "words": own, "of_m": m, "of_d": d, "at": s})
+                if len(out) > 2000:
+                    yield pa.RecordBatch.from_pylist(out, schema=kind)
+                    out = []
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return run
+
+
+def _matched(length: int, shard_words: int):
+    """Over stretches sorted by key: the places of those windows that recur."""
+    kind = pa.schema([("m", pa.int64()), ("d", pa.int64()), ("recurs", pa.list_(pa.int32()))])
 
     def verdicts(shard: list) -> Iterator[dict]:
         sam = SuffixAutomaton()
         for _, _, times, words in shard:
             sam.add(words, times)
         sam.close()
-        for m, d, times, words in shard:
-            yield {"m": m, "d": d, "recurs": sam.repeats(words, length), "prints": None, "tally": None}
-
-    def surplus(group: list) -> Iterator[dict]:
-        if not group:
-            return
-        prints, counts = [], Counter()
-        for _, _, times, words in group:
-            c = Chunk(np.frombuffer(raw := b" ".join(words), dtype=np.uint8), np.array([0, len(raw)]), SPACED, False)
-            prints.append(c.grams(length).view(np.int64).tolist())
-            for h in prints[-1]:
-                counts[h] += times
-        for (m, d, _, _), own in zip(group, prints, strict=True):
-            yield {"m": m, "d": d, "recurs": [counts[h] > 1 for h in own], "prints": [None if counts[h] > 1 else h for h in own], "tally": None}
-        yield {"m": group[0][0], "d": None, "recurs": None, "prints": None, "tally": [{"h": h, "c": n} for h, n in counts.items()]}
+        for m, d, _, words in shard:
+            recurs = [i for i, twice in enumerate(sam.repeats(words, length)) if twice]
+            if recurs:
+                yield {"m": m, "d": d, "recurs": recurs}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, group, current, flooded, out = [], 0, [], None, False, []
+        shard, held, current, out = [], 0, None, []
         for batch in batches:
             for m, d, n, raw in zip(*(batch.column(k).to_pylist() for k in ("m", "d", "n", "words")), strict=True):
                 if m != current:
-                    if flooded:
-                        out.extend(surplus(group))
-                    else:
-                        shard += group
-                        held += sum(len(g[3]) for g in group)
-                    group, current, flooded = [], m, False
+                    current = m
                     if held >= shard_words:
                         out.extend(verdicts(shard))
                         shard, held = [], 0
-                group.append((m, d, n, raw.split(b" ")))
-                if len(group) >= stretch_limit:
-                    out.extend(surplus(group))
-                    group, flooded = [], True
+                shard.append((m, d, n, raw.split(b" ")))
+                held += len(shard[-1][3])
             if len(out) > 2000:
                 yield pa.RecordBatch.from_pylist(out, schema=kind)
                 out = []
-        if flooded:
-            out.extend(surplus(group))
-        else:
-            shard += group
         out.extend(verdicts(shard))
         yield pa.RecordBatch.from_pylist(out, schema=kind)
 
@@ -251,9 +260,9 @@ def _kept(length: int, gram: int):
                 marks = np.zeros(len(words) + 1, dtype=np.int64)
                 recurring = {f["d"]: f["recurs"] for f in known[lo + row] or ()}
                 for i in range(bounds[row], bounds[row + 1]) if recurring else ():
-                    flags = recurring.get(int(d[i].view(np.int64)))
-                    if flags is not None:
-                        starts = np.flatnonzero(flags) + int(at[i]) - base
+                    places = recurring.get(int(d[i].view(np.int64)))
+                    if places is not None:
+                        starts = np.array(places) + int(at[i]) - base
                         marks[starts] += 1
                         np.subtract.at(marks, starts + length, 1)
                 gone = np.cumsum(marks[:-1]) > 0
@@ -279,22 +288,45 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     places = places.groupBy("m", "d", "k").agg(F.count("*").alias("n")).join(often, "m", "left_semi")
     places = written(places, "stretches")
 
-    carriers = places.groupBy("m", "d").agg(F.sum("n").alias("n"), F.min("k").alias("k"))
-    carriers = written(carriers, "carriers")
-    asked = carriers.groupBy("k").agg(F.collect_list("d").alias("wanted"))
-    texts = keyed.join(asked, "k")  # copies of one text answer alike
-    words = texts.select(F.explode(_carried(length, gram)("t", "wanted")).alias("s")).select("s.*").groupBy("m", "d").agg(F.first("words").alias("words"))
-    shards = carriers.select("m", "d", "n").join(words, ["m", "d"]).repartition("m").sortWithinPartitions("m", "d")
-    verdicts = written(shards.select("m", "d", "n", "words").mapInArrow(_matched(length, shard_words, stretch_limit), "m bigint, d bigint, recurs array<boolean>, prints array<bigint>, tally array<struct<h:bigint,c:bigint>>"), "verdicts")
-
-    # Of hot minimizers: windows seen once in their task's share are looked up in the sums over all shares.
-    twice = verdicts.where("tally IS NOT NULL").select("m", F.explode("tally").alias("t")).groupBy("m", "t.h").agg(F.sum("t.c").alias("c")).where("c > 1").select("m", "h")
-    surplus = verdicts.where("prints IS NOT NULL")
-    single = surplus.select("m", "d", F.posexplode("prints").alias("i", "h")).where("h IS NOT NULL")
-    more = single.join(twice, ["m", "h"], "left_semi").groupBy("m", "d").agg(F.collect_list("i").alias("more"))
-    counted = surplus.join(more, ["m", "d"], "left").select("m", "d", F.transform("recurs", lambda x, i: x | F.coalesce(F.array_contains("more", i), F.lit(False))).alias("recurs"))
-    judged = verdicts.where("prints IS NULL AND d IS NOT NULL").select("m", "d", "recurs").union(counted).where(F.exists("recurs", lambda x: x))
-    per_text = places.select("m", "d", "k").join(judged, ["m", "d"]).groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("d", "recurs")).alias(verdict))
+    carriers = written(places.groupBy("m", "d").agg(F.sum("n").alias("n"), F.min("k").alias("k")), "carriers")
+    crowded = carriers.groupBy("m").agg(F.count("*").alias("c")).where(F.col("c") > stretch_limit).select("m", F.lit(True).alias("crowded"))
+    asked = carriers.join(crowded, "m", "left").groupBy("k").agg(F.collect_list(F.struct("d", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("wanted"))
+    # Copies of a text answer alike: one of each, found before the shuffle, is asked.
+    texts = keyed.dropDuplicates(["k"]).join(asked, "k")
+    found = written(texts.select(F.explode(_carried(length, gram)("t", "wanted")).alias("s")).select("s.*"), "found")
+    calm, parts = _fitting(found, length, gram, stretch_limit)
+    shards = calm.repartition("m").sortWithinPartitions("m", "d")
+    verdicts = written(shards.mapInArrow(_matched(length, shard_words), "m bigint, d bigint, recurs array<int>"), "verdicts")
+    discard(carriers, found)
+    if parts is not None:  # from the pieces back to the stretches they were cut from
+        back = parts.join(verdicts, ["m", "d"]).select(F.col("root_m").alias("m"), F.col("root_d").alias("d"), F.transform("recurs", lambda i: i + F.col("at")).alias("recurs"))
+        back = back.groupBy("m", "d").agg(F.array_distinct(F.flatten(F.collect_list("recurs"))).alias("recurs"))
+        verdicts = verdicts.union(back)
+    per_text = places.select("m", "d", "k").join(verdicts, ["m", "d"]).groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("d", "recurs")).alias(verdict))
 
     marked = docs.withColumn(key, F.xxhash64(F.lit(11), F.coalesce(F.col(text_col), F.lit(""))))
     return marked.join(per_text, key, "left").withColumn(out, _kept(length, gram)(F.col(text_col), F.col(verdict))).drop(key, verdict)
+
+
+def _fitting(found: DataFrame, length: int, gram: int, stretch_limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """(stretches of groups that fit a shard, where the cut ones lie in the stretches they come from: m, d, root_m, root_d, at)."""
+    calm, hot = found.where("NOT crowded").select("m", "d", "n", "words"), found.where("crowded").select("m", "d", "n", "words")
+    all_parts, lie, depth = [], None, 2
+    while not hot.isEmpty():
+        last = depth >= length - gram + 1
+        cut = written(hot.mapInArrow(_split(length, gram, None if last else depth), "m bigint, d bigint, n bigint, words binary, of_m bigint, of_d bigint, at int"), "cut")
+        places = cut.select("m", "d", "of_m", "of_d", "at")
+        if lie is None:
+            lie = places.withColumnsRenamed({"of_m": "root_m", "of_d": "root_d"})
+        else:
+            upper = lie.select(F.col("m").alias("of_m"), F.col("d").alias("of_d"), "root_m", "root_d", F.col("at").alias("from"))
+            lie = places.join(upper, ["of_m", "of_d"]).select("m", "d", "root_m", "root_d", (F.col("at") + F.col("from")).alias("at"))
+        lie = written(lie, "parts")
+        pieces = written(cut.groupBy("m", "d").agg(F.sum("n").alias("n"), F.first("words").alias("words")), "pieces")
+        discard(cut)
+        crowded = pieces.groupBy("m").agg(F.count("*").alias("c")).where((F.col("c") > stretch_limit) & F.lit(not last)).select("m")
+        fits = pieces.join(crowded, "m", "left_anti")
+        calm, hot = calm.union(fits), pieces.join(crowded, "m", "left_semi")
+        all_parts.append(lie.join(crowded, "m", "left_anti"))
+        depth *= 2
+    return calm, reduce(DataFrame.union, all_parts) if all_parts else None
