@@ -38,7 +38,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint")
     base = F.filter("secrets", lambda s: s["kind"] != "format")
     return found.select(
-        "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], _sha(pii.span_list(base)).alias("base_sha256"), pii.span_list(F.col("secrets")).alias("spans")
+        "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")], _sha(pii.span_list(base)).alias("base_sha256"), pii.span_list(F.col("secrets")).alias("spans"),
+        count("format").alias("n_format"), F.array_join(F.transform("secrets", lambda s: F.round(s["score"], 6).cast("string")), ",", "").alias("scores"),
     )
 
 

@@ -6,18 +6,28 @@ that fail a length are dropped.  The values found are the labelled credentials.
 From a bounded sample of each kind (``sample``, by a hash of the value) a prefix
 tree over character classes is built, and its states are merged where their
 outgoing frequencies are statistically compatible (Hoeffding's bound, applied
-to the futures too, as ALERGIA does), which gives a probabilistic automaton.
+to the futures too, as ALERGIA does, and to the lengths still to come, so that
+formats of fixed length keep it), which gives a probabilistic automaton.
 The tree is ``DEPTH`` symbols deep; what lies beyond is counted in the merged
 states that it runs through.  Tokens are scored whole, at any length.
 Each maximal run of 6 or more credential characters, the shortest labelled
-length, is a candidate, whatever it is made of.  Its format likelihood is the mean log2 probability of its classes
-under the best automaton; it is a span of kind ``format`` when that is no lower
-than all but ``miss`` of the labelled credentials' own and above the mean under
-the class bigrams of all ordinary tokens: candidates outside base spans.
-
-Defined cases: null text is empty; without labelled credentials only base spans
-are found; a candidate inside a base span is covered by it; repeated rows get
-the same spans; the result column replaces one of the same name.
+length, is a candidate, whatever it is made of, and so is the value of every
+base span: all are scored.  The score is the format likelihood, the mean log2
+probability of the token's classes under the best automaton.  A candidate outside
+base spans becomes a span of kind ``format`` when, for one automaton, its score is
+above the mean under the class bigrams of all ordinary tokens and typical of the
+labelled credentials: no lower than all but ``miss`` of their own scores, and no
+higher than all but ``miss``, which plainer tokens than these reach (a run of
+digits under a grammar of hexadecimal keys).
+
+Classes keep upper and lower case apart: a digit, a to f, g to z, A to F, G to Z,
+and each sign as itself.
+
+Defined cases: null text is empty; texts and tokens of any length are read and
+scored whole; without labelled credentials only base spans are found, with no
+score; a candidate inside a base span is covered by it; repeated rows get the
+same spans; an empty table has no rows; the result column replaces one of the
+same name.
 """
 
 from __future__ import annotations
@@ -39,17 +49,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = (*LEAST, "format")
-_CANDIDATE = re.compile(r"[0hz+/_.=-]{6,}")  # over classes: maximal runs of credential characters, from the shortest labelled length on
+_CANDIDATE = re.compile(r"[0hzHZ+/_.=-]{6,}")  # over classes: maximal runs of credential characters, from the shortest labelled length on
 
 SAMPLE = 3_000
 ALPHA = 0.05
 MISS = 0.02
 DEPTH = 80  # of the prefix tree
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so these are the runs of HEX that are long enough
-_CLASSES = str.maketrans({c: "0" if c.isdigit() else "h" if c in "abcdefABCDEF" else "z" for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+_CLASSES = str.maketrans({c: k for k, chars in (("0", "0123456789"), ("h", "abcdef"), ("z", "ghijklmnopqrstuvwxyz"), ("H", "ABCDEF"), ("Z", "GHIJKLMNOPQRSTUVWXYZ")) for c in chars})
+_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 _WORDS = pa.schema([("kind", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
-_SPANS_TYPE = "array<struct<kind:string,start:bigint,end:bigint>>"
+_SPANS_TYPE = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
 def base_matches(text: str) -> list[tuple[str, int, int, str]]:
@@ -62,18 +72,20 @@ def base_matches(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def symbols(token: str) -> str:
-    """Character classes: 0 digit, h hexadecimal letter, z other letter, any other as it is."""
+    """Character classes: 0 digit, h and H hexadecimal letters, z and Z other letters, any other as it is."""
     return token.translate(_CLASSES)
 
 
 class Automaton:
-    """A probabilistic automaton: per state the count, the count of ends and the counts and targets by symbol."""
+    """A probabilistic automaton: per state the count, the count of ends, how many symbols were still to come, and the counts
+    and targets by symbol."""
 
     def __init__(self, words: Counter, alpha: float = ALPHA):
-        self.total, self.ends, self.out, self.to = [0], [0], [{}], [{}]
+        self.total, self.ends, self.out, self.to, self.ahead = [0], [0], [{}], [{}], [{}]
         for word, n in sorted(words.items()):
             s = 0
-            for c in word[:DEPTH]:
+            self.ahead[0][len(word)] = self.ahead[0].get(len(word), 0) + n
+            for i, c in enumerate(word[:DEPTH], 1):
                 self.total[s] += n
                 self.out[s][c] = self.out[s].get(c, 0) + n
                 if c not in self.to[s]:
@@ -81,11 +93,14 @@ class Automaton:
                     self.ends.append(0)
                     self.out.append({})
                     self.to.append({})
+                    self.ahead.append({})
                     self.to[s][c] = len(self.total) - 1
                 s = self.to[s][c]
+                self.ahead[s][len(word) - i] = self.ahead[s].get(len(word) - i, 0) + n
             if len(word) <= DEPTH:
                 self.total[s] += n
                 self.ends[s] += n
+        self.tree_states = len(self.total)
         self._merge(math.sqrt(0.5 * math.log(2 / alpha)))
         for word, n in sorted(words.items()):
             if len(word) > DEPTH:
@@ -110,7 +125,14 @@ class Automaton:
         slack = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
         if abs(self.ends[a] / n - self.ends[b] / m) > slack:
             return True
-        return any(abs(self.out[a].get(c, 0) / n - self.out[b].get(c, 0) / m) > slack for c in self.out[a].keys() | self.out[b].keys())
+        if any(abs(self.out[a].get(c, 0) / n - self.out[b].get(c, 0) / m) > slack for c in self.out[a].keys() | self.out[b].keys()):
+            return True
+        gap = 0.0  # between the shares of words with at most so many symbols to come
+        for k in sorted(self.ahead[a].keys() | self.ahead[b].keys()):
+            gap += self.ahead[a].get(k, 0) / n - self.ahead[b].get(k, 0) / m
+            if abs(gap) > slack:
+                return True
+        return False
 
     def _compatible(self, a: int, b: int, bound: float) -> bool:
         pairs, seen = [(a, b)], set()
@@ -130,6 +152,8 @@ class Automaton:
             p, q = pairs.pop()
             self.total[p] += self.total[q]
             self.ends[p] += self.ends[q]
+            for k, n in self.ahead[q].items():
+                self.ahead[p][k] = self.ahead[p].get(k, 0) + n
             for c, n in self.out[q].items():
                 self.out[p][c] = self.out[p].get(c, 0) + n
                 if c in self.to[p]:
@@ -159,13 +183,13 @@ class Automaton:
         self.states = len(accepted)
 
     def score(self, word: str) -> float:
-        """Mean log2 probability of a symbol, the end counted as one; unseen ones have a small share."""
+        """Mean log2 probability of a symbol, the end counted as one; unseen ones have a small share and lead nowhere else."""
         s, bits = 0, 0.0
         for c in word:
             n = self.total[s] or 1
             seen = self.out[s].get(c, 0)
             bits += math.log2((seen + 0.01) / (n + 1))
-            s = self.to[s].get(c, 0)
+            s = self.to[s].get(c, s)
         return (bits + math.log2((self.ends[s] + 0.01) / (self.total[s] + 1))) / (len(word) + 1)
 
 
@@ -179,14 +203,15 @@ def class_bigrams(words: Counter) -> Counter:
 
 
 class Grammar:
-    """Automata by kind with their least accepted score, and the class bigrams of ordinary tokens."""
+    """Automata by kind with their least and greatest accepted score, and the class bigrams of ordinary tokens."""
 
     def __init__(self, credentials: dict[str, Counter], ordinary: Counter, alpha: float = ALPHA, miss: float = MISS, bigrams: Counter | None = None):
         self.automata, self.bigrams = {}, Counter(bigrams or {})
         for kind, words in sorted(credentials.items()):
             automaton = Automaton(words, alpha)
             scores = sorted(s for w, n in words.items() for s in [automaton.score(w)] * n)
-            self.automata[kind] = (automaton, scores[int(miss * len(scores))])
+            cut = int(miss * len(scores))
+            self.automata[kind] = (automaton, scores[cut], scores[-1 - cut])
         self.bigrams.update(class_bigrams(ordinary))
         self.firsts = Counter()
         for (a, _), n in self.bigrams.items():
@@ -195,12 +220,22 @@ class Grammar:
     def background(self, word: str) -> float:
         return sum(math.log2((self.bigrams[p] + 0.5) / (self.firsts[p[0]] + 20)) for p in zip("^" + word, word + "$", strict=True)) / (len(word) + 1)
 
+    def judge(self, word: str) -> tuple[bool, float | None]:
+        """(does a format accept a token of these classes, its likelihood under the best automaton); no score without automata."""
+        accepted, best = False, None
+        for automaton, least, most in self.automata.values():
+            score = automaton.score(word)
+            best = score if best is None else max(best, score)
+            accepted = accepted or (least <= score <= most and score > self.background(word))
+        return accepted, best
+
     def accepts(self, token: str) -> bool:
         """Is the token's format as likely as a labelled credential's, and likelier than an ordinary token's?"""
-        return self.accepts_classes(symbols(token))
+        return self.judge(symbols(token))[0]
 
-    def accepts_classes(self, word: str) -> bool:
-        return any((score := automaton.score(word)) >= least and score > self.background(word) for automaton, least in self.automata.values())
+    def summary(self) -> dict[str, tuple[int, int]]:
+        """States of the prefix tree and of the merged automaton by kind."""
+        return {kind: (a.tree_states, a.states) for kind, (a, _, _) in self.automata.items()}
 
 
 def _candidates(text: str):
@@ -216,7 +251,7 @@ def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
     """
 
     def labelled(batches):
-        import zlib
+        from hashlib import blake2b
 
         ordinary, pairs, chars = Counter(), Counter(), 0
         for batch in batches:
@@ -224,7 +259,7 @@ def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
             for t in batch.column(0).to_pylist():
                 t = t or ""
                 spans = base_matches(t)
-                found += [(k, symbols(v), zlib.crc32(v.encode()), 1) for k, _, _, v in spans]
+                found += [(k, symbols(v), int.from_bytes(blake2b(v.encode(), digest_size=8).digest()) >> 11, 1) for k, _, _, v in spans]
                 if spans:
                     ordinary.update(w for s, e, w in _candidates(t) if not any(a < e and s < b for _, a, b, _ in spans))
                 else:
@@ -239,12 +274,12 @@ def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
         yield pa.RecordBatch.from_pylist([{"kind": "pair", "word": "".join(p), "h": 0, "n": n} for p, n in pairs.items()], schema=_WORDS)
 
     words = written(docs.select(text_col).mapInArrow(labelled, "kind string, word string, h bigint, n bigint"), "labelled")
-    bigrams = Counter({tuple(pair): n for pair, n in words.where("kind = 'pair'").groupBy("word").agg(F.sum("n")).collect()})  # a pair of 11 classes each
+    bigrams = Counter({tuple(pair): n for pair, n in words.where("kind = 'pair'").groupBy("word").agg(F.sum("n")).collect()})  # a pair of 13 classes each
     words = words.where("kind <> 'pair'")
     held = {k: n for k, n in words.groupBy("kind").agg(F.count_distinct("h")).collect()}  # 3 kinds
     keep = F.lit(False)
     for k, n in held.items():
-        keep = keep | ((F.col("kind") == k) & (F.col("h") % 65_536 < math.ceil(65_536 * min(1.0, sample / n))))
+        keep = keep | ((F.col("kind") == k) & (F.col("h") < math.ceil((1 << 53) * min(1.0, sample / n))))
     found: dict[str, Counter] = {}
     for k, word, n in words.where(keep).groupBy("kind", "word").agg(F.count_distinct("h").alias("n")).collect() if held else []:
         found.setdefault(k, Counter())[word] += n
@@ -252,18 +287,22 @@ def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", grammar: Grammar | None = None, out: str = "secrets", **options) -> DataFrame:
-    """``docs`` with array ``out`` of spans (kind, start, end) by start, then kind; code points, end exclusive."""
+    """``docs`` with array ``out`` of spans (kind, start, end, score) by start, then kind; code points, end exclusive."""
     grammar = grammar or infer_grammar(docs, text_col, **options)
 
     @F.arrow_udf(_SPANS_TYPE)
     def scan(text: pa.Array) -> pa.Array:
-        short, rows = lru_cache(1 << 16)(grammar.accepts_classes), []
-        accepts = lambda word: (short if len(word) <= 64 else grammar.accepts_classes)(word)
+        short, rows = lru_cache(1 << 16)(grammar.judge), []
+        judge = lambda word: (short if len(word) <= 64 else grammar.judge)(word)
         for t in text.to_pylist():
             t = t or ""
-            spans = [(s, KINDS.index(k), e) for k, s, e, _ in base_matches(t)]
-            spans += [(s, 3, e) for s, e, word in _candidates(t) if accepts(word) and not any(a < e and s < b for a, _, b in spans)]
-            rows.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(spans)])
+            spans = [(s, KINDS.index(k), e, judge(symbols(v))[1]) for k, s, e, v in base_matches(t)]
+            base = [(s, e) for s, _, e, _ in spans]
+            for s, e, word in _candidates(t):
+                accepted, score = judge(word)
+                if accepted and not any(a < e and s < b for a, b in base):
+                    spans.append((s, 3, e, score))
+            rows.append([{"kind": KINDS[k], "start": s, "end": e, "score": score} for s, k, e, score in sorted(spans, key=lambda x: x[:3])])
         return pa.array(rows, type=_SPANS)
 
     return docs.withColumn(out, scan(F.col(text_col)))
