@@ -18,9 +18,10 @@ kind ``term`` in the texts that hold the entity.
 Only DataFrame functions are used.  Counts cover whole texts and all of them and
 are summed partially before each shuffle; copies of one text count once.
 
-Defined cases: null text is empty; a term inside a base span is covered by it;
-rows that repeat a text get the same spans; an empty table has no rows; result
-columns replace those of the same name.
+Defined cases: null text is empty; texts of any length are read whole; a term
+inside a base span is covered by it; rows that repeat a text get the same spans
+and count as one text; an entity of all texts is revealed by nothing; an empty
+table has no rows; result columns replace those of the same name.
 """
 
 from __future__ import annotations
@@ -118,8 +119,9 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", disclosure: float
     if joint.isEmpty():
         empty = docs.sparkSession.createDataFrame([], "entity string, term string, score double")
         return empty, docs.sparkSession.createDataFrame([], "k bigint, terms array<string>")
-    distinct_texts = texts.dropDuplicates(["k"]).select(_terms(F.coalesce("t", F.lit(""))).alias("terms"))
-    with_term = distinct_texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    # Of all texts only these terms are counted; no text travels, and copies of one meet in (term, k).
+    held_terms = texts.select("k", F.explode(_terms(F.coalesce("t", F.lit("")))).alias("term")).join(joint.select("term").distinct(), "term", "left_semi")
+    with_term = held_terms.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
     terms = written(joint.join(with_term, "term").select("entity", "term", score(F.col("with_term")).alias("score")).where(F.col("score") >= disclosure), "terms")
     reveals = terms.groupBy("entity").agg(F.collect_set("term").alias("terms"))
     per_text = places.join(reveals, "entity").groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))

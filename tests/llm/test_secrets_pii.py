@@ -262,6 +262,58 @@ def test_terms_that_disclose(spark):
     assert all(s.kind == "email" for s in rows[10].pii) and rows[60].pii == [] and rows[60].clean == texts[60]
 
 
+def brute_terms(texts, disclosure=0.9, z=1.2816):
+    """Disclosure of every (entity, term) by counting text by text, and the spans of each text."""
+    different = set(texts)
+    plain = lambda k, v: f"{k}:" + (re.sub("[^0-9]", "", v) if k in ("card", "phone") else v.lower())
+    entities = {t: {plain(k, t[s:e]) for k, s, e in base_pii(t)} for t in different}
+    words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]{2,}", t or "")]
+    terms = {t: {w for _, _, w in words(t)} for t in different}
+    found = {}
+    for e in set().union(*entities.values()):
+        share = sum(e in entities[t] for t in different) / len(different)
+        for w in set().union(*(terms[t] for t in different if e in entities[t])):
+            both, of = sum(e in entities[t] and w in terms[t] for t in different), sum(w in terms[t] for t in different)
+            if both < 2 or share == 1:
+                continue
+            n, p = of - 1, (both - 1) / (of - 1)
+            low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            score = math.log(low / share) / math.log(1 / share)
+            if score >= disclosure:
+                found[e, w] = score
+    spans = {}
+    for t in different:
+        base, told = base_pii(t), {w for e, w in found if e in entities[t]}
+        spans[t] = base + [("term", s, e) for s, e, w in words(t) if w in told and not any(a < e and s < b for _, a, b in base)]
+    return found, spans
+
+
+def test_disclosure_against_counting(spark):
+    added = 0
+    for seed in range(3):
+        r = random.Random(seed)
+        names, people = ["Ann", "Bo", "Zorblax", "Kim7", "Élan", "ng"], ["ann@x.test", "1.2.3.4", "bo@y.test", "+44 20 7946 0958", LUHN_OK]
+        texts = [None, "", "no one"]
+        for _ in range(220):
+            who = r.randrange(5)
+            parts = [r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(r.randrange(3, 9))]
+            if r.random() < 0.12:
+                parts += [people[who]] + ([names[who]] if r.random() < 0.9 else [])
+            elif r.random() < 0.02:
+                parts.append(names[who])
+            r.shuffle(parts)
+            texts.append(" ".join(parts) + f" {r.randrange(150)}")
+        texts += texts[5:15]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found, spans = brute_terms(texts, 0.7)
+        got = {(t.entity, t.term): t.score for t in pii.disclosing_terms(docs, disclosure=0.7)[0].collect()}
+        assert got.keys() == found.keys() and all(abs(got[k] - v) < 1e-9 for k, v in found.items())
+        for x in pii.find_pii(docs, disclosure=0.7).collect():
+            assert [(s.kind, s.start, s.end) for s in x.pii] == spans[x.text]
+            added += sum(s.kind == "term" for s in x.pii)
+    assert added > 20
+
+
 def test_terms_far_away_short_and_rare(spark):
     far = " ".join(["alpha beta gamma"] * 30)
     texts = [f"Ng9 writes {far} {'Zorblax' if i < 3 else far} jo@corp.test {'Zorblax' if i >= 3 else far} {i} Solo{i} {'unter' * (i + 1)}" for i in range(10)]
