@@ -16,8 +16,8 @@ hold more than one component, each class is then compared with every class of
 another component that a prefix filter over the full sets leaves, which is exact.
 No pair within a component is built, and no candidate is dropped.
 
-Defined cases: null text is empty; null ids form no links and keep component
-null; each row is judged by its own text, and an id that repeats with different
+Defined cases: null text is empty; texts of any length are read whole; an empty
+table has no rows; null ids form no links and keep component null; each row is judged by its own text, and an id that repeats with different
 texts may join their groups; ties fall to the smallest id.  Extra columns pass through; result columns replace
 columns of the same name.
 """
@@ -207,9 +207,11 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
 def _close_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that can be similar enough, from the rare ends of their sets.
 
-    With shingles ordered by frequency, two sets that share enough must share one of their first ``n - ceil(t n) + 1``,
-    and from their first common one on enough must be left in both.  Rare shingles tell copies with different edits
-    apart, so hardly a pair too far apart is built, and none that is close is missed.
+    With shingles ordered by frequency, rarest first, two sets x and y that are similar enough, x no smaller, share one of
+    the first ``n - ceil(t n) + 1`` of x and the first ``n - ceil(2 t n / (1 + t)) + 1`` of y: y is looked up by the shorter
+    end only.  Texts on one template that are too far apart have the template's shingles behind that end, so a hot
+    shingle joins no two of them, and the larger side of a join has no more rows a shingle than sets that may be linked.
+    From the first common shingle on enough must be left in both.
     """
     rows = sets.select("id", "n", "comp", F.explode("set").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
@@ -217,11 +219,13 @@ def _close_pairs(sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.size("t")  # shingles of this set only come first and match nothing
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
     heads = ranked.where(first > 0).select("id", "n", "comp", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), first.cast("int"))).alias("i", "t"))
-    heads = heads.select("id", "n", "comp", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("t.h").alias("h"))
+    place = F.col("alone") + F.col("i")
+    short = place < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    heads = heads.select("id", "n", "comp", (F.col("n") - place).alias("left"), F.col("t.h").alias("h"), short.alias("short"))
     several = heads.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
     heads = written(heads.join(several, "h", "left_semi"), "heads")
-    p, q = heads.alias("p"), heads.alias("q")
-    near = (F.col("p.h") == F.col("q.h")) & (F.col("p.comp") < F.col("q.comp")) & (
+    p, q = heads.alias("p"), heads.where("short").alias("q")
+    near = (F.col("p.h") == F.col("q.h")) & (F.col("p.comp") != F.col("q.comp")) & (F.struct("p.n", "p.id") > F.struct("q.n", "q.id")) & (
         F.least("p.left", "q.left") * (100 + percent) >= (F.col("p.n") + F.col("q.n")) * percent
     )
     return p.join(q, near).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
