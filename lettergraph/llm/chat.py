@@ -45,6 +45,42 @@ def turn_events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     return each.select("conv_id", F.col("msg").alias("seq"), "msg", F.xxhash64("role", "text", "copy").alias("branch"), F.lit("message").alias("kind"), "role", "text")
 
 
+def turn_log(turns: DataFrame, pieces: int = 4, **columns) -> DataFrame:
+    """A table of turns as the log of a chat service that came to the same end: by a hash of the turn it was written at once,
+    streamed as deltas, drafted wrongly and edited before the rest was streamed, or answered wrongly, followed by a further
+    message, and regenerated, which drops that one.
+
+    Sequence numbers are the turn's times 2**20 plus the event's, so turn numbers go up to 2**43; turns without a number are
+    written at once.
+    """
+    whole = turn_events(turns, **columns)
+    way = F.when(F.col("msg").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "msg", "branch"), F.lit(4)))
+    text, size = F.col("text"), F.length("text")
+
+    def event(kind: str, what, msg=F.col("msg"), branch=F.col("branch")):
+        return F.struct(F.lit(kind).alias("kind"), (what if not isinstance(what, str) else F.lit(what)).alias("text"), msg.alias("msg"), branch.alias("branch"))
+
+    def deltas(start: Column):
+        """What follows the first ``start`` letters, in pieces."""
+        step = F.greatest(F.ceil((size - start) / pieces), F.lit(1)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, start + i * step + 1, step))
+        return F.transform(F.filter(cut, lambda p: p != ""), lambda p: event("delta", p))
+
+    half = F.floor(size / 2).cast("int")
+    events = (
+        F.when(way == 0, F.array(event("message", text)))
+        .when(way == 1, F.concat(F.array(event("message", "")), deltas(F.lit(0))))
+        .when(way == 2, F.concat(F.array(event("message", F.concat(F.lit("draft "), F.reverse(text))), event("delta", " more"), event("edit", F.substring(text, F.lit(1), half))), deltas(half)))
+        .otherwise(F.concat(
+            F.array(event("message", "wrong"), event("delta", " answer"), event("message", "gone with it", F.col("msg") + 1, F.col("branch") + 1), event("regenerate", "")), deltas(F.lit(0))
+        ))
+    )
+    each = whole.select("conv_id", F.col("msg").alias("turn"), "role", F.posexplode(events).alias("i", "e"))
+    return each.select(
+        "conv_id", (F.coalesce("turn", F.lit(-1)) * (1 << 20) + F.col("i")).alias("seq"), "e.msg", "e.branch", "e.kind", F.when(F.col("e.kind") == "message", F.col("role")).alias("role"), "e.text"
+    )
+
+
 def fold_messages(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, msg, branch, role, text."""
     rank = F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind"))

@@ -4,17 +4,21 @@ Documents stream in as files.  The state, kept by RocksDB under the stream's
 checkpoint and never expired, has one entry a digest of the normalised text
 (A-Z lower-cased, nothing else): how many rows had it, and of the row that stays
 the stable identifier (largest id) and the content locator (file and row in it).
-Each micro-batch writes the entries it changed to the shared folder; after the
-last one every row is looked up by its digest.  On a hit, a digest seen more
-than once, the full text is compared with that of the located row; rows that
-share a digest but not the bytes are grouped by their text instead.
+Files come in several micro-batches, and each one meets the digests that those
+before it left in the state.  A micro-batch writes the entries it changed to the
+shared folder; after the last one every row is looked up by its digest.  On a hit,
+a digest seen more than once in any batches, the full text is compared with that
+of the located row; rows that share a digest but not the bytes are grouped by
+their text instead.  The comparison reads the documents again, as a locator
+stands in the state and not the text.
 
 Only DataFrame functions touch the rows.  Partial counts and maxima are built
 before each shuffle, so a hot text costs one state entry and no large group.
 
-Defined cases: null text counts as empty; null ids are smaller than all others;
-of rows that repeat id and text, the one located last stays; an empty table has
-no rows; columns other than the two named are not read.
+Defined cases: null text counts as empty; texts of any length are compared whole;
+null ids are smaller than all others; of rows that repeat id and text, the one
+located last stays; an empty table has no rows; columns other than the two named
+are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lettergraph.shared import shared_path, written
+from lettergraph.shared import discard, shared_path, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STATE = {
@@ -55,21 +59,27 @@ def _rows(source: DataFrame, id_col: str, text_col: str, digest: Callable[[Colum
     )
 
 
-def digest_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256,
-                 files_per_batch: int | None = None) -> DataFrame:
-    """Run the stream over all files there are; the final state as (digest, n, keep)."""
+def _schema(spark: SparkSession, path: str, id_col: str, text_col: str) -> T.StructType:
+    """The two columns that are read; of a table that has a column ``_metadata``, the files' own is then not hidden."""
+    return T.StructType([f for f in spark.read.parquet(path).schema if f.name in (id_col, text_col)])
+
+
+def digest_log(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
+    """Run the stream over all files there are; every change of the state as (digest, n, keep, batch)."""
     work = shared_path(spark, "exact")
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(_schema(spark, path, id_col, text_col))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"  # a pattern, as a stream takes a single file only by one
     seen = _rows(reader.parquet(pattern), id_col, text_col, digest).groupBy("digest").agg(F.count("*").alias("n"), F.max("place").alias("keep"))
+    batches = []
 
     def log(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{work}/log/batch={batch}")
+        batches.append(batch)
 
-    # A single batch opens each store once: closed at its commit, a store leaves no local files beside the shared ones.
-    settings = _STATE | {"spark.sql.streaming.stateStore.unloadOnCommit": str(not files_per_batch).lower()}
+    # A store closed at its commit leaves no local files beside the shared ones; the next batch opens it from these.
+    settings = _STATE | {"spark.sql.streaming.stateStore.unloadOnCommit": "true"}
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -80,10 +90,12 @@ def digest_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     logged = T.StructType([*seen.schema.fields, T.StructField("batch", T.LongType())])
-    if not any(p.numInputRows for p in query.recentProgress):
-        return spark.createDataFrame([], seen.schema)
-    changes = spark.read.schema(logged).parquet(f"{work}/log")
-    last = changes.groupBy("digest").agg(F.max(F.struct("batch", "n", "keep")).alias("s"))
+    return spark.read.schema(logged).parquet(f"{work}/log") if batches else spark.createDataFrame([], logged)
+
+
+def digest_state(spark: SparkSession, path: str, *args, **options) -> DataFrame:
+    """The state after the last micro-batch: (digest, n, keep)."""
+    last = digest_log(spark, path, *args, **options).groupBy("digest").agg(F.max(F.struct("batch", "n", "keep")).alias("s"))
     return last.select("digest", "s.n", "s.keep")
 
 
@@ -91,7 +103,7 @@ def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", tex
                      files_per_batch: int | None = None) -> DataFrame:
     """One row an input row: id, keep_id, group_size, kept, digest, and its place (file, row)."""
     state = written(digest_state(spark, path, id_col, text_col, digest, files_per_batch), "state")
-    rows = _rows(spark.read.parquet(path), id_col, text_col, digest)
+    rows = _rows(spark.read.schema(_schema(spark, path, id_col, text_col)).parquet(path), id_col, text_col, digest)
     # Texts travel once; those that share a digest are written, to be compared.
     hits = written(rows.join(state.where("n > 1"), "digest"), "hits")
     located = hits.where(F.col("place").eqNullSafe(F.col("keep"))).select("digest", F.col("norm").alias("kept_norm"))
@@ -100,6 +112,7 @@ def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", tex
     by_text = other.groupBy("digest", "norm").agg(F.count("*").alias("own_n"), F.max("place").alias("own_keep"))
     apart = written(other.join(by_text, ["digest", "norm"]).select("place", "own_n", "own_keep"), "apart")
     lost = written(other.groupBy("digest").agg(F.count("*").alias("lost")), "lost")
+    discard(hits)
     found = rows.drop("norm").join(state, "digest").join(lost, "digest", "left").join(apart, "place", "left")
     keep = F.coalesce("own_keep", "keep")
     return found.select(

@@ -45,7 +45,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts by streaming keyed state; the largest id stays."""
-    found = exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+    path = f"{sf_dir}/documents.parquet"
+    files = len(spark.read.parquet(path).inputFiles())
+    found = exact_dedup.exact_duplicates(spark, path, files_per_batch=-(-files // 3))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
@@ -94,7 +96,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations folded, rendered and read back from the output."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD_TEXT).alias("text"))
-    out = chat.format_conversations(turns.unionByName(hard))
+    out = chat.render(chat.fold_messages(chat.turn_log(turns.unionByName(hard))))
     back = chat.read_turns(F.col("formatted"))
     learnt = chat.masked_text(F.col("formatted"), F.col("loss_mask"))
     return out.select("conv_id", "formatted", back.alias("back"), learnt.alias("learnt")).select(

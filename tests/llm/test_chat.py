@@ -42,6 +42,21 @@ def test_events_fold(spark):
     assert got == {1: [("user", "Hi"), ("assistant", "Hello!")], 2: [("", "only a delta")]}
 
 
+def test_log_of_turns_folds_back(spark):
+    rows = [(c, k, "assistant" if k % 2 else "user", NASTY[(c + k) % len(NASTY)]) for c in range(12) for k in range(12)]
+    rows += [(50, 0, "user", "same"), (50, 0, "user", "same"), (50, None, "user", "no number"), (50, -3, None, "before"), (None, 1, "user", "x")]
+    table = turns(spark, rows)
+    log = chat.turn_log(table).cache()
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == set(chat.KIND_ORDER) and kinds["edit"] > 20 and kinds["regenerate"] > 20 and kinds["delta"] > 200
+    assert kinds["message"] == len(rows) + kinds["regenerate"] and log.count() > 4 * len(rows)
+    final = chat.fold_messages(log.orderBy(F.rand(3)))
+    assert final.where("text = 'gone with it'").isEmpty()
+    sort = lambda df: sorted(map(str, df.select("conv_id", "msg", "role", "text").collect()))
+    assert sort(final) == sort(chat.fold_messages(chat.turn_events(table)))
+    assert sort(final) == sorted(str(r) for r in table.select("conv_id", F.col("turn").alias("msg"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).collect())
+
+
 def test_query_digests(spark, tmp_path):
     from lettergraph.llm.queries import HARD_TEXT, op8_chat
 

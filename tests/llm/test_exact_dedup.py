@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lettergraph.llm.exact_dedup import exact_duplicates, normalised, sha256
+from lettergraph.llm.exact_dedup import digest_log, exact_duplicates, normalised, sha256
 
 ROWS = [(1, "Same"), (5, "sAME"), (3, "same"), (2, None), (9, ""), (4, "É"), (6, "é"), (7, "abcd"), (8, "x" * 300_000), (None, "same"), (11, "X" * 300_000), (12, "efgh"), (13, "EFGH"), (20, "ſame"), (21, "Kelvin K")]
 
@@ -31,6 +31,28 @@ def test_repeated_rows_keep_one(spark, tmp_path):
     assert sorted((r.id, r.group_size, r.kept) for r in got) == [(1, 3, False), (1, 3, False), (1, 3, True), (2, 1, True)]
 
 
+def test_batches_meet_the_state_of_those_before(spark, tmp_path):
+    path = str(tmp_path / "d.parquet")
+    for part in ([(1, "a"), (2, "b"), (3, "A")], [(4, "a"), (5, "c")], [(6, "C"), (7, "a"), (8, "d")]):
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    log = digest_log(spark, path, files_per_batch=1).collect()
+    assert {r.batch for r in log} == {0, 1, 2}
+    seen = {}
+    for r in log:
+        seen.setdefault(r.digest, []).append(r.n)
+    # a in three batches, c in two: three hits on what an earlier batch left.
+    assert sorted(len(n) for n in seen.values()) == [1, 1, 2, 3] and sum(len(n) - 1 for n in seen.values()) == 3
+    assert max(n for ns in seen.values() for n in ns) == 4
+    got = sorted((r.id, r.keep_id, r.group_size) for r in exact_duplicates(spark, path, files_per_batch=1).collect())
+    assert got == [(1, 7, 4), (2, 2, 1), (3, 7, 4), (4, 7, 4), (5, 6, 2), (6, 6, 2), (7, 7, 4), (8, 8, 1)]
+
+
+def test_clashing_columns(spark, tmp_path):
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(1, "a", 1, "x", 2), (2, "A", 1, "x", 2)], "doc_id long, text string, digest int, _metadata string, n int").write.parquet(path)
+    assert sorted((r.id, r.keep_id) for r in exact_duplicates(spark, path).collect()) == [(1, 2), (2, 2)]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "d.parquet"))
     assert exact_duplicates(spark, str(tmp_path / "d.parquet")).collect() == []
