@@ -46,9 +46,15 @@ def preserved_text(text: Column) -> Column:
 
 def is_trivial(text: Column) -> Column:
     """Nothing said: empty, an added recipient in a short line, or one stock phrase."""
-    s = collapsed(F.coalesce(text, F.lit("")))
-    core = F.lower(F.trim(F.regexp_replace(s, r"[.!~^:;)]+$", "")))
-    return (s == "") | ((s.startswith("++") | s.startswith("+ ")) & (F.length(s) <= rules.TRIVIAL_PLUS_MAX)) | core.isin(*rules.TRIVIAL)
+    text = F.coalesce(text, F.lit(""))
+
+    def judged(s: Column) -> Column:
+        core = F.lower(F.trim(F.regexp_replace(s, r"[.!~^:;)]+$", "")))
+        return (s == "") | ((s.startswith("++") | s.startswith("+ ")) & (F.length(s) <= rules.TRIVIAL_PLUS_MAX)) | core.isin(*rules.TRIVIAL)
+
+    # A long text is known by its beginning; only what may be short is collapsed whole.
+    longer = F.length(collapsed(F.substring(text, 1, 400))) > 300
+    return F.when(longer, False).otherwise(let(collapsed(text), judged))
 
 
 def _live(every: Column) -> Column:
@@ -57,13 +63,36 @@ def _live(every: Column) -> Column:
 
 
 def signals(text: Column, subject: Column, names: list[str]) -> Column:
-    """The flags of one message as a struct, judged sentence by sentence and joined with or."""
-    body = own_text(F.coalesce(text, F.lit("")))
-    named = F.lit(False)
-    for n in (x for x in names if len(x) >= 2):
-        named = named | F.contains(F.lower(body), F.lit(n.lower()))
+    """The flags of one message as a struct, judged sentence by sentence and joined with or.
+
+    Most messages hold nothing that a pattern could match: two looks at the whole text tell, and only a question mark is left
+    to find there.  Sentences are cut and judged for the others.
+    """
+    subject = F.coalesce(subject, F.lit(""))
+
+    def of_message(body: Column) -> Column:
+        named = F.lit(False)
+        for n in (x for x in names if len(x) >= 2):
+            named = named | F.contains(F.lower(body), F.lit(n.lower()))
+        return let(body.rlike(rules.GATE_LETTERS), lambda korean: F.struct(
+            F.when(korean | F.lower(body).rlike(rules.GATE), _asked_in(sentences(body))).otherwise(
+                F.struct(*[F.lit(False).alias(k) for k in _OF_SENTENCES[:5]], body.rlike("[?？]").alias("has_question"), *[F.lit(False).alias(k) for k in _OF_SENTENCES[6:]])
+            ).alias("said"),
+            named.alias("mentions_me"), F.when(korean, body.rlike(rules.GROUP_CALL)).otherwise(False).alias("mentions_group"),
+        ))
+
+    return let(let(own_text(F.coalesce(text, F.lit(""))), of_message), lambda f: F.struct(
+        *[f["said"][k].alias(k) for k in _OF_SENTENCES], f["mentions_me"].alias("mentions_me"), f["mentions_group"].alias("mentions_group"), is_trivial(text).alias("is_trivial"),
+        F.when(subject.rlike(rules.GATE_LETTERS), subject.rlike(rules.SUBJECT_REQUEST)).otherwise(False).alias("subject_has_request"),
+    ))
+
+
+_OF_SENTENCES = ("has_deadline", "has_decision", "has_request", "has_strong_request", "has_weak_request", "has_question", "has_completion", "has_withdrawal")
 
-    def asked(live: Column) -> Column:
+
+def _asked_in(said: Column) -> Column:
+    """The flags that sentences decide."""
+    def tones(live: Column) -> Column:
         # One strong phrase a sentence is looked up once: strong, or weak where it is hedged or only a weak phrase stands.
         tone = F.transform(live, lambda s: F.when(s.rlike(rules.STRONG_REQUEST), F.when(s.rlike(rules.HEDGE), "weak").otherwise("strong")).when(s.rlike(rules.WEAK_REQUEST) & ~s.rlike(rules.PLEASANTRY), "weak"))
         return let(F.array_distinct(F.array_compact(tone)), lambda t: F.struct(
@@ -71,19 +100,14 @@ def signals(text: Column, subject: Column, names: list[str]) -> Column:
             F.array_contains(t, F.lit("strong")).alias("has_strong_request"), F.array_contains(t, F.lit("weak")).alias("has_weak_request"), F.exists(live, lambda s: s.rlike("[?？]")).alias("has_question"),
         ))
 
-    def judged(said: Column) -> Column:
-        plain = F.exists(said, lambda s: s.rlike("[?？]") & ~s.rlike(rules.GATE))
-        return let(F.filter(said, lambda s: s.rlike(rules.GATE)), lambda every: flags(every, plain))
-
-    def flags(every: Column, plain: Column) -> Column:
-        return let(let(_live(every), asked), lambda a: F.struct(
-            *[a[k].alias(k) for k in ("has_deadline", "has_decision", "has_request", "has_strong_request", "has_weak_request")], (a["has_question"] | plain).alias("has_question"),
+    def judged(every: Column, plain: Column) -> Column:
+        return let(let(_live(every), tones), lambda a: F.struct(
+            *[a[k].alias(k) for k in _OF_SENTENCES[:5]], (a["has_question"] | plain).alias("has_question"),
             F.exists(every, lambda s: ~s.rlike(rules.WITHDRAWAL) & s.rlike(rules.COMPLETION)).alias("has_completion"), F.exists(every, lambda s: s.rlike(rules.WITHDRAWAL)).alias("has_withdrawal"),
-            named.alias("mentions_me"), body.rlike(rules.GROUP_CALL).alias("mentions_group"), is_trivial(text).alias("is_trivial"),
-            F.coalesce(subject, F.lit("")).rlike(rules.SUBJECT_REQUEST).alias("subject_has_request"),
         ))
 
-    return let(sentences(body), judged)
+    may = lambda s: s.rlike(rules.GATE_LETTERS) | F.lower(s).rlike(rules.GATE)
+    return let(said, lambda every: let(F.filter(every, may), lambda told: judged(told, F.exists(every, lambda s: s.rlike("[?？]") & ~may(s)))))
 
 
 def evidence_sentence(text: Column) -> Column:
@@ -162,14 +186,27 @@ def json_object(text: Column) -> Column:
     return F.when(piece != "", piece)
 
 
+def stemmed(word: Column) -> Column:
+    """A Korean word without ending, form of address and particle, each taken off where two letters stay; others as they are."""
+    def shorter(w: Column, pattern: str) -> Column:
+        return let(F.regexp_replace(w, pattern, ""), lambda s: F.when(F.length(s) >= 2, s).otherwise(w))
+
+    korean = let(let(shorter(word, rules.ENDING), lambda w: shorter(w, rules.HONORIFIC)), lambda w: shorter(w, rules.PARTICLE))
+    return F.when(word.rlike("^[가-힣]"), korean).otherwise(word)
+
+
+def tokens(text: Column) -> Column:
+    """Runs of letters that may be words, in order, once addresses and links are out."""
+    linked = F.contains(text, F.lit("@")) | F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))
+    plain = F.when(linked, F.regexp_replace(text, rules.URL, " ")).otherwise(text)
+    return F.regexp_extract_all(plain, F.lit(rules.WORD), F.lit(0))
+
+
+def counted(word: Column, stop: list[str] | tuple[str, ...]) -> Column:
+    """Is a stemmed word one of the vocabulary?"""
+    return (F.length(word) >= 2) & ~F.lower(word).isin(*[s.lower() for s in stop]) if stop else F.length(word) >= 2
+
+
 def words(text: Column, stop: list[str] | tuple[str, ...] = rules.STOP_WORDS) -> Column:
     """Vocabulary words in order: without addresses and links, endings, forms of address and particles; no stop words."""
-    def stem(w: Column) -> Column:
-        for pattern in (rules.ENDING, rules.HONORIFIC, rules.PARTICLE):
-            shorter = F.regexp_replace(w, pattern, "")
-            w = F.when(w.rlike("^[가-힣]") & (F.length(shorter) >= 2), shorter).otherwise(w)
-        return w
-
-    found = F.regexp_extract_all(F.regexp_replace(own_text(F.coalesce(text, F.lit(""))), rules.URL, " "), F.lit(rules.WORD), F.lit(0))
-    out = F.array(*map(F.lit, [s.lower() for s in stop])) if stop else F.array().cast("array<string>")
-    return F.filter(F.transform(found, stem), lambda w: (F.length(w) >= 2) & ~F.array_contains(out, F.lower(w)))
+    return F.filter(F.transform(tokens(own_text(F.coalesce(text, F.lit("")))), stemmed), lambda w: counted(w, stop))

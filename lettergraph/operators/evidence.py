@@ -21,7 +21,7 @@ def located_quotes(quotes: DataFrame, m: DataFrame, least: int = 10) -> DataFram
     rarest in the messages finds candidates by equality of fingerprints, the text decides."""
     runs = lambda c: F.transform(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"(?s)(?=(.{{{least}}}))"), F.lit(1))), lambda g: F.xxhash64(g))
     keyed = quotes.select("quote_id", squashed(F.col("quote")).alias("q")).where(F.length("q") >= least).select("quote_id", "q", F.explode(runs("q")).alias("run"))
-    texts = m.select("id", squashed(F.col("body")).alias("t")).select("id", F.explode(runs("t")).alias("run"))
+    texts = m.select("id", squashed(F.col("body")).alias("t")).select("id", F.explode_outer(runs("t")).alias("run")).where("run IS NOT NULL")
     held = written(texts.join(keyed.select("run").distinct(), "run", "left_semi").distinct(), "runs")
     n = held.groupBy("run").agg(F.count("*").alias("n"))
     # A run that no message has is the rarest: its quote stands nowhere.

@@ -56,46 +56,44 @@ def _address(column: str, needle: str) -> Column:
 
 
 def tier(s: Search) -> Column | None:
-    """1 all words as one phrase, 2 every word of three letters or more and every phrase, the shorter ones too,
-    3 all in part, 4 any; null for no match, None where the line has no words."""
-    long_terms = [t for t in s.terms if len(t) >= 3]
+    """How well a message fits a line: 1 to 4, null for not at all, None where the line has no words.
+
+    1: the words stand side by side as they were typed, and so does each phrase.  2: each phrase and each word is there.
+    3: the same over all of them as plain substrings, which also serves lines of short words alone.  4: a phrase or a longer
+    word is there, if the line has several.  Words of one or two letters are too common to be looked for by themselves: in
+    1 and 2 they are conditions beside others, in 4 they count for nothing.
+    """
     if not s.terms and not s.phrases:
         return None
-    whole = [_one(p) for p in s.phrases]
-    joined = " ".join(s.terms)
-    if len(s.terms) >= 2 and len(joined) >= 3:
-        whole.append(_one(joined))
-    elif len(s.terms) == 1 and s.phrases and len(s.terms[0]) >= 3:
-        whole.append(_one(s.terms[0]))
-    parts = [_one(x) for x in (*s.phrases, *long_terms)]
-    short = [_one(t) for t in s.terms if len(t) < 3]
-    steps = [
-        (1, _all(whole + short) if whole else None), (2, _all(parts + short) if parts else None), (3, _all([_one(x) for x in (*s.terms, *s.phrases)])),
-        (4, _some(parts) if len(parts) >= 2 else None),
-    ]
-    out = F.lit(None).cast("int")
-    for number, condition in reversed(steps):
-        if condition is not None:
-            out = F.when(condition, number).otherwise(out)
-    return out
+    longer, shorter = ([t for t in s.terms if (len(t) >= 3) == long] for long in (True, False))
+    phrase = " ".join(s.terms) if len(s.terms) > 1 or s.phrases else ""
+    exact, named = [*s.phrases, *([phrase] if len(phrase) >= 3 else [])], [*s.phrases, *longer]
+    every = lambda needles: _all([_one(x) for x in needles])
+    levels = {1: every([*exact, *shorter]) if exact else None, 2: every([*named, *shorter]) if named else None, 3: every([*s.terms, *s.phrases]), 4: _some([_one(x) for x in named]) if len(named) > 1 else None}
+    return F.coalesce(*[F.when(condition, number) for number, condition in levels.items() if condition is not None])
 
 
 def _one(needle: str) -> Column:
     return _has(needle, "subject", "body")
 
 
-def search(m: DataFrame, line: str, limit: int = 50, addresses: dict[str, str] | None = None) -> DataFrame:
-    """The best ``limit`` messages for a search line: (tier, newest first); filters alone give tier 0; nothing for nothing.
-
-    One scan: the filters reach the source, the tier is computed in the same stage and the top rows are kept a task.
-    """
+def matches(m: DataFrame, line: str, addresses: dict[str, str] | None = None) -> DataFrame:
+    """All messages that a search line finds, with their tier and in no order; filters alone give tier 0, nothing for nothing."""
     s = parse(line)
     level = tier(s)
     filtered = s.fields or s.after or s.before or s.flags or s.has_attachment or s.thread is not None
     if level is None:
         level = F.lit(0) if filtered else F.lit(None).cast("int")
+    return m.where(filters(s, addresses)).withColumn("tier", level).where("tier IS NOT NULL")
+
+
+def search(m: DataFrame, line: str, limit: int = 50, addresses: dict[str, str] | None = None) -> DataFrame:
+    """The best ``limit`` messages for a search line: by tier, then newest first.
+
+    One scan: the filters reach the source, the tier is computed in the same stage and the top rows are kept a task.
+    """
     order = [F.col("tier"), *([F.col("sent_ts").desc_nulls_last()] if "sent_ts" in m.columns else []), F.col("id")]
-    return m.where(filters(s, addresses)).withColumn("tier", level).where("tier IS NOT NULL").orderBy(*order).limit(limit)
+    return matches(m, line, addresses).orderBy(*order).limit(limit)
 
 
 def ranked(m: DataFrame, terms: list[str], subject_weight: float = 3.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:

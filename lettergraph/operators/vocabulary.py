@@ -7,40 +7,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettergraph.functions.rules import STOP_WORDS
-from lettergraph.functions.text import sentences, words
+from lettergraph.functions.text import counted, let, own_text, sentences, stemmed, tokens
 
 MIN_SUPPORT = 2
 
 
 def bags(m: DataFrame, who: str = "sender_addr", stop: tuple[str, ...] = STOP_WORDS, people_words: list[str] | None = None) -> DataFrame:
-    """Each message's distinct terms and phrases (neighbouring words of one sentence)."""
+    """Each message's distinct terms and phrases (neighbouring words of one sentence).
+
+    A sentence ends at white space, and so within no word: terms come from the whole text, and only phrases need sentences.
+    """
     names = [n.lower() for n in people_words or []]
-    per_sentence = F.transform(sentences(F.col("body")), lambda s: F.transform(words(s, stop), F.lower))
     named = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
-    pairs = F.flatten(F.transform("s", lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    kept = lambda text: F.transform(F.filter(F.transform(tokens(text), stemmed), lambda w: counted(w, stop)), F.lower)
+    rows = m.withColumn("own", own_text(F.coalesce("body", F.lit(""))))
+    beside = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.flatten(F.transform(sentences(F.col("own")), lambda s: let(kept(s), beside)))
     real = F.filter(pairs, lambda p: (p["a"] != p["b"]) & ~F.array_contains(named, p["a"]) & ~F.array_contains(named, p["b"]))
-    rows = m.withColumn("s", per_sentence)
     return rows.select(
         F.col(who).alias("who"), "id", "thread_id", *(["sent_ts"] if "sent_ts" in m.columns else []),
-        F.array_except(F.array_distinct(F.flatten("s")), named).alias("terms"), F.array_distinct(F.transform(real, lambda p: F.concat_ws(" ", p["a"], p["b"]))).alias("phrases"),
+        F.array_except(F.array_distinct(kept(F.col("own"))), named).alias("terms"), F.array_distinct(F.transform(real, lambda p: F.concat_ws(" ", p["a"], p["b"]))).alias("phrases"),
     )
 
 
 def document_frequency(b: DataFrame, column: str = "terms") -> DataFrame:
     """(who, term, messages that hold it), partial counts before the shuffle."""
-    return b.select("who", F.explode(column).alias("term")).groupBy("who", "term").agg(F.count("*").alias("df"))
+    # Outer: for a plain explode Spark makes a filter of the array's size, which would build every array twice.
+    return b.select("who", F.explode_outer(column).alias("term")).where("term IS NOT NULL").groupBy("who", "term").agg(F.count("*").alias("df"))
 
 
 def term_scores(b: DataFrame, column: str = "terms", least: int = MIN_SUPPORT) -> DataFrame:
-    """Support, lift against all others and score of each person's terms."""
+    """Support, lift against all others and score of each person's terms; texts are cut into terms once."""
     own, sizes = document_frequency(b, column), b.groupBy("who").agg(F.count("*").alias("n"))
-    everyone = own.groupBy("term").agg(F.sum("df").alias("all_df"))
     total = sizes.agg(F.sum("n").alias("all_n"))
-    rows = own.where(F.col("df") >= least).join(everyone, "term").join(sizes, "who").join(F.broadcast(total))  # one row
+    # The frequency with everyone, beside each person's: a term's window holds one row a person that uses it.
+    rows = own.withColumn("all_df", F.sum("df").over(Window.partitionBy("term"))).where(F.col("df") >= least).join(sizes, "who").join(F.broadcast(total))  # one row
     return rows.select("who", "term", "df", *_score(F.col("df"), F.col("n"), F.col("all_df") - F.col("df"), F.col("all_n") - F.col("n"), column == "phrases"))
 
 
 def _score(df: Column, n: Column, other: Column, other_n: Column, phrase: bool) -> list[Column]:
+    # 0.35 and 1.18, and 0.12 of the clusters; scores and groups rest on these.
     lift = F.log(((df + 0.5) / (n + 1)) / ((other + 0.5) / (other_n + 1)))
     score = F.log1p(df) * F.sqrt(df / F.greatest(n, F.lit(1))) * (F.greatest(lift, F.lit(0.0)) + 0.35) * (1.18 if phrase else 1.0)
     return [lift.alias("lift"), score.alias("score")]
@@ -61,9 +67,9 @@ def npmi(b: DataFrame, chosen: DataFrame, least: int = MIN_SUPPORT) -> DataFrame
     """
     kept = b.join(chosen.groupBy("who").agg(F.collect_set("term").alias("mine")), "who").withColumn("t", F.array_sort(F.array_intersect("terms", "mine")))
     sizes, df = b.groupBy("who").agg(F.count("*").alias("n")), document_frequency(kept.select("who", F.col("t").alias("terms")))
-    pairs = kept.select("who", F.explode(F.flatten(F.transform("t", lambda x, i: F.transform(F.slice(F.col("t"), i + 2, F.size("t")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"), "phrases")
+    pairs = kept.select("who", F.explode_outer(F.flatten(F.transform("t", lambda x, i: F.transform(F.slice(F.col("t"), i + 2, F.size("t")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"), "phrases")
     near = F.exists("phrases", lambda p: (p == F.concat_ws(" ", "p.a", "p.b")) | (p == F.concat_ws(" ", "p.b", "p.a")))
-    co = pairs.groupBy("who", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("co"), F.count_if(near).alias("adjacent")).where(F.col("co") >= least)
+    co = pairs.groupBy("who", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("p").alias("co"), F.count_if(near).alias("adjacent")).where(F.col("co") >= least)
     rows = co.join(df.select("who", F.col("term").alias("a"), F.col("df").alias("da")), ["who", "a"]).join(df.select("who", F.col("term").alias("b"), F.col("df").alias("db")), ["who", "b"]).join(sizes, "who")
     share = F.col("co") / F.col("n")
     assoc = F.when(share >= 1, 0.0).otherwise(F.log(share / ((F.col("da") / F.col("n")) * (F.col("db") / F.col("n")))) / -F.log(share))
@@ -96,26 +102,32 @@ def rising(b: DataFrame, weeks: int = 6, least: int = 2, older: int = 3, ratio:
     edge = b.agg((F.max("sent_ts") - F.make_dt_interval(F.lit(7 * weeks))).alias("since"))
     split = b.join(F.broadcast(edge)).withColumn("new", F.col("sent_ts") >= F.col("since"))  # one row
     sizes = split.groupBy("who").agg(F.count_if("new").alias("n_new"), F.count_if(~F.col("new")).alias("n_old")).where((F.col("n_new") >= least) & (F.col("n_old") >= older))
-    df = split.select("who", "new", F.explode("terms").alias("term")).groupBy("who", "term").agg(F.count_if("new").alias("d_new"), F.count_if(~F.col("new")).alias("d_old"))
+    df = split.select("who", "new", F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("who", "term").agg(F.count_if("new").alias("d_new"), F.count_if(~F.col("new")).alias("d_old"))
     rate = ((F.col("d_new") + 0.5) / (F.col("n_new") + 1)) / ((F.col("d_old") + 0.5) / (F.col("n_old") + 1))
     return df.where(F.col("d_new") >= least).join(sizes, "who").select("who", "term", "d_new", "d_old", rate.alias("ratio")).where(F.col("ratio") >= ratio)
 
 
 def mentions(b: DataFrame, aliases: DataFrame) -> DataFrame:
     """How many messages of each person name another (``aliases``: addr, alias)."""
-    used = b.select("who", "id", F.explode("terms").alias("alias")).join(aliases, "alias").where(F.col("addr") != F.col("who"))
+    used = b.select("who", "id", F.explode_outer("terms").alias("alias")).join(aliases, "alias").where(F.col("addr") != F.col("who"))
     return used.groupBy("who", "addr").agg(F.count_distinct("id").alias("messages"))
 
 
+def _word_rows(m: DataFrame, stop: tuple[str, ...]) -> DataFrame:
+    """One row a vocabulary word; stems and stop words are settled on rows, in compiled code."""
+    raw = m.select(F.explode_outer(tokens(own_text(F.coalesce("body", F.lit(""))))).alias("raw"))
+    return raw.where("raw IS NOT NULL").groupBy("raw").agg(F.count("*").alias("n")).select(stemmed(F.col("raw")).alias("word"), "n").where(counted(F.col("word"), stop))
+
+
 def top_words(m: DataFrame, limit: int = 25, least: int = 2, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """Most used words over all texts."""
-    rows = m.select(F.explode(words(F.col("body"), stop)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """Most used words over all texts; each spelling is stemmed once, after it was counted."""
+    rows = _word_rows(m, stop).groupBy("word").agg(F.sum("n").alias("n"))
     return rows.where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(limit)
 
 
 def display_forms(m: DataFrame, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """The most frequent spelling of each term."""
-    counts = m.select(F.explode(words(F.col("body"), stop)).alias("surface")).groupBy(F.lower("surface").alias("term"), "surface").agg(F.count("*").alias("n"))
+    counts = _word_rows(m, stop).groupBy(F.lower("word").alias("term"), F.col("word").alias("surface")).agg(F.sum("n").alias("n"))
     return counts.groupBy("term").agg(F.min_by("surface", F.struct((-F.col("n")).alias("o"), F.lower("surface").alias("l"), "surface")).alias("display"))
 
 

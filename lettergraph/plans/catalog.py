@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettergraph.functions import html, text
+from lettergraph.functions import html, rules, text
 from lettergraph.functions.dates import date_group, stamp, workdays_since
 from lettergraph.operators import daily, evidence, ingest, noise, people, promises, reports, search, state, stats, threads, vocabulary
+from lettergraph.shared import written
 from lettergraph.sources import adapters
 from lettergraph.sources.adapters import CONVERSATION_SQL, DOCUMENT_SQL, EVENT_SQL, ME, ORDER_SQL
 from lettergraph.streaming import fold as stream_fold
@@ -372,7 +373,7 @@ def search_tiers(m):
 
 @query("documents", f", f AS (SELECT sender_addr, count(*) AS n FROM m WHERE {_sql_has('apache license')} GROUP BY sender_addr) SELECT * FROM f WHERE (SELECT count(*) FROM f) >= 2 ORDER BY n DESC, sender_addr LIMIT 5")
 def search_facets(m):
-    return search.facets(search.search(m, '"apache license" apache', limit=2_000_000_000).where("tier <= 2"))
+    return search.facets(search.matches(m, '"apache license" apache').where("tier <= 2"))
 
 
 @query("documents", f"""SELECT id FROM m WHERE {_sql_has('apache')} AND {_sql_has('license')} ORDER BY id DESC LIMIT 10""")
@@ -391,7 +392,7 @@ def search_ranking(m):
 # ------------------------------------------------------------------ vocabulary
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in vocabulary.STOP_WORDS) + "]"
-_TOKENS = f"""[w FOR w IN regexp_extract_all(regexp_replace(body, '{vocabulary.words.__globals__["rules"].URL}', ' ', 'g'), '{vocabulary.words.__globals__["rules"].WORD}') IF len(w) >= 2 AND NOT list_contains({_STOPS}, lower(w))]"""
+_TOKENS = f"""[w FOR w IN regexp_extract_all(regexp_replace(body, '{rules.URL}', ' ', 'g'), '{rules.WORD}') IF len(w) >= 2 AND NOT list_contains({_STOPS}, lower(w))]"""
 
 
 @query("documents", f", w AS (SELECT unnest({_TOKENS}) AS word FROM m) SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 2 ORDER BY n DESC, word LIMIT 25")
@@ -416,14 +417,14 @@ def term_score(m):
 
 @query("documents")
 def npmi_pairs(m):
-    b = vocabulary.bags(m)
+    b = written(vocabulary.bags(m), "bags")
     chosen = vocabulary.top_terms(vocabulary.term_scores(b), 12)
     return vocabulary.npmi(b, chosen).select("who", "a", "b", "co", F.round("weight", 6).alias("weight"))
 
 
 @query("documents")
 def term_clusters(m):
-    b = vocabulary.bags(m)
+    b = written(vocabulary.bags(m), "bags")
     chosen = vocabulary.top_terms(vocabulary.term_scores(b), 12)
     return vocabulary.clusters(vocabulary.npmi(b, chosen))
 
