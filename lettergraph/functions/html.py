@@ -1,21 +1,27 @@
-"""HTML bodies as text, as Markdown and made safe, by column expressions."""
+"""HTML bodies as text by column expressions; as Markdown and made safe by a parser over Arrow batches."""
 
 from __future__ import annotations
 
+import re
+from html import escape, unescape
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities decoded after the tags are gone; the ampersand last, so that nothing is decoded twice.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
 _HIDDEN = r"(?is)<(script|style|head|template|noscript)\b.*?</(?:script|style|head|template|noscript)\s*>|<!--.*?-->|<!doctype[^>]*>"
 _BLOCK = r"(?is)</?(?:p|div|br|tr|table|ul|ol|li|h[1-6]|blockquote|pre|section|article|header|footer|nav|hr)\b[^>]*>"
 _TAG = r"(?is)<[a-z/!][^>]*>"
 
 
 def _decoded(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references as characters, by the table of the HTML standard, once the tags are gone."""
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else unescape(t) for t in batch.to_pylist()], type=pa.string())
+
+    return run(text)
 
 
 def _tidy(text: Column) -> Column:
@@ -30,30 +36,247 @@ def html_text(html: Column) -> Column:
     return _tidy(_decoded(F.regexp_replace(F.regexp_replace(html, _BLOCK, "\n"), _TAG, "")))
 
 
+#: Elements that go with all they hold.
+DROPPED = frozenset(("script", "style", "form", "iframe", "object", "embed", "head", "template", "noscript", "svg", "math", "applet", "frameset", "textarea", "select", "button"))
+#: Elements that may stay in a shown body, with the attributes that may stay on them; of all others only the text stays.
+ALLOWED = {
+    **{t: () for t in "b blockquote br code div em h1 h2 h3 h4 h5 h6 hr i li ol p pre span strong table tbody thead tr u ul s sub sup small".split()},
+    "a": ("href", "title"), "img": ("src", "alt", "width", "height"), "td": ("colspan", "rowspan"), "th": ("colspan", "rowspan"),
+}
+_VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "col", "area", "base", "source", "track", "wbr", "embed", "param"))
+_LINKS = ("http:", "https:", "mailto:", "#")
+_IMAGES = ("cid:", "data:image/png", "data:image/jpeg", "data:image/gif", "data:image/webp")
+_QUOTE_CLASS = ("gmail_quote", "yahoo_quoted", "moz-cite-prefix", "protonmail_quote")
+_QUOTE_ID = ("divrplyfwdmsg", "appendonsend", "replyforwardmessage")
+
+
+class _Walker(HTMLParser):
+    """Walks a document with the elements that are open; what subclasses write goes to ``out``."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.skipping = 0
+        self.skipped = ""
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.skipping and not (self.skipped == "head" and tag == "body"):  # a body ends a head left open
+            self.skipping += tag == self.skipped and tag not in _VOID
+        elif tag in DROPPED:
+            if tag not in _VOID:
+                self.skipping, self.skipped = 1, tag
+        else:
+            self.skipping = 0
+            self.start(tag, {k.lower(): v or "" for k, v in reversed(attrs)})
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.skipping:
+            self.skipping -= tag == self.skipped
+        else:
+            self.end(tag)
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_data(self, data: str) -> None:
+        if not self.skipping:
+            self.data(data)
+
+
+class _Safe(_Walker):
+    """Rebuilds a body from allowed elements and attributes; whatever is written is escaped anew."""
+
+    def __init__(self, quotes: str) -> None:
+        super().__init__()
+        self.open: list[tuple[str, str]] = []
+        self.quotes = quotes
+        self.cut = 0
+
+    def start(self, tag: str, given: dict) -> None:
+        quoted = self.quotes != "keep" and self._is_quote(tag, given)
+        if self.cut:
+            if tag not in _VOID:
+                self.open.append((tag, ""))
+                self.cut += 1
+            return
+        if quoted and self.quotes == "cut":
+            self.open.append((tag, ""))
+            self.cut = 1
+            return
+        before = "<details><summary>…</summary>" if quoted and not any(after for _, after in self.open if "details" in after) else ""
+        attributes = "".join(self._attribute(k, given[k]) for k in ALLOWED.get(tag, ()) if k in given)
+        self.out.append(before + (f"<{tag}{attributes}>" if tag in ALLOWED else ""))
+        if tag not in _VOID:
+            self.open.append((tag, (f"</{tag}>" if tag in ALLOWED else "") + ("</details>" if before else "")))
+
+    def end(self, tag: str) -> None:
+        """Closes the nearest element of that name and all within it; an end without a beginning is passed over."""
+        if tag not in (t for t, _ in self.open):
+            return
+        while True:
+            name, after = self.open.pop()
+            self.cut = max(self.cut - 1, 0)
+            self.out.append(after)
+            if name == tag:
+                return
+
+    def data(self, data: str) -> None:
+        if not self.cut:
+            self.out.append(escape(data, quote=False))
+
+    def _is_quote(self, tag: str, given: dict) -> bool:
+        named = f" {given.get('class', '').lower()} "
+        return tag == "blockquote" or any(q in named for q in _QUOTE_CLASS) or given.get("id", "").lower().removeprefix("x_") in _QUOTE_ID
+
+    @staticmethod
+    def _attribute(name: str, value: str) -> str:
+        plain = "".join(c for c in value if c > " " and c != "\x7f").lower()
+        if name == "href" and not plain.startswith(_LINKS):
+            return ""
+        if name == "src" and not plain.startswith(_IMAGES):
+            return ' data-blocked="src"'
+        if name in ("colspan", "rowspan", "width", "height") and not value.strip().rstrip("%").isdecimal():
+            return ""
+        return f' {name}="{escape(value.strip())}"'
+
+    def text(self) -> str:
+        return "".join([*self.out, *[after for _, after in reversed(self.open)]])
+
+
+class _Markdown(_Walker):
+    """Headings, emphasis by element or style, links, lists, quotes, code and tables; layout tables as plain blocks."""
+
+    _MARKS = {"b": "**", "strong": "**", "em": "*", "i": "*", "code": "`", "s": "~~", "del": "~~"}
+    _BLOCKS = frozenset("p div section article header footer nav main aside ul ol table address figure dl dt dd".split())
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.open: list[tuple[str, str]] = []
+        self.lists: list[int] = []
+        self.tables: list[list] = []
+        self.pre = 0
+
+    def start(self, tag: str, given: dict) -> None:
+        style = given.get("style", "").replace(" ", "").lower()
+        close = ""
+        if tag == "br":
+            self.out.append("\n")
+        elif tag == "hr":
+            self.out.append("\n\n---\n\n")
+        elif tag == "img" and given.get("alt"):
+            self.out.append(f"![{given['alt']}]")
+        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
+            close = "\n\n"
+        elif tag == "pre":
+            self.pre += 1
+            self.out.append("\n\n```\n")
+            close = "\n```\n\n"
+        elif tag == "a" and given.get("href"):
+            self.out.append("[")
+            close = f"]({given['href'].strip()})"
+        elif tag in ("ul", "ol"):
+            self.lists.append(0 if tag == "ol" else -1)
+            self.out.append("\n" if len(self.lists) > 1 else "\n\n")
+        elif tag == "li":
+            number = ""
+            if self.lists and self.lists[-1] >= 0:
+                self.lists[-1] += 1
+                number = f"{self.lists[-1]}. "
+            self.out.append("\n" + "  " * max(len(self.lists) - 1, 0) + (number or "- "))
+        elif tag == "blockquote":
+            self.out.append("\n\n> ")
+            close = "\n\n"
+        elif tag == "table":
+            layout = given.get("role", "").lower() == "presentation" or (given.get("border", "0") in ("", "0") and "cellpadding" in given)
+            self.tables.append([layout, 0, 0])
+            self.out.append("\n\n")
+        elif tag == "tr" and self.tables:
+            self.tables[-1][2] = 0
+            self.out.append("\n")
+        elif tag in ("td", "th") and self.tables:
+            if not self.tables[-1][0]:
+                self.out.append("| " if not self.tables[-1][2] else " | ")
+            elif self.tables[-1][2]:
+                self.out.append(" ")
+            self.tables[-1][2] += 1
+        elif tag in self._MARKS and not self.pre:
+            close = self._MARKS[tag]
+            self.out.append(close)
+        elif tag == "span" and ("font-weight:bold" in style or "font-weight:700" in style):
+            close = "**"
+            self.out.append(close)
+        elif tag in self._BLOCKS:
+            self.out.append("\n\n")
+            close = "\n\n"
+        if tag not in _VOID:
+            self.open.append((tag, close))
+
+    def end(self, tag: str) -> None:
+        if tag not in (t for t, _ in self.open):
+            return
+        while True:
+            name, close = self.open.pop()
+            self.out.append(close)
+            if name == "pre":
+                self.pre -= 1
+            elif name in ("ul", "ol") and self.lists:
+                self.lists.pop()
+                self.out.append("\n" if self.lists else "\n\n")
+            elif name == "table" and self.tables:
+                self.tables.pop()
+                self.out.append("\n\n")
+            elif name == "tr" and self.tables and not self.tables[-1][0]:
+                self.out.append(" |")
+                self.tables[-1][1] += 1
+                if self.tables[-1][1] == 1:
+                    self.out.append("\n|" + " --- |" * self.tables[-1][2])
+            if name == tag:
+                return
+
+    def data(self, data: str) -> None:
+        self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+
+    def text(self) -> str:
+        return "".join([*self.out, *[close for _, close in reversed(self.open)]])
+
+
+def _walked(make, html: pa.Array) -> pa.Array:
+    """One walker a row of a batch; null is empty."""
+    rows = []
+    for h in html.to_pylist():
+        walker = make()
+        walker.feed(h or "")
+        walker.close()
+        rows.append(walker.text())
+    return pa.array(rows, type=pa.string())
+
+
 def html_markdown(html: Column) -> Column:
-    """Headings, emphasis, links, list items and code kept as Markdown; the rest as text."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
-    for n in range(6, 0, -1):
-        text = F.regexp_replace(text, rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n")
-    for tag, mark in (("strong|b", r"\*\*"), ("em|i", r"\*"), ("code", "`")):
-        text = F.regexp_replace(text, rf"(?is)<(?:{tag})(?:\s[^>]*)?>\s*(.*?)\s*</(?:{tag})\s*>", f"{mark}$1{mark}")
-    text = F.regexp_replace(text, r"""(?is)<a\b[^>]*?href\s*=\s*["']?([^"'\s>]*)["']?[^>]*>(.*?)</a\s*>""", r"[$2]($1)")
-    text = F.regexp_replace(text, r"(?is)<li\b[^>]*>", "\n- ")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?is)</t[dh]\s*>\s*<t[dh]\b[^>]*>", " | "), r"(?is)<blockquote\b[^>]*>", "\n> ")
-    return _tidy(_decoded(F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), _TAG, "")))
-
-
-#: Tags that may stay in a shown body.
-ALLOWED = ("a", "b", "blockquote", "br", "code", "div", "em", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "i", "img", "li", "ol", "p", "pre", "span", "strong", "table", "tbody", "td", "th", "thead", "tr", "u", "ul")
-
-
-def safe_html(html: Column) -> Column:
-    """No scripts, styles, forms or frames with what they hold; no handlers; links and images only by safe schemes."""
-    html = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|form|iframe|object|embed|head|template|noscript|svg|math)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", "")
-    html = F.regexp_replace(html, rf"(?is)</?(?!(?:{'|'.join(ALLOWED)})\b)[a-z][^>]*>", "")
-    html = F.regexp_replace(html, r"""(?is)\s(?:on[a-z]+|srcset|style|formaction|background)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "")
-    html = F.regexp_replace(html, r"""(?is)\shref\s*=\s*(?!["']?\s*(?:https?:|mailto:|#))("[^"]*"|'[^']*'|[^\s>]+)""", "")
-    return F.regexp_replace(html, r"""(?is)\ssrc\s*=\s*(?!["']?\s*(?:cid:|data:image/))("[^"]*"|'[^']*'|[^\s>]+)""", " data-blocked=\"src\"")
+    """Headings, emphasis, links, lists, quotes, code and tables kept as Markdown; the rest as text."""
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return _walked(_Markdown, batch)
+
+    text = F.regexp_replace(run(html), r"[\x{200B}-\x{200D}\x{FEFF}]", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\*\*(\s*)\*\*|\x{A0}", " "), r"[ \t\r]+\n", "\n")
+    return F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \n"))
+
+
+def safe_html(html: Column, quotes: str = "keep") -> Column:
+    """A body rebuilt from allowed elements and attributes: no scripts, styles, forms or frames with what they hold, no handlers,
+    links and images by safe schemes only, every element closed.
+
+    Quoted mail is kept, or ``cut``, or put in a ``fold`` (a closed details element) where it begins.
+    """
+    if quotes not in ("keep", "cut", "fold"):
+        raise ValueError(quotes)
+
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return _walked(lambda: _Safe(quotes), batch)
+
+    return run(html)
 
 
 def content_ids(html: Column) -> Column:

@@ -577,10 +577,23 @@ def html_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (html_text, html_markdown, html_safe)}
-_DECODE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|head|template|noscript)\\b.*?</(?:script|style|head|template|noscript)\\s*>|<!--.*?-->|<!doctype[^>]*>', ' ', 'g'), '(?is)</?(?:p|div|br|tr|table|ul|ol|li|h[1-6]|blockquote|pre|section|article|header|footer|nav|hr)\\b[^>]*>', chr(10), 'g'), '(?is)<[a-z/!][^>]*>', '', 'g'), '[\\x{200B}-\\x{200D}\\x{FEFF}]', '', 'g')"
-for _entity, _char in html.ENTITIES.items():
-    _DECODE = f"replace({_DECODE}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
-ORACLE_SQL["html_text"] = f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace({_DECODE}, '[ \\t\\x{{A0}}\\r]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM pages"""
+_BARE = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|head|template|noscript)\\b.*?</(?:script|style|head|template|noscript)\\s*>|<!--.*?-->|<!doctype[^>]*>', ' ', 'g'), '(?is)</?(?:p|div|br|tr|table|ul|ol|li|h[1-6]|blockquote|pre|section|article|header|footer|nav|hr)\\b[^>]*>', chr(10), 'g'), '(?is)<[a-z/!][^>]*>', '', 'g')"
+# Character references by a list of the SQL's own: named ones that mail and pages use, with and without the semicolon where the standard allows it, and all numbers.
+_NAMED = {"nbsp": 160, "lt": 60, "gt": 62, "quot": 34, "copy": 169, "reg": 174, "middot": 183, "laquo": 171, "raquo": 187, "eacute": 233, "egrave": 232, "agrave": 224, "ccedil": 231, "ouml": 246, "uuml": 252, "auml": 228, "szlig": 223, "ntilde": 241}
+_LONG = {"hellip;": 8230, "ndash;": 8211, "mdash;": 8212, "lsquo;": 8216, "rsquo;": 8217, "ldquo;": 8220, "rdquo;": 8221, "euro;": 8364, "trade;": 8482, "apos;": 39, "bull;": 8226}
+_PLAIN = f"list_reduce([{_BARE}] || [x FOR x IN list_distinct(regexp_extract_all({_BARE}, '&#[0-9]+;'))], lambda t, x: replace(t, x, chr(x[3:-2]::INTEGER)))"
+for _name, _code in [*((n + end, c) for n, c in _NAMED.items() for end in (";", "")), *_LONG.items(), ("amp;", 38), ("amp", 38)]:
+    _PLAIN = f"replace({_PLAIN}, '&{_name}', chr({_code}))"
+ORACLE_SQL["html_text"] = f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]', '', 'g'), '[ \\t\\x{{A0}}\\r]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM pages"""
+
+
+def html_safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader sees of the safe body: the same as of the page, as nothing but elements and attributes may go."""
+    return _table(spark, sf_dir, "pages").select("page_id", html.html_text(html.safe_html(F.col("html"))).alias("text"))
+
+
+QUERIES["html_safe_text"] = html_safe_text
+ORACLE_SQL["html_safe_text"] = ORACLE_SQL["html_text"]
 
 
 @query("documents")

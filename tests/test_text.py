@@ -96,12 +96,49 @@ def test_query_line():
     assert day_range("2024") == ("2024-01-01", "2025-01-01") and day_range("2024-12") == ("2024-12-01", "2025-01-01") and day_range("2024-02-29")[1] == "2024-03-01" and day_range("2024-13") == (None, None) and day_range("x") == (None, None)
 
 
+HOSTILE = [
+    "<img/onerror=alert(1)/src=x>", "<a/href=javascript:alert(1)>x</a>", '<a title="x"href="javascript:alert(1)">y</a>', '<img title="a"onerror="alert(1)">', "<a href=' java\nscript:alert(1)'>z</a>",
+    "<scr<script>ipt>alert(1)</script>", "<svg><script>x</script></svg>", "<p title='<script>'>k</p>", "<iframe src=x></iframe><math><a href=x>", "<a href='&#106;avascript:alert(1)'>n</a>", "<img src='data:text/html,x'>",
+    "<style>@import x</style><b style='x:expression(1)'>b", "<a href='//evil.test'>r</a><base href=x>", "<!--[if IE]><script>x</script><![endif]--><table background=x><td width='1;x'>", "<input autofocus onfocus=x><form action=javascript:x>", "<a href=\"x\" href=\"javascript:1\">",
+]
+
+
+def test_safe_html_keeps_nothing_hostile(spark):
+    from html.parser import HTMLParser
+
+    class Seen(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            assert tag in html.ALLOWED and {k for k, _ in attrs} <= {*html.ALLOWED[tag], "data-blocked"}
+            for k, v in attrs:
+                assert k != "href" or v.startswith(("http:", "https:", "mailto:", "#"))
+                assert k != "src" or v.startswith(("cid:", "data:image/"))
+
+    rows = spark.createDataFrame([(h,) for h in [*HOSTILE, "".join(HOSTILE), None, ""]], "h string").select(html.safe_html(F.col("h")).alias("s")).collect()
+    for r in rows:
+        Seen().feed(r.s)
+        assert "alert" not in r.s.replace("ipt&gt;alert(1)", "")
+    plain = spark.createDataFrame([("set style = \"bold\" here &amp; 1 &lt; 2",), ("<p>a <div class='gmail_quote'>old <b>x</b></div> tail</p>",)], "h string")
+    got = plain.select(html.safe_html(F.col("h")).alias("keep"), html.safe_html(F.col("h"), "cut").alias("cut"), html.safe_html(F.col("h"), "fold").alias("fold")).collect()
+    assert got[0].keep == "set style = \"bold\" here &amp; 1 &lt; 2" and got[1].cut == "<p>a  tail</p>" and "<details>" in got[1].fold and "old <b>x</b>" in got[1].fold
+
+
+def test_references_and_markdown(spark):
+    cases = [("&#8217; &eacute; &copy; &#x41; &amp;lt; &nosuch;", "\u2019 é © A &lt; &nosuch;")]
+    assert [r.t for r in spark.createDataFrame([(a,) for a, _ in cases], "h string").select(html.html_text(F.col("h")).alias("t")).collect()] == [b for _, b in cases]
+    marked = [
+        ("<h2>T</h2><p>a <b>b</b> <em>c</em><br>d</p><ul><li>x<li>y<ol><li>1</ol></ul>", "## T\n\na **b** *c*\nd\n\n- x\n- y\n\n  1. 1"),
+        ("<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>", "| A | B |\n| --- | --- |\n| 1 | 2 |"),
+        ("<table cellpadding=0><tr><td>L</td><td>R</td></tr></table>", "L R"), ("<pre>a\n  b</pre>", "```\na\n  b\n```"), ("<blockquote>q</blockquote><span style='font-weight: bold'>s</span>", "> q\n\n**s**"), (None, ""),
+    ]
+    assert [r.m for r in spark.createDataFrame([(a,) for a, _ in marked], "h string").select(html.html_markdown(F.col("h")).alias("m")).collect()] == [b for _, b in marked]
+
+
 def test_html(spark):
     page = "<!doctype html><head><title>t</title></head><body><script>x()</script><h2>Head</h2><p>One <b>bold</b> &amp; <a href='https://x.test'>link</a></p><ul><li>a<li>b</ul><img src='http://t.test/p.gif' onload='x()'><p style='a'>end&nbsp;</p></body>"
     row = spark.createDataFrame([(page,)], "h string").select(html.html_text(F.col("h")).alias("t"), html.html_markdown(F.col("h")).alias("m"), html.safe_html(F.col("h")).alias("s")).first()
     assert row.t == "Head\n\nOne bold & link\n\na\nb\n\nend"
     assert "## Head" in row.m and "**bold**" in row.m and "[link](https://x.test)" in row.m and "- a\n- b" in row.m
-    assert "script" not in row.s and "onload" not in row.s and "t.test" not in row.s and "href='https://x.test'" in row.s and "style" not in row.s
+    assert "script" not in row.s and "onload" not in row.s and "t.test" not in row.s and 'href="https://x.test"' in row.s and "style" not in row.s
     img = spark.createDataFrame([("<img src='cid:A1'><img src='cid:zz'>", {"a1": ("image/png", bytearray(b"xy"))})], "h string, i map<string,struct<mime:string,data:binary>>")
     got = img.select(html.with_images(F.lower("h"), F.col("i")).alias("r")).first().r
     assert (got.n_ok, got.n_fail) == (1, 1) and "data:image/png;base64,eHk=" in got.html
