@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettergraph.functions.text import squashed
+from lettergraph.functions.text import own_text, squashed
 from lettergraph.shared import written
 
 
@@ -16,6 +16,24 @@ def verified_quotes(claims: DataFrame, m: DataFrame, least: int = 10, most: int
     return rows.where(F.contains(squashed(F.col("body")), F.col("q"))).drop("q", "body")
 
 
+def resolved_quotes(claims: DataFrame, m: DataFrame, start: str, end: str, least: int = 10, most: int = 300) -> DataFrame:
+    """Claims (claim, thread_id, mid, mine, quote) of a period with the message that holds their quote, white space aside.
+
+    The message is of the claim's thread and of days ``start`` to ``end``, mine or not where the claim says so (null: either).
+    Without a message named, the quote stands only if one message alone holds it.  Quotes below ``least`` letters fall, of
+    longer ones ``most`` are compared; a preserved tail is no part of a message.  Claims meet the messages of their thread by
+    equality, so nothing is compared across threads.
+    """
+    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz") + F.make_dt_interval(F.lit(1))
+    rows = m.where((F.col("sent_ts") >= lo) & (F.col("sent_ts") < hi)).select("thread_id", "id", "is_sent", squashed(own_text(F.coalesce("body", F.lit("")))).alias("t"))
+    named = claims.withColumn("q", F.substring(squashed(F.col("quote")), 1, most)).where(F.length("q") >= least)
+    hit = named.join(rows, "thread_id").where(
+        F.contains("t", F.col("q")) & (F.col("mine").isNull() | (F.col("mine") == F.col("is_sent"))) & (F.col("mid").isNull() | (F.col("mid") == F.col("id")))
+    )
+    found = hit.groupBy("claim").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max("mid").alias("mid"))
+    return found.where("n = 1 OR mid IS NOT NULL").select("claim", "id")
+
+
 def located_quotes(quotes: DataFrame, m: DataFrame, least: int = 10) -> DataFrame:
     """(quote_id, id) for quotes that name no message, white space aside: of the runs of ``least`` letters of a quote the one
     rarest in the messages finds candidates by equality of fingerprints, the text decides."""

@@ -22,10 +22,11 @@ def slot(ts: Column) -> tuple[Column, Column]:
     return day.cast("bigint"), (F.hour(ts) * 4 + F.floor(F.minute(ts) / 15)).cast("bigint")
 
 
-def allocated_ids(records: DataFrame, order: str = "arrival") -> DataFrame:
-    """Ids from the record's own time: day * 100000 + quarter hour * 1000 + number in it.
+def allocated_ids(records: DataFrame, order: str = "arrival", digits: int = 3) -> DataFrame:
+    """Ids from the record's own time: day, quarter hour in two digits, and the number in it in ``digits``.
 
-    A quarter hour of a thousand records passes the rest on to the next of the same day.  The place of a record in its
+    Three digits hold 95,904 records a day; a larger store takes more, up to ten.  A quarter hour
+    that is full passes the rest on to the next of the same day.  The place of a record in its
     day follows from counts a quarter hour, ``next free = max(start of slot, place after the records before)``: a running
     maximum over at most 96 slots a day, then a number within each slot.
     """
@@ -33,15 +34,17 @@ def allocated_ids(records: DataFrame, order: str = "arrival") -> DataFrame:
     rows = records.withColumn("day", day).withColumn("quarter", quarter)
     counts = rows.groupBy("day", "quarter").agg(F.count("*").alias("n"))
     by_day = Window.partitionBy("day").orderBy("quarter")
-    # With room 999 a slot: first place = total before + max over slots so far of (slot start - total before that slot).
+    width, room = 10**digits, 10**digits - 1
+    # With so much room a slot: first place = total before + max over slots so far of (slot start - total before that slot).
     before = F.coalesce(F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("before", before).withColumn("first", F.col("before") + F.max(F.col("quarter") * 999 - F.col("before")).over(by_day))
+    placed = counts.withColumn("before", before).withColumn("first", F.col("before") + F.max(F.col("quarter") * room - F.col("before")).over(by_day))
     number = F.row_number().over(Window.partitionBy("day", "quarter").orderBy(order)) - 1
     seated = rows.withColumn("number", number).join(placed.select("day", "quarter", "first"), ["day", "quarter"])
     place = F.col("first") + F.col("number")
-    fits = F.floor(place / 999) < 96
-    new_id = F.col("day") * 100_000 + F.floor(place / 999) * 1000 + place % 999 + 1
-    return seated.withColumn("id", F.when(fits, new_id).otherwise(F.raise_error(F.lit("a day holds more records than ids")).cast("bigint")).cast("bigint")).drop("day", "quarter", "number", "first")
+    slot_no = (place - place % room) / room
+    fits = slot_no < 96
+    new_id = F.col("day") * (100 * width) + slot_no.cast("bigint") * width + place % room + 1
+    return seated.withColumn("id", F.when(fits, new_id).otherwise(F.raise_error(F.lit("a day holds more records than ids: take more digits")).cast("bigint")).cast("bigint")).drop("day", "quarter", "number", "first")
 
 
 def arrival_numbers(records: DataFrame, offset: int = 0, order: str = "arrival") -> DataFrame:
@@ -58,13 +61,24 @@ def assign_threads(records: DataFrame, window_days: int = 30) -> DataFrame:
 
     Records that could meet, by any of the three, form one component; threads are then assigned in order within it.
     ``records``: message_id, refs, conversation_key, subject, sent_ts, arrival.  A thread is named by the arrival of its
-    first message.
+    first message.  A record without a time joins by reference or key only.
+
+    A subject is cut where no record can reach back: at gaps of more than ``window_days`` days that nothing dated before them
+    arrived after.  What is left in one component is what really can meet; a subject that never rests is one sequence.
     """
     from lettergraph.operators.links import linked
 
     rows = records.withColumn("norm", normalised_subject(F.col("subject")))
+    day = F.col("sent_ts").cast("date")
+    days = rows.where((F.col("norm") != "") & F.col("sent_ts").isNotNull()).groupBy("norm", day.alias("day")).agg(F.min("arrival").alias("low"), F.max("arrival").alias("high"))
+    order = Window.partitionBy("norm").orderBy("day")
+    before, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    # Two days more than the window: whole days stand for times here.
+    cut = (F.datediff("day", F.lag("day").over(order)) > window_days + 1) & (F.max("high").over(before) < F.min("low").over(on))
+    days = days.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int")).withColumn("session", F.sum("cut").over(order)).select("norm", "day", "session")
+    rows = rows.withColumn("day", day).join(days, ["norm", "day"], "left").drop("day")
     keys = rows.select("message_id", F.explode(F.array_distinct(F.array_compact(F.concat(
-        F.array(F.concat(F.lit("m:"), "message_id"), F.when(F.coalesce("conversation_key", F.lit("")) != "", F.concat(F.lit("c:"), "conversation_key")), F.when(F.col("norm") != "", F.concat(F.lit("s:"), "norm"))),
+        F.array(F.concat(F.lit("m:"), "message_id"), F.when(F.coalesce("conversation_key", F.lit("")) != "", F.concat(F.lit("c:"), "conversation_key")), F.when(F.col("session").isNotNull(), F.concat(F.lit("s:"), F.col("session").cast("string"), F.lit(":"), F.col("norm")))),
         F.transform(F.coalesce("refs", F.array().cast("array<string>")), lambda r: F.concat(F.lit("m:"), r)),
     )))).alias("key"))
     groups = linked(keys, "message_id", "key")
@@ -77,14 +91,15 @@ def assign_threads(records: DataFrame, window_days: int = 30) -> DataFrame:
             if thread is None and r.conversation_key:
                 thread = by_key.get(r.conversation_key)
             if thread is None and r.norm:
-                near = [t for t in by_subject.get(r.norm, ()) if last[t] >= r.sent_ts - pd.Timedelta(days=window_days)]
+                near = [t for t in by_subject.get(r.norm, ()) if t in last and last[t] >= r.sent_ts - pd.Timedelta(days=window_days)]
                 thread = max(near, key=lambda t: last[t], default=None)
             if thread is None:
                 thread = r.arrival
                 by_subject.setdefault(r.norm, []).append(thread)
                 if r.conversation_key:
                     by_key[r.conversation_key] = thread
-            last[thread] = max(last.get(thread, r.sent_ts), r.sent_ts)
+            if not pd.isna(r.sent_ts):
+                last[thread] = max(last.get(thread, r.sent_ts), r.sent_ts)
             by_message[r.message_id] = thread
             out.append((r.message_id, thread))
         return pd.DataFrame(out, columns=["message_id", "thread_id"])

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettergraph.functions import html, rules, text
 from lettergraph.functions.dates import date_group, stamp, workdays_since
 from lettergraph.operators import daily, evidence, ingest, noise, people, promises, reports, search, state, stats, threads, vocabulary
 from lettergraph.shared import written
-from lettergraph.sources import adapters
+from lettergraph.sources import adapters, letters
 from lettergraph.sources.adapters import CONVERSATION_SQL, DOCUMENT_SQL, EVENT_SQL, ME, ORDER_SQL
 from lettergraph.streaming import fold as stream_fold
 from lettergraph.streaming import ingest as ingest_stream
@@ -245,10 +245,6 @@ SELECT sd.thread_id, score, CASE WHEN o.thread_id IS NOT NULL THEN 'mine' WHEN c
 FROM sd LEFT JOIN o USING (thread_id) LEFT JOIN tl USING (thread_id)"""
 
 
-def _asked(alias: str, day: str) -> str:
-    return f"SELECT thread_id, 'mine' AS state FROM {alias}"
-
-
 @query("events")
 def state_shift(m):
     def board(day: str) -> DataFrame:
@@ -260,6 +256,17 @@ def state_shift(m):
     return state.state_shift(board("2024-01-20"), board("2024-01-21"))
 
 
+def _board_sql(day: str) -> str:
+    """The board before a day: open requests, and own messages that have waited three working days."""
+    until = EVENT_SQL.replace("FROM events)", f"FROM events WHERE ts < TIMESTAMP '{day}')")
+    return f"""(WITH RECURSIVE {until}{_FOLD}{_OPEN}{_TAILS}, late AS (SELECT thread_id FROM tl WHERE t.is_sent AND {_WORK.format(a='t.sent_ts', b=f"DATE '{day}'")} >= 3 AND date_diff('day', t.sent_ts::DATE, DATE '{day}') <= 21)
+SELECT thread_id, 'mine' AS state FROM o UNION ALL SELECT thread_id, 'stuck' FROM late WHERE thread_id NOT IN (SELECT thread_id FROM o))"""
+
+
+ORACLE_SQL["state_shift"] = f"""WITH a AS {_board_sql("2024-01-20")}, b AS {_board_sql("2024-01-21")}, x AS (SELECT thread_id, a.state AS old, b.state AS new FROM a FULL JOIN b USING (thread_id)),
+s AS (SELECT thread_id, CASE WHEN new = 'mine' AND old IS DISTINCT FROM 'mine' THEN 'new_mine' WHEN new = 'stuck' AND old IS DISTINCT FROM 'stuck' THEN 'new_stuck' WHEN old IS NOT NULL AND new IS NULL THEN 'resolved' END AS shift FROM x) SELECT * FROM s WHERE shift IS NOT NULL"""
+
+
 # ------------------------------------------------------------------ statistics
 
 
@@ -631,6 +638,95 @@ def still_hidden(m):
     return threads.still_hidden(m, m.select("thread_id").distinct().withColumn("hidden_ts", F.lit("2024-01-29").cast("timestamp_ntz")))
 
 
+# ------------------------------------------------------------------ letters whose truth is known
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return letters.letter_messages(_table(spark, sf_dir, "events"))
+
+
+def letter_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags found in each letter's own text, quoted mail below it put aside first."""
+    m = _letters(spark, sf_dir)
+    found = text.signals(text.new_content(F.col("body")), F.lit(""), [])
+    return m.select("id", found.alias("s")).select("id", *[f"s.{k}" for k in letters.FLAG_NAMES])
+
+
+def letter_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each letter's writer wrote."""
+    return _letters(spark, sf_dir).select("id", text.new_content(F.col("body")).alias("content"))
+
+
+def promise_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promises in own letters with the day they name and whether I wrote again."""
+    m = _letters(spark, sf_dir).withColumn("body", text.new_content(F.col("body")))
+    return promises.promises(m).select("id", "quote", F.date_format("due", "yyyy-MM-dd").alias("due"), "replies_after", "followed_up")
+
+
+_LETTER = f"WITH t AS ({letters.TRUTH_SQL}), {EVENT_SQL}, lt AS (SELECT m.*, t.* EXCLUDE ({', '.join(k for k in letters.FLAG_NAMES)}), {', '.join(f't.{k} AS t_{k}' for k in letters.FLAG_NAMES)} FROM m JOIN t ON k = id % {letters.N_LETTERS})"
+QUERIES |= {f.__name__: f for f in (letter_signals, letter_content, promise_scan)}
+ORACLE_SQL["letter_signals"] = f"{_LETTER} SELECT id, {', '.join(f't_{k} AS {k}' for k in letters.FLAG_NAMES)} FROM lt"
+ORACLE_SQL["letter_content"] = f"{_LETTER} SELECT id, own AS content FROM lt"
+ORACLE_SQL["promise_scan"] = f"""{_LETTER}, w AS (SELECT *, coalesce(count_if(NOT is_sent) OVER later, 0)::BIGINT AS replies_after, coalesce(bool_or(is_sent) OVER later, false) AS followed_up, sent_ts::DATE AS d FROM lt
+WINDOW later AS (PARTITION BY thread_id ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT id, promise AS quote, strftime(CASE due WHEN '0' THEN d WHEN '1' THEN d + 1 WHEN '2' THEN d + 2 WHEN 'friday' THEN d + CAST(((4 - isodow(d) + 1 + 6) % 7) + 1 AS INTEGER) WHEN 'next tuesday' THEN d - CAST(isodow(d) - 1 AS INTEGER) + 7 + 1 + CASE WHEN isodow(d) > 2 THEN 7 ELSE 0 END END, '%Y-%m-%d') AS due,
+replies_after, followed_up FROM w WHERE is_sent AND promise IS NOT NULL"""
+
+
+def thread_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as mail on one subject a customer: answers name the mail before, others join by subject within 30 days."""
+    o = _table(spark, sf_dir, "orders")
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    mail = o.select(
+        F.concat(F.lit("<"), F.col("o_orderkey").cast("string"), F.lit(">")).alias("message_id"), F.col("o_orderkey").alias("number"), F.col("o_orderdate").alias("sent_ts"),
+        F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Re: ").otherwise(""), F.lit("Order of "), F.col("o_custkey").cast("string")).alias("subject"), F.lit("").alias("conversation_key"),
+        F.when(F.col("o_orderstatus") == "F", F.array_compact(F.array(F.concat(F.lit("<"), F.lag("o_orderkey").over(order).cast("string"), F.lit(">"))))).otherwise(F.array().cast("array<string>")).alias("refs"),
+    )
+    first = F.lit("1970-01-01").cast("timestamp_ntz")
+    arrived = mail.withColumn("arrival", F.datediff("sent_ts", first).cast("bigint") * 10_000_000 + F.col("number"))
+    return ingest.assign_threads(arrived).select("message_id", "thread_id")
+
+
+QUERIES["thread_assignment"] = thread_assignment
+ORACLE_SQL["thread_assignment"] = """WITH x AS (SELECT *, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) * 10000000 + o_orderkey AS arrival, lag(o_orderdate) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+b AS (SELECT *, CASE WHEN before IS NULL OR (o_orderstatus <> 'F' AND before < o_orderdate - INTERVAL 30 DAY) THEN arrival END AS opens FROM x)
+SELECT '<' || o_orderkey || '>' AS message_id, max(opens) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS thread_id FROM b"""
+
+
+def quote_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of a named message, their white space changed, moved to a wrong message, or reworded: which stand."""
+    m = adapters.conversation_messages(_table(spark, sf_dir, "conversations"))
+    some = F.substring(F.regexp_replace(F.coalesce("body", F.lit("")), r"\\s+", ""), 3, 40)
+    quote = F.when(F.col("id") % 3 == 0, F.regexp_replace(some, "(.{7})", "$1 \n")).when(F.col("id") % 3 == 1, some).otherwise(F.concat(some, F.lit("zz")))
+    claims = m.select((F.col("id") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("mid"), F.col("id").alias("claim"), quote.alias("quote"))
+    return evidence.verified_quotes(claims, m).select("claim", "mid")
+
+
+QUERIES["quote_named"] = quote_named
+ORACLE_SQL["quote_named"] = f"""WITH {CONVERSATION_SQL}, f AS (SELECT id, regexp_replace(coalesce(body, ''), '\\s+', '', 'g') AS t FROM m), c AS (SELECT id AS claim, id + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS mid, substr(t, 3, 40) || CASE WHEN id % 3 = 2 THEN 'zz' ELSE '' END AS q FROM f)
+SELECT claim, mid FROM c JOIN f ON f.id = mid WHERE length(q) >= 10 AND contains(t, q)"""
+
+
+def quote_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of a thread and period: of a named message, or of the only one that holds them; mine or theirs as claimed."""
+    m = event_bodies(spark, sf_dir)
+    claims = m.where("id % 4 < 3").select("thread_id", F.when(F.col("id") % 4 == 0, F.col("id")).alias("mid"), F.when(F.col("id") % 4 == 1, F.col("is_sent")).when(F.col("id") % 8 == 2, ~F.col("is_sent")).alias("mine"), F.col("id").alias("claim"), F.col("body").alias("quote"))
+    return evidence.resolved_quotes(claims, m, *WEEK).select("claim", "id")
+
+
+def event_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with a body that few others of the thread share."""
+    m = adapters.event_messages(_table(spark, sf_dir, "events"))
+    return m.withColumn("body", F.concat(F.lit("The figure of line "), F.regexp_extract("body", "([0-9]+)", 1), F.lit(" was agreed.")))
+
+
+QUERIES["quote_resolve"] = quote_resolve
+ORACLE_SQL["quote_resolve"] = f"""WITH {EVENT_SQL}, x AS (SELECT *, regexp_extract(body, '([0-9]+)', 1) AS q FROM m), w AS (SELECT * FROM x WHERE sent_ts >= TIMESTAMP '{WEEK[0]}' AND sent_ts < TIMESTAMP '{WEEK[1]}' + INTERVAL 1 DAY),
+c AS (SELECT thread_id, id AS claim, q, CASE WHEN id % 4 = 0 THEN id END AS mid, CASE WHEN id % 4 = 1 THEN is_sent WHEN id % 8 = 2 THEN NOT is_sent END AS mine FROM x WHERE id % 4 < 3),
+hit AS (SELECT claim, c.mid, w.id, count(*) OVER (PARTITION BY claim) AS n FROM c JOIN w ON w.thread_id = c.thread_id AND w.q = c.q AND (mine IS NULL OR mine = is_sent) WHERE mid IS NULL OR mid = w.id)
+SELECT claim, id FROM hit WHERE mid IS NOT NULL OR n = 1"""
+
+
 # ------------------------------------------------------------------ a day, a period, a person
 
 DAY = "2024-01-17"
