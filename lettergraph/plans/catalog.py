@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lettergraph.functions import html, rules, text
 from lettergraph.functions.dates import date_group, stamp, workdays_since
-from lettergraph.operators import daily, evidence, ingest, noise, people, promises, reports, search, state, stats, threads, vocabulary
+from lettergraph.operators import daily, evidence, ingest, noise, people, promises, records, reports, search, state, stats, threads, vocabulary
 from lettergraph.shared import written
 from lettergraph.sources import adapters, letters
 from lettergraph.sources.adapters import CONVERSATION_SQL, DOCUMENT_SQL, EVENT_SQL, ME, ORDER_SQL
@@ -791,3 +791,72 @@ def numbering_faults(m):
 @query("events", """, l AS (SELECT thread_id, arg_max(struct_pack(id := id, s := is_sent, w := sender_addr, b := body), (sent_ts, id)) AS r FROM m GROUP BY thread_id) SELECT thread_id, r.id AS id, CASE WHEN r.s THEN 'me' ELSE r.w END AS who, r.b AS line FROM l""")
 def last_lines(m):
     return daily.last_lines(m)
+
+
+# ------------------------------------------------------------------ records
+
+
+@query("events", f"""SELECT id FROM m WHERE CASE WHEN is_sent THEN list_contains(to_addrs || cc_addrs, '{PERSON}') ELSE sender_addr = '{PERSON}' END AND sent_ts::DATE BETWEEN DATE '{TODAY}' - 30 AND DATE '{TODAY}' ORDER BY sent_ts DESC, id DESC LIMIT 60""")
+def brief_seeds(m):
+    return records.brief_seeds(m, PERSON, TODAY, months=1)
+
+
+@query("events", f"""RECURSIVE {_FOLD}{_OPEN}{_LEVEL}{_TAILS}, q AS (SELECT category FROM ({ORACLE_SQL["intervention_queue"].split("q AS (", 1)[1].rsplit("SELECT thread_id, category, days::INTEGER", 1)[0].rstrip().removesuffix(")")}) WHERE days <= 21)
+SELECT category, count(*) AS n FROM q GROUP BY category UNION ALL SELECT 'all', count(*) FROM q""")
+def queue_breakdown(m):
+    return records.queue_breakdown(state.intervention_queue(threads.thread_tails(m), _levels(m), TODAY))
+
+
+@query("events", f"""RECURSIVE {_FOLD}{_OPEN}{_LEVEL} SELECT CASE WHEN level = 'none' THEN 'none' ELSE 'shown' END AS shown, count(*) AS n FROM v GROUP BY 1""")
+def dismissed_levels(m):
+    """Levels with requests of every seventh thread dismissed: these show as none."""
+    hard = noise.hard_sender(F.col("sender_addr"), IGNORED)
+    rows = state.levels(state.open_actions(m), m, [ME], hard, noise.external_sender(F.col("sender_addr"), INTERNAL), broadcast_to=3, dismissed=F.col("thread_id") % 7 == 0)
+    return rows.groupBy(F.when(F.col("level") == "none", "none").otherwise("shown").alias("shown")).agg(F.count("*").alias("n"))
+
+
+ORACLE_SQL["dismissed_levels"] = ORACLE_SQL["dismissed_levels"].replace("CASE WHEN level = 'none'", "CASE WHEN level = 'none' OR thread_id % 7 = 0")
+
+
+@query("events", f"""SELECT thread_id, string_agg('[mid=' || id || ' · thread=#' || thread_id || ' · ' || strftime(sent_ts, '%Y-%m-%d %H:%M') || ' · ' || CASE WHEN is_sent THEN 'me' ELSE sender_addr END || '] ' || subject || chr(10) || body, chr(10) || chr(10) ORDER BY sent_ts, id) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY sent_ts DESC, id DESC) AS nr FROM m WHERE sent_ts < TIMESTAMP '{WEEK[0]}') WHERE nr <= 3 GROUP BY thread_id""")
+def material_before(m):
+    return records.material_before(m, WEEK[0])
+
+
+@query("events", f"""SELECT thread_id, count(*) AS got, count_if(NOT contains(sender_addr, '@d3.test'))::BIGINT AS clean, max(seq) AS seq FROM m WHERE NOT is_sent GROUP BY thread_id""")
+def noise_high_water(m):
+    """Noise counts taken in two steps, as two syncs would; the same as of all messages at once."""
+    hard = noise.hard_sender(F.col("sender_addr"), IGNORED)
+    none = m.where(~F.col("is_sent")).limit(0).select("thread_id", F.lit(0).cast("bigint").alias("got"), F.lit(0).cast("bigint").alias("clean"), "seq")
+    first = records.noise_high_water(none, m.where("seq <= 600"), hard)
+    return records.noise_high_water(first, m.where("seq > 600"), hard)
+
+
+@query("events", f"""SELECT sender_addr, thread_id, arg_min(id, (sent_ts, id)) AS id FROM m GROUP BY sender_addr, thread_id""")
+def first_subjects(m):
+    return records.first_subjects(m)
+
+
+@query("events", f""", l AS (SELECT thread_id FROM m WHERE (CASE WHEN is_sent THEN list_contains(to_addrs || cc_addrs, '{PERSON}') ELSE sender_addr = '{PERSON}' END) AND NOT hidden GROUP BY thread_id ORDER BY max(sent_ts) DESC, thread_id LIMIT 12)
+SELECT thread_id, id, CASE WHEN is_sent THEN 'me' ELSE sender_addr END AS who, body FROM m WHERE thread_id IN (SELECT thread_id FROM l) AND (is_sent OR sender_addr = '{PERSON}')""")
+def person_material(m):
+    return records.person_material(m, PERSON).select("thread_id", "id", "who", "body")
+
+
+@query("events", """, u AS (SELECT sender_addr AS who, subject_word AS term, thread_id, max((sent_ts, id)) AS last FROM (SELECT *, unnest(string_split(subject, ' ')) AS subject_word FROM m) GROUP BY 1, 2, 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY who, term ORDER BY last DESC, thread_id) AS nr FROM u) SELECT who, term, nr::INTEGER AS nr, thread_id FROM n WHERE nr <= 3""")
+def term_evidence(m):
+    """The newest threads of each sender and subject word."""
+    b = m.select(F.col("sender_addr").alias("who"), "thread_id", "sent_ts", "id", F.array_distinct(F.split("subject", " ")).alias("terms"))
+    return records.term_evidence(b, b.select("who", F.explode("terms").alias("term")).distinct())
+
+
+def html_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bodies: those past a cutoff pruned, some with an image inside."""
+    page = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<img src='data:image/png;base64,AA'>"))).otherwise(F.col("html"))
+    return records.html_lifecycle(_table(spark, sf_dir, "pages").select(html.pruned_html(page, F.col("page_id"), F.lit(100)).alias("html")))
+
+
+QUERIES["html_lifecycle"] = html_lifecycle
+ORACLE_SQL["html_lifecycle"] = "SELECT count_if(page_id >= 100 OR page_id % 3 = 0)::BIGINT AS held, count_if(page_id >= 100 AND page_id % 3 = 0)::BIGINT AS with_images, count_if(page_id < 100 AND page_id % 3 = 0)::BIGINT AS pruned FROM pages"
