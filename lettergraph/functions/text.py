@@ -123,15 +123,16 @@ def cut_line(lines: Column) -> Column:
     """0-based line at which quoted mail begins, or the number of lines.
 
     A labelled rule; an attribution with an address, or short and with four digits; a header line after a blank or a rule
-    with three more labels in the next thirteen lines.
+    with three more labels in the next twelve lines that are not blank.
     """
     def starts(line: Column, i: Column) -> Column:
         s = F.trim(line)
         digits = F.length(F.regexp_replace(s, r"[^0-9]", ""))
         attributed = s.rlike(rules.ATTRIBUTION) & (s.rlike(rules.ADDRESS_HINT) | ((F.length(s) <= 140) & (digits >= 4)))
         previous = F.when(i > 0, F.trim(F.get(lines, i - 1))).otherwise("")
-        labels = F.size(F.filter(F.slice(lines, i + 2, F.lit(13)), lambda x: x.rlike(rules.HEADER_FOLLOW)))
-        header = line.rlike(rules.HEADER_FIRST) & ((previous == "") | previous.rlike(rules.DASHES)) & (labels >= 3)
+        following = F.slice(F.filter(F.slice(lines, i + 2, F.size(lines)), lambda x: F.trim(x) != ""), 1, 12)
+        labels = F.size(F.filter(following, lambda x: x.rlike(rules.HEADER_FOLLOW)))
+        header = F.when(line.rlike(rules.HEADER_FIRST) & ((previous == "") | previous.rlike(rules.DASHES)), labels >= 3).otherwise(False)
         return F.when(s.rlike(rules.CUT_LINE) | attributed | header, i)
 
     return F.coalesce(F.array_min(F.transform(lines, starts)), F.size(lines))
@@ -166,11 +167,24 @@ def new_content(text: Column, preserve: Column | None = None) -> Column:
 
 
 def smart_truncated(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters: the head's three fifths, a mark, and the end, where conclusions stand."""
-    mark = "\n…\n"
-    head = (limit - len(mark)) * 6 // 10
-    tail = limit - len(mark) - head
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, head)), F.lit(mark), F.ltrim(F.substring(text, -tail, tail))))
+    """At most ``limit`` characters: three fifths from the beginning, how much is left out, and the end, where conclusions stand.
+
+    A row of a table that a cut falls into goes whole.  A limit with no room for both parts leaves the beginning.
+    """
+    room = limit - 24  # the mark takes up to so much
+    if room < 20:
+        return F.substring(text, 1, limit)
+    head = F.substring(text, 1, room * 6 // 10)
+    open_row = F.substring_index(head, "\n", -1)
+    head = F.when(open_row.startswith("|") & (F.length(open_row) < F.length(head)), F.substring(head, F.lit(1), F.length(head) - F.length(open_row))).otherwise(head)
+    tail = F.substring(text, -(room - room * 6 // 10), room)
+    torn = F.substring_index(tail, "\n", 1)
+    tail = F.when(F.contains(torn, F.lit("|")) & (F.length(torn) < F.length(tail)), F.substring(tail, F.length(torn) + 2, F.length(tail))).otherwise(tail)
+    both = let(F.struct(F.rtrim(head).alias("head"), F.ltrim(tail).alias("tail")), lambda p: F.concat(
+        # The words of the mark, "left out" and "characters".
+        p["head"], F.lit("\n…(중략 — "), F.format_number(F.length(text) - F.length(p["head"]) - F.length(p["tail"]), 0), F.lit("자)…\n"), p["tail"]
+    ))
+    return F.when(F.length(text) <= limit, text).otherwise(both)
 
 
 def lead_line(text: Column, greeting_max: int = 12) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lettergraph.functions import rules
 from lettergraph.functions.dates import stamp, week_start
 from lettergraph.functions.text import collapsed, own_text, sentences
-from lettergraph.operators.stats import reply_pairs
+from lettergraph.operators.stats import medians, reply_pairs
 from lettergraph.operators.threads import key, on_day
 
 
@@ -63,7 +63,7 @@ def person_weeks(m: DataFrame, addr: str) -> DataFrame:
 
 def person_response(m: DataFrame) -> DataFrame:
     """Median hours both ways with every counterpart."""
-    one = lambda mine, name: reply_pairs(m, mine).groupBy(F.col("who").alias("addr")).agg(F.median("hours").alias(name), F.count("*").alias(f"n_{name}"))
+    one = lambda mine, name: medians(reply_pairs(m, mine).withColumnRenamed("who", "addr"), ["addr"], "hours").select("addr", F.col("median").alias(name), F.col("n").alias(f"n_{name}"))
     return one(True, "mine").join(one(False, "theirs"), "addr", "full_outer")
 
 

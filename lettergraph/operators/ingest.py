@@ -140,6 +140,8 @@ def merged_by_time(sources: list[DataFrame]) -> DataFrame:
     return out.orderBy("sent_ts", "message_id")
 
 
-def since(records: DataFrame, watermark: str, overlap_minutes: int = 30) -> DataFrame:
-    """Records after a watermark with some overlap; a plain range, so it reaches the source."""
-    return records.where(F.col("sent_ts") > F.lit(watermark).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(overlap_minutes)))
+def since(records: DataFrame, watermark: str, overlap_minutes: int = 30, zone: str | None = None) -> DataFrame:
+    """Records after a watermark with some overlap; a plain range, so it reaches the source.  ``zone`` is where the watermark's clock
+    stands, if the records' times are UTC."""
+    at = F.lit(watermark).cast("timestamp_ntz") if zone is None else F.convert_timezone(F.lit(zone), F.lit("UTC"), F.lit(watermark).cast("timestamp_ntz"))
+    return records.where(F.col("sent_ts") > at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(overlap_minutes)))

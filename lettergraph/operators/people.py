@@ -70,7 +70,12 @@ def thread_context(m: DataFrame, addr: str, me: str, threads: int = 8, excerpts:
 
 
 def homonyms(directory: DataFrame) -> DataFrame:
-    """Names that several addresses share get their address's local part as a suffix."""
-    shared = Window.partitionBy("name")
-    label = F.when((F.col("name") != "") & (F.count("*").over(shared) > 1), F.concat("name", F.lit(" ("), F.substring_index("addr", "@", 1), F.lit(")"))).when(F.col("name") != "", F.col("name")).otherwise(F.col("addr"))
-    return directory.select("addr", label.alias("label"))
+    """Names that several addresses share get their address's local part as a suffix; without a name the address stands.
+
+    Names are counted in partial sums, and the many people without one take no part in that.
+    """
+    named = directory.where("name <> ''")
+    shared = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", F.lit(True).alias("several"))
+    label = F.when(F.col("several"), F.concat("name", F.lit(" ("), F.substring_index("addr", "@", 1), F.lit(")"))).otherwise(F.col("name"))
+    blank = directory.where("coalesce(name, '') = ''").select("addr", F.col("addr").alias("label"))
+    return named.join(shared, "name", "left").select("addr", label.alias("label")).unionByName(blank)

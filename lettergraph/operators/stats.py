@@ -38,15 +38,35 @@ def reply_pairs(m: DataFrame, mine: bool) -> DataFrame:
     return pairs.select("thread_id", "id", F.col("r.id").alias("reply_id"), who.alias("who"), F.col("r.sent_ts").alias("reply_ts"), _hours(F.col("sent_ts"), F.col("r.sent_ts")).alias("hours")).where((F.col("hours") > 0) & (F.col("hours") < MAX_HOURS))
 
 
+def medians(rows: DataFrame, keys: list[str], value: str, step: float = 1 / 3600) -> DataFrame:
+    """Exact median and number of a value for each key, without a task that holds a key's values.
+
+    Equal values are counted first, then steps of ``step``; running counts over a key's steps, of which there are as many as the
+    value's range holds, lead to the one or two in which the middle lies, and only their values are ordered.
+    """
+    counts = rows.groupBy(*keys, F.floor(F.col(value) / step).alias("_step"), F.col(value).alias("_value")).agg(F.count("*").alias("_c"))
+    along = Window.partitionBy(*keys).orderBy("_step")
+    steps = counts.groupBy(*keys, "_step").agg(F.sum("_c").alias("_in")).withColumn("_to", F.sum("_in").over(along)).withColumn("n", F.sum("_in").over(Window.partitionBy(*keys)))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)  # places of the middle values, from 0
+    start = F.col("_to") - F.col("_in")
+    middle = steps.where((low < F.col("_to")) & (high >= start)).withColumn("_first", start).drop("_in", "_to")
+    inside = Window.partitionBy(*keys, "_step").orderBy("_value")
+    placed = counts.join(middle, [*keys, "_step"]).withColumn("_end", F.col("_first") + F.sum("_c").over(inside)).withColumn("_begin", F.col("_end") - F.col("_c"))
+    held = lambda at: F.max(F.when((F.col("_begin") <= at) & (at < F.col("_end")), F.col("_value")))
+    return placed.groupBy(*keys).agg(((held(low) + held(high)) / 2).alias("median"), F.max("n").alias("n"))
+
+
 def latency_by_week(pairs: DataFrame) -> DataFrame:
     """Median hours by the week of the answer."""
-    return pairs.groupBy(F.date_format(week_start(F.col("reply_ts")), "yyyy-MM-dd").alias("week")).agg(F.median("hours").alias("median_hours"), F.count("*").alias("n"))
+    weeks = pairs.withColumn("week", F.date_format(week_start(F.col("reply_ts")), "yyyy-MM-dd"))
+    return medians(weeks, ["week"], "hours").select("week", F.col("median").alias("median_hours"), "n")
 
 
 def response_summary(mine: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Median and number of both directions."""
-    one = lambda df, side: df.agg(F.median("hours").alias("median_hours"), F.count("*").alias("n")).select(F.lit(side).alias("side"), "median_hours", "n")
-    return one(mine, "mine").union(one(theirs, "theirs"))
+    """Median and number of both directions; a direction without answers has no row but n 0."""
+    both = mine.select(F.lit("mine").alias("side"), "hours").unionByName(theirs.select(F.lit("theirs").alias("side"), "hours"))
+    sides = mine.sparkSession.createDataFrame([("mine",), ("theirs",)], "side string")
+    return sides.join(medians(both, ["side"], "hours"), "side", "left").select("side", F.col("median").alias("median_hours"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def inbox_mix(m: DataFrame, me: str, noisy: Column, broadcast_to: int = 3) -> DataFrame:

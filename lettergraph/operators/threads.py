@@ -75,17 +75,26 @@ def tab_counts(m: DataFrame, noise_threads: DataFrame, flagged: Column, noted: C
                     _count(shown & F.col("noted")).alias("n_noted"), _count(F.col("hidden")).alias("n_hidden"))
 
 
-def thread_page(m: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """One page of the thread list, newest first; hot when three or more messages or five days long."""
+def thread_page(m: DataFrame, limit: int, offset: int = 0, tab: Column | None = None) -> DataFrame:
+    """One page of the thread list, newest first; hot when three or more messages or five days long.
+
+    ``tab`` narrows the list: a condition over thread_id, n, unread_n, first_ts and last_ts.
+    """
     rows = m.where(~F.coalesce("hidden", F.lit(False))).groupBy("thread_id").agg(
         F.min_by("subject", key()).alias("first_subject"), F.max_by("sender_addr", key()).alias("last_sender"), F.count("*").alias("n"), _count(~F.col("is_sent") & ~F.col("read")).alias("unread_n"),
         F.min("sent_ts").alias("first_ts"), F.max("sent_ts").alias("last_ts"),
     )
     hot = (F.col("n") >= 3) | (F.datediff("last_ts", "first_ts") >= 5)
-    page = rows.orderBy(F.col("last_ts").desc(), "thread_id").offset(offset).limit(limit)
+    page = (rows if tab is None else rows.where(tab)).orderBy(F.col("last_ts").desc(), "thread_id").offset(offset).limit(limit)
     return page.select("thread_id", "first_subject", "last_sender", "n", "unread_n", stamp(F.col("last_ts")).alias("last_on"), hot.alias("hot"))
 
 
+def thread_messages(m: DataFrame, thread_id: int, author: str | None = None) -> DataFrame:
+    """A thread's messages in time order, of one author if named."""
+    rows = m.where(F.col("thread_id") == thread_id)
+    return (rows if author is None else rows.where(F.lower("sender_addr") == author.lower())).orderBy("sent_ts", "id")
+
+
 def overlay(current: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Flags a reader set (hide, flag, dismiss, done): the newest row of a key wins over all older ones."""
     both = current.unionByName(changes, allowMissingColumns=True)

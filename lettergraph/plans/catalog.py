@@ -547,7 +547,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_action_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The open requests again, folded by a stateful stream."""
     rows = ingest_stream.run_to_table(stream_fold.open_actions_stream(_event_stream(spark, sf_dir)), "update", "fold")
-    return ingest_stream.newest(rows, ["thread_id"]).where("source_id > 0").drop("late")
+    return stream_fold.refolded(ingest_stream.newest(rows, ["thread_id"]), adapters.event_messages(_table(spark, sf_dir, "events")))
 
 
 def stream_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,17 @@ def reader(name: str):
 
 
 def read(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Records of a registered source with derived time; a blank time is null and stays in ``sent_on``."""
+    """Records of a registered source with derived time; a blank time is null and stays in ``sent_on``.
+
+    A record without a message id is named by a digest of its time, sender, subject and bodies, so that two of them stay two
+    and one that is read again stays one.
+    """
     if name not in READERS:
         raise ValueError(f"no source {name!r}; there are {sorted(READERS)}")
     rows = READERS[name](spark, path)
+    content = F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in ("sent_on", "sender_addr", "subject", "body_text", "body_html")])
+    own = F.trim(F.coalesce("message_id", F.lit("")))
+    rows = rows.withColumn("message_id", F.when(own != "", own).otherwise(F.concat(F.lit("<"), F.sha2(content.cast("binary"), 256), F.lit("@no-id>"))))
     return rows.withColumn("sent_ts", F.try_to_timestamp(F.when(F.col("sent_on") != "", F.replace("sent_on", F.lit("T"), F.lit(" ")))).cast("timestamp_ntz"))
 
 
@@ -106,5 +113,9 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 
 def result_json(found: DataFrame) -> DataFrame:
-    """Search results as JSON rows: id, thread_id, subject, sender, date to the minute, direction, tier."""
-    return found.select(F.to_json(F.struct("id", "thread_id", "subject", "sender_addr", F.date_format("sent_ts", "yyyy-MM-dd'T'HH:mm").alias("date"), "is_sent", "tier")).alias("value"))
+    """Search results as JSON rows: id, thread_id, subject, sender, date to the minute, direction, attachments, tier, snippet."""
+    has = F.coalesce(F.size("attach_names") > 0, F.lit(False)) if "attach_names" in found.columns else F.lit(False)
+    snippet = F.col("snippet") if "snippet" in found.columns else F.lit("")
+    return found.select(F.to_json(F.struct(
+        "id", "thread_id", "subject", "sender_addr", F.date_format("sent_ts", "yyyy-MM-dd'T'HH:mm").alias("date"), "is_sent", has.alias("has_attach"), "tier", snippet.alias("snippet")
+    )).alias("value"))

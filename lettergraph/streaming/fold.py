@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lettergraph.operators.state import open_actions
+
 STATE = "source_id long, strong boolean, decide boolean, has_deadline boolean, completion_after boolean, last_us long, last_id long, late boolean"
 OUTPUT = "thread_id long, source_id long, strength string, kind string, has_deadline boolean, completion_after boolean, late boolean"
 COLUMNS = ("id", "sent_ts", "is_sent", "is_trivial", "has_withdrawal", "has_completion", "has_strong_request", "has_weak_request", "has_decision", "has_question", "has_deadline", "mentions_me")
@@ -38,5 +41,12 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def open_actions_stream(m: DataFrame) -> DataFrame:
     """A row a thread and micro-batch with the thread's slot (source 0: closed).  ``late`` marks threads that a message
-    reached out of order: these are folded again from the table, as the order of events decides."""
+    reached out of order: ``refolded`` takes these from the table, as the order of events decides."""
     return m.select("thread_id", *COLUMNS).groupBy("thread_id").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def refolded(newest: DataFrame, m: DataFrame) -> DataFrame:
+    """Open requests from the stream's newest rows, with threads that a late message reached folded again from all their messages."""
+    late = newest.where("late").select("thread_id")
+    kept = newest.where("NOT late AND source_id > 0").drop("late")
+    return kept.unionByName(open_actions(m.join(late, "thread_id", "left_semi")).select(*[F.col(c) for c in kept.columns]))

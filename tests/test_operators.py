@@ -224,3 +224,47 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == m.count()
     with pytest.raises(ValueError, match="no source"):
         files.read(spark, "none", "x")
+
+
+def test_medians_are_exact(spark):
+    import statistics
+
+    from lettergraph.operators import stats
+
+    r = random.Random(3)
+    rows = [(k, r.choice([0.0, 0.5, 0.50001, 3.25, r.uniform(0, 700), -r.random()])) for k in "abc" for _ in range(r.choice([1, 2, 301, 400]))]
+    got = {x.k: (x.median, x.n) for x in stats.medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    want = {k: (statistics.median([v for j, v in rows if j == k]), sum(j == k for j, _ in rows)) for k in {j for j, _ in rows}}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+
+
+def test_late_threads_are_folded_again(spark, tmp_path):
+    rows, m = messages(spark, 12)
+    for k in (2, 0, 3, 1):  # files out of time order, one a micro-batch
+        m.where((F.col("id") >= 100 * k) & (F.col("id") < 100 * k + 100)).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    newest = streams.newest(streams.run_to_table(fold.open_actions_stream(streams.file_stream(spark, str(tmp_path / "m"), files_per_batch=1)), "update", "t"), ["thread_id"])
+    assert newest.where("late").count() > 20
+    got = {r.thread_id: (r.source_id, r.strength == "strong", r.kind == "decide", r.has_deadline, r.completion_after) for r in fold.refolded(newest, m).collect()}
+    assert got == direct_fold(rows)
+
+
+def test_mail_without_an_id_stays_apart(spark, tmp_path):
+    mail = lambda day, who: f"From x\nFrom: {who}\nDate: Mon, {day} Jan 2024 10:00:00 +0000\nSubject: s\n\nhello\n"
+    (tmp_path / "a.mbox").write_text(mail(1, "a@x.test") + "\n" + mail(2, "a@x.test") + "\n" + mail(1, "a@x.test"))
+    got = [r.message_id for r in files.read(spark, "mbox", str(tmp_path / "a.mbox")).collect()]
+    assert len(got) == 3 and len(set(got)) == 2 and all(i.endswith("@no-id>") for i in got)
+
+
+def test_subject_threads_rest_but_late_mail_still_joins(spark):
+    day = lambda n: T0 + dt.timedelta(days=n)
+    rows = [("a", 1, day(0)), ("b", 2, day(10)), ("c", 3, day(100)), ("d", 4, day(101)), ("e", 6, day(300)), ("f", 5, day(310)), ("g", 7, day(105)), ("n", 8, None)]
+    df = spark.createDataFrame([(m, [], "", "plan", t, k) for m, k, t in rows], "message_id string, refs array<string>, conversation_key string, subject string, sent_ts timestamp_ntz, arrival long")
+    assert {r.message_id: r.thread_id for r in ingest.assign_threads(df).collect()} == {"a": 1, "b": 1, "c": 3, "d": 3, "f": 5, "e": 5, "g": 5, "n": 8}
+
+
+def test_page_tabs_and_thread_messages(spark):
+    m = spark.createDataFrame([(1, 1, T0, False, False, "a@x", "s"), (2, 2, T0, False, True, "b@x", "s"), (3, 1, T0 + dt.timedelta(1), True, True, "me", "s")], "id long, thread_id long, sent_ts timestamp_ntz, is_sent boolean, read boolean, sender_addr string, subject string").withColumn("hidden", F.lit(False))
+    assert [r.thread_id for r in threads.thread_page(m, 9, tab=F.col("unread_n") > 0).collect()] == [1]
+    assert [r.id for r in threads.thread_messages(m, 1).collect()] == [1, 3] and [r.id for r in threads.thread_messages(m, 1, "A@x").collect()] == [1]
+    wide = spark.createDataFrame([(k, T0) for k in range(100_000)], "arrival long, sent_ts timestamp_ntz")
+    assert ingest.allocated_ids(wide, digits=5).select("id").distinct().count() == 100_000

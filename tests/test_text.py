@@ -68,7 +68,13 @@ def test_subjects_and_words(spark):
     assert [r.n for r in rows] == ["the plan", "report", ""]
     w = spark.createDataFrame([("The server at https://x.test/a and 서버에서 첨부합니다 결과 a@b.test",)], "s string").select(text.words(F.col("s"), ("the", "and")).alias("w")).first().w
     assert w == ["server", "서버", "첨부", "결과"]
-    assert spark.range(1).select(text.smart_truncated(F.lit("x" * 50 + "END"), 20).alias("t")).first().t.endswith("END")
+    cut = lambda t, n: spark.range(1).select(text.smart_truncated(F.lit(t), n).alias("t")).first().t
+    long = cut("y" * 4000 + "x" * 50 + "END", 200)
+    assert long.endswith("xEND") and "\n…(중략 — 3,877자)…\n" in long and long.startswith("y" * 105) and len(long) <= 200
+    assert cut("x" * 50 + "END", 20) == "x" * 20 and cut("short", 20) == "short"
+    table = "head\n" + "".join(f"| row {i} | {'v' * 20} |\n" for i in range(60)) + "the end"
+    lines = cut(table, 300).split("\n")
+    assert all(x.endswith("|") for x in lines if x.startswith("|")) and lines[0] == "head" and lines[-1] == "the end"
     assert spark.range(1).select(text.json_object(F.lit('say {"a": {"b": 1}} end')).alias("t")).first().t == '{"a": {"b": 1}}'
 
 
