@@ -119,10 +119,10 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", disclosure: float
     if joint.isEmpty():
         empty = docs.sparkSession.createDataFrame([], "entity string, term string, score double")
         return empty, docs.sparkSession.createDataFrame([], "k bigint, terms array<string>")
-    # Of all texts only these terms are counted; no text travels, and copies of one meet in (term, k).
-    # Outer: for a plain explode Spark makes a filter of the array's size, which would build every array twice.
-    held_terms = texts.select("k", F.explode_outer(_terms(F.coalesce("t", F.lit("")))).alias("term")).join(joint.select("term").distinct(), "term", "left_semi")
-    with_term = held_terms.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    # Each text's terms are counted where it lies, so a common term costs no group; outer, as for a plain explode Spark makes a
+    # filter of the array's size, which would build every array twice.
+    distinct_texts = texts.dropDuplicates(["k"]).select(F.explode_outer(_terms(F.coalesce("t", F.lit("")))).alias("term"))
+    with_term = distinct_texts.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("with_term"))
     terms = written(joint.join(with_term, "term").select("entity", "term", score(F.col("with_term")).alias("score")).where(F.col("score") >= disclosure), "terms")
     reveals = terms.groupBy("entity").agg(F.collect_set("term").alias("terms"))
     per_text = places.join(reveals, "entity").groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
