@@ -21,7 +21,7 @@ higher than all but ``miss``, which plainer tokens than these reach (a run of
 digits under a grammar of hexadecimal keys).
 
 Classes keep upper and lower case apart: a digit, a to f, g to z, A to F, G to Z,
-and each sign as itself.
+each sign as itself, and ``?`` for all outside ASCII, which no candidate holds.
 
 Defined cases: null text is empty; texts and tokens of any length are read and
 scored whole; without labelled credentials only base spans are found, with no
@@ -35,6 +35,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -55,27 +56,30 @@ SAMPLE = 3_000
 ALPHA = 0.05
 MISS = 0.02
 DEPTH = 80  # of the prefix tree
-_LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so these are the runs of HEX that are long enough
-_CLASSES = str.maketrans({c: k for k, chars in (("0", "0123456789"), ("h", "abcdef"), ("z", "ghijklmnopqrstuvwxyz"), ("H", "ABCDEF"), ("Z", "GHIJKLMNOPQRSTUVWXYZ")) for c in chars})
+_LONG_HEX = re.compile(r"[0h]{24,}")  # over classes; runs are maximal, so these are the runs of HEX that are long enough
+_NAMES = (b"passw", b"secret", b"token", b"apikey", b"api_key")  # every match of ASSIGN holds one of these in lower case
+_CLASSES = bytes.maketrans(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0" * 10 + b"h" * 6 + b"z" * 20 + b"H" * 6 + b"Z" * 20)
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 _WORDS = pa.schema([("kind", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
 _SPANS_TYPE = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
+def symbols(text: str) -> str:
+    """Character classes, one a code point: 0 digit, h and H hexadecimal letters, z and Z other letters, ? outside ASCII, any other as it is."""
+    return text.encode("ascii", "replace").translate(_CLASSES).decode("ascii")
+
+
 def base_matches(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value) by start, then kind."""
-    found = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+    found, plain = [], text.encode("ascii", "replace").lower()
+    if any(name in plain for name in _NAMES):
+        found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
-    found += [(m.start(), 2, m.end(), m[0]) for m in _LONG_HEX.finditer(text)]
+    found += [(m.start(), 2, m.end(), text[m.start() : m.end()]) for m in _LONG_HEX.finditer(symbols(text))]
     return [(KINDS[k], s, e, v) for s, k, e, v in sorted(found)]
 
 
-def symbols(token: str) -> str:
-    """Character classes: 0 digit, h and H hexadecimal letters, z and Z other letters, any other as it is."""
-    return token.translate(_CLASSES)
-
-
 class Automaton:
     """A probabilistic automaton: per state the count, the count of ends, how many symbols were still to come, and the counts
     and targets by symbol."""
@@ -105,6 +109,16 @@ class Automaton:
         for word, n in sorted(words.items()):
             if len(word) > DEPTH:
                 self._run_on(word, n)
+        # The log2 shares and targets by state and symbol; a symbol not seen there has a small share and leads nowhere else.
+        share = lambda n, s: math.log2((n + 0.01) / ((self.total[s] or 1) + 1))
+        self.steps, self.other, self.stop, ways = {}, {}, {}, [0]
+        while ways:
+            s = ways.pop()
+            if s not in self.steps:
+                self.steps[s] = {c: (share(n, s), self.to[s].get(c, s)) for c, n in self.out[s].items()}
+                self.other[s], self.stop[s] = (share(0, s), s), math.log2((self.ends[s] + 0.01) / (self.total[s] + 1))
+                ways += self.to[s].values()
+        del self.total, self.ends, self.out, self.to, self.ahead  # the prefix tree has done its work
 
     def _run_on(self, word: str, n: int) -> None:
         """Count the symbols past the tree in the merged states; one without a way on stays where it is."""
@@ -182,15 +196,18 @@ class Automaton:
                 queue += [(a, x) for a in accepted for x in sorted(self.to[a]) if self.to[a][x] not in accepted and (a, x) not in queue]
         self.states = len(accepted)
 
-    def score(self, word: str) -> float:
-        """Mean log2 probability of a symbol, the end counted as one; unseen ones have a small share and lead nowhere else."""
-        s, bits = 0, 0.0
+    def score(self, word: str, least: float = -math.inf) -> float:
+        """Mean log2 probability of a symbol, the end counted as one.
+
+        Shares only lower a sum, so a score that can't reach ``least`` any more comes back as minus infinity at once.
+        """
+        s, bits, low = 0, 0.0, least * (len(word) + 1) - 1e-6
         for c in word:
-            n = self.total[s] or 1
-            seen = self.out[s].get(c, 0)
-            bits += math.log2((seen + 0.01) / (n + 1))
-            s = self.to[s].get(c, s)
-        return (bits + math.log2((self.ends[s] + 0.01) / (self.total[s] + 1))) / (len(word) + 1)
+            b, s = self.steps[s].get(c) or self.other[s]
+            bits += b
+            if bits < low:
+                return -math.inf
+        return (bits + self.stop[s]) / (len(word) + 1)
 
 
 def class_bigrams(words: Counter) -> Counter:
@@ -222,25 +239,25 @@ class Grammar:
 
     def judge(self, word: str) -> tuple[bool, float | None]:
         """(does a format accept a token of these classes, its likelihood under the best automaton); no score without automata."""
-        accepted, best = False, None
-        for automaton, least, most in self.automata.values():
-            score = automaton.score(word)
-            best = score if best is None else max(best, score)
-            accepted = accepted or (least <= score <= most and score > self.background(word))
-        return accepted, best
+        scores = [automaton.score(word) for automaton, _, _ in self.automata.values()]
+        return self.fits(word), max(scores, default=None)
+
+    def fits(self, word: str) -> bool:
+        """Does a format accept a token of these classes?"""
+        return any(least <= automaton.score(word, least) <= most and automaton.score(word) > self.background(word) for automaton, least, most in self.automata.values())
 
     def accepts(self, token: str) -> bool:
         """Is the token's format as likely as a labelled credential's, and likelier than an ordinary token's?"""
-        return self.judge(symbols(token))[0]
+        return self.fits(symbols(token))
 
     def summary(self) -> dict[str, tuple[int, int]]:
         """States of the prefix tree and of the merged automaton by kind."""
         return {kind: (a.tree_states, a.states) for kind, (a, _, _) in self.automata.items()}
 
 
-def _candidates(text: str):
-    """(start, end, classes) of each candidate."""
-    for m in _CANDIDATE.finditer(symbols(text)):
+def _candidates(classes: str):
+    """(start, end, classes) of each candidate in a text of these classes."""
+    for m in _CANDIDATE.finditer(classes):
         yield m.start(), m.end(), m[0]
 
 
@@ -258,14 +275,15 @@ def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
             found = []
             for t in batch.column(0).to_pylist():
                 t = t or ""
+                classes = symbols(t)
                 spans = base_matches(t)
                 found += [(k, symbols(v), int.from_bytes(blake2b(v.encode(), digest_size=8).digest()) >> 11, 1) for k, _, _, v in spans]
                 if spans:
-                    ordinary.update(w for s, e, w in _candidates(t) if not any(a < e and s < b for _, a, b, _ in spans))
+                    ordinary.update(w for s, e, w in _candidates(classes) if not any(a < e and s < b for _, a, b, _ in spans))
                 else:
-                    ordinary.update(_CANDIDATE.findall(symbols(t)))
+                    ordinary.update(_CANDIDATE.findall(classes))
                 chars += len(t)
-                if chars > 4_000_000:
+                if chars > 32_000_000 or len(ordinary) > 200_000:
                     pairs.update(class_bigrams(ordinary))
                     ordinary.clear()
                     chars = 0
@@ -291,19 +309,20 @@ def find_secrets(docs: DataFrame, text_col: str = "text", grammar: Grammar | Non
     grammar = grammar or infer_grammar(docs, text_col, **options)
 
     @F.arrow_udf(_SPANS_TYPE)
-    def scan(text: pa.Array) -> pa.Array:
-        short, rows = lru_cache(1 << 16)(grammar.judge), []
-        judge = lambda word: (short if len(word) <= 64 else grammar.judge)(word)
-        for t in text.to_pylist():
-            t = t or ""
-            spans = [(s, KINDS.index(k), e, judge(symbols(v))[1]) for k, s, e, v in base_matches(t)]
-            base = [(s, e) for s, _, e, _ in spans]
-            for s, e, word in _candidates(t):
-                accepted, score = judge(word)
-                if accepted and not any(a < e and s < b for a, b in base):
-                    spans.append((s, 3, e, score))
-            rows.append([{"kind": KINDS[k], "start": s, "end": e, "score": score} for s, k, e, score in sorted(spans, key=lambda x: x[:3])])
-        return pa.array(rows, type=_SPANS)
+    def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        short = lru_cache(1 << 17)(grammar.fits)
+        for text in texts:
+            rows = []
+            for t in text.to_pylist():
+                t = t or ""
+                classes = symbols(t)
+                spans = [(s, KINDS.index(k), e, grammar.judge(symbols(v))[1]) for k, s, e, v in base_matches(t)]
+                base = [(s, e) for s, _, e, _ in spans]
+                for s, e, word in _candidates(classes):
+                    if (short if len(word) <= 64 else grammar.fits)(word) and not any(a < e and s < b for a, b in base):
+                        spans.append((s, 3, e, grammar.judge(word)[1]))
+                rows.append([{"kind": KINDS[k], "start": s, "end": e, "score": score} for s, k, e, score in sorted(spans, key=lambda x: x[:3])])
+            yield pa.array(rows, type=_SPANS)
 
     return docs.withColumn(out, scan(F.col(text_col)))
 
