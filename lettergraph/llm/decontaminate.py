@@ -66,13 +66,14 @@ class _Table:
         self.by_size = {}
         for size in sorted({r[0] for r in rows}):
             hashes = np.unique(np.array([r[1] for r in rows if r[0] == size], dtype=np.int64).view(np.uint64))
-            bits = np.zeros(1 << 22, dtype=bool)
-            bits[(hashes >> np.uint64(42)).astype(np.int64)] = True
-            self.by_size[size] = (hashes, bits)
+            shift = np.uint64(64 - min(22, len(hashes).bit_length() + 5))  # some 32 places a window: a row's own few take no more room than they need
+            bits = np.zeros(1 << (64 - int(shift)), dtype=bool)
+            bits[(hashes >> shift).astype(np.int64)] = True
+            self.by_size[size] = (hashes, bits, shift)
 
     def candidates(self, grams: np.ndarray, size: int) -> np.ndarray:
-        hashes, bits = self.by_size[size]
-        at = np.flatnonzero(bits[(grams >> np.uint64(42)).astype(np.int64)])
+        hashes, bits, shift = self.by_size[size]
+        at = np.flatnonzero(bits[(grams >> shift).astype(np.int64)])
         spot = np.minimum(np.searchsorted(hashes, grams[at]), len(hashes) - 1)
         return at[hashes[spot] == grams[at]]
 
