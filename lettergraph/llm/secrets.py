@@ -255,10 +255,14 @@ class Grammar:
         return {kind: (a.tree_states, a.states) for kind, (a, _, _) in self.automata.items()}
 
 
-def _candidates(classes: str):
-    """(start, end, classes) of each candidate in a text of these classes."""
+def _candidates(classes: str, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, classes) of each candidate in a text of these classes that no covered span, sorted by start, touches."""
+    i, reach = 0, 0  # the furthest end of the spans that start before the candidate's end
     for m in _CANDIDATE.finditer(classes):
-        yield m.start(), m.end(), m[0]
+        while i < len(covered) and covered[i][0] < m.end():
+            reach, i = max(reach, covered[i][1]), i + 1
+        if reach <= m.start():
+            yield m.start(), m.end(), m[0]
 
 
 def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Grammar:
@@ -279,7 +283,7 @@ def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE)
                 spans = base_matches(t)
                 found += [(k, symbols(v), int.from_bytes(blake2b(v.encode(), digest_size=8).digest()) >> 11, 1) for k, _, _, v in spans]
                 if spans:
-                    ordinary.update(w for s, e, w in _candidates(classes) if not any(a < e and s < b for _, a, b, _ in spans))
+                    ordinary.update(w for _, _, w in _candidates(classes, [(a, b) for _, a, b, _ in spans]))
                 else:
                     ordinary.update(_CANDIDATE.findall(classes))
                 chars += len(t)
@@ -317,9 +321,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", grammar: Grammar | Non
                 t = t or ""
                 classes = symbols(t)
                 spans = [(s, KINDS.index(k), e, grammar.judge(symbols(v))[1]) for k, s, e, v in base_matches(t)]
-                base = [(s, e) for s, _, e, _ in spans]
-                for s, e, word in _candidates(classes):
-                    if (short if len(word) <= 64 else grammar.fits)(word) and not any(a < e and s < b for a, b in base):
+                for s, e, word in _candidates(classes, [(s, e) for s, _, e, _ in spans]):
+                    if (short if len(word) <= 64 else grammar.fits)(word):
                         spans.append((s, 3, e, grammar.judge(word)[1]))
                 rows.append([{"kind": KINDS[k], "start": s, "end": e, "score": score} for s, k, e, score in sorted(spans, key=lambda x: x[:3])])
             yield pa.array(rows, type=_SPANS)
