@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -248,6 +249,32 @@ def test_base_pii(spark):
         assert [(s.kind, s.start, s.end) for s in r.pii if s.kind != "term"] == base_pii(r.text), r.text[:200]
 
 
+def test_many_matches_in_one_text(spark):
+    """Places are right past several blocks of matches, and a text of many of them takes no quadratic time."""
+    texts = ["é " + " ".join(f"n{i}@x.org, 12 or +4{i:07}x" for i in range(n)) for n in (pii.BLOCK // 2, pii.BLOCK, pii.BLOCK + 1, 3 * pii.BLOCK + 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", pii.base_spans(F.col("text")).alias("s")).collect()
+    for r in rows:
+        text = texts[r.doc_id]
+        mails = [("email", m.start(), m.end(), m[0]) for m in re.finditer(r"n[0-9]+@x\.org", text)]
+        phones = [("phone", m.start(), m.end(), m[0]) for m in re.finditer(r"\+[0-9]+", text)]
+        assert [tuple(s) for s in r.s] == mails + phones
+    long = spark.createDataFrame([(1, "7 and 8 " * 30_000 + "a@b.cd")], "doc_id long, text string")
+    start = time.monotonic()
+    assert [s.start for s in long.select(pii.base_spans(F.col("text")).alias("s")).first().s] == [240_000]
+    assert time.monotonic() - start < 40
+
+
+def test_candidates_beside_many_base_spans():
+    """Those that touch no span, in one pass; compared with testing each against all."""
+    r = random.Random(8)
+    for _ in range(200):
+        classes = "".join(r.choice("0hz  ") for _ in range(120)).replace("  ", "0zh0")
+        covered = sorted((s, s + r.randint(1, 30)) for s in (r.randrange(len(classes)) for _ in range(r.randint(0, 6))))
+        every = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[0hz]{6,}", classes)]
+        assert list(secrets._candidates(classes, covered)) == [c for c in every if not any(a < c[1] and c[0] < b for a, b in covered)]
+
+
 def test_terms_that_disclose(spark):
     r = random.Random(5)
     filler = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(12))
