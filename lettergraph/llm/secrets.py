@@ -257,12 +257,17 @@ class Grammar:
 
 def _candidates(classes: str, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
     """(start, end, classes) of each candidate in a text of these classes that no covered span, sorted by start, touches."""
+    every = ((m.start(), m.end(), m[0]) for m in _CANDIDATE.finditer(classes))
+    return _outside(every, covered) if covered else every
+
+
+def _outside(candidates: Iterator[tuple[int, int, str]], covered: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
     i, reach = 0, 0  # the furthest end of the spans that start before the candidate's end
-    for m in _CANDIDATE.finditer(classes):
-        while i < len(covered) and covered[i][0] < m.end():
+    for start, end, word in candidates:
+        while i < len(covered) and covered[i][0] < end:
             reach, i = max(reach, covered[i][1]), i + 1
-        if reach <= m.start():
-            yield m.start(), m.end(), m[0]
+        if reach <= start:
+            yield start, end, word
 
 
 def infer_grammar(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Grammar:
