@@ -1,21 +1,23 @@
 """Vectorised word tables over Arrow string columns.
 
-Texts are handled as UTF-8 bytes in chunks of about one megabyte: a byte class
-table finds the words, a polynomial hash modulo 2**64 gives every word and every
-run of words its fingerprint, all by NumPy over whole chunks.
+Texts are handled as UTF-8 bytes in chunks of about one megabyte.  A byte class
+table finds the words, a dictionary numbers the different ones of a chunk, and
+each of these is hashed once by XXH3.  Runs of words are hashed by pairs of
+shorter runs, each step a nonlinear mix, so no identity of sums or powers makes
+two different runs equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 20
-_MULT = 0x9E3779B97F4A7C13  # 3 modulo 8, so powers stay apart modulo 2**64
+_LEFT, _RIGHT = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _U = np.uint64
 
 
@@ -43,22 +45,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-
-
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(m: int) -> np.ndarray:
-        out = np.full(size, m, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return run(_MULT), run(pow(_MULT, -1, 1 << 64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse, at least ``n`` of each."""
-    return _powers(max(CHUNK_BYTES * 2, 1 << max(n - 1, 1).bit_length()))
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Fingerprint of what ``left`` stands for followed by what ``right`` stands for."""
+    return mix(left * _U(_LEFT) + mix(right + _U(_RIGHT)))
 
 
 class Chunk:
@@ -85,26 +74,41 @@ class Chunk:
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.offsets = offsets
+        self._ids: tuple[np.ndarray, pa.Array] | None = None
         self._hashes: np.ndarray | None = None
 
+    @property
+    def ids(self) -> tuple[np.ndarray, pa.Array]:
+        """A number for each word, equal for equal words, and the words by number."""
+        if self._ids is None:
+            sizes = self.ends - self.starts
+            bounds = np.zeros(len(sizes) + 1, dtype=np.int32)
+            np.cumsum(sizes, out=bounds[1:])
+            letters = self.buf[np.repeat(self.starts - bounds[:-1], sizes) + np.arange(bounds[-1])] if len(sizes) else self.buf[:0]
+            coded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
+            self._ids = np.asarray(coded.indices), coded.dictionary
+        return self._ids
+
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            up, down = powers(len(self.buf) + 1)
-            total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], out=total[1:])
-            self._hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts])
+            ids, words = self.ids
+            self._hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], dtype=np.uint64)[ids]
         return self._hashes
 
     def grams(self, k: int) -> np.ndarray:
         """Fingerprint of the ``k`` words from each word on; runs past a text's end mean nothing."""
-        h = self.hashes
-        if len(h) < k:
-            return np.zeros(0, dtype=np.uint64)
-        up, down = powers(len(h) + 1)
-        total = np.zeros(len(h) + 1, dtype=np.uint64)
-        np.cumsum(h * up[: len(h)], out=total[1:])
-        return mix((total[k:] - total[:-k]) * down[: len(h) - k + 1])
+        block, done = self.hashes, 0  # block: of runs of a power of two
+        whole: np.ndarray | None = None
+        size = 1
+        while size <= k and len(self.hashes) >= k:
+            if k & size:
+                whole = block if whole is None else joined(whole[: len(self.hashes) - done - size + 1], block[done:])
+                done += size
+            if size * 2 <= k:
+                block = joined(block[:-size], block[size:])
+            size *= 2
+        return whole if whole is not None else np.zeros(0, dtype=np.uint64)
 
     def words(self, d: int) -> list[bytes]:
         """Words of text ``d``."""

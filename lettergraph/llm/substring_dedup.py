@@ -20,7 +20,9 @@ stretches.  A minimizer with more different stretches than that is split: its
 stretches are cut anew by the two smallest fingerprints of each window, then by
 the four smallest and so on, at last by the window's own, until every group
 fits.  Equal windows agree in all of these, so they still meet in one shard, and
-every verdict comes from an automaton over the words themselves.
+every verdict comes from an automaton over the words themselves.  Which stretches
+are equal is told by minimizer and digest together, 128 bits of a hash without
+short identities.
 
 Defined cases: null and empty texts have no words; repeated rows are documents
 of their own, so their windows recur; a text shorter than the window keeps all;
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettergraph.llm._shared import free_name
-from lettergraph.llm._words import SPACED, Chunk, chunks, lists, mix, powers
+from lettergraph.llm._words import SPACED, Chunk, chunks, joined, lists
 from lettergraph.shared import discard, written
 
 LENGTH = 35
@@ -133,14 +135,10 @@ def _stretches(c: Chunk, rows: int, length: int, gram: int):
     start = valid.copy()
     start[1:] &= ~valid[:-1] | (low[1:] != low[:-1])
     at, ends = np.flatnonzero(start), np.flatnonzero(valid & ~np.append(valid[1:] & ~start[1:], False))
-    stop = ends + 1
-    whole = np.zeros(total + 1, dtype=np.uint64)
-    digest = np.zeros(len(at), dtype=np.uint64)
-    if len(at):
-        up, down = powers(total + 1)
-        np.cumsum(mix(c.hashes) * up[:total], out=whole[1:])
-        digest = mix((whole[stop + length - 1] - whole[at]) * down[at] + (stop - at).astype(np.uint64))
-    return doc[at], at, stop - at, grams[low[at]], digest
+    # A stretch has at most ``length`` windows, so its first and last window hold all its words.
+    windows = c.grams(length)
+    digest = joined(windows[at], windows[ends] + (ends + 1 - at).astype(np.uint64))
+    return doc[at], at, ends + 1 - at, grams[low[at]], digest
 
 
 def _anchors(length: int, gram: int):
@@ -192,7 +190,7 @@ def _split(length: int, gram: int, depth: int | None):
         if depth is None:
             return c.grams(length)
         low = np.sort(np.lib.stride_tricks.sliding_window_view(c.grams(gram), length - gram + 1), axis=1)[:, :depth]
-        return mix((low * powers(depth)[0][:depth]).sum(axis=1, dtype=np.uint64))
+        return reduce(joined, low.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,7 +280,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
                    stretch_limit: int = STRETCH_LIMIT, out: str = "dedup") -> DataFrame:
     """``docs`` with struct ``out``: n_words, n_removed, removed (word spans) and kept_text (kept words joined by one space)."""
     key, verdict = free_name(docs, "_text_key"), free_name(docs, "_verdict")
-    keyed = docs.select(F.xxhash64(F.lit(11), F.coalesce(F.col(text_col), F.lit(""))).alias("k"), F.col(text_col).alias("t"))
+    text_key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))  # 128 bits, so no two texts share one
+    keyed = docs.select(text_key.alias("k"), F.col(text_col).alias("t"))
     places = keyed.select("k", F.explode(_anchors(length, gram)("t")).alias("s")).select("k", "s.m", "s.d")
     often = places.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
     places = places.groupBy("m", "d", "k").agg(F.count("*").alias("n")).join(often, "m", "left_semi")
@@ -304,7 +303,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         verdicts = verdicts.union(back)
     per_text = places.select("m", "d", "k").join(verdicts, ["m", "d"]).groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("d", "recurs")).alias(verdict))
 
-    marked = docs.withColumn(key, F.xxhash64(F.lit(11), F.coalesce(F.col(text_col), F.lit(""))))
+    marked = docs.withColumn(key, text_key)
     return marked.join(per_text, key, "left").withColumn(out, _kept(length, gram)(F.col(text_col), F.col(verdict))).drop(key, verdict)
 
 

@@ -87,3 +87,11 @@ def test_components_of_random_links(spark):
     want = union(pairs, nodes)
     linked = {n for p in pairs if p[0] != p[1] for n in p}
     assert got == {n: want[n] for n in linked}
+
+
+def test_complementary_words_are_not_linked(spark):
+    """Letters in Thue-Morse order and their complement: sums of powers modulo 2**64 take the two for one word."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85)
+    assert sorted(tuple(r) for r in out.select("id", "n_shingles", "component").collect()) == [(1, 1, 1), (2, 1, 2)]

@@ -2,8 +2,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from lettergraph.llm._words import SPACED, Chunk
 from lettergraph.llm.substring_dedup import SuffixAutomaton, remove_repeats
 
 
@@ -61,3 +63,37 @@ def test_automaton_counts():
     sam.close()
     assert sam.repeats(list("abcabcd"), 3) == [True, False, False, True, True]
     assert sam.repeats(list("xbcdx"), 3) == [False, True, False]
+
+
+def thue_morse(n):
+    """Letters a and b by the parity of ones, and the same the other way round: sums of powers modulo 2**64 take them for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_complementary_words_and_runs_differ(spark):
+    one, other = thue_morse(1024)
+    rest = " ".join(f"w{i}" for i in range(34))
+    texts = [f"{one} {rest}", f"{other} {rest}"]
+    out = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("dedup.n_words", "dedup.n_removed").collect()
+    assert [tuple(r) for r in out] == [(35, 0), (35, 0)]
+    words = Chunk(np.frombuffer(" ".join([*one, *other, one, other]).encode(), dtype=np.uint8), np.array([0, 4096 + 2050 - 1]), SPACED, False)
+    grams = words.grams(1024)
+    assert grams[0] != grams[1024] and words.hashes[-1] != words.hashes[-2]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 13, 35, 40])
+def test_runs_are_equal_as_their_words_are(k):
+    r = random.Random(k)
+    text = b" ".join(r.choice([b"a", b"b"]) if i < 150 else b"a" for i in range(240))
+    c = Chunk(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), SPACED, False)
+    words, grams = c.words(0), c.grams(k)
+    runs = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+    assert len(grams) == len(runs) and len({*zip(runs, grams.tolist(), strict=True)}) == len(set(runs)) == len(set(grams.tolist()))
+
+
+def test_very_long_text(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    texts = [" ".join(words), " ".join(words[50_000:90_000]), "x " * 60_000]
+    out = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").select("dedup.n_words", "dedup.n_removed").collect()
+    assert [tuple(r) for r in out] == [(120_000, 40_000), (40_000, 40_000), (60_000, 60_000)]
