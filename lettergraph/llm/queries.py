@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettergraph.llm import chat, decontaminate, exact_dedup, mixing, near_dedup, pii, quality, secrets, sharding, substring_dedup
+from lettergraph.llm import chat, decontaminate, exact_dedup, mixing, near_dedup, pii, quality, runs, secrets, sharding, substring_dedup
 from lettergraph.llm._shared import small_batches
 
 
@@ -123,6 +123,31 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def with_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in texts whose id's checksum ends in 0, the words from one place on go round in a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w").cast("bigint"))
+    placed = cut.withColumn("a", F.when(F.col("n") > 0, F.pmod("g", "n"))).withColumn("p", F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1)
+    round_ = F.transform("w", lambda _, i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(round_, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words by a harmonic grid of common extensions."""
+    small_batches(spark)
+    docs = with_tails(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    r = F.col("r.runs")
+    best = F.array_min(F.transform(r, lambda x: F.struct((-x["length"]).alias("n"), x["start"].alias("start"), x["period"].alias("period"))))
+    lines = F.array_join(F.transform(r, lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n"))), "")
+    found = runs.periodic_runs(docs, out="r").select("doc_id", F.size(r).cast("bigint").alias("n_runs"), best.alias("best"), _sha(lines).alias("runs_sha256"), _sha(F.col("r.collapsed")).alias("collapsed_sha256"))
+    length = -F.col("best.n")
+    return found.select(
+        "doc_id", "n_runs", F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(length * 1000 / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     import corpus_pipeline
@@ -132,7 +157,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_secret_scan, op3_exact_dedup, op4_mixing, op5_decontaminate, op6_sharding, op7_pii, op8_chat, op9_quality, op10_near_dedup, pipeline)
+    for f in (op1_substring_dedup, op2_secret_scan, op3_exact_dedup, op4_mixing, op5_decontaminate, op6_sharding, op7_pii, op8_chat, op9_quality, op10_near_dedup, op13_periodic_runs, pipeline)
 }
 
 _WORDS = r"[x FOR x IN string_split_regex({text}, '[\x20\x09-\x0D]+') IF x <> '']"
@@ -146,6 +171,11 @@ def _half(u: str) -> str:
     return f"xor(({u}) >> 4, ({_CRC})[(({u}) & 15) + 1])"
 
 
+def _crc32(hexed: str) -> str:
+    """CRC-32 of the bytes that a string of hex digits spells."""
+    return f"xor(list_reduce([4294967295::BIGINT] || [('0x' || x)::BIGINT FOR x IN regexp_extract_all({hexed}, '..')], lambda c, b: {_half(_half('xor(c, b)'))}), 4294967295::BIGINT)"
+
+
 def _won(paths: list[str], weights: list[int]) -> str:
     """Number of the child whose draw is smallest; paths are SQL."""
     draws = [f"-ln((('0x' || substr(md5('{sharding.SEED}' || {p} || ':' || key), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(16**13)}) / {w}" for p, w in zip(paths, weights, strict=True)]
@@ -196,7 +226,7 @@ g AS (SELECT *, {_won(["'/g0'", "'/g1'"], [8, 8])} AS region, {_won(["'/g0'", "'
 r AS (SELECT *, {_won(["'/g' || region || '/k0'", "'/g' || region || '/k1'"], [4, 4])} AS rack FROM g),
 s AS (SELECT *, (region * 8 + rack * 4 + {_won([f"'/g' || region || '/k' || rack || '/' || (region * 8 + rack * 4 + {i})" for i in range(4)], [1] * 4)})::INTEGER AS shard FROM r)
 SELECT doc_id, octet_length(bytes)::BIGINT + 1 AS size, 'key' AS law, shard, (CASE grown WHEN 2 THEN 16 ELSE shard END)::INTEGER AS grown_shard,
-  xor(list_reduce([4294967295::BIGINT] || [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(bytes), '..')], lambda c, b: {_half(_half("xor(c, b)"))}), 4294967295::BIGINT) AS text_crc32,
+  {_crc32("hex(bytes)")} AS text_crc32,
   row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('slot {sharding.SEED}:' || key), 1, {sharding.BUCKET_DIGITS}))::BIGINT, doc_id NULLS FIRST) - 1 AS slot FROM s""",
     "op8_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -216,4 +246,19 @@ r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 c AS (SELECT x AS doc_id, min(y) AS low FROM r GROUP BY x)
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id, w.doc_id <= coalesce(low, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op13_periodic_runs": rf"""
+WITH k AS (SELECT doc_id, {_crc32("hex(encode(doc_id::VARCHAR))")} AS h, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+a AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM k),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE [ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] END AS ws FROM p),
+e AS (SELECT doc_id, n, unnest(ws) AS w, unnest(range(n)) AS i FROM t),
+same AS (SELECT x.doc_id, y.i - x.i AS p, x.i FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND (y.i - x.i) * 2 <= x.n),
+isle AS (SELECT doc_id, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS g FROM same) GROUP BY doc_id, p, g),
+run AS (SELECT doc_id, start, length, min(p) AS period FROM isle WHERE length >= greatest(12, 2 * p) GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM e ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+told AS (SELECT doc_id, count(*) AS n_runs, arg_min(run, (-length, start, period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, (best.length * 1000 // best.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
