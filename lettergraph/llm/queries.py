@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettergraph.llm import chat, decontaminate, exact_dedup, mixing, near_dedup, pii, quality, runs, secrets, sharding, substring_dedup
+from lettergraph.llm import chat, decontaminate, exact_dedup, importance, mixing, near_dedup, pii, quality, runs, secrets, sharding, substring_dedup
 from lettergraph.llm._shared import small_batches
 
 
@@ -123,6 +123,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn towards the benchmark's words and pairs of words."""
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = importance.importance(docs, _table(spark, sf_dir, "benchmark"), out="i").select("doc_id", "i")
+    return importance.draw(scored, report="i").select("doc_id", "i.n_features", "i.weight", "i.score", "rank")
+
+
 def with_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in texts whose id's checksum ends in 0, the words from one place on go round in a period."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -157,7 +165,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_secret_scan, op3_exact_dedup, op4_mixing, op5_decontaminate, op6_sharding, op7_pii, op8_chat, op9_quality, op10_near_dedup, op13_periodic_runs, pipeline)
+    for f in (op1_substring_dedup, op2_secret_scan, op3_exact_dedup, op4_mixing, op5_decontaminate, op6_sharding, op7_pii, op8_chat, op9_quality, op10_near_dedup, op11_importance, op13_periodic_runs, pipeline)
 }
 
 _WORDS = r"[x FOR x IN string_split_regex({text}, '[\x20\x09-\x0D]+') IF x <> '']"
@@ -246,6 +254,20 @@ r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 c AS (SELECT x AS doc_id, min(y) AS low FROM r GROUP BY x)
 SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id, w.doc_id <= coalesce(low, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op11_importance": rf"""
+WITH d AS (SELECT doc_id, [x FOR x IN string_split_regex({_LOWER.format(text="coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM documents),
+e AS (SELECT [x FOR x IN string_split_regex({_LOWER.format(text="coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS ws FROM benchmark),
+f AS (SELECT doc_id, unnest(ws || [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS f FROM d),
+fe AS (SELECT unnest(ws || [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS f FROM e),
+b AS (SELECT f, {_crc32("hex(encode(f))")} % 10000 AS b FROM (SELECT f FROM f UNION SELECT f FROM fe)),
+s AS (SELECT b, count(*) AS s FROM f JOIN b USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM fe JOIN b USING (f) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM fe) + 10000)::DOUBLE))) AS gain FROM s LEFT JOIN t USING (b)),
+w AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN b USING (f) JOIN g USING (b) GROUP BY doc_id),
+r AS (SELECT doc_id, len(ws) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN w USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM r WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM o) * 25 // 100 THEN rank END AS rank FROM r LEFT JOIN o USING (doc_id)""",
     "op13_periodic_runs": rf"""
 WITH k AS (SELECT doc_id, {_crc32("hex(encode(doc_id::VARCHAR))")} AS h, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
 a AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM k),
