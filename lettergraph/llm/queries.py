@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettergraph.llm import chat, decontaminate, exact_dedup, importance, mixing, near_dedup, pii, quality, runs, secrets, sharding, substring_dedup
+from lettergraph.llm import chat, decontaminate, exact_dedup, importance, mixing, near_dedup, packing, pii, quality, runs, secrets, sharding, substring_dedup
 from lettergraph.llm._shared import small_batches
+from lettergraph.shared import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,6 +132,16 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.draw(scored, report="i").select("doc_id", "i.n_features", "i.weight", "i.score", "rank")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces packed into sequences of 1024 by certified best fit."""
+    import public_tokenizers
+
+    small_batches(spark)
+    each = packing.exploded_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = written(each.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return pieces.join(packing.packed(pieces), "uid").drop("uid")
+
+
 def with_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in texts whose id's checksum ends in 0, the words from one place on go round in a period."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -165,7 +176,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_secret_scan, op3_exact_dedup, op4_mixing, op5_decontaminate, op6_sharding, op7_pii, op8_chat, op9_quality, op10_near_dedup, op11_importance, op13_periodic_runs, pipeline)
+    for f in (op1_substring_dedup, op2_secret_scan, op3_exact_dedup, op4_mixing, op5_decontaminate, op6_sharding, op7_pii, op8_chat, op9_quality, op10_near_dedup, op11_importance, op12_packing, op13_periodic_runs, pipeline)
 }
 
 _WORDS = r"[x FOR x IN string_split_regex({text}, '[\x20\x09-\x0D]+') IF x <> '']"
