@@ -1,10 +1,9 @@
 """Vectorised word tables over Arrow string columns.
 
 Texts are handled as UTF-8 bytes in chunks of about one megabyte.  A byte class
-table finds the words, a dictionary numbers the different ones of a chunk, and
-each of these is hashed once by XXH3.  Runs of words are hashed by pairs of
-shorter runs, each step a nonlinear mix, so no identity of sums or powers makes
-two different runs equal.
+table finds the words.  A word is hashed eight bytes at a time, a long one by XXH3,
+and a run of words by pairs of shorter runs; each step is a nonlinear mix, so no
+identity of sums or powers makes two different ones equal.
 """
 
 from __future__ import annotations
@@ -50,6 +49,30 @@ def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _U(_LEFT) + mix(right + _U(_RIGHT)))
 
 
+_STEP = 8
+_LONG = 64  # bytes of a word from which on it is hashed by itself
+
+
+def _word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One fingerprint a word: its length, then eight bytes after eight, zeros behind the last."""
+    padded = np.concatenate([buf, np.zeros(_STEP, dtype=np.uint8)])
+    eight = np.ndarray(shape=(len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = mix(size.astype(np.uint64))
+    rest = np.flatnonzero(size <= _LONG)
+    for at in range(0, _LONG, _STEP):
+        rest = rest[size[rest] > at]
+        if not len(rest):
+            break
+        left = np.minimum(size[rest] - at, _STEP)
+        out[rest] = joined(out[rest], eight[starts[rest] + at] & (_U(0xFFFFFFFFFFFFFFFF) >> ((_STEP - left) * 8).astype(np.uint64)))
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        raw = buf.tobytes()
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
 class Chunk:
     """The words of a few consecutive texts.
 
@@ -92,8 +115,7 @@ class Chunk:
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            ids, words = self.ids
-            self._hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], dtype=np.uint64)[ids]
+            self._hashes = _word_hashes(self.buf, self.starts, self.ends)
         return self._hashes
 
     def grams(self, k: int) -> np.ndarray:
