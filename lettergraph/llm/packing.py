@@ -1,6 +1,6 @@
 """Best-fit packing: lower bounds by dual feasible functions certify each partition's number of bins.
 
-A document's tokens are those of a public tokenizer, then the id ``END``.  Only
+A document's tokens are those of a public byte-level tokenizer, then the id ``END``.  Only
 documents of more than ``capacity`` tokens are cut: the first piece takes the remainder
 of the division, all others are full, so a document leaves one piece at most that does
 not fill a sequence alone.
@@ -27,6 +27,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 from collections.abc import Iterator
@@ -43,6 +44,12 @@ CAPACITY = 1024
 END = 2
 PARTITION_PIECES = 20_000
 ROUNDS = 4
+# Fixed value: how the byte-level tokenizers of this kind split a text before they merge.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts that ``tokenizers`` reads whole: with letters outside long-settled blocks, rare white space, or a space after white space or at the end.
+_WHOLE = r"[^\x09-\x0d\x20-\x7e\x{a1}-\x{24f}\x{400}-\x{4ff}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}]|[\x09-\x0d\x20]( |$)"
+_PIECES = 20_000
+ROUNDS = 4
 KNOWN_UNITS = 300_000
 #: Spaces that can stand before a space; only texts without such a pair are cut into units.
 _WIDE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]( |$)"
@@ -50,75 +57,67 @@ _PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids:binary>>"
 _PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 
-class Units:
-    """Token ids of texts by way of their different units.
+class Tokens:
+    """Token ids of texts, those that the library ``tokenizers`` gives for a byte-level vocabulary.
 
-    A unit is a space and what follows it up to the next one.  No token of a byte-level vocabulary
-    goes on over the start of a unit whose predecessor ends in another letter than white space, so a
-    text's ids are those of its units.  A unit is tokenized when a task meets it first; the table of
-    known ones is emptied when it holds ``KNOWN_UNITS``.
+    A unit is a space and what follows it up to the next one.  No token goes on over the start of a unit whose predecessor
+    ends in another letter than white space, so a text's ids are those of its units, and the different units of a batch are
+    coded once.  That is done by the merges of the same file in ``tiktoken``, which is faster; texts with anything on which
+    the two libraries could differ are read whole by ``tokenizers``.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
-        self.known: dict[str, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known.clear()
-        self.ids, self.starts, self.n_ids = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1, dtype=np.int64), 0
-
-    def _learn(self, units: list[str]) -> None:
-        """Tokenize new units together, each with its leading space, and cut the ids where a token starts with one."""
-        coded = self.tokenizer.encode_batch_fast(["".join(" " + u for u in units[i : i + 2000]) for i in range(0, len(units), 2000)], add_special_tokens=False)
-        new = np.concatenate([np.array(c.ids, dtype=np.uint32) for c in coded])
-        begins = np.flatnonzero(self.opens[new])
-        if len(begins) != len(units):
-            raise ValueError("the vocabulary does not keep units apart")
-        while self.n_ids + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.n_ids : self.n_ids + len(new)] = new
-        self.starts = np.concatenate([self.starts[:-1], self.n_ids + begins, [self.n_ids + len(new)]])
-        self.n_ids += len(new)
-        base = len(self.known)
-        self.known.update(zip(units, range(base, base + len(units)), strict=True))
-
-    def tokens(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # control strings inside texts are ordinary text
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        special = {t["content"] for t in model["added_tokens"]}
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file; the others come after 255
+        byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+        vocabulary = {t: i for t, i in model["model"]["vocab"].items() if t not in special}
+        if any(vocabulary["".join(m if isinstance(m, list) else m.split(" "))] != 256 + i for i, m in enumerate(model["model"]["merges"])):
+            raise ValueError("the vocabulary's ids are not in the order of its merges")
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items()}
+        self.units = tiktoken.Encoding("units", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text, by row; null is empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        whole = np.asarray(pc.match_substring_regex(texts, _WIDE))
-        rows = np.flatnonzero(~whole)
-        if len(self.known) > KNOWN_UNITS:
-            self._clear()
-        parts = pc.split_pattern(texts.take(pa.array(rows)), " ")
-        units = parts.flatten().dictionary_encode()
-        names = units.dictionary.to_pylist()
-        fresh = [u for u in names if u and u not in self.known]
-        if fresh:
-            self._learn(fresh)
-        number = np.array([self.known[u] if u else 0 for u in names], dtype=np.int64)[np.asarray(units.indices)]
-        edges = np.asarray(parts.offsets) - parts.offsets[0].as_py() if len(rows) else np.zeros(1, dtype=np.int64)
-        heads = self.tokenizer.encode_batch_fast([p or "" for p in pc.list_element(parts, 0).to_pylist()], add_special_tokens=False) if len(rows) else []
-        place = np.full(len(texts), -1)
-        place[rows] = np.arange(len(rows))
-        for row in range(len(texts)):
-            at = place[row]
-            if at < 0:
-                yield np.array(self.tokenizer.encode(texts[row].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
-                continue
-            own = number[edges[at] + 1 : edges[at + 1]]
-            first = self.starts[own]
-            size = self.starts[own + 1] - first
-            shift = np.cumsum(size) - size
-            yield np.concatenate([np.array(heads[at].ids, dtype=np.uint32), self.ids[np.repeat(first - shift, size) + np.arange(size.sum())]])
-
-
-_UNITS: dict[str, Units] = {}
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = np.asarray(pc.match_substring_regex(texts, _WHOLE))
+        parts = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        edges = np.asarray(parts.offsets) - parts.offsets[0].as_py()
+        head = np.zeros(edges[-1], dtype=bool)
+        head[edges[:-1]] = True
+        flat = parts.flatten()
+        heads = iter(self.units.encode_ordinary(h) for h in flat.filter(pa.array(head)).to_pylist())
+        units = flat.filter(pa.array(~head)).dictionary_encode()  # none is empty: no space follows another
+        names = units.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], type=pa.int32()), names), " ")[0].as_py()
+        ids = np.array(self.units.encode_ordinary(f" {joined}") if len(names) else [], dtype=np.uint32)
+        starts = np.append(np.flatnonzero(self.opens[ids]), len(ids))
+        if len(starts) != len(names) + 1:
+            raise ValueError("the vocabulary does not keep units apart")
+        unit = np.asarray(units.indices)
+        size = starts[unit + 1] - starts[unit]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat_ids = ids[np.repeat(starts[unit] - ends[:-1], size) + np.arange(ends[-1])]
+        cut = ends[edges - np.arange(len(edges))]  # where each text's units end
+        row = 0
+        for at in range(len(texts)):
+            if whole[at]:
+                yield np.array(self.whole.encode(texts[at].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+            else:
+                yield np.concatenate([np.array(next(heads), dtype=np.uint32), flat_ids[cut[row] : cut[row + 1]]])
+                row += 1
+
+
+_TOKENS: dict[str, Tokens] = {}
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", capacity: int = CAPACITY, out: str = "pieces") -> DataFrame:
@@ -126,10 +125,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", capaci
 
     @F.arrow_udf(_PIECES)
     def run(text: pa.Array) -> pa.Array:
-        if tokenizer not in _UNITS:
-            _UNITS[tokenizer] = Units(tokenizer)
+        if tokenizer not in _TOKENS:
+            _TOKENS[tokenizer] = Tokens(tokenizer)
         rows = []
-        for ids in _UNITS[tokenizer].tokens(text):
+        for ids in _TOKENS[tokenizer].of(text):
             ids = np.append(ids, np.uint32(END)).astype("<u4")
             cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
             rows.append([{"piece": i, "start": s, "length": e - s, "ids": ids[s:e].tobytes()} for i, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))])

@@ -136,7 +136,7 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces packed into sequences of 1024 by certified best fit."""
     import public_tokenizers
 
-    small_batches(spark)
+    small_batches(spark, 2000)
     each = packing.exploded_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     pieces = written(each.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pieces.join(packing.packed(pieces), "uid").drop("uid")

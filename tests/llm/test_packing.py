@@ -29,14 +29,31 @@ def texts(seed, n=150):
     return [*made, None, "", " ", "  ", " a", "a ", "a\n", "a\n\n", "a \n b", "a\n b", "long" * 3000, "x " * 5000, *made[:3]]
 
 
-def test_tokens_are_those_of_whole_texts(plain, monkeypatch):
-    monkeypatch.setattr(packing, "KNOWN_UNITS", 60)  # the table of units is emptied between batches
-    units = packing.Units(PATH)
-    for seed in range(6):
+def test_tokens_are_those_of_whole_texts(plain):
+    tokens = packing.Tokens(PATH)
+    for seed in range(8):
         batch = texts(seed)
-        for text, ids in zip(batch, units.tokens(pa.array(batch)), strict=True):
+        for text, ids in zip(batch, tokens.of(pa.array(batch)), strict=True):
             assert ids.tolist() == plain(text), repr(text)
-    assert list(units.tokens(pa.array([], type=pa.string()))) == []
+    assert list(tokens.of(pa.array([], type=pa.string()))) == []
+    assert [x.tolist() for x in tokens.of(pa.array(["", None, "a\u00a0 b"]))] == [[], [], plain("a\u00a0 b")]
+    assert [x.tolist() for x in tokens.of(pa.array(["skipped", "a b c", "d"]).slice(1))] == [plain("a b c"), plain("d")]
+
+
+def test_tokens_of_all_letters_that_are_not_read_whole(plain):
+    """Every letter of the settled blocks, beside others of its block, with digits, marks and spaces between."""
+    tokens, r = packing.Tokens(PATH), random.Random(5)
+    blocks = [(0x21, 0x7E), (0xA1, 0x24F), (0x400, 0x4FF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+    made = []
+    for lo, hi in blocks:
+        some = [chr(c) for c in range(lo, hi + 1)]
+        some = r.sample(some, min(len(some), 600))
+        r.shuffle(some)
+        text = "".join(c + r.choice(["", "", " ", "1", ".", "'s", "\n", "\t", "x"]) for c in some)
+        made += [text, *text.split(" ")]
+    assert not any(packing.pc.match_substring_regex(pa.array([t.replace("\n ", "").replace("\t ", "").strip() for t in made]), packing._WHOLE).to_pylist())
+    for text, ids in zip(made, tokens.of(pa.array(made)), strict=True):
+        assert ids.tolist() == plain(text), repr(text)
 
 
 @pytest.mark.parametrize("capacity", [1024, 8])
