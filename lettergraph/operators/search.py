@@ -92,20 +92,42 @@ def search(m: DataFrame, line: str, limit: int = 50, addresses: dict[str, str] |
 
     One scan: the filters reach the source, the tier is computed in the same stage and the top rows are kept a task.
     """
-    order = [F.col("tier"), *([F.col("sent_ts").desc_nulls_last()] if "sent_ts" in m.columns else []), F.col("id")]
-    return matches(m, line, addresses).orderBy(*order).limit(limit)
+    return best(matches(m, line, addresses), limit)
 
 
-def ranked(m: DataFrame, terms: list[str], subject_weight: float = 3.0, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over subject and body with the subject weighted: id, score; counts over all messages."""
+def best(found: DataFrame, limit: int) -> DataFrame:
+    """The first of what was found: by tier, then newest first."""
+    order = [F.col("tier"), *([F.col("sent_ts").desc_nulls_last()] if "sent_ts" in found.columns else []), F.col("id")]
+    return found.orderBy(*order).limit(limit)
+
+
+def needles(s: Search) -> list[str]:
+    """Words and phrases of which every match of the line holds one at least; none where short words alone decide.
+
+    All levels but the third ask for one of these outright, and the third for all of them.
+    """
+    return [*s.phrases, *(t for t in s.terms if len(t) >= 3)]
+
+
+def weighted_size(subject_weight: float) -> Column:
+    """Letters of a message, those of the subject weighted."""
+    return F.length(F.coalesce("subject", F.lit(""))) * subject_weight + F.length(F.coalesce("body", F.lit("")))
+
+
+def ranked(m: DataFrame, terms: list[str], subject_weight: float = 3.0, k1: float = 1.2, b: float = 0.75, facts: DataFrame | None = None) -> DataFrame:
+    """BM25 over subject and body with the subject weighted: id, score; counts over all messages.
+
+    ``facts`` (n, mean size) of all messages can be given where ``m`` holds only those with a hit.
+    """
     def hits(column: str, t: str) -> Column:
         text = F.lower(F.coalesce(F.col(column), F.lit("")))
         return ((F.length(text) - F.length(F.replace(text, F.lit(t.lower()), F.lit("")))) / len(t)).cast("double")
 
-    rows = m.select("id", (F.length(F.coalesce("subject", F.lit(""))) * subject_weight + F.length(F.coalesce("body", F.lit("")))).alias("size"),
+    rows = m.select("id", weighted_size(subject_weight).alias("size"),
                     *[(hits("subject", t) * subject_weight + hits("body", t)).alias(f"f{i}") for i, t in enumerate(terms)])
-    facts = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
-    scored = rows.join(F.broadcast(facts))  # one row
+    hit = [F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]
+    told = rows.agg(F.count("*").alias("n"), F.avg("size").alias("mean"), *hit) if facts is None else rows.agg(*hit).join(F.broadcast(facts))
+    scored = rows.join(F.broadcast(told))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log((F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5) + 1)
