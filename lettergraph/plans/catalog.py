@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lettergraph.functions import html, rules, text
 from lettergraph.functions.dates import date_group, stamp, workdays_since
 from lettergraph.operators import daily, evidence, ingest, noise, people, promises, records, reports, search, state, stats, threads, vocabulary
+from lettergraph.plans import upkeep
 from lettergraph.shared import written
 from lettergraph.sources import adapters, letters
 from lettergraph.sources.adapters import CONVERSATION_SQL, DOCUMENT_SQL, EVENT_SQL, ME, ORDER_SQL
@@ -396,6 +397,21 @@ def search_ranking(m):
     return search.ranked(m, ["apache", "license"]).select("id", F.round("score", 6).alias("score"))
 
 
+def search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search through the trigram index."""
+    m, index = upkeep.document_index(spark, sf_dir)
+    return index.search(m, SEARCH_LINE).select("id", "tier")
+
+
+def ranking_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking from the messages that the index leaves."""
+    m, index = upkeep.document_index(spark, sf_dir)
+    return index.ranked(m, ["apache", "license"]).select("id", F.round("score", 6).alias("score"))
+
+
+QUERIES |= {f.__name__: f for f in (search_by_index, ranking_by_index)} | upkeep.QUERIES
+ORACLE_SQL |= {"search_by_index": ORACLE_SQL["search_tiers"], "ranking_by_index": ORACLE_SQL["search_ranking"]} | upkeep.ORACLE_SQL
+
 # ------------------------------------------------------------------ vocabulary
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in vocabulary.STOP_WORDS) + "]"
