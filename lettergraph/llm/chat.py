@@ -1,7 +1,7 @@
 """Chat formatting: event-sourced conversations folded into messages and rendered.
 
 The log has one row an event: ``conv_id, seq, msg, branch, kind, role, text``.
-Kind ``message`` opens message ``msg`` with a role and a first text, ``delta``
+A sequence is a number or anything else that has an order.  Kind ``message`` opens message ``msg`` with a role and a first text, ``delta``
 appends to it, ``edit`` replaces its text, ``regenerate`` empties it and drops
 the later messages that were there at that time.  The log is grouped by message
 first, its events sorted by sequence and folded; then by conversation.
@@ -50,11 +50,11 @@ def turn_log(turns: DataFrame, pieces: int = 4, **columns) -> DataFrame:
     streamed as deltas, drafted wrongly and edited before the rest was streamed, or answered wrongly, followed by a further
     message, and regenerated, which drops that one.
 
-    Sequence numbers are the turn's times 2**20 plus the event's, so turn numbers go up to 2**43; turns without a number are
-    written at once.
+    A sequence number is the turn's number and the event's, so turn numbers of any size and type do; turns without a number,
+    and one with the largest of all, are written at once.
     """
-    whole = turn_events(turns, **columns)
-    way = F.when(F.col("msg").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "msg", "branch"), F.lit(4)))
+    whole = turn_events(turns, **columns).withColumn("msg", F.col("msg").cast("bigint"))
+    way = F.when(F.expr("try_add(msg, 1)").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "msg", "branch"), F.lit(4)))
     text, size = F.col("text"), F.length("text")
 
     def event(kind: str, what, msg=F.col("msg"), branch=F.col("branch")):
@@ -72,12 +72,12 @@ def turn_log(turns: DataFrame, pieces: int = 4, **columns) -> DataFrame:
         .when(way == 1, F.concat(F.array(event("message", "")), deltas(F.lit(0))))
         .when(way == 2, F.concat(F.array(event("message", F.concat(F.lit("draft "), F.reverse(text))), event("delta", " more"), event("edit", F.substring(text, F.lit(1), half))), deltas(half)))
         .otherwise(F.concat(
-            F.array(event("message", "wrong"), event("delta", " answer"), event("message", "gone with it", F.col("msg") + 1, F.col("branch") + 1), event("regenerate", "")), deltas(F.lit(0))
+            F.array(event("message", "wrong"), event("delta", " answer"), event("message", "gone with it", F.expr("try_add(msg, 1)"), F.col("branch").bitwiseXOR(F.lit(1))), event("regenerate", "")), deltas(F.lit(0))
         ))
     )
     each = whole.select("conv_id", F.col("msg").alias("turn"), "role", F.posexplode(events).alias("i", "e"))
     return each.select(
-        "conv_id", (F.coalesce("turn", F.lit(-1)) * (1 << 20) + F.col("i")).alias("seq"), "e.msg", "e.branch", "e.kind", F.when(F.col("e.kind") == "message", F.col("role")).alias("role"), "e.text"
+        "conv_id", F.struct("turn", "i").alias("seq"), "e.msg", "e.branch", "e.kind", F.when(F.col("e.kind") == "message", F.col("role")).alias("role"), "e.text"
     )
 
 

@@ -26,7 +26,7 @@ table has no rows; result columns replace those of the same name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettergraph.functions.text import let
@@ -116,43 +116,63 @@ def _least_share(both: Column, of: Column, z: float) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, z: float = Z) -> tuple[DataFrame, DataFrame]:
-    """(entity, term, score) above the threshold, and (k, terms): the terms to take out of each text, by its key."""
+    """(entity, term, score) above the threshold, and (k, term): the terms to take out of each text, by its key."""
     texts = docs.select(F.xxhash64(F.lit(3), F.col(text_col)).alias("k"), F.col(text_col).alias("t"))
     holders = texts.withColumn("s", base_spans(F.col("t"))).where(F.size("s") > 0).select("k", F.array_distinct(F.transform("s", _entity)).alias("entities"), _terms(F.col("t")).alias("terms"))
     holders = written(holders.dropDuplicates(["k"]), "entities")
     places = holders.select("k", F.explode("entities").alias("entity"))
-    # An entity of one text has pairs of one joint text only, whose bound is 0.
-    held = places.groupBy("entity").agg(F.count("*").alias("with_entity")).where("with_entity > 1")
+    # Entities of the same texts, such as those of two lists, have the same counts with every term: they are one, named by the
+    # smallest.  Sums of two hashes of the texts tell, so no list of an entity's texts is made.  An entity of one text has pairs of
+    # one joint text only, whose bound is 0.
+    texts_of = [F.sum(F.xxhash64(F.lit(salt), "k").cast("decimal(20)")).alias(f"h{salt}") for salt in (1, 2)]
+    known = written(places.groupBy("entity").agg(F.count("*").alias("with_entity"), *texts_of).where("with_entity > 1"), "known")
+    classes = known.groupBy("with_entity", "h1", "h2").agg(F.min("entity").alias("head"))
+    member = known.join(classes, ["with_entity", "h1", "h2"]).select("entity", "head")
+    at = written(places.join(member, "entity").select("k", "head").distinct(), "places")
     total = texts.agg(F.count_distinct("k").alias("texts"))
-    held = written(held.crossJoin(F.broadcast(total)).withColumn("share", F.col("with_entity") / F.col("texts")).where("share < 1").drop("texts"), "held")  # one row
+    held = written(classes.crossJoin(F.broadcast(total)).select("head", (F.col("with_entity") / F.col("texts")).alias("share")).where("share < 1"), "held")  # one row
     score = lambda of: 1 - F.log(_least_share(F.col("both"), of, z)) / F.log("share")
-    pairs = holders.select(F.explode("entities").alias("entity"), "terms").join(held.select("entity"), "entity", "left_semi").select("entity", F.explode("terms").alias("term"))
+    heads = at.groupBy("k").agg(F.collect_list("head").alias("heads"))
+    pairs = heads.join(holders.select("k", "terms"), "k").select("terms", F.explode("heads").alias("head")).select("head", F.explode("terms").alias("term"))
     # A term has at least its joint texts, and the score falls with its texts: what fails on these fails on all.
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where("both > 1").join(held, "entity").where(score(F.col("both")) >= disclosure)
+    joint = pairs.groupBy("head", "term").agg(F.count("*").alias("both")).where("both > 1").join(held, "head").where(score(F.col("both")) >= disclosure)
     joint = written(joint, "joint")
     if joint.isEmpty():
         empty = docs.sparkSession.createDataFrame([], "entity string, term string, score double")
-        return empty, docs.sparkSession.createDataFrame([], "k bigint, terms array<string>")
+        return empty, docs.sparkSession.createDataFrame([], "k bigint, term string")
     # Each text's terms are counted where it lies, so a common term costs no group; outer, as for a plain explode Spark makes a
     # filter of the array's size, which would build every array twice.
     distinct_texts = texts.dropDuplicates(["k"]).select(F.explode_outer(_terms(F.coalesce("t", F.lit("")))).alias("term"))
     with_term = distinct_texts.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("with_term"))
-    terms = written(joint.join(with_term, "term").select("entity", "term", score(F.col("with_term")).alias("score")).where(F.col("score") >= disclosure), "terms")
-    reveals = terms.groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    per_text = places.join(reveals, "entity").groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
-    return terms, written(per_text, "per-text")
+    terms = written(joint.join(with_term, "term").select("head", "term", score(F.col("with_term")).alias("score")).where(F.col("score") >= disclosure), "terms")
+    per_text = written(at.join(terms, "head").select("k", "term").distinct(), "per-text")
+    return terms.join(member, "head").select("entity", "term", "score"), per_text
+
+
+def _free_words(docs: DataFrame, text_col: str, per_text: DataFrame) -> DataFrame:
+    """(k, words): of each text that has terms to take out, those of its words that no base span touches.
+
+    Words and spans are rows in order of their place, looked at beside the furthest end before and the next start behind them,
+    so a text of many words, terms and spans takes sorting them and no more.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.xxhash64(F.lit(3), F.col(text_col)).alias("k"), text.alias("t")).join(per_text.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    words = texts.select("k", F.explode(_matches(F.col("t"), TERM, "term")).alias("s")).withColumn("term", F.lower("s.value")).join(per_text, ["k", "term"], "left_semi").drop("term")
+    rows = words.withColumn("base", F.lit(False)).unionByName(texts.select("k", F.explode(base_spans(F.col("t"))).alias("s"), F.lit(True).alias("base")))
+    order = Window.partitionBy("k").orderBy("s.start", F.col("base").desc())
+    before, behind = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    near = rows.withColumn("ended", F.max(F.when(F.col("base"), F.col("s.end"))).over(before)).withColumn("next", F.min(F.when(F.col("base"), F.col("s.start"))).over(behind))
+    free = near.where("NOT base AND coalesce(ended <= s.start, true) AND coalesce(next >= s.end, true)")
+    return free.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.end", "s.kind", "s.value"))).alias("words"))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii", **options) -> DataFrame:
     """``docs`` with array ``out`` of spans (kind, start, end, value): base kinds as listed, then terms."""
-    key, terms = free_name(docs, "_text_key"), free_name(docs, "_terms")
+    key, words = free_name(docs, "_text_key"), free_name(docs, "_words")
     _, per_text = disclosing_terms(docs, text_col, **options)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn(key, F.xxhash64(F.lit(3), F.col(text_col))).join(per_text.select(F.col("k").alias(key), F.col("terms").alias(terms)), key, "left")
-    base = base_spans(text)
-    words = F.filter(_matches(text, TERM, "term"), lambda w: F.array_contains(F.col(terms), F.lower(w["value"])))
-    free = lambda spans: F.filter(words, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    return keyed.withColumn(out, base).withColumn(out, F.when(F.col(terms).isNull(), F.col(out)).otherwise(F.concat(F.col(out), free(F.col(out))))).drop(key, terms)
+    keyed = docs.withColumn(key, F.xxhash64(F.lit(3), F.col(text_col))).withColumn(out, base_spans(F.coalesce(F.col(text_col), F.lit(""))))
+    free = _free_words(docs, text_col, per_text).select(F.col("k").alias(key), F.transform("words", lambda w: F.struct(w["kind"], w["start"], w["end"], w["value"])).alias(words))
+    return keyed.join(free, key, "left").withColumn(out, F.when(F.col(words).isNull(), F.col(out)).otherwise(F.concat(F.col(out), F.col(words)))).drop(key, words)
 
 
 def span_list(spans: Column) -> Column:

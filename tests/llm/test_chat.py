@@ -72,3 +72,15 @@ def test_query_digests(spark, tmp_path):
 
 def test_empty_table(spark):
     assert chat.format_conversations(turns(spark, [])).collect() == []
+
+
+def test_turn_numbers_of_any_size_and_type(spark):
+    """Numbers of int and bigint near their ends, beside a column that has a name of the log's."""
+    for kind, numbers in (("int", [-(2**31), -1, 0, 2047, 2048, 3000, 2**31 - 1, None]), ("bigint", [-(2**63), 2**43, 2**60, 2**63 - 1, None]), ("smallint", [3000, -5])):
+        rows = [(c, n, "assistant" if k % 2 else "user", f"text {c} {k} <|") for c in range(8) for k, n in enumerate(numbers)]
+        table = spark.createDataFrame([(*r, "clash") for r in rows], f"conv_id long, turn {kind}, role string, text string, seq string")
+        got = chat.fold_messages(chat.turn_log(table)).select("conv_id", "msg", "role", "text").collect()
+        key = lambda r: (r[0], r[1] is not None, r[1] or 0)
+        assert sorted(map(tuple, got), key=key) == sorted(rows, key=key)
+        back = {r.conv_id: [t.text for t in r.b] for r in chat.render(chat.fold_messages(chat.turn_log(table))).select("conv_id", chat.read_turns(F.col("formatted")).alias("b")).collect()}
+        assert back[3] == [r[3] for r in sorted(rows, key=key) if r[0] == 3]

@@ -364,3 +364,17 @@ def test_pii_digests_and_empty(spark, tmp_path):
     assert got[1].spans == "email:0:6,ip:11:18" and got[1].base_sha256 == hashlib.sha256(b"email:0:6,ip:11:18").hexdigest()
     assert got[2].spans == "" and got[2].n_email == 0
     assert pii.find_pii(docs.limit(0)).collect() == []
+
+
+def test_long_lists_of_addresses_take_their_length(spark):
+    """Ten near-equal lists: their addresses lie in the same texts, so they are counted as one, and words are placed by sorting."""
+    one = [f"user{i}@host{i % 50}.test" for i in range(3000)]
+    rows = [(j, " ".join([*one, f"z{j}@y.test", "owner"])) for j in range(10)] + [(100 + i, f"plain words number {i}") for i in range(200)]
+    began = time.monotonic()
+    out = {r.doc_id: r.pii for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 100
+    for i, t in rows:
+        spans = out[i]
+        assert sum(s.kind == "email" for s in spans) == (3001 if i < 10 else 0)
+        assert [s.value for s in spans if s.kind == "term"] == (["owner"] if i < 10 else [])
+        assert all(t[s.start : s.end] == s.value for s in spans)
