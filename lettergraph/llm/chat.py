@@ -95,7 +95,7 @@ def fold_messages(events: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.slice("log", since, F.size("log")), lambda e: e["text"]), "").alias("text"),
     )
     # A message goes when an earlier one was regenerated after it was opened.
-    earlier = Window.partitionBy("conv_id").orderBy(F.col("msg").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("msg").cast("decimal(20)").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1)
     return (
         messages.withColumn("cut", F.max("redone").over(earlier)).where(F.col("cut").isNull() | F.coalesce(F.col("opened") > F.col("cut"), F.lit(False)))
         .select("conv_id", "msg", "branch", "role", "text")
