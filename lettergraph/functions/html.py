@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import escape, unescape
 from html.parser import HTMLParser
 
@@ -10,7 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HIDDEN = r"(?is)<(script|style|head|template|noscript)\b.*?</(?:script|style|head|template|noscript)\s*>|<!--.*?-->|<!doctype[^>]*>"
+from lettergraph.functions import rules
+
+#: What goes with all it holds, each up to its own end or, left open, to the page's; a body ends a head left open.
+_HIDDEN = (
+    r"(?is)<(?:svg|math)\b[^>]*/>|<(script|style|title|template|noscript|svg|math)\b.*?(?:</\1\s*>|\z)|<head\b.*?(?:</head\s*>|(?=<body\b)|\z)"
+    r"|<!--.*?(?:-->|\z)|<!doctype[^>]*>"
+)
 _BLOCK = r"(?is)</?(?:p|div|br|tr|table|ul|ol|li|h[1-6]|blockquote|pre|section|article|header|footer|nav|hr)\b[^>]*>"
 _TAG = r"(?is)<[a-z/!][^>]*>"
 
@@ -40,25 +47,46 @@ def html_text(html: Column) -> Column:
 DROPPED = frozenset(("script", "style", "form", "iframe", "object", "embed", "head", "template", "noscript", "svg", "math", "applet", "frameset", "textarea", "select", "button"))
 #: Elements that may stay in a shown body, with the attributes that may stay on them; of all others only the text stays.
 ALLOWED = {
-    **{t: () for t in "b blockquote br code div em h1 h2 h3 h4 h5 h6 hr i li ol p pre span strong table tbody thead tr u ul s sub sup small".split()},
-    "a": ("href", "title"), "img": ("src", "alt", "width", "height"), "td": ("colspan", "rowspan"), "th": ("colspan", "rowspan"),
+    **{t: () for t in (
+        "abbr b big blockquote br caption center cite code col colgroup dd del div dl dt em font h1 h2 h3 h4 h5 h6 hr i ins li mark ol p pre q s small span strike strong "
+        "sub sup table tbody tfoot thead tr u ul"
+    ).split()},
+    "a": ("href",), "img": ("src", "alt", "width", "height"), "td": ("colspan", "rowspan"), "th": ("colspan", "rowspan"),
 }
+#: Attributes that may stay on any of them.
+ANYWHERE = ("title", "dir", "lang")
 _VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "col", "area", "base", "source", "track", "wbr", "embed", "param"))
-_LINKS = ("http:", "https:", "mailto:", "#")
+_LINKS = ("http:", "https:", "mailto:", "tel:", "#", "/", "./", "../")
 _IMAGES = ("cid:", "data:image/png", "data:image/jpeg", "data:image/gif", "data:image/webp")
+# Classes and ids that mail programs put around quoted mail.
 _QUOTE_CLASS = ("gmail_quote", "yahoo_quoted", "moz-cite-prefix", "protonmail_quote")
 _QUOTE_ID = ("divrplyfwdmsg", "appendonsend", "replyforwardmessage")
 
 
 class _Walker(HTMLParser):
-    """Walks a document with the elements that are open; what subclasses write goes to ``out``."""
+    """Walks a document with the elements that are open and what to write at their end; what subclasses write goes to ``out``."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
+        self.open: list[tuple[str, str]] = []
+        self.n_open: Counter[str] = Counter()  # by name, so that an end without a beginning costs no walk
         self.skipping = 0
         self.skipped = ""
 
+    def push(self, tag: str, after: str) -> None:
+        if tag not in _VOID:
+            self.open.append((tag, after))
+            self.n_open[tag] += 1
+
+    def pop(self) -> tuple[str, str]:
+        tag, after = self.open.pop()
+        self.n_open[tag] -= 1
+        return tag, after
+
+    def text(self) -> str:
+        return "".join([*self.out, *[after for _, after in reversed(self.open)]])
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.skipping and not (self.skipped == "head" and tag == "body"):  # a body ends a head left open
             self.skipping += tag == self.skipped and tag not in _VOID
@@ -88,38 +116,44 @@ class _Safe(_Walker):
 
     def __init__(self, quotes: str) -> None:
         super().__init__()
-        self.open: list[tuple[str, str]] = []
         self.quotes = quotes
         self.cut = 0
+        self.folds = 0
 
     def start(self, tag: str, given: dict) -> None:
         quoted = self.quotes != "keep" and self._is_quote(tag, given)
         if self.cut:
-            if tag not in _VOID:
-                self.open.append((tag, ""))
-                self.cut += 1
-            return
+            self.cut += tag not in _VOID
+            return self.push(tag, "")
         if quoted and self.quotes == "cut":
-            self.open.append((tag, ""))
             self.cut = 1
-            return
-        before = "<details><summary>…</summary>" if quoted and not any(after for _, after in self.open if "details" in after) else ""
-        attributes = "".join(self._attribute(k, given[k]) for k in ALLOWED.get(tag, ()) if k in given)
+            return self.push(tag, "")
+        before = _FOLD if quoted and not self.folds else ""
+        self.folds += bool(before)
+        attributes = "".join(self._attribute(k, given[k]) for k in (*ALLOWED.get(tag, ()), *ANYWHERE) if k in given)
         self.out.append(before + (f"<{tag}{attributes}>" if tag in ALLOWED else ""))
-        if tag not in _VOID:
-            self.open.append((tag, (f"</{tag}>" if tag in ALLOWED else "") + ("</details>" if before else "")))
+        self.push(tag, (f"</{tag}>" if tag in ALLOWED else "") + ("</details>" if before else ""))
 
     def end(self, tag: str) -> None:
         """Closes the nearest element of that name and all within it; an end without a beginning is passed over."""
-        if tag not in (t for t, _ in self.open):
-            return
-        while True:
-            name, after = self.open.pop()
+        while self.n_open[tag]:
+            name, after = self.pop()
             self.cut = max(self.cut - 1, 0)
+            self.folds -= after.endswith("</details>")
             self.out.append(after)
             if name == tag:
                 return
 
+    def fold(self) -> None:
+        """Quoted mail begins here: close all that is open, and put the rest of the body in one fold."""
+        if not self.folds:
+            while self.open:
+                self.out.append(self.pop()[1])
+            self.cut = 0
+            self.out.append(_FOLD)
+            self.open.append(("", "</details>"))
+            self.folds = 1
+
     def data(self, data: str) -> None:
         if not self.cut:
             self.out.append(escape(data, quote=False))
@@ -131,7 +165,7 @@ class _Safe(_Walker):
     @staticmethod
     def _attribute(name: str, value: str) -> str:
         plain = "".join(c for c in value if c > " " and c != "\x7f").lower()
-        if name == "href" and not plain.startswith(_LINKS):
+        if name == "href" and (not plain.startswith(_LINKS) or plain[:2] in ("//", "/\\")):  # two slashes name another host
             return ""
         if name == "src" and not plain.startswith(_IMAGES):
             return ' data-blocked="src"'
@@ -139,9 +173,6 @@ class _Safe(_Walker):
             return ""
         return f' {name}="{escape(value.strip())}"'
 
-    def text(self) -> str:
-        return "".join([*self.out, *[after for _, after in reversed(self.open)]])
-
 
 class _Markdown(_Walker):
     """Headings, emphasis by element or style, links, lists, quotes, code and tables; layout tables as plain blocks."""
@@ -151,7 +182,6 @@ class _Markdown(_Walker):
 
     def __init__(self) -> None:
         super().__init__()
-        self.open: list[tuple[str, str]] = []
         self.lists: list[int] = []
         self.tables: list[list] = []
         self.pre = 0
@@ -209,14 +239,11 @@ class _Markdown(_Walker):
         elif tag in self._BLOCKS:
             self.out.append("\n\n")
             close = "\n\n"
-        if tag not in _VOID:
-            self.open.append((tag, close))
+        self.push(tag, close)
 
     def end(self, tag: str) -> None:
-        if tag not in (t for t, _ in self.open):
-            return
-        while True:
-            name, close = self.open.pop()
+        while self.n_open[tag]:
+            name, close = self.pop()
             self.out.append(close)
             if name == "pre":
                 self.pre -= 1
@@ -237,8 +264,98 @@ class _Markdown(_Walker):
     def data(self, data: str) -> None:
         self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
 
-    def text(self) -> str:
-        return "".join([*self.out, *[close for _, close in reversed(self.open)]])
+
+class _Events(_Walker):
+    """A body as a list of starts, ends and texts, and its lines: where each begins among them, what it says, and whether a rule stands before it.
+
+    A line ends where a block, a cell or a break does, so a label keeps together over the elements it is made of.
+    """
+
+    _BREAKS = frozenset("address article aside blockquote body br center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.events: list[tuple] = []
+        self.lines: list[tuple[int, str, bool]] = []
+        self.parts: list[str] = []
+        self.begins = 0
+        self.ruled = False
+
+    def _break(self, tag: str) -> None:
+        if tag in self._BREAKS:
+            said = " ".join("".join(self.parts).split())
+            if said:
+                self.lines.append((self.begins, said, self.ruled))
+                self.ruled = False
+            self.parts = []
+
+    def start(self, tag: str, given: dict) -> None:
+        self._break(tag)
+        self.ruled |= tag == "hr" or "border-top" in given.get("style", "").replace(" ", "").lower()
+        self.events.append(("start", tag, given))
+
+    def end(self, tag: str) -> None:
+        self._break(tag)
+        self.events.append(("end", tag))
+
+    def data(self, data: str) -> None:
+        if data.strip() and not "".join(self.parts).strip():
+            self.parts, self.begins = [], len(self.events)
+        self.parts.append(data)
+        self.events.append(("data", data))
+
+    def quote(self) -> int:
+        """The event at which quoted mail begins, right behind what was said before it; their number where none does.
+
+        A line that is a label between rules or after one; an attribution; a first header label, after a rule with two more
+        in the next twelve lines, or else with three.
+        """
+        self._break("body")
+        said = [text for _, text, _ in self.lines]
+        rule = [bool(_RULE_LINE.match(t)) for t in said]
+        for i, text in enumerate(said):
+            after_rule = self.lines[i][2] or (i > 0 and rule[i - 1])
+            label = len(text) < 200 and _LABEL_LINE.match(text) and (after_rule or sum(c in "-—_=*" for c in text) >= 2)
+            attributed = len(text) < 400 and _ATTRIBUTION.search(text) and (_ADDRESS.search(text) or (len(text) <= 140 and sum(c.isdigit() for c in text) >= 4))
+            header = _HEADER_FIRST.match(text) and sum(bool(_HEADER_FOLLOW.match(t)) for t in said[i + 1 : i + 13]) >= (2 if after_rule else 3)
+            if label or attributed or header:
+                while i > 0 and rule[i - 1]:
+                    i -= 1
+                return self._behind(self.lines[i - 1][0]) if i else 0
+        return len(self.events)
+
+    def _behind(self, line: int) -> int:
+        """The event after the last text or image of the line that begins at event ``line``."""
+        last, at = line, line + 1
+        while at < len(self.events):
+            event = self.events[at]
+            if event[0] != "data" and event[1] in self._BREAKS:
+                break
+            if (event[0] == "data" and event[1].strip()) or (event[0] == "start" and event[1] == "img"):
+                last = at
+            at += 1
+        return last + 1
+
+
+_python = lambda pattern: re.compile(pattern.replace("(?iU)", "(?i)").replace("(?U)", ""))
+_LABEL_LINE = re.compile(r"(?i)^[\s\-—_=*]*" + rules.LABEL + r"[\s\-—_=*]*$")
+_RULE_LINE, _ATTRIBUTION, _ADDRESS, _HEADER_FIRST, _HEADER_FOLLOW = map(_python, (rules.DASHES, rules.ATTRIBUTION, rules.ADDRESS_HINT, rules.HEADER_FIRST, rules.HEADER_FOLLOW))
+_FOLD = "<details><summary>…</summary>"
+
+
+def _without_quotes(body: str, quotes: str) -> str:
+    """A safe body whose quoted mail, by its element or by its label, is cut or folded."""
+    events = _Events()
+    events.feed(body)
+    events.close()
+    begins, safe = events.quote(), _Safe(quotes)
+    for i, (kind, *what) in enumerate(events.events):
+        if i == begins:
+            if quotes == "cut":
+                break
+            safe.fold()
+        getattr(safe, kind)(*what)
+    return safe.text()
 
 
 def _walked(make, html: pa.Array) -> pa.Array:
@@ -267,13 +384,16 @@ def safe_html(html: Column, quotes: str = "keep") -> Column:
     """A body rebuilt from allowed elements and attributes: no scripts, styles, forms or frames with what they hold, no handlers,
     links and images by safe schemes only, every element closed.
 
-    Quoted mail is kept, or ``cut``, or put in a ``fold`` (a closed details element) where it begins.
+    Quoted mail is kept, or ``cut``, or put in a ``fold`` (a closed details element) where it begins: at an element that mail
+    programs use for it, or at a label, however many elements that is spread over.
     """
     if quotes not in ("keep", "cut", "fold"):
         raise ValueError(quotes)
 
     @F.arrow_udf("string")
     def run(batch: pa.Array) -> pa.Array:
+        if quotes != "keep":
+            return pa.array([_without_quotes(h or "", quotes) for h in batch.to_pylist()], type=pa.string())
         return _walked(lambda: _Safe(quotes), batch)
 
     return run(html)

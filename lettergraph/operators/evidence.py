@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +37,63 @@ def resolved_quotes(claims: DataFrame, m: DataFrame, start: str, end: str, least
     return found.where("n = 1 OR mid IS NOT NULL").select("claim", "id")
 
 
-def located_quotes(quotes: DataFrame, m: DataFrame, least: int = 10) -> DataFrame:
-    """(quote_id, id) for quotes that name no message, white space aside: of the runs of ``least`` letters of a quote the one
-    rarest in the messages finds candidates by equality of fingerprints, the text decides."""
-    runs = lambda c: F.transform(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"(?s)(?=(.{{{least}}}))"), F.lit(1))), lambda g: F.xxhash64(g))
-    keyed = quotes.select("quote_id", squashed(F.col("quote")).alias("q")).where(F.length("q") >= least).select("quote_id", "q", F.explode(runs("q")).alias("run"))
-    texts = m.select("id", squashed(F.col("body")).alias("t")).select("id", F.explode_outer(runs("t")).alias("run")).where("run IS NOT NULL")
-    held = written(texts.join(keyed.select("run").distinct(), "run", "left_semi").distinct(), "runs")
+RUN = 5  # letters of a fingerprint
+SENT = 200_000  # fingerprints of quotes that are sent to the tasks
+
+
+def _fingerprints(text: str, least: int) -> np.ndarray:
+    """Winnowed fingerprints: of each ``least`` letters in a row the smallest hash among their runs of ``RUN``.
+
+    Two texts that share so many letters in a row share that one; about two runs in ``least - RUN + 2`` are kept.
+    """
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    if len(c) < least:
+        return np.zeros(0, dtype=np.int64)
+    h = np.zeros(len(c) - RUN + 1, dtype=np.uint64)
+    for i in range(RUN):  # a nonlinear step a letter
+        h = (h ^ c[i : len(c) - RUN + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h.view(np.int64), least - RUN + 1).min(axis=1))
+
+
+def _winnowed(text: Column, least: int, wanted: Broadcast | None = None) -> Column:
+    """Fingerprints of a text, or those of them that are wanted."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(batch: pa.Array) -> pa.Array:
+        found, sizes = [np.zeros(0, dtype=np.int64)], []
+        for t in batch.to_pylist():
+            own = _fingerprints(t or "", least)
+            if wanted is not None and len(own):
+                list_ = wanted.value
+                own = own[list_[np.minimum(np.searchsorted(list_, own), len(list_) - 1)] == own] if len(list_) else own[:0]
+            found.append(own)
+            sizes.append(len(own))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(found)))
+
+    return run(text)
+
+
+def located_quotes(quotes: DataFrame, m: DataFrame, least: int = 10, sent: int = SENT) -> DataFrame:
+    """(quote_id, id) for quotes that name no message, white space aside; quotes below ``least`` letters, at least 10, stand nowhere.
+
+    Quotes and messages are winnowed to fingerprints alike; of a quote's the one rarest in the messages finds candidates by
+    equality, the text decides.  Up to ``sent`` fingerprints of quotes are sent to the tasks, so that only hits leave a message;
+    more of them meet the messages' in a join.
+    """
+    if least < 2 * RUN:
+        raise ValueError(f"least is {2 * RUN} or more")
+    spark = m.sparkSession
+    keyed = written(quotes.select("quote_id", squashed(F.col("quote")).alias("q")).where(F.length("q") >= least).select("quote_id", "q", F.explode(_winnowed(F.col("q"), least)).alias("run")), "quotes")
+    asked = keyed.select("run").distinct()
+    few = [r.run for r in asked.limit(sent + 1).collect()]
+    wanted = spark.sparkContext.broadcast(np.array(sorted(few), dtype=np.int64)) if len(few) <= sent else None
+    each = m.select("id", F.explode(_winnowed(squashed(F.col("body")), least, wanted)).alias("run"))
+    held = written(each if wanted is not None else each.join(asked, "run", "left_semi"), "runs")
     n = held.groupBy("run").agg(F.count("*").alias("n"))
     # A run that no message has is the rarest: its quote stands nowhere.
     rarest = keyed.join(n, "run", "left").groupBy("quote_id", "q").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
-    met = held.join(rarest, "run").select("quote_id", "q", "id")
+    met = held.join(rarest, "run").select("quote_id", "q", "id").distinct()
     return met.join(m.select("id", "body"), "id").where(F.contains(squashed(F.col("body")), F.col("q"))).select("quote_id", "id").distinct()
 
 

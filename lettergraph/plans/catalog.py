@@ -600,7 +600,11 @@ def html_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (html_text, html_markdown, html_safe)}
-_BARE = "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|head|template|noscript)\\b.*?</(?:script|style|head|template|noscript)\\s*>|<!--.*?-->|<!doctype[^>]*>', ' ', 'g'), '(?is)</?(?:p|div|br|tr|table|ul|ol|li|h[1-6]|blockquote|pre|section|article|header|footer|nav|hr)\\b[^>]*>', chr(10), 'g'), '(?is)<[a-z/!][^>]*>', '', 'g')"
+_BARE = "coalesce(html, '')"
+for _name in ("script", "style", "title", "template", "noscript", "svg", "math", "head"):
+    _BARE = f"regexp_replace({_BARE}, '(?is)<{_name}\\b.*?(</{_name}\\s*>|$)', ' ', 'g')"
+_BARE = f"""regexp_replace(regexp_replace(regexp_replace({_BARE}, '(?is)<!--.*?-->|<!doctype[^>]*>', ' ', 'g'),
+  '(?is)</?(?:p|div|br|tr|table|ul|ol|li|h[1-6]|blockquote|pre|section|article|header|footer|nav|hr)\\b[^>]*>', chr(10), 'g'), '(?is)<[a-z/!][^>]*>', '', 'g')"""
 # Character references by a list of the SQL's own: named ones that mail and pages use, with and without the semicolon where the standard allows it, and all numbers.
 _NAMED = {"nbsp": 160, "lt": 60, "gt": 62, "quot": 34, "copy": 169, "reg": 174, "middot": 183, "laquo": 171, "raquo": 187, "eacute": 233, "egrave": 232, "agrave": 224, "ccedil": 231, "ouml": 246, "uuml": 252, "auml": 228, "szlig": 223, "ntilde": 241}
 _LONG = {"hellip;": 8230, "ndash;": 8211, "mdash;": 8212, "lsquo;": 8216, "rsquo;": 8217, "ldquo;": 8220, "rdquo;": 8221, "euro;": 8364, "trade;": 8482, "apos;": 39, "bull;": 8226}

@@ -268,3 +268,17 @@ def test_page_tabs_and_thread_messages(spark):
     assert [r.id for r in threads.thread_messages(m, 1).collect()] == [1, 3] and [r.id for r in threads.thread_messages(m, 1, "A@x").collect()] == [1]
     wide = spark.createDataFrame([(k, T0) for k in range(100_000)], "arrival long, sent_ts timestamp_ntz")
     assert ingest.allocated_ids(wide, digits=5).select("id").distinct().count() == 100_000
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_quotes_are_found_wherever_they_stand(spark, sent):
+    """All slices of 10 letters and more against plain search, with runs that come again and again."""
+    r = random.Random(3)
+    words = ["ab", "abab", "budget", "예산안을", "🙂", "x", "a"]
+    bodies = [None, "", "short"] + [" ".join(r.choice(words) for _ in range(r.randrange(40))) for _ in range(40)]
+    quotes = [(i, b[s : s + n]) for i, b in enumerate(bodies) if b for s, n in [(r.randrange(len(b)), r.randrange(8, 60)) for _ in range(4)]] + [(900, None), (901, "aaaaaaaaaa"), (902, "nowhere to be found")]
+    quotes = [(k, q) for k, (_, q) in enumerate(quotes)]
+    m = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id long, body string")
+    got = {(x.quote_id, x.id) for x in evidence.located_quotes(spark.createDataFrame(quotes, "quote_id long, quote string"), m, sent=sent).collect()}
+    plain = lambda t: "".join((t or "").split())
+    assert got == {(k, i) for k, q in quotes for i, b in enumerate(bodies) if len(plain(q)) >= 10 and plain(q) in plain(b)}

@@ -1,5 +1,6 @@
 """Sentence rules, cleaning, subjects, dates, HTML: own sentences for each rule."""
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,9 +115,9 @@ def test_safe_html_keeps_nothing_hostile(spark):
 
     class Seen(HTMLParser):
         def handle_starttag(self, tag, attrs):
-            assert tag in html.ALLOWED and {k for k, _ in attrs} <= {*html.ALLOWED[tag], "data-blocked"}
+            assert tag in html.ALLOWED and {k for k, _ in attrs} <= {*html.ALLOWED[tag], *html.ANYWHERE, "data-blocked"}
             for k, v in attrs:
-                assert k != "href" or v.startswith(("http:", "https:", "mailto:", "#"))
+                assert k != "href" or (v.startswith(html._LINKS) and not v.startswith(("//", "/\\")))
                 assert k != "src" or v.startswith(("cid:", "data:image/"))
 
     rows = spark.createDataFrame([(h,) for h in [*HOSTILE, "".join(HOSTILE), None, ""]], "h string").select(html.safe_html(F.col("h")).alias("s")).collect()
@@ -148,3 +149,59 @@ def test_html(spark):
     img = spark.createDataFrame([("<img src='cid:A1'><img src='cid:zz'>", {"a1": ("image/png", bytearray(b"xy"))})], "h string, i map<string,struct<mime:string,data:binary>>")
     got = img.select(html.with_images(F.lower("h"), F.col("i")).alias("r")).first().r
     assert (got.n_ok, got.n_fail) == (1, 1) and "data:image/png;base64,eHk=" in got.html
+
+
+QUOTED = [  # a body, what is left of its text when quotes are cut
+    ("<p>own</p><div>-----Original Message-----</div><p>old</p>", "own"),
+    ("<p>own</p><p><span>-----</span><b>Original</b> <i>Message</i><span>-----</span></p><p>old</p>", "own"),
+    ("<div>own<div>-----</div><div><span>원본</span> <span>메시지</span></div>old</div>", "own"),
+    ("own<hr><p><b>From:</b> a@b.test<br><b>Sent:</b> Monday<br><b>Subject:</b> x</p><p>old</p>", "own"),
+    ("<div><p>own <img src='cid:a' alt='x'></p><div style='border-top: solid 1pt'><b>보낸 사람:</b> a<br>날짜: b<br>제목: c<br></div>old</div>", "own"),
+    ("<p>own</p><p>On Mon, 8 Jan 2024 at 10:00, Kim &lt;kim@home.test&gt; wrote:</p><p>old</p>", "own"),
+    ("<p>own</p><p>From: here to there</p><p>it is far</p>", "own\nFrom: here to there\nit is far"),
+    ("<p>own</p><p>-----</p><p>Kim</p>", "own\n-----\nKim"),
+    ("<p>own</p><hr><p>From: me</p><p>more</p>", "own\nFrom: me\nmore"),
+    ("<p>the original message was lost</p><p>Original Message</p>", "the original message was lost\nOriginal Message"),
+    ("<p>own</p><blockquote>old</blockquote><p>after</p>", "own\nafter"),
+    ("-----Original Message-----<p>old</p>", ""),
+    ("<table><tr><td>own</td></tr><tr><td>--- Forwarded message ---</td></tr><tr><td>old</td></tr></table>", "own"),
+]
+
+
+def test_quotes_are_cut_at_labels(spark):
+    rows = spark.createDataFrame([(h,) for h, _ in QUOTED], "h string").select("h", *[html.safe_html(F.col("h"), q).alias(q) for q in ("keep", "cut", "fold")]).collect()
+    strip = lambda h: "\n".join(x for x in (" ".join(t.split()) for t in re.sub(r"<(?:/?(?:p|div|td|tr|table|blockquote|hr|details|summary)\b[^>]*|br)>", "\n", h).split("\n")) if x)
+    text = lambda h: strip(re.sub(r"<(?!/?(?:p|div|td|tr|table|blockquote|hr|br|details|summary)\b)[^>]*>", "", h))
+    for r, (_, want) in zip(rows, QUOTED, strict=True):
+        assert text(r.cut) == want, r.h
+        folded = r.fold.replace("<details>", "").replace("</details>", "").replace("<summary>…</summary>", "")
+        assert text(folded) == text(r.keep) and r.fold.count("<details>") == r.fold.count("</details>") == (text(r.keep) != want)
+        for body in r[1:]:  # every element is closed in order
+            stack = []
+            for end, name in re.findall(r"<(/?)([a-z0-9]+)[^>]*>", body):
+                if end:
+                    assert stack.pop() == name, body
+                elif name not in ("br", "hr", "img", "col"):
+                    stack.append(name)
+            assert not stack
+
+
+def test_unclosed_elements_take_linear_time():
+    import time
+
+    for make in (lambda: html._Safe("keep"), html._Markdown):
+        began = time.monotonic()
+        walker = make()
+        walker.feed("<p>x</i>" * 100_000)
+        walker.close()
+        assert walker.text().count("x") == 100_000 and time.monotonic() - began < 5
+    began = time.monotonic()
+    assert html._without_quotes("<p>x</i>" * 50_000 + "<b>---Original Message---</b>old", "cut").count("x") == 50_000 and time.monotonic() - began < 5
+
+
+def test_hidden_elements_end_with_their_own_name(spark):
+    cases = [
+        ("<head><style>a{}</style><title>T1</title></head><body>x</body>", "x"), ("a<svg><title>t</title><text>l</text></svg>b<math><mi>x</mi></math>c", "a b c"), ("<title>t</title>x", "x"),
+        ("a<svg viewBox='0'/>b", "a b"), ("x<script>var a = '</style>';", "x"), ("<head><meta charset=x><body>y", "y"), ("<header>h</header>x", "h\nx"), ("<script>" * 20_000, ""), ("x<!-- open", "x"),
+    ]
+    assert [r.t for r in spark.createDataFrame([(a,) for a, _ in cases], "h string").select(html.html_text(F.col("h")).alias("t")).collect()] == [b for _, b in cases]
