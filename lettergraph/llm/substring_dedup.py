@@ -135,9 +135,12 @@ def _stretches(c: Chunk, rows: int, length: int, gram: int):
     start = valid.copy()
     start[1:] &= ~valid[:-1] | (low[1:] != low[:-1])
     at, ends = np.flatnonzero(start), np.flatnonzero(valid & ~np.append(valid[1:] & ~start[1:], False))
-    # A stretch has at most ``length`` windows, so its first and last window hold all its words.
-    windows = c.grams(length)
-    digest = joined(windows[at], windows[ends] + (ends + 1 - at).astype(np.uint64))
+    words = ends + length - at
+    digest = words.astype(np.uint64)
+    for step in range(0, int(words.max(initial=0)), gram):  # the runs one behind the other, at most twice ``length`` words
+        some = np.flatnonzero(words - step >= gram)
+        digest[some] = joined(digest[some], grams[at[some] + step])
+    digest = joined(digest, grams[ends + length - gram])  # and the last one
     return doc[at], at, ends + 1 - at, grams[low[at]], digest
 
 
@@ -251,13 +254,17 @@ def _kept(length: int, gram: int):
     def run(text: pa.Array, found: pa.Array) -> pa.Array:
         out, known = [], found.to_pylist()
         for lo, hi, c in chunks(text):
-            doc, at, n, _, d = _stretches(c, hi - lo, length, gram)
-            bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
+            if any(known[lo:hi]):
+                doc, at, n, _, d = _stretches(c, hi - lo, length, gram)
+                bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
             for row in range(hi - lo):
                 words, base = c.words(row), int(c.first[row])
+                if not known[lo + row]:
+                    out.append({"n_words": len(words), "n_removed": 0, "removed": [], "kept_text": b" ".join(words).decode()})
+                    continue
                 marks = np.zeros(len(words) + 1, dtype=np.int64)
-                recurring = {f["d"]: f["recurs"] for f in known[lo + row] or ()}
-                for i in range(bounds[row], bounds[row + 1]) if recurring else ():
+                recurring = {f["d"]: f["recurs"] for f in known[lo + row]}
+                for i in range(bounds[row], bounds[row + 1]):
                     places = recurring.get(int(d[i].view(np.int64)))
                     if places is not None:
                         starts = np.array(places) + int(at[i]) - base
