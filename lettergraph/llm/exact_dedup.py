@@ -1,12 +1,12 @@
 """Exact dedup as a stateful stream: keyed state on disk, without expiry.
 
-Documents stream in as files.  The state, kept by RocksDB under the stream's
+Documents stream in as narrow rows, digest and place, dealt by a hash of their place
+over parts that make several micro-batches, however many files the table has.  The state, kept by RocksDB under the stream's
 checkpoint and never expired, has one entry a digest of the normalised text
 (A-Z lower-cased, nothing else): how many rows had it, and of the row that stays
 the stable identifier (largest id) and the content locator (file and row in it).
-Files come in several micro-batches, and each one meets the digests that those
-before it left in the state.  A micro-batch writes the entries it changed to the
-shared folder; after the last one every row is looked up by its digest.  On a hit,
+Each micro-batch meets the digests that those before it left in the state, and writes the entries it
+changed to the shared folder; after the last one every row is looked up by its digest.  On a hit,
 a digest seen more than once in any batches, the full text is compared with that
 of the located row; rows that share a digest but not the bytes are grouped by
 their text instead.  The comparison reads the documents again, as a locator
@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from lettergraph.shared import discard, shared_path, written
 
+BATCHES = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -64,19 +65,19 @@ def _schema(spark: SparkSession, path: str, id_col: str, text_col: str) -> T.Str
     return T.StructType([f for f in spark.read.parquet(path).schema if f.name in (id_col, text_col)])
 
 
-def digest_log(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int | None = None) -> DataFrame:
-    """Run the stream over all files there are; every change of the state as (digest, n, keep, batch)."""
+def digest_log(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, batches: int = BATCHES) -> DataFrame:
+    """Run the stream over all rows there are, in ``batches`` micro-batches; every change of the state as (digest, n, keep, batch)."""
     work = shared_path(spark, "exact")
-    reader = spark.readStream.schema(_schema(spark, path, id_col, text_col))
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"  # a pattern, as a stream takes a single file only by one
-    seen = _rows(reader.parquet(pattern), id_col, text_col, digest).groupBy("digest").agg(F.count("*").alias("n"), F.max("place").alias("keep"))
-    batches = []
+    rows = _rows(spark.read.schema(_schema(spark, path, id_col, text_col)).parquet(path), id_col, text_col, digest).select("digest", "place")
+    parts = batches * -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // batches)
+    rows.repartition(parts, "place.file", "place.row").write.parquet(f"{work}/rows")
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts // batches)
+    seen = reader.parquet(f"{work}/rows").groupBy("digest").agg(F.count("*").alias("n"), F.max("place").alias("keep"))
+    done = []
 
     def log(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{work}/log/batch={batch}")
-        batches.append(batch)
+        done.append(batch)
 
     # A store closed at its commit leaves no local files beside the shared ones; the next batch opens it from these.
     settings = _STATE | {"spark.sql.streaming.stateStore.unloadOnCommit": "true"}
@@ -90,7 +91,7 @@ def digest_log(spark: SparkSession, path: str, id_col: str = "doc_id", text_col:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     logged = T.StructType([*seen.schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(logged).parquet(f"{work}/log") if batches else spark.createDataFrame([], logged)
+    return spark.read.schema(logged).parquet(f"{work}/log") if done else spark.createDataFrame([], logged)
 
 
 def digest_state(spark: SparkSession, path: str, *args, **options) -> DataFrame:
@@ -99,10 +100,9 @@ def digest_state(spark: SparkSession, path: str, *args, **options) -> DataFrame:
     return last.select("digest", "s.n", "s.keep")
 
 
-def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256,
-                     files_per_batch: int | None = None) -> DataFrame:
+def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, batches: int = BATCHES) -> DataFrame:
     """One row an input row: id, keep_id, group_size, kept, digest, and its place (file, row)."""
-    state = written(digest_state(spark, path, id_col, text_col, digest, files_per_batch), "state")
+    state = written(digest_state(spark, path, id_col, text_col, digest, batches), "state")
     rows = _rows(spark.read.schema(_schema(spark, path, id_col, text_col)).parquet(path), id_col, text_col, digest)
     # Texts travel once; those that share a digest are written, to be compared.
     hits = written(rows.join(state.where("n > 1"), "digest"), "hits")

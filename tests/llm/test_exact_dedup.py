@@ -14,14 +14,14 @@ def low(t):
 
 
 @pytest.mark.parametrize("digest", [sha256, lambda norm: F.length(norm).cast("string")])
-@pytest.mark.parametrize("files", [None, 1])
-def test_groups(spark, tmp_path, digest, files):
+@pytest.mark.parametrize("batches", [1, 3])
+def test_groups(spark, tmp_path, digest, batches):
     spark.createDataFrame([(*r, 7) for r in ROWS], "doc_id long, text string, digest int").repartition(3).write.parquet(str(tmp_path / "d.parquet"))
     groups = {}
     for i, t in ROWS:
         groups.setdefault(low(t), []).append(-1 if i is None else i)
     want = sorted((i, max(groups[low(t)]), len(groups[low(t)]), (i or -1) == max(groups[low(t)])) for i, t in [(-1 if i is None else i, t) for i, t in ROWS])
-    got = exact_duplicates(spark, str(tmp_path / "d.parquet"), digest=digest, files_per_batch=files).collect()
+    got = exact_duplicates(spark, str(tmp_path / "d.parquet"), digest=digest, batches=batches).collect()
     assert sorted((-1 if r.id is None else r.id, r.keep_id, r.group_size, r.kept) for r in got) == want
 
 
@@ -32,19 +32,20 @@ def test_repeated_rows_keep_one(spark, tmp_path):
 
 
 def test_batches_meet_the_state_of_those_before(spark, tmp_path):
+    """A table of one file makes three micro-batches, and the state that one leaves is met by the next."""
     path = str(tmp_path / "d.parquet")
-    for part in ([(1, "a"), (2, "b"), (3, "A")], [(4, "a"), (5, "c")], [(6, "C"), (7, "a"), (8, "d")]):
-        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
-    log = digest_log(spark, path, files_per_batch=1).collect()
+    rows = [(i, f"Text {i % 20}" if i < 100 else f"alone {i}") for i in range(140)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    log = digest_log(spark, path).collect()
     assert {r.batch for r in log} == {0, 1, 2}
     seen = {}
-    for r in log:
+    for r in sorted(log, key=lambda r: r.batch):
         seen.setdefault(r.digest, []).append(r.n)
-    # a in three batches, c in two: three hits on what an earlier batch left.
-    assert sorted(len(n) for n in seen.values()) == [1, 1, 2, 3] and sum(len(n) - 1 for n in seen.values()) == 3
-    assert max(n for ns in seen.values() for n in ns) == 4
-    got = sorted((r.id, r.keep_id, r.group_size) for r in exact_duplicates(spark, path, files_per_batch=1).collect())
-    assert got == [(1, 7, 4), (2, 2, 1), (3, 7, 4), (4, 7, 4), (5, 6, 2), (6, 6, 2), (7, 7, 4), (8, 8, 1)]
+    hits = [n for n in seen.values() if len(n) > 1]
+    assert len(seen) == 60 and len(hits) > 10  # digests that a later batch found in the state
+    assert all(n == sorted(set(n)) for n in hits) and sorted(n[-1] for n in seen.values()) == [1] * 40 + [5] * 20
+    got = sorted((r.id, r.keep_id, r.group_size) for r in exact_duplicates(spark, path).collect())
+    assert got == [(i, 80 + i % 20 if i < 100 else i, 5 if i < 100 else 1) for i, _ in rows]
 
 
 def test_clashing_columns(spark, tmp_path):
