@@ -2,10 +2,12 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.
 A window is 13 consecutive words of a benchmark item; an item of 1 to 12 words
-is one window.  The windows are broadcast as sorted fingerprints while there
-are at most ``broadcast_windows`` of them (some 150 bytes each); a larger
-benchmark is joined to the documents' windows by fingerprint instead, with the
-same results.  Each hit is confirmed on the words themselves.
+is one window.  While there are at most ``broadcast_windows`` pairs of a window and
+an item that holds it (some 150 bytes each), they are broadcast as sorted
+fingerprints; a larger benchmark is joined to the documents' windows by fingerprint
+instead, with the same results: windows travel under a number, and items are joined
+to the numbers that were hit, so a window of very many items is no long list.  Each
+hit is confirmed on the words themselves.
 
 Defined cases: a null or empty text has no words, no hits and is clean; a
 null item id reads as the text ``null``; repeated rows are judged alike; an empty
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lettergraph.llm._shared import free_name
 from lettergraph.llm._words import ALNUM, chunks
+from lettergraph.shared import written
 
 WINDOW = 13
 BROADCAST_WINDOWS = 200_000
@@ -34,7 +37,7 @@ _REPORT_TYPE = "struct<n_words:bigint,n_hit:bigint,hits:array<struct<start:bigin
 
 
 def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct windows with the items that hold them: size, hash, words, items."""
+    """Distinct pairs of a window and an item that holds it: size, hash, words, item."""
     kind = pa.list_(pa.struct([("size", pa.int32()), ("hash", pa.int64()), ("words", pa.string()), ("item", pa.string())]))
 
     @F.arrow_udf(_WINDOW_TYPE)
@@ -52,8 +55,7 @@ def benchmark_windows(bench: DataFrame, item_col: str = "item_id", text_col: str
         return pa.array(out, type=kind)
 
     name = F.coalesce(F.col(item_col).cast("string"), F.lit("null"))
-    rows = bench.select(F.explode(windows(name, F.col(text_col))).alias("w")).select("w.*")
-    return rows.groupBy("size", "hash", "words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return bench.select(F.explode(windows(name, F.col(text_col))).alias("w")).select("w.*").distinct()
 
 
 class _Table:
@@ -93,8 +95,8 @@ def _judge(words: list[bytes], spots: list[tuple[int, int, int]], texts: dict) -
     return [{"start": int(s), "end": int(e)} for s, e in edges.reshape(-1, 2)], sorted(items), int(hit.sum())
 
 
-def _scan(text: pa.Array, table_of) -> pa.Array:
-    """table_of(row) gives the windows for a row; rows that share one are looked up chunk by chunk."""
+def _scan(text: pa.Array, table_of, name: pa.DataType = pa.string()) -> pa.Array:
+    """table_of(row) gives the windows for a row, with what names them; rows that share one are looked up chunk by chunk."""
     out = []
     for lo, hi, c in chunks(text, ALNUM, lower=True):
         shared = table_of(None)
@@ -115,12 +117,14 @@ def _scan(text: pa.Array, table_of) -> pa.Array:
             if d in spots:
                 spans, items, n_hit = _judge(c.words(d), spots[d], (shared or table_of(lo + d)).texts)
             out.append({"n_words": int(c.first[d + 1] - c.first[d]), "n_hit": n_hit, "hits": spans, "items": items})
-    return pa.array(out, type=_REPORT)
+    return pa.array(out, type=pa.struct([*list(_REPORT)[:3], pa.field("items", pa.list_(name))]))
 
 
-def _joined(docs: DataFrame, windows: DataFrame, text_col: str, out: str) -> DataFrame:
-    """For a benchmark too large to broadcast: windows meet by fingerprint in a shuffle."""
-    key, found = free_name(docs, "_text_key"), free_name(docs, "_windows")
+def _joined(docs: DataFrame, pairs: DataFrame, text_col: str, out: str) -> DataFrame:
+    """For a benchmark too large to broadcast: windows meet by fingerprint in a shuffle, items the windows that were hit."""
+    key, found, items = (free_name(docs, k) for k in ("_text_key", "_windows", "_items"))
+    pairs = written(pairs, "pairs")
+    windows = written(pairs.groupBy("size", "hash", "words").agg(F.count("*").alias("n")).select("size", "hash", "words", F.monotonically_increasing_id().alias("w")), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # 1 to WINDOW
     kind = pa.list_(pa.struct([("size", pa.int32()), ("hash", pa.int64())]))
 
@@ -134,29 +138,37 @@ def _joined(docs: DataFrame, windows: DataFrame, text_col: str, out: str) -> Dat
                 rows.append([{"size": s, "hash": h} for s in sizes for h in np.unique(grams[s][a : max(a, b - s + 1)]).tolist()])
         return pa.array(rows, type=kind)
 
-    @F.arrow_udf(_REPORT_TYPE)
+    @F.arrow_udf(_REPORT_TYPE.replace("items:array<string>", "items:array<bigint>"))
     def judge(text: pa.Array, found: pa.Array) -> pa.Array:
-        tables = [_Table([(w["size"], w["hash"], w["words"], w["items"]) for w in ws]) if ws else None for ws in found.to_pylist()]
-        return _scan(text, lambda row: None if row is None else tables[row])
+        tables = [_Table([(w["size"], w["hash"], w["words"], [w["w"]]) for w in ws]) if ws else None for ws in found.to_pylist()]
+        return _scan(text, lambda row: None if row is None else tables[row], pa.int64())
 
-    keyed = docs.withColumn(key, F.xxhash64(F.lit(5), F.col(text_col)))
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     met = (
         keyed.select(key, F.explode(fingerprints(text_col)).alias("w")).select(key, "w.size", "w.hash").distinct()
         .join(windows, ["size", "hash"])
-        .groupBy(key).agg(F.collect_list(F.struct("size", "hash", "words", "items")).alias(found))
+        .groupBy(key).agg(F.collect_list(F.struct("size", "hash", "words", "w")).alias(found))
     )
-    return keyed.join(met, key, "left").withColumn(out, judge(F.col(text_col), F.col(found))).drop(key, found)
+    met = written(met, "met")
+    hit = keyed.select(key, text_col).dropDuplicates([key]).join(met, key).select(key, F.explode(judge(F.col(text_col), F.col(found))["items"]).alias("w"))
+    named = hit.join(windows, "w").join(pairs, ["size", "hash", "words"]).groupBy(key).agg(F.sort_array(F.collect_set("item")).alias(items))
+    judged = keyed.join(met, key, "left").join(named, key, "left").withColumn(out, judge(F.col(text_col), F.col(found)))
+    none = F.array().cast("array<string>")
+    return judged.withColumn(out, F.struct(*[F.col(f"{out}.{k}") for k in ("n_words", "n_hit", "hits")], F.coalesce(F.col(items), none).alias("items"))).drop(key, found, items)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text",
                   out: str = "decon", window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``docs`` with column ``out``: struct of n_words, n_hit, hits (word spans) and items."""
     spark = docs.sparkSession
-    windows = benchmark_windows(bench, item_col, bench_text_col, window)
-    rows = [tuple(r) for r in windows.limit(broadcast_windows + 1).collect()]
+    pairs = benchmark_windows(bench, item_col, bench_text_col, window)
+    items: dict[tuple, list[str]] = {}
+    rows = pairs.limit(broadcast_windows + 1).collect()
     if len(rows) > broadcast_windows:
-        return _joined(docs, windows, text_col, out)
-    sent = spark.sparkContext.broadcast(rows)
+        return _joined(docs, pairs, text_col, out)
+    for r in rows:
+        items.setdefault((r.size, r.hash, r.words), []).append(r.item)
+    sent = spark.sparkContext.broadcast([(*window, names) for window, names in items.items()])
     held: list[_Table] = []
 
     @F.arrow_udf(_REPORT_TYPE)

@@ -3,8 +3,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from lettergraph.llm.decontaminate import clean_documents, contaminated, decontaminate, without_spans
+from lettergraph.llm.decontaminate import benchmark_windows, clean_documents, contaminated, decontaminate, without_spans
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -66,3 +67,15 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(d, b).first().decon.n_hit == 0
     assert decontaminate(d.limit(0), b).collect() == []
+
+
+def test_a_window_of_very_many_items(spark):
+    """One passage in all items, on the join path: rows of windows and items, no list of items beside a window that is not hit."""
+    passage = " ".join(f"p{i}" for i in range(13))
+    bench = spark.range(20_000).select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("item_id"), F.concat(F.lit(passage + " own"), F.col("id").cast("string")).alias("text"))
+    docs = spark.createDataFrame([(1, "x " + passage + " y"), (2, passage.upper() + " own7"), (3, "nothing"), (4, None), (5, "x " + passage + " y")], "doc_id long, text string")
+    pairs = benchmark_windows(bench)
+    assert pairs.columns == ["size", "hash", "words", "item"] and pairs.count() == 40_000
+    out = {r.doc_id: r for r in decontaminate(docs, bench, broadcast_windows=10).select("doc_id", "decon.n_words", "decon.n_hit", F.size("decon.items").alias("n"), "decon.items").collect()}
+    assert [(r.n_words, r.n_hit, r.n) for _, r in sorted(out.items())] == [(15, 13, 20_000), (14, 14, 20_000), (1, 0, 0), (0, 0, 0), (15, 13, 20_000)]
+    assert out[1]["items"] == sorted(f"i{k}" for k in range(20_000))
