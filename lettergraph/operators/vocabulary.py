@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lettergraph.functions.rules import STOP_WORDS
 from lettergraph.functions.text import counted, let, own_text, sentences, stemmed, tokens
+from lettergraph.operators.gates import set_fingerprints
 
 MIN_SUPPORT = 2
 
@@ -132,8 +133,5 @@ def display_forms(m: DataFrame, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame
 
 
 def fingerprint(m: DataFrame) -> DataFrame:
-    """One value a sender that changes with the set of their messages: cached profiles are keyed by it.
-
-    A sum of row hashes, so it needs no sorted list and adds up from partial sums.
-    """
-    return m.groupBy("sender_addr").agg(F.hex(F.bit_xor(F.xxhash64("id"))).alias("x"), F.count("*").alias("n")).select("sender_addr", F.sha2(F.concat_ws(":", "x", F.col("n").cast("string")).cast("binary"), 256).alias("fingerprint"))
+    """One value a sender that changes with the set of their messages: cached profiles are keyed by it."""
+    return set_fingerprints(m, ["sender_addr"], ["id"])

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lettergraph.functions import text
 from lettergraph.functions.dates import stamp
+from lettergraph.operators.gates import Gates, Stage, changed_sums, fingerprint, set_sums
 from lettergraph.operators.search_index import SearchIndex
+from lettergraph.operators.state import open_actions
 from lettergraph.shared import shared_path
 from lettergraph.sources import adapters, letters
 from lettergraph.sources.adapters import DOCUMENT_SQL, EVENT_SQL
@@ -139,3 +141,50 @@ def rolling_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     for w in windows[1:]:
         out = out.union(w)
     return out
+
+
+# ------------------------------------------------------------------ version gates, cached profiles
+
+_STAGES = (
+    Stage("content", lambda t, s: t["source"].withColumn("body", text.new_content(F.col("body")))),
+    Stage("signals", lambda t, s: t["content"].select("*", text.signals(F.col("body"), F.lit(""), s["names"]).alias("s")).select(
+        "part", "id", "thread_id", "sent_ts", "is_sent", "sender_addr", *[F.col(f"s.{k}") for k in letters.FLAG_NAMES], F.col("s.mentions_me")), ("content",), ("names",)),
+    Stage("fold", lambda t, s: open_actions(t["signals"], F.col("sender_addr").isin(s["ignored"])), ("signals",), ("ignored",), whole=True),
+)
+_CHANGES = ("first", "again", "ignored", "names", "one message", "tail below")
+_IGNORED = [f"u{u}@d3.test" for u in range(3, 1500, 7)]
+
+
+@query(f"""WITH t AS ({letters.TRUTH_SQL}), {EVENT_SQL}, w AS (SELECT count(DISTINCT date_trunc('week', sent_ts)) AS n FROM m), c(step, change, content, signals, fold) AS (VALUES
+  (0, 'first', 9, 9, 1), (1, 'again', 0, 0, 0), (2, 'ignored', 0, 0, 1), (3, 'names', 0, 9, 0), (4, 'one message', 1, 1, 1), (5, 'tail below', 1, 0, 0))
+SELECT change, (CASE content WHEN 9 THEN n ELSE content END)::INTEGER AS content, (CASE signals WHEN 9 THEN n ELSE signals END)::INTEGER AS signals, fold::INTEGER AS fold, true AS as_rebuilt FROM c, w""")
+def version_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many weeks each stage computed after each change of settings or messages, and whether all tables are those of a rebuild."""
+    m = letters.letter_messages(_table(spark, sf_dir, "events")).select(F.date_format(F.date_trunc("week", "sent_ts"), "yyyy-MM-dd").alias("part"), "id", "thread_id", "sent_ts", "is_sent", "sender_addr", "body")
+    late = m.where("id = 0").withColumns({"id": F.lit(-1).cast("bigint"), "body": F.lit("Please send the list by Friday."), "is_sent": F.lit(False), "sender_addr": F.lit("new@x.test")})
+    below = m.withColumn("body", F.when(F.col("id") == 0, F.concat("body", F.lit("\n\n-----Original Message-----\nold"))).otherwise(F.col("body")))
+    plain, strict, named = ({"names": names, "ignored": ignored} for names, ignored in (([], []), ([], _IGNORED), (["Nobody Here"], _IGNORED)))
+    steps = ((m, plain), (m, plain), (m, strict), (m, named), (m.unionByName(late), named), (below.unionByName(late), named))
+    gates, rows = Gates(Versions(spark, shared_path(spark, "gates")), _STAGES), []
+    for change, (source, settings) in zip(_CHANGES, steps, strict=True):
+        ran = [stage for stage, _ in gates.refresh(source, settings)]
+        rows.append((change, ran.count("content"), ran.count("signals"), ran.count("fold")))
+    # After the last step: each table against one that was never kept.
+    full = Gates(Versions(spark, shared_path(spark, "rebuilt")), _STAGES)
+    full.refresh(*steps[-1])
+    same = all(gates.read(s.name).exceptAll(full.read(s.name)).isEmpty() and full.read(s.name).exceptAll(gates.read(s.name)).isEmpty() for s in _STAGES)
+    return spark.createDataFrame([(*r, same) for r in rows], "change string, content int, signals int, fold int, as_rebuilt boolean")
+
+
+@query(f"""WITH {EVENT_SQL} SELECT sender_addr, bool_or(id % 10 IN (3, 4, 5)) AS stale, true AS as_recounted FROM m GROUP BY sender_addr HAVING count_if(id % 10 <> 3) > 0""")
+def profile_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose cached profile is stale after some messages came, some left and some came twice over; kept sums against counting anew."""
+    m = adapters.event_messages(_table(spark, sf_dir, "events")).select("sender_addr", "id", "sent_ts", "subject")
+    r = F.col("id") % 10
+    before, come, gone = m.where(r != 4), m.where(r == 4).union(m.where(r == 5)).union(m.where(r == 5)), m.where(r == 3)
+    now = m.where(r != 3).union(m.where(r == 5)).union(m.where(r == 5))
+    sums = lambda rows: rows.groupBy("sender_addr").agg(*set_sums("id", "sent_ts", "subject"))
+    told = lambda df, name: df.select("sender_addr", fingerprint().alias(name))
+    kept = told(changed_sums(sums(before), sums(come), sums(gone), ["sender_addr"]), "kept")
+    rows = told(sums(now), "now").join(told(sums(before), "cached"), "sender_addr", "left").join(kept, "sender_addr", "left")
+    return rows.select("sender_addr", (~F.col("now").eqNullSafe(F.col("cached"))).alias("stale"), F.col("now").eqNullSafe(F.col("kept")).alias("as_recounted"))

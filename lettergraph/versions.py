@@ -41,13 +41,14 @@ class Versions:
     def _path(self, name: str):
         return self._hadoop.Path(f"{self.root}/{name}" if name else self.root)
 
-    def _listed(self, name: str) -> list[str]:
+    def listed(self, name: str) -> list[str]:
+        """Names in a folder below the root."""
         path = self._path(name)
         return sorted(s.getPath().getName() for s in self._files.listStatus(path)) if self._files.exists(path) else []
 
     def numbers(self) -> list[int]:
         """Numbers of the versions that can be read."""
-        return [int(n.removesuffix(".json")) for n in self._listed("versions") if n.endswith(".json")]
+        return [int(n.removesuffix(".json")) for n in self.listed("versions") if n.endswith(".json")]
 
     def at(self, number: int | None = None) -> Manifest:
         """One version, the latest by default; an empty one where nothing was committed."""
@@ -77,13 +78,16 @@ class Versions:
         df.write.partitionBy(*partition_by).parquet(f"{self.root}/{path}")
         return {"schema": df.schema.json(), "paths": [path]}
 
-    def commit(self, base: Manifest, changes: Mapping[str, dict], facts: Mapping[str, str] | None = None, add: bool = False) -> Manifest:
-        """Make the version after ``base``: entries replace their table's, or with ``add`` come on top; new facts win over old ones."""
-        tables = dict(base.tables)
+    def commit(self, base: Manifest, changes: Mapping[str, dict], facts: Mapping[str, str] | None = None, add: bool = False, only: bool = False) -> Manifest:
+        """Make the version after ``base``: entries replace their table's, or with ``add`` come on top; new facts win over old ones.
+
+        With ``only`` nothing of ``base`` stays but what is given.
+        """
+        tables = {} if only else dict(base.tables)
         for name, entry in changes.items():
             before = tables[name]["paths"] if add and name in tables else []
             tables[name] = {"schema": entry["schema"], "paths": [*before, *entry["paths"]]}
-        new = Manifest(base.number + 1, tables, {**base.facts, **(facts or {})})
+        new = Manifest(base.number + 1, tables, {**({} if only else base.facts), **(facts or {})})
         draft, final = self._path(f"drafts/{uuid.uuid4().hex}"), self._path(f"versions/{new.number:010d}.json")
         out = self._files.create(draft, True)
         out.writeBytes(json.dumps(new.__dict__))
@@ -108,8 +112,8 @@ class Versions:
         known = self.numbers()
         for number in known[: max(len(known) - keep, 0)]:
             self._files.delete(self._path(f"versions/{number:010d}.json"), False)
-        named = {p for n in known[-keep:] for e in self.at(n).tables.values() for p in e["paths"]}
-        gone = [p for p in (f"data/{name}" for name in self._listed("data")) if p not in named]
+        named = {"/".join(p.split("/")[:2]) for n in known[-keep:] for e in self.at(n).tables.values() for p in e["paths"]}
+        gone = [p for p in (f"data/{name}" for name in self.listed("data")) if p not in named]
         for path in gone:
             self._files.delete(self._path(path), True)
         return gone
