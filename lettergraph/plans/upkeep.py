@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lettergraph.functions import text
 from lettergraph.functions.dates import stamp
 from lettergraph.operators.gates import Gates, Stage, changed_sums, fingerprint, set_sums
+from lettergraph.operators.notes import Notes
 from lettergraph.operators.search_index import SearchIndex
 from lettergraph.operators.state import open_actions
 from lettergraph.shared import shared_path
@@ -188,3 +189,28 @@ def profile_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = told(changed_sums(sums(before), sums(come), sums(gone), ["sender_addr"]), "kept")
     rows = told(sums(now), "now").join(told(sums(before), "cached"), "sender_addr", "left").join(kept, "sender_addr", "left")
     return rows.select("sender_addr", (~F.col("now").eqNullSafe(F.col("cached"))).alias("stale"), F.col("now").eqNullSafe(F.col("kept")).alias("as_recounted"))
+
+
+# ------------------------------------------------------------------ notes
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS note_id, event_id AS nr, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN event_id % 3 ELSE event_id % 7 END AS seen,
+  CASE event_type WHEN 'error' THEN '' ELSE event_type || ' text' END AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT note_id, 0::BIGINT AS k, NULL::BIGINT AS nr, '' AS outcome, 0::BIGINT AS version, 0::BIGINT AS last, '' AS body FROM (SELECT DISTINCT note_id FROM e)
+  UNION ALL SELECT note_id, k, nr, o, CASE WHEN o IN ('conflict', 'noop') OR (o = 'saved' AND same) THEN version WHEN o = 'deleted' THEN 0 ELSE last + 1 END,
+    CASE WHEN o = 'created' OR (o = 'saved' AND NOT same) THEN last + 1 ELSE last END, CASE o WHEN 'conflict' THEN was WHEN 'noop' THEN was ELSE body END
+  FROM (SELECT e.note_id, e.k, e.nr, e.body, f.version, f.last, f.body AS was, e.body = f.body AS same,
+    CASE WHEN e.seen <> f.version THEN 'conflict' WHEN e.body = '' AND f.version > 0 THEN 'deleted' WHEN e.body = '' THEN 'noop' WHEN f.version = 0 THEN 'created' ELSE 'saved' END AS o
+    FROM f JOIN e ON e.note_id = f.note_id AND e.k = f.k + 1))
+SELECT note_id, nr, outcome, version FROM f WHERE k > 0""")
+def note_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as edits of a note a user, some of which saw a version that is no longer there, applied in two goes."""
+    e, n = _table(spark, sf_dir, "events"), F.col("event_id")
+    edits = e.select(
+        F.col("user_id").alias("note_id"), n.alias("nr"), F.when(n % 4 == 1, 0).when(n % 4 == 2, n % 3).when(n % 4 == 3, n % 7).cast("bigint").alias("seen"),
+        F.when(F.col("event_type") == "error", "").otherwise(F.concat("event_type", F.lit(" text\r\n"))).alias("body"),
+    )
+    notes = Notes(Versions(spark, shared_path(spark, "notes")))
+    half = F.lit("2024-01-15").cast("timestamp")
+    first = notes.edit(edits.join(e.where(F.col("ts") < half).select(n.alias("nr")), "nr", "left_semi").select(edits.columns))
+    return first.union(notes.edit(edits.join(e.where(F.col("ts") >= half).select(n.alias("nr")), "nr", "left_semi").select(edits.columns)))
