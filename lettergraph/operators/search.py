@@ -55,35 +55,43 @@ def _address(column: str, needle: str) -> Column:
     return F.exists(column, _contains(needle))
 
 
-def tier(s: Search) -> Column | None:
-    """How well a message fits a line: 1 to 4, null for not at all, None where the line has no words.
+def levels(s: Search) -> dict[int, tuple[bool, list[str]]]:
+    """What each level of a line asks for, best first: (all or any, needles); nothing for a line without words.
 
     1: the words stand side by side as they were typed, and so does each phrase.  2: each phrase and each word is there.
     3: the same over all of them as plain substrings, which also serves lines of short words alone.  4: a phrase or a longer
     word is there, if the line has several.  Words of one or two letters are too common to be looked for by themselves: in
     1 and 2 they are conditions beside others, in 4 they count for nothing.
     """
-    if not s.terms and not s.phrases:
-        return None
     longer, shorter = ([t for t in s.terms if (len(t) >= 3) == long] for long in (True, False))
     phrase = " ".join(s.terms) if len(s.terms) > 1 or s.phrases else ""
     exact, named = [*s.phrases, *([phrase] if len(phrase) >= 3 else [])], [*s.phrases, *longer]
-    every = lambda needles: _all([_one(x) for x in needles])
-    levels = {1: every([*exact, *shorter]) if exact else None, 2: every([*named, *shorter]) if named else None, 3: every([*s.terms, *s.phrases]), 4: _some([_one(x) for x in named]) if len(named) > 1 else None}
-    return F.coalesce(*[F.when(condition, number) for number, condition in levels.items() if condition is not None])
+    asked = {1: (True, [*exact, *shorter] if exact else []), 2: (True, [*named, *shorter] if named else []), 3: (True, [*s.terms, *s.phrases]), 4: (False, named if len(named) > 1 else [])}
+    return {number: level for number, level in asked.items() if level[1]}
+
+
+def tier(s: Search) -> Column | None:
+    """How well a message fits a line: its first level that holds, null for none, None where the line has no words."""
+    if not s.terms and not s.phrases:
+        return None
+    return F.coalesce(*[F.when((_all if every else _some)([_one(x) for x in asked]), number) for number, (every, asked) in levels(s).items()])
 
 
 def _one(needle: str) -> Column:
     return _has(needle, "subject", "body")
 
 
+def has_filters(s: Search) -> bool:
+    """Does a line narrow by anything but words?"""
+    return bool(s.fields or s.after or s.before or s.flags or s.has_attachment or s.thread is not None)
+
+
 def matches(m: DataFrame, line: str, addresses: dict[str, str] | None = None) -> DataFrame:
     """All messages that a search line finds, with their tier and in no order; filters alone give tier 0, nothing for nothing."""
     s = parse(line)
     level = tier(s)
-    filtered = s.fields or s.after or s.before or s.flags or s.has_attachment or s.thread is not None
     if level is None:
-        level = F.lit(0) if filtered else F.lit(None).cast("int")
+        level = F.lit(0) if has_filters(s) else F.lit(None).cast("int")
     return m.where(filters(s, addresses)).withColumn("tier", level).where("tier IS NOT NULL")
 
 
