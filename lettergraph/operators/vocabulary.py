@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettergraph.functions.rules import STOP_WORDS
-from lettergraph.functions.text import counted, let, own_text, sentences, stemmed, tokens
+from lettergraph.functions.text import counted, let, normalised_subject, own_text, sentences, stemmed, tokens
 from lettergraph.operators.gates import set_fingerprints
+from lettergraph.shared import written
 
 MIN_SUPPORT = 2
 
@@ -108,6 +109,52 @@ def rising(b: DataFrame, weeks: int = 6, least: int = 2, older: int = 3, ratio:
     return df.where(F.col("d_new") >= least).join(sizes, "who").select("who", "term", "d_new", "d_old", rate.alias("ratio")).where(F.col("ratio") >= ratio)
 
 
+def with_first_subjects(m: DataFrame) -> DataFrame:
+    """Messages with a ``words`` column: the body, and below it the subject where it is the sender's first with that thread.
+
+    Answers repeat a subject, so it is the writer's word once only; reply marks are not part of it.
+    """
+    first = m.groupBy("sender_addr", "thread_id").agg(F.min_by("id", F.struct("sent_ts", "id")).alias("_first"))
+    named = m.join(first, ["sender_addr", "thread_id"], "left")
+    own = own_text(F.coalesce("body", F.lit("")))
+    subject = F.when(F.col("id") == F.col("_first"), F.concat(F.lit("\n"), normalised_subject(F.coalesce("subject", F.lit(""))))).otherwise("")
+    return named.withColumn("words", F.concat(own, subject)).drop("_first")
+
+
+def word_analysis(m: DataFrame, aliases: DataFrame | None = None, weeks: int = 6, caps: tuple[int, int, int, int] = (8, 5, 5, 5), top: int = 25, **options) -> DataFrame:
+    """Everyone's vocabulary in one pass: (who, section, place, term, support, score).
+
+    Sections are ``terms`` and ``phrases`` by score, ``rising`` by ratio among the ``top`` terms, and ``mentions`` of others by
+    support (``aliases``: addr, alias), ``caps`` of each.  Texts are cut into words once; one aggregation by person, kind and word
+    counts its messages, the recent ones among them, for all sections.  Recent are the last ``weeks`` weeks before a person's
+    newest message; nothing rises in fewer than two recent or three older messages.
+    """
+    b = bags(with_first_subjects(m).withColumn("body", F.col("words")), **options)
+    newest = b.groupBy("who").agg((F.max("sent_ts") - F.make_dt_interval(F.lit(7 * weeks))).alias("since"))
+    of = lambda kind, column: F.transform(column, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+    marked = b.join(newest, "who").select("who", "id", F.coalesce(F.col("sent_ts") >= F.col("since"), F.lit(False)).alias("new"), F.col("sent_ts").isNotNull().alias("timed"), F.concat(of("terms", "terms"), of("phrases", "phrases")).alias("all"))
+    # A row a message without a word, so that one aggregation has the number of messages too.
+    rows = marked.select("who", "new", "timed", F.explode(F.concat(F.array(F.struct(F.lit("mail").alias("kind"), F.lit("").alias("term"))), "all")).alias("t")).select("who", "new", "timed", "t.*")
+    counts = written(rows.groupBy("who", "kind", "term").agg(F.count("*").alias("df"), F.count_if("new").alias("d_new"), F.count_if(F.col("timed") & ~F.col("new")).alias("d_old")), "word-counts")
+    mail = counts.where("kind = 'mail'").select("who", F.col("df").alias("n"), F.col("d_new").alias("n_new"), F.col("d_old").alias("n_old"))
+    everyone = counts.where("kind <> 'mail'").groupBy("kind", "term").agg(F.sum("df").alias("all_df"))
+    total = mail.agg(F.sum("n").alias("all_n"))
+    told = counts.where(f"kind <> 'mail' AND df >= {MIN_SUPPORT}").join(everyone, ["kind", "term"]).join(mail, "who").join(F.broadcast(total))  # one row
+    scores = [_score(F.col("df"), F.col("n"), F.col("all_df") - F.col("df"), F.col("all_n") - F.col("n"), phrase)[1] for phrase in (False, True)]
+    scored = told.withColumn("score", F.when(F.col("kind") == "phrases", scores[1]).otherwise(scores[0]))
+    best = scored.withColumn("place", F.row_number().over(Window.partitionBy("who", "kind").orderBy(-F.col("score"), -F.col("df"), "term"))).where(F.col("place") <= top)
+    listed = best.where(f"(kind = 'terms' AND place <= {caps[0]}) OR (kind = 'phrases' AND place <= {caps[1]})").select("who", F.col("kind").alias("section"), "place", "term", F.col("df").alias("support"), "score")
+    ratio = ((F.col("d_new") + 0.5) / (F.col("n_new") + 1)) / ((F.col("d_old") + 0.5) / (F.col("n_old") + 1))
+    risen = best.where("kind = 'terms' AND n_new >= 2 AND n_old >= 3 AND d_new >= 2").withColumn("ratio", ratio).where("ratio >= 1.8")
+    place = lambda *order: F.row_number().over(Window.partitionBy("who").orderBy(*order)).alias("place")
+    risen = risen.select("who", F.lit("rising").alias("section"), place(-F.col("ratio"), -F.col("d_new"), "term"), "term", F.col("d_new").alias("support"), F.col("ratio").alias("score")).where(F.col("place") <= caps[2])
+    out = listed.union(risen)
+    if aliases is not None:
+        named = mentions(b, aliases).where(F.col("messages") >= MIN_SUPPORT)
+        out = out.union(named.select("who", F.lit("mentions"), place(-F.col("messages"), "addr"), "addr", "messages", F.lit(None).cast("double")).where(F.col("place") <= caps[3]))
+    return out
+
+
 def mentions(b: DataFrame, aliases: DataFrame) -> DataFrame:
     """How many messages of each person name another (``aliases``: addr, alias)."""
     used = b.select("who", "id", F.explode_outer("terms").alias("alias")).join(aliases, "alias").where(F.col("addr") != F.col("who"))

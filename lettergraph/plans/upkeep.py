@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lettergraph.functions import text
 from lettergraph.functions.dates import stamp
+from lettergraph.operators import vocabulary
 from lettergraph.operators.gates import Gates, Stage, changed_sums, fingerprint, set_sums
 from lettergraph.operators.notes import Notes
 from lettergraph.operators.search_index import SearchIndex
@@ -214,3 +215,33 @@ def note_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.lit("2024-01-15").cast("timestamp")
     first = notes.edit(edits.join(e.where(F.col("ts") < half).select(n.alias("nr")), "nr", "left_semi").select(edits.columns))
     return first.union(notes.edit(edits.join(e.where(F.col("ts") >= half).select(n.alias("nr")), "nr", "left_semi").select(edits.columns)))
+
+
+# ------------------------------------------------------------------ a person's vocabulary in one call
+
+_ALIASES = (("alpha", "u1@d1.test"), ("bravo", "u2@d2.test"), ("charlie", "u3@d3.test"), ("south", "u4@d4.test"))
+
+
+@query(f"""WITH {EVENT_SQL}, f AS (SELECT sender_addr, thread_id, arg_min(id, (sent_ts, id)) AS first FROM m GROUP BY 1, 2),
+w AS (SELECT sender_addr AS who, id, sent_ts, id = first AS opens, 'ledger' || split_part(subject, ' ', 1) AS x, {_lists(_KINDS[0])}[thread_id % 5 + 1] AS y, {_lists(_KINDS[1])}[id % 3 + 1] AS z, split_part(subject, ' ', 1) AS s FROM m JOIN f USING (sender_addr, thread_id)),
+e AS (SELECT who, max(sent_ts) - INTERVAL 14 DAY AS since FROM w GROUP BY who),
+b AS (SELECT who, id, sent_ts >= since AS new, list_distinct([x, y, z] || CASE WHEN opens THEN [s] ELSE [] END) AS terms, [x || ' ' || y, y || ' ' || z] AS phrases FROM w JOIN e USING (who)),
+t AS (SELECT who, new, unnest(terms) AS term, 'terms' AS kind FROM b UNION ALL SELECT who, new, unnest(phrases), 'phrases' FROM b),
+c AS (SELECT who, kind, term, count(*) AS df, count_if(new) AS dn, count_if(NOT new) AS dx FROM t GROUP BY ALL), a AS (SELECT kind, term, sum(df) AS adf FROM c GROUP BY ALL),
+n AS (SELECT who, count(*) AS n, count_if(new) AS nn, count_if(NOT new) AS nx FROM b GROUP BY who), g AS (SELECT count(*) AS an FROM b),
+l AS (SELECT *, ln(((df + 0.5) / (n + 1)) / ((adf - df + 0.5) / (an - n + 1))) AS lift FROM c JOIN a USING (kind, term) JOIN n USING (who), g WHERE df >= 2),
+s AS (SELECT *, ln(1 + df) * sqrt(df / greatest(n, 1)) * (greatest(lift, 0.0) + 0.35) * CASE kind WHEN 'phrases' THEN 1.18 ELSE 1.0 END AS score FROM l),
+p AS (SELECT *, row_number() OVER (PARTITION BY who, kind ORDER BY score DESC, df DESC, term) AS place FROM s QUALIFY place <= 25),
+r AS (SELECT who, term, dn, ((dn + 0.5) / (nn + 1)) / ((dx + 0.5) / (nx + 1)) AS ratio FROM p WHERE kind = 'terms' AND nn >= 2 AND nx >= 3 AND dn >= 2),
+h AS (SELECT who, addr, count(DISTINCT id) AS messages FROM (SELECT who, id, unnest(terms) AS term FROM b) JOIN (VALUES {", ".join(f"('{x}', '{y}')" for x, y in _ALIASES)}) AS v(term, addr) USING (term) WHERE addr <> who GROUP BY ALL HAVING count(DISTINCT id) >= 2),
+o AS (SELECT who, kind AS section, place, term, df AS support, score FROM p WHERE place <= CASE kind WHEN 'terms' THEN 8 ELSE 5 END
+  UNION ALL SELECT who, 'rising', row_number() OVER (PARTITION BY who ORDER BY ratio DESC, dn DESC, term) AS place, term, dn, ratio FROM r WHERE ratio >= 1.8 QUALIFY place <= 5
+  UNION ALL SELECT who, 'mentions', row_number() OVER (PARTITION BY who ORDER BY messages DESC, addr) AS place, addr, messages, NULL FROM h QUALIFY place <= 5)
+SELECT who, section, place::INTEGER AS place, term, support::BIGINT AS support, round(score, 6) AS score FROM o""")
+def word_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms, phrases, rising words and mentions of everyone, from one count; a thread's subject counts once a sender."""
+    m = adapters.event_messages(_table(spark, sf_dir, "events"))
+    word = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    body = F.concat_ws(" ", F.concat(F.lit("ledger"), F.substring_index("subject", " ", 1)), word(_KINDS[0], F.col("thread_id")), word(_KINDS[1], F.col("id")))
+    aliases = spark.createDataFrame(_ALIASES, "alias string, addr string")
+    return vocabulary.word_analysis(m.withColumn("body", body), aliases, weeks=2).withColumn("score", F.round("score", 6))
