@@ -195,9 +195,10 @@ def lead_line(text: Column, greeting_max: int = 12) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The piece from the first brace to the last."""
-    piece = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(piece != "", piece)
+    """The piece from the first brace to the last, if it is JSON; nothing otherwise."""
+    # As the only one of a list: a parser stops behind an object, whatever follows it.
+    alone = lambda held: held.isNotNull() & F.try_variant_get(held, "$[1]", "variant").isNull()
+    return let(F.regexp_extract(text, r"(?s)(\{.*\})", 1), lambda piece: F.when(let(F.try_parse_json(F.concat(F.lit("["), piece, F.lit("]"))), alone) & (piece != ""), piece))
 
 
 def stemmed(word: Column) -> Column:

@@ -136,7 +136,11 @@ def uncut_quotes(m: DataFrame, probe: int = 200, least: int = 120, long_body: in
 
 
 def conversation_roots(asked: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, root) of questions that follow others (id, parent_id): pointers double each round, cycles end at their least id."""
+    """(id, root) of questions that follow others (id, parent_id): pointers double each round, cycles end at their least id.
+
+    After so many rounds a path of 2**rounds questions has ended, and what still moves goes round in a cycle no longer than that;
+    longer ones raise.
+    """
     links = asked.select("id", F.coalesce("parent_id", "id").alias("up"))
     known = links.select(F.col("id").alias("up_id"))
     links = links.join(known, F.col("up") == F.col("up_id"), "left").select("id", F.coalesce("up_id", "id").alias("up"))
@@ -149,6 +153,12 @@ def conversation_roots(asked: DataFrame, rounds: int = 20) -> DataFrame:
             low = after.drop("moved")
             break
         low = after.drop("moved")
+    else:
+        # What is pointed at now and is no root lies in a cycle, where all must have met the same least id.
+        inner = low.where("id <> up").join(low.select(F.col("up").alias("id")).distinct(), "id", "left_semi")
+        ahead = low.select(F.col("id").alias("up"), F.col("low").alias("next_low"))
+        if not inner.join(ahead, "up").where("low <> next_low").isEmpty():
+            raise RuntimeError("conversations did not settle")
     # Where a path ends in a root, that is it; where it ends in a cycle, the least id of the cycle.
     first = links.select(F.col("id").alias("up"), (F.col("id") == F.col("up")).alias("is_root"))
     ends = low.select(F.col("id").alias("up"), F.col("low").alias("cycle")).join(first, "up")

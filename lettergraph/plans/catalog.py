@@ -11,7 +11,7 @@ from lettergraph.functions import html, rules, text
 from lettergraph.functions.dates import date_group, stamp, workdays_since
 from lettergraph.operators import daily, evidence, ingest, noise, people, promises, questions, records, reports, search, state, stats, threads, vocabulary
 from lettergraph.plans import upkeep
-from lettergraph.shared import written
+from lettergraph.shared import shared_path, written
 from lettergraph.sources import adapters, letters
 from lettergraph.sources.adapters import CONVERSATION_SQL, DOCUMENT_SQL, EVENT_SQL, ME, ORDER_SQL
 from lettergraph.streaming import fold as stream_fold
@@ -577,9 +577,14 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_action_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The open requests again, folded by a stateful stream."""
-    rows = ingest_stream.run_to_table(stream_fold.open_actions_stream(_event_stream(spark, sf_dir)), "update", "fold")
-    return stream_fold.refolded(ingest_stream.newest(rows, ["thread_id"]), adapters.event_messages(_table(spark, sf_dir, "events")))
+    """The open requests again, folded by a stateful stream of four micro-batches; every fortieth message arrives at the very end."""
+    m, inbox, files = adapters.event_messages(_table(spark, sf_dir, "events")), shared_path(spark, "fold-inbox"), 4
+    arriving = upkeep.arriving(m)
+    for chunk in range(upkeep.N_CHUNKS):
+        arriving.where(F.col("chunk") == chunk).select(m.columns).repartition(files).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", files).parquet(inbox)
+    rows = ingest_stream.run_to_table(stream_fold.open_actions_stream(stream), "update", "fold")
+    return stream_fold.refolded(ingest_stream.newest(rows, ["thread_id"]), m)
 
 
 def stream_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

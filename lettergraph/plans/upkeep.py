@@ -62,10 +62,11 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ chunked ingest
 
 _CUTS = ("2024-01-09", "2024-01-16", "2024-01-23")
+N_CHUNKS = len(_CUTS) + 1
 _KINDS = ("alpha", "bravo", "charlie", "delta", "echo"), ("north", "south", "east")
 
 
-def _arriving(m: DataFrame) -> DataFrame:
+def arriving(m: DataFrame) -> DataFrame:
     """Messages with the chunk they arrive in: by time, every fortieth at the very end, every fiftieth a second time under its neighbour's message id."""
     chunk = F.lit(3)
     for i in reversed(range(len(_CUTS))):
@@ -84,8 +85,8 @@ def _taken(m: DataFrame, name: str, **options) -> Ingest:
     spark = m.sparkSession
     inbox, checkpoint = shared_path(spark, f"{name}-inbox"), shared_path(spark, f"{name}-stream")
     ingest = Ingest(Versions(spark, shared_path(spark, name)), **options)
-    rows = _arriving(m)
-    for chunk in range(len(_CUTS) + 1):
+    rows = arriving(m)
+    for chunk in range(N_CHUNKS):
         rows.where(F.col("chunk") == chunk).drop("chunk").write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(rows.drop("chunk").schema).parquet(inbox)
         try:
@@ -138,7 +139,7 @@ def rolling_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
     body = F.concat_ws(" ", F.substring_index("subject", " ", 1), word(_KINDS[0], F.col("thread_id")), word(_KINDS[1], F.col("id")))
     ingest = _taken(m.withColumn("body", body), "terms", weeks=2)
-    windows = [ingest.window(ingest.versions.at(n + 1)).withColumn("chunk", F.lit(n)) for n in range(len(_CUTS) + 1)]
+    windows = [ingest.window(ingest.versions.at(n + 1)).withColumn("chunk", F.lit(n)) for n in range(N_CHUNKS)]
     out = windows[0]
     for w in windows[1:]:
         out = out.union(w)

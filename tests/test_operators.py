@@ -282,3 +282,31 @@ def test_quotes_are_found_wherever_they_stand(spark, sent):
     got = {(x.quote_id, x.id) for x in evidence.located_quotes(spark.createDataFrame(quotes, "quote_id long, quote string"), m, sent=sent).collect()}
     plain = lambda t: "".join((t or "").split())
     assert got == {(k, i) for k, q in quotes for i, b in enumerate(bodies) if len(plain(q)) >= 10 and plain(q) in plain(b)}
+
+
+def test_roots_beside_cycles(spark):
+    """Paths end in their root and cycles at their least id, however many rounds the cycles move; a cycle that is too long raises."""
+    pairs = [(i, i - 1 if i % 10 else None) for i in range(40)] + [(100 + i, 100 + (i + 1) % 7) for i in range(7)] + [(120, 103), (121, 120), (90, 121)]
+    asked = spark.createDataFrame(pairs, "id long, parent_id long")
+    got = {r.id: r.root for r in evidence.conversation_roots(asked).collect()}
+    assert got == {**{i: i // 10 * 10 for i in range(40)}, **{i: 100 for i in (*range(100, 107), 120, 121, 90)}}
+    with pytest.raises(RuntimeError, match="settle"):
+        evidence.conversation_roots(asked, rounds=2)
+
+
+def test_word_analysis_is_what_its_parts_say(spark):
+    r = random.Random(6)
+    words = [f"word{chr(97 + k)}" for k in range(12)]
+    rows = [(i, i % 9, f"s{i % 3}@x", T0 + dt.timedelta(days=i), f"Re: subject{'abc'[i % 3]}", " ".join(r.choice(words[: 4 + i % 9]) for _ in range(8))) for i in range(90)]
+    m = spark.createDataFrame(rows, "id long, thread_id long, sender_addr string, sent_ts timestamp_ntz, subject string, body string")
+    aliases = spark.createDataFrame([("worda", "s0@x"), ("wordb", "s1@x")], "alias string, addr string")
+    got = {}
+    for x in vocabulary.word_analysis(m, aliases, caps=(1000, 1000, 1000, 1000), top=1000).collect():
+        got.setdefault(x.section, {})[x.who, x.term] = (x.support, x.score)
+    b = vocabulary.bags(vocabulary.with_first_subjects(m).withColumn("body", F.col("words")))
+    for section in ("terms", "phrases"):
+        assert got[section] == {(x.who, x.term): (x.df, pytest.approx(x.score)) for x in vocabulary.term_scores(b, section).collect()}
+    assert got["mentions"] == {(x.who, x.addr): (x.messages, None) for x in vocabulary.mentions(b, aliases).where("messages >= 2").collect()}
+    subjects = {(w, t): n for (w, t), (n, _) in got["terms"].items() if t.startswith("subject")}
+    assert subjects == {(f"s{k}@x", f"subject{'abc'[k]}"): 3 for k in range(3)}  # three threads each, thirty messages
+    assert set(got["rising"]) <= set(got["terms"]) and all(ratio >= 1.8 for _, ratio in got["rising"].values())

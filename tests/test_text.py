@@ -205,3 +205,8 @@ def test_hidden_elements_end_with_their_own_name(spark):
         ("a<svg viewBox='0'/>b", "a b"), ("x<script>var a = '</style>';", "x"), ("<head><meta charset=x><body>y", "y"), ("<header>h</header>x", "h\nx"), ("<script>" * 20_000, ""), ("x<!-- open", "x"),
     ]
     assert [r.t for r in spark.createDataFrame([(a,) for a, _ in cases], "h string").select(html.html_text(F.col("h")).alias("t")).collect()] == [b for _, b in cases]
+
+
+def test_json_object_is_json_or_nothing(spark):
+    cases = [('so: {"a": 1} ok', '{"a": 1}'), ('{"a": "}"} then {b}', None), ('{"a": 1}, {"b": 2}', None), ("none", None), (None, None), ("{}", "{}"), ('```json\n{"a": [1,\n2]}\n```', '{"a": [1,\n2]}'), ("{'a': 1}", None)]
+    assert [r.j for r in spark.createDataFrame([(a,) for a, _ in cases], "t string").select(text.json_object(F.col("t")).alias("j")).collect()] == [b for _, b in cases]
