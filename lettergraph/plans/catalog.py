@@ -640,6 +640,26 @@ def html_safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", html.html_text(html.safe_html(F.col("html"))).alias("text"))
 
 
+#: Bodies above quoted mail: what stands between the own words and a whole page, and the text that is left when quotes are cut; without a page where nothing is quoted.
+_ABOVE = (
+    ("<div>-----Original Message-----</div>", "", True), ("<p><span>-----</span><b>Original</b> <i>Message</i><span>-----</span></p>", "", True),
+    ("<hr><p><b>From:</b> a@b.test<br><b>Sent:</b> Monday<br><b>Subject:</b> x</p>", "", True), ("<p>From: here to there</p>", "\n\nFrom: here to there", False), ("<p>-----</p><p>Kim</p>", "\n\n-----\n\nKim", False),
+    ("<p>On Mon, 8 Jan 2024 at 10:00, Kim &lt;kim@home.test&gt; wrote:</p>", "", True), ("<div>_____</div><div><span>보낸 사람:</span> a</div><div>날짜: b</div><div>제목: c</div>", "", True),
+)
+
+
+def html_quotes_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own words above whole pages as quoted mail, by several labels: what is left when quotes are cut, and whether a fold holds them where they are."""
+    above = F.element_at(F.array(*[F.struct(F.lit(mark).alias("mark"), F.lit(quoted).alias("quoted")) for mark, _, quoted in _ABOVE]), (F.col("page_id") % len(_ABOVE) + 1).cast("int"))
+    pages = _table(spark, sf_dir, "pages").withColumn("a", above)
+    body = F.concat(F.lit("<p>own "), F.col("page_id").cast("string"), F.lit("</p>"), F.col("a.mark"), F.when(F.col("a.quoted"), F.coalesce("html", F.lit(""))).otherwise(""))
+    rows = pages.select("page_id", body.alias("body")).select("page_id", html.html_text(html.safe_html(F.col("body"), "cut")).alias("text"), html.safe_html(F.col("body"), "fold").alias("fold"))
+    return rows.select("page_id", "text", (F.instr("fold", "<details>") > F.instr("fold", "own ")).alias("folded"))
+
+
+QUERIES["html_quotes_cut"] = html_quotes_cut
+_LEFT = "[" + ", ".join("'" + left.replace("\n", "' || chr(10) || '") + "'" for _, left, _ in _ABOVE) + "]"
+ORACLE_SQL["html_quotes_cut"] = f"SELECT page_id, 'own ' || page_id || ({_LEFT})[page_id % {len(_ABOVE)} + 1] AS text, ({[q for _, _, q in _ABOVE]})[page_id % {len(_ABOVE)} + 1] AS folded FROM pages"
 QUERIES["html_safe_text"] = html_safe_text
 ORACLE_SQL["html_safe_text"] = ORACLE_SQL["html_text"]
 
