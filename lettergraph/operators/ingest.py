@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettergraph.functions.text import normalised_subject
+from lettergraph.llm.components import components
 from lettergraph.shared import written
 
 
@@ -64,48 +67,71 @@ def assign_threads(records: DataFrame, window_days: int = 30) -> DataFrame:
     first message.  A record without a time joins by reference or key only.
 
     A subject is cut where no record can reach back: at gaps of more than ``window_days`` days that nothing dated before them
-    arrived after.  What is left in one component is what really can meet; a subject that never rests is one sequence.
+    arrived after, and over which no record of the subject names another.  A subject with conversation keys, or with names from
+    or to other subjects, is not cut, as a thread of it may be kept going from there.  A subject that never rests is one
+    sequence.  Only those keys and names over subjects are links to be followed in rounds.
     """
-    from lettergraph.operators.links import linked
-
-    rows = records.withColumn("norm", normalised_subject(F.col("subject")))
-    day = F.col("sent_ts").cast("date")
-    days = rows.where((F.col("norm") != "") & F.col("sent_ts").isNotNull()).groupBy("norm", day.alias("day")).agg(F.min("arrival").alias("low"), F.max("arrival").alias("high"))
+    # Hashes stand for names here: two that meet put records in one component that need not be, which changes no thread.
+    norm, time = normalised_subject(F.col("subject")), F.col("sent_ts").cast("timestamp_ntz")
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    rows = written(records.select(
+        "message_id", "refs", "conversation_key", norm.alias("norm"), F.when(norm != "", time.cast("date")).alias("day"), F.timestamp_diff("MICROSECOND", epoch, time).alias("us"), "arrival",
+        F.xxhash64(F.lit("m"), "message_id").alias("self"),
+    ), "records")
+    named = rows.select("norm", "day", "self", F.explode("refs").alias("ref")).select("norm", "day", "self", F.xxhash64(F.lit("m"), "ref").alias("other"))
+    met = written(named.join(rows.select(F.col("self").alias("other"), F.col("norm").alias("their_norm"), F.col("day").alias("their_day")), "other"), "named")
+    same = F.coalesce((F.col("norm") == F.col("their_norm")) & F.col("day").isNotNull() & F.col("their_day").isNotNull(), F.lit(False))
+    keyed = F.when(F.coalesce("conversation_key", F.lit("")) != "", F.xxhash64(F.lit("c"), "conversation_key"))
+
+    dated, no = F.when(F.col("day").isNotNull(), F.col("arrival")), F.lit(None).cast("long")
+    told = rows.select("norm", "day", dated.alias("low"), dated.alias("high"), F.col("day").alias("until"), keyed.isNotNull().alias("beyond"))
+    told = told.union(met.where(same).where("day <> their_day").select("norm", F.least("day", "their_day"), no, no, F.greatest("day", "their_day"), F.lit(False)))
+    for side in (("norm", "day"), ("their_norm", "their_day")):
+        told = told.union(met.where(~same).select(*side, no, no, F.lit(None).cast("date"), F.lit(True)))
+    told = told.where("norm <> ''")
+    days = told.groupBy("norm", "day").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("until").alias("until"), F.max("beyond").alias("beyond"))
     order = Window.partitionBy("norm").orderBy("day")
     before, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     # Two days more than the window: whole days stand for times here.
-    cut = (F.datediff("day", F.lag("day").over(order)) > window_days + 1) & (F.max("high").over(before) < F.min("low").over(on))
+    cut = (F.datediff("day", F.lag("day").over(order)) > window_days + 1) & (F.max("high").over(before) < F.min("low").over(on)) & (F.max("until").over(before) < F.col("day")) & ~F.max("beyond").over(Window.partitionBy("norm"))
     days = days.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int")).withColumn("session", F.sum("cut").over(order)).select("norm", "day", "session")
-    rows = rows.withColumn("day", day).join(days, ["norm", "day"], "left").drop("day")
-    keys = rows.select("message_id", F.explode(F.array_distinct(F.array_compact(F.concat(
-        F.array(F.concat(F.lit("m:"), "message_id"), F.when(F.coalesce("conversation_key", F.lit("")) != "", F.concat(F.lit("c:"), "conversation_key")), F.when(F.col("session").isNotNull(), F.concat(F.lit("s:"), F.col("session").cast("string"), F.lit(":"), F.col("norm")))),
-        F.transform(F.coalesce("refs", F.array().cast("array<string>")), lambda r: F.concat(F.lit("m:"), r)),
-    )))).alias("key"))
-    groups = linked(keys, "message_id", "key")
-
-    def place(component: pd.DataFrame) -> pd.DataFrame:
-        by_message, by_key, by_subject, last, out = {}, {}, {}, {}, []
-        for r in component.sort_values("arrival").itertuples():
-            refs = list(r.refs) if r.refs is not None else []
-            thread = next((by_message[x] for x in refs if x in by_message), None)
-            if thread is None and r.conversation_key:
-                thread = by_key.get(r.conversation_key)
-            if thread is None and r.norm:
-                near = [t for t in by_subject.get(r.norm, ()) if t in last and last[t] >= r.sent_ts - pd.Timedelta(days=window_days)]
-                thread = max(near, key=lambda t: last[t], default=None)
-            if thread is None:
-                thread = r.arrival
-                by_subject.setdefault(r.norm, []).append(thread)
-                if r.conversation_key:
-                    by_key[r.conversation_key] = thread
-            if not pd.isna(r.sent_ts):
-                last[thread] = max(last.get(thread, r.sent_ts), r.sent_ts)
-            by_message[r.message_id] = thread
-            out.append((r.message_id, thread))
-        return pd.DataFrame(out, columns=["message_id", "thread_id"])
-
-    wide = rows.select("message_id", "refs", "conversation_key", "norm", "sent_ts", "arrival").join(groups, "message_id")
-    return wide.groupBy("component").applyInPandas(place, "message_id string, thread_id long")
+    subject = F.when(F.col("session").isNotNull(), F.xxhash64(F.lit("s"), "session", "norm"))
+    homes = written(rows.join(days, ["norm", "day"], "left").select(*rows.columns, F.coalesce(subject, keyed, "self").alias("home"), keyed.alias("key")).drop("day"), "homes")
+
+    home = lambda name: homes.select(F.col("self").alias(name), F.col("home").alias(f"{name}_home"))
+    across = met.where(~same).select("self", "other").join(home("self"), "self").join(home("other"), "other").select(F.col("self_home").alias("a"), F.col("other_home").alias("b"))
+    groups = components(across.union(homes.where("key IS NOT NULL").select("home", "key")).where("a <> b").distinct())
+    component = F.coalesce("component", "home").alias("component")
+    seated = homes.join(groups.withColumnRenamed("node", "home"), "home", "left").select(component, "message_id", "refs", "conversation_key", "norm", "us", "arrival")
+    reach = window_days * 86_400_000_000
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Components one after the other, each in order of arrival; a subject's newest thread is all that has to be known of it."""
+        now = None
+        for batch in batches:
+            ids, threads = batch.column(1), []
+            for group, message, refs, key, norm, us, arrival in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != now:
+                    now, by_message, by_key, newest, last, subject_of = group, {}, {}, {}, {}, {}
+                thread = next((by_message[x] for x in refs or () if x in by_message), None)
+                if thread is None and key:
+                    thread = by_key.get(key)
+                if thread is None and norm and us is not None and norm in newest and newest[norm][0] >= us - reach:
+                    thread = -newest[norm][1]
+                if thread is None:
+                    thread = arrival
+                    subject_of[thread] = norm
+                    if key:
+                        by_key[key] = thread
+                if us is not None:
+                    last[thread] = max(last.get(thread, us), us)
+                    about = subject_of[thread]
+                    newest[about] = max(newest.get(about, (last[thread], -thread)), (last[thread], -thread))  # of two as new the one opened first
+                by_message[message] = thread
+                threads.append(thread)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(threads, type=pa.int64())], names=["message_id", "thread_id"])
+
+    return seated.repartition("component").sortWithinPartitions("component", "arrival").mapInArrow(placed, "message_id string, thread_id long")
 
 
 def first_held(m: DataFrame) -> DataFrame:
