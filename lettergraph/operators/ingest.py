@@ -25,10 +25,11 @@ def slot(ts: Column) -> tuple[Column, Column]:
     return day.cast("bigint"), (F.hour(ts) * 4 + F.floor(F.minute(ts) / 15)).cast("bigint")
 
 
-def allocated_ids(records: DataFrame, order: str = "arrival", digits: int = 3) -> DataFrame:
+def allocated_ids(records: DataFrame, order: str = "arrival", digits: int | None = 3) -> DataFrame:
     """Ids from the record's own time: day, quarter hour in two digits, and the number in it in ``digits``.
 
-    Three digits hold 95,904 records a day; a larger store takes more, up to ten.  A quarter hour
+    Three digits hold 95,904 records a day; a larger store takes more, up to ten, and None takes the fewest from three on that
+    hold its fullest day: one number for all records, as ids of different lengths could meet.  A quarter hour
     that is full passes the rest on to the next of the same day.  The place of a record in its
     day follows from counts a quarter hour, ``next free = max(start of slot, place after the records before)``: a running
     maximum over at most 96 slots a day, then a number within each slot.
@@ -37,17 +38,25 @@ def allocated_ids(records: DataFrame, order: str = "arrival", digits: int = 3) -
     rows = records.withColumn("day", day).withColumn("quarter", quarter)
     counts = rows.groupBy("day", "quarter").agg(F.count("*").alias("n"))
     by_day = Window.partitionBy("day").orderBy("quarter")
-    width, room = 10**digits, 10**digits - 1
+    if digits is None:
+        # A day fits where from each quarter on the records fill no more than the slots that are left.
+        left = F.sum("n").over(by_day.rowsBetween(0, Window.unboundedFollowing)) / (96 - F.col("quarter"))
+        need = counts.select(left.alias("left")).agg(F.coalesce(F.max("left"), F.lit(0)).alias("left"))
+        fewest = F.coalesce(*[F.when(F.col("left") <= 10**d - 1, F.lit(10**d).cast("bigint")) for d in range(3, 10)], F.lit(10**10))
+        counts = counts.join(F.broadcast(need.select(fewest.alias("width"))))  # one row
+    else:
+        counts = counts.withColumn("width", F.lit(10**digits).cast("bigint"))
+    width, room = F.col("width"), F.col("width") - 1
     # With so much room a slot: first place = total before + max over slots so far of (slot start - total before that slot).
     before = F.coalesce(F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counts.withColumn("before", before).withColumn("first", F.col("before") + F.max(F.col("quarter") * room - F.col("before")).over(by_day))
     number = F.row_number().over(Window.partitionBy("day", "quarter").orderBy(order)) - 1
-    seated = rows.withColumn("number", number).join(placed.select("day", "quarter", "first"), ["day", "quarter"])
+    seated = rows.withColumn("number", number).join(placed.select("day", "quarter", "first", "width"), ["day", "quarter"])
     place = F.col("first") + F.col("number")
     slot_no = (place - place % room) / room
     fits = slot_no < 96
     new_id = F.col("day") * (100 * width) + slot_no.cast("bigint") * width + place % room + 1
-    return seated.withColumn("id", F.when(fits, new_id).otherwise(F.raise_error(F.lit("a day holds more records than ids: take more digits")).cast("bigint")).cast("bigint")).drop("day", "quarter", "number", "first")
+    return seated.withColumn("id", F.when(fits, new_id).otherwise(F.raise_error(F.lit("a day holds more records than ids: take more digits")).cast("bigint")).cast("bigint")).drop("day", "quarter", "number", "first", "width")
 
 
 def arrival_numbers(records: DataFrame, offset: int = 0, order: str = "arrival") -> DataFrame:

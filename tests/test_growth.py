@@ -22,3 +22,14 @@ def test_threads_call_python_by_batch_and_follow_names_over_subjects(spark):
     out = ingest.assign_threads(df.withColumn("refs", F.when(F.size("refs") > 0, F.col("refs"))))
     assert {x.message_id: x.thread_id for x in out.collect()} == sequential_threads(rows)
     assert "FlatMapGroups" not in planned(out) and "MapInArrow" in planned(out)
+
+
+def test_ids_take_the_fewest_digits_that_hold_the_fullest_day(spark):
+    full = spark.range(100_000).select(F.col("id").alias("arrival"), F.lit(T0).cast("timestamp_ntz").alias("sent_ts"))
+    other = spark.createDataFrame([(-1, T0 + dt.timedelta(days=1))], "arrival long, sent_ts timestamp_ntz")
+    ids = lambda df: {r.arrival: r.id for r in ingest.allocated_ids(df, digits=None).collect()}
+    got = ids(full.union(other))
+    # 60 quarter hours are left from nine o'clock on: 1,667 in each.
+    assert len(set(got.values())) == 100_001 and got[-1] == 240102_36_0001 and got[0] == 240101_36_0001 and got[99_999] == 240101_46_0010
+    # So many as three digits hold from there on, and one more.
+    assert ids(full.where("arrival < 59940"))[59_939] == 240101_95_999 and ids(full.where("arrival <= 59940"))[59_940] == 240101_41_9946
