@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lettergraph.shared import small_batches  # noqa: F401
+
 
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not use yet."""
@@ -14,16 +16,6 @@ def free_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound an Arrow batch to ``rows`` rows, as documents can be long; a session that has it smaller keeps that.
-
-    Plans run later than they are made, so the setting stays with the session.
-    """
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if not 0 < now <= rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def md5_int(*cols, digits: int = 13):
     """An integer below 16**digits drawn from the md5 of the joined columns.
 

@@ -2,10 +2,13 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 from test_operators import T0, sequential_threads
 
 from lettergraph.operators import ingest
+from lettergraph.plans import catalog
 
 
 def planned(df):
@@ -33,3 +36,12 @@ def test_ids_take_the_fewest_digits_that_hold_the_fullest_day(spark):
     assert len(set(got.values())) == 100_001 and got[-1] == 240102_36_0001 and got[0] == 240101_36_0001 and got[99_999] == 240101_46_0010
     # So many as three digits hold from there on, and one more.
     assert ids(full.where("arrival < 59940"))[59_939] == 240101_95_999 and ids(full.where("arrival <= 59940"))[59_940] == 240101_41_9946
+
+
+@pytest.mark.parametrize("query", ["html_text", "html_safe", "html_safe_text", "html_markdown"])
+def test_pages_reach_python_in_small_batches(spark, tmp_path, query):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.range(30).select(F.col("id").alias("page_id"), F.lit("<p>a &amp; b</p>").alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.conf.unset(rows), spark.conf.unset(size)
+    assert catalog.QUERIES[query](spark, str(tmp_path)).count() == 30
+    assert int(spark.conf.get(rows)) <= 500 and int(spark.conf.get(size).lower().removesuffix("b")) <= 8 << 20
