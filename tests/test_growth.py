@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from test_operators import T0, sequential_threads
 
 from lettergraph.operators import ingest
+from lettergraph.operators.search_index import SearchIndex, trigrams_of
 from lettergraph.plans import catalog
+from lettergraph.versions import Versions
 
 
 def planned(df):
@@ -45,3 +47,18 @@ def test_pages_reach_python_in_small_batches(spark, tmp_path, query):
     spark.conf.unset(rows), spark.conf.unset(size)
     assert catalog.QUERIES[query](spark, str(tmp_path)).count() == 30
     assert int(spark.conf.get(rows)) <= 500 and int(spark.conf.get(size).lower().removesuffix("b")) <= 8 << 20
+
+
+def test_the_index_reaches_python_in_small_batches(spark, tmp_path):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(rows), spark.conf.unset(size)
+    index = SearchIndex(Versions(spark, str(tmp_path / "index")))
+    assert int(spark.conf.get(rows)) <= 500 and int(spark.conf.get(size).lower().removesuffix("b")) <= 4 << 20
+    # Two segments of blocks of 200 KB in all, merged by batches of less: none is lost between batches.
+    spark.conf.set(size, str(64 << 10))
+    m = spark.range(100_000).select("id", F.lit("").alias("subject"), F.lit("abcd").alias("body"))
+    index.add(m.where("id % 2 = 0"))
+    index.add(m.where("id % 2 = 1"))
+    assert {r.gram: r.n for r in index.versions.read("postings", index.merge()).groupBy("gram").agg(F.sum("n").alias("n")).collect()} == dict.fromkeys(trigrams_of("abcd"), 100_000)
+    assert index.candidates(["abcd"]).count() == 100_000
+    spark.conf.unset(size)
