@@ -5,11 +5,12 @@ import random
 import pytest
 
 from pyspark.sql import functions as F
-from test_operators import T0, sequential_threads
+from test_operators import T0, direct_fold, messages, sequential_threads
 
 from lettergraph.operators import ingest
 from lettergraph.operators.search_index import SearchIndex, trigrams_of
 from lettergraph.plans import catalog
+from lettergraph.streaming import fold, ingest as streams
 from lettergraph.versions import Versions
 
 
@@ -62,3 +63,14 @@ def test_the_index_reaches_python_in_small_batches(spark, tmp_path):
     assert {r.gram: r.n for r in index.versions.read("postings", index.merge()).groupBy("gram").agg(F.sum("n").alias("n")).collect()} == dict.fromkeys(trigrams_of("abcd"), 100_000)
     assert index.candidates(["abcd"]).count() == 100_000
     spark.conf.unset(size)
+
+
+def test_the_stream_folds_in_any_order_without_python(spark, tmp_path):
+    rows, m = messages(spark, 31)
+    for k in (3, 0, 2, 1):
+        m.where(F.col("id") % 4 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    out = streams.run_to_table(fold.open_actions_stream(streams.file_stream(spark, str(tmp_path / "m"), files_per_batch=1)), "update", "t")
+    got = streams.newest(out, ["thread_id"]).where("source_id IS NOT NULL").collect()
+    assert out.select("batch").distinct().count() == 4
+    assert {r.thread_id: (r.source_id, r.strength == "strong", r.kind == "decide", r.has_deadline, r.completion_after) for r in got} == direct_fold(rows)
+    assert "InPandas" not in fold.open_actions_stream(spark.readStream.schema(m.schema).parquet(str(tmp_path)))._jdf.queryExecution().analyzed().toString()
