@@ -69,9 +69,13 @@ def npmi(b: DataFrame, chosen: DataFrame, least: int = MIN_SUPPORT) -> DataFrame
     """
     kept = b.join(chosen.groupBy("who").agg(F.collect_set("term").alias("mine")), "who").withColumn("t", F.array_sort(F.array_intersect("terms", "mine")))
     sizes, df = b.groupBy("who").agg(F.count("*").alias("n")), document_frequency(kept.select("who", F.col("t").alias("terms")))
-    pairs = kept.select("who", F.explode_outer(F.flatten(F.transform("t", lambda x, i: F.transform(F.slice(F.col("t"), i + 2, F.size("t")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"), "phrases")
-    near = F.exists("phrases", lambda p: (p == F.concat_ws(" ", "p.a", "p.b")) | (p == F.concat_ws(" ", "p.b", "p.a")))
-    co = pairs.groupBy("who", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("p").alias("co"), F.count_if(near).alias("adjacent")).where(F.col("co") >= least)
+    # Which pairs stand side by side is looked up in the few phrases made of chosen terms, before pairs become rows.
+    joined = lambda x, y: F.concat_ws(" ", x, y)
+    close = F.array_intersect("phrases", F.flatten(F.transform("t", lambda x: F.transform(F.col("t"), lambda y: joined(x, y)))))
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"), (F.array_contains(F.col("close"), joined(x, y)) | F.array_contains(F.col("close"), joined(y, x))).alias("near"))
+    of_message = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice(F.col("t"), i + 2, F.size("t")), lambda y: pair(x, y))))
+    pairs = kept.withColumn("close", close).select("who", F.explode_outer(of_message).alias("p"))
+    co = pairs.groupBy("who", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("p").alias("co"), F.count_if("p.near").alias("adjacent")).where(F.col("co") >= least)
     rows = co.join(df.select("who", F.col("term").alias("a"), F.col("df").alias("da")), ["who", "a"]).join(df.select("who", F.col("term").alias("b"), F.col("df").alias("db")), ["who", "b"]).join(sizes, "who")
     share = F.col("co") / F.col("n")
     assoc = F.when(share >= 1, 0.0).otherwise(F.log(share / ((F.col("da") / F.col("n")) * (F.col("db") / F.col("n")))) / -F.log(share))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import T0, direct_fold, messages, sequential_threads
 
-from lettergraph.operators import ingest
+from lettergraph.operators import ingest, vocabulary
 from lettergraph.operators.search_index import SearchIndex, trigrams_of
 from lettergraph.plans import catalog
 from lettergraph.streaming import fold, ingest as streams
@@ -74,3 +74,11 @@ def test_the_stream_folds_in_any_order_without_python(spark, tmp_path):
     assert out.select("batch").distinct().count() == 4
     assert {r.thread_id: (r.source_id, r.strength == "strong", r.kind == "decide", r.has_deadline, r.completion_after) for r in got} == direct_fold(rows)
     assert "InPandas" not in fold.open_actions_stream(spark.readStream.schema(m.schema).parquet(str(tmp_path)))._jdf.queryExecution().analyzed().toString()
+
+
+def test_pairs_do_not_carry_their_messages_phrases(spark):
+    m = spark.createDataFrame([(k, "a@x", "river bank\nriver stone bank") for k in range(3)], "id long, sender_addr string, body string").withColumn("thread_id", F.col("id"))
+    b = vocabulary.bags(m)
+    out = vocabulary.npmi(b, b.select("who", F.explode("terms").alias("term")).distinct())
+    assert {(r.a, r.b): r.co for r in out.collect()} == {("bank", "river"): 3, ("bank", "stone"): 3, ("river", "stone"): 3} and all(r.weight == pytest.approx(0.35) for r in out.collect())
+    assert "exists(phrases" not in planned(out)
