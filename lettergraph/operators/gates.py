@@ -54,6 +54,12 @@ def set_fingerprints(rows: DataFrame, keys: list[str], columns: list[str]) -> Da
     return rows.groupBy(*keys).agg(*set_sums(*columns)).select(*keys, fingerprint().alias("fingerprint"))
 
 
+def same_rows(one: DataFrame, other: DataFrame) -> bool:
+    """Have two tables of the same columns the same rows, each as often?  Both directions by one aggregation."""
+    both = one.withColumn("_side", F.lit(1)).unionByName(other.withColumn("_side", F.lit(-1)))
+    return both.groupBy(*one.columns).agg(F.sum("_side").alias("_more")).where("_more <> 0").isEmpty()
+
+
 @dataclass(frozen=True)
 class Stage:
     """A derived table.  ``compute`` gets its inputs by name, all parts together with their column ``part``, and the settings.

@@ -3,7 +3,7 @@ import dataclasses
 
 from pyspark.sql import functions as F
 
-from lettergraph.operators.gates import Gates, Stage, changed_sums, fingerprint, set_fingerprints, set_sums
+from lettergraph.operators.gates import Gates, Stage, changed_sums, fingerprint, same_rows, set_fingerprints, set_sums
 from lettergraph.shared import shared_path
 from lettergraph.versions import Versions
 
@@ -70,3 +70,11 @@ def test_fingerprints_follow_rows_that_come_and_leave(spark):
     assert told(after)[0] == told(sums(left))[0] and told(after)[1] == told(sums(left))[1]
     empty = changed_sums(sums([1, 2]), sums([]), sums([1, 2]), ["k"])
     assert empty.isEmpty()
+
+
+def test_same_rows_counts_them(spark):
+    table = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    rows = [(1, "a"), (1, "a"), (2, None)]
+    assert same_rows(table(rows), table(rows[::-1])) and same_rows(table([]), table([]))
+    assert not same_rows(table(rows), table(rows[1:])) and not same_rows(table(rows[1:]), table(rows))
+    assert not same_rows(table(rows), table([(1, "a"), (2, None), (2, None)])) and not same_rows(table(rows), table([(1, "a"), (1, "b"), (2, None)]))

@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import T0, direct_fold, messages, sequential_threads
 
+from lettergraph.functions import text
 from lettergraph.operators import ingest, vocabulary
 from lettergraph.operators.search_index import SearchIndex, trigrams_of
-from lettergraph.plans import catalog
+from lettergraph.operators.texts import by_text
+from lettergraph.plans import catalog, upkeep
+from lettergraph.sources import letters
 from lettergraph.streaming import fold, ingest as streams
 from lettergraph.versions import Versions
 
@@ -82,3 +85,26 @@ def test_pairs_do_not_carry_their_messages_phrases(spark):
     out = vocabulary.npmi(b, b.select("who", F.explode("terms").alias("term")).distinct())
     assert {(r.a, r.b): r.co for r in out.collect()} == {("bank", "river"): 3, ("bank", "stone"): 3, ("river", "stone"): 3} and all(r.weight == pytest.approx(0.35) for r in out.collect())
     assert "exists(phrases" not in planned(out)
+
+
+def test_gates_judge_each_different_text_once(spark):
+    schema = "part string, id long, thread_id long, sent_ts timestamp_ntz, is_sent boolean, sender_addr string, body string"
+    bodies = [*[x[0] + tail for x in letters.LETTERS for tail in letters.TAILS], "", None]
+    source = spark.createDataFrame([("w", i, i % 7, T0, False, "a@x", bodies[i % len(bodies)]) for i in range(3 * len(bodies))], schema)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(body):
+        seen.add(1)
+        return body
+
+    rows = by_text(source, "body", "body", counted).collect()
+    assert seen.value == len(set(bodies)) and sorted(map(str, rows)) == sorted(map(str, source.collect()))
+    content, signals = (stage.compute for stage in upkeep._STAGES[:2])
+    new = content({"source": source}, {})
+    one_by_one = source.withColumn("body", text.new_content(F.col("body")))
+    assert new.columns == source.columns and sorted(map(str, new.collect())) == sorted(map(str, one_by_one.collect()))
+    got = signals({"content": new}, {"names": ["tea"]})
+    want = one_by_one.select("*", text.signals(F.col("body"), F.lit(""), ["tea"]).alias("s")).select("*", "s.*").select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("mentions_me").count() > 0
+    assert "BroadcastHashJoin" in planned(new) and "rlike" not in planned(new).lower() and "rlike" not in planned(got).lower()
