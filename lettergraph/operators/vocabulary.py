@@ -19,17 +19,28 @@ def bags(m: DataFrame, who: str = "sender_addr", stop: tuple[str, ...] = STOP_WO
 
     A sentence ends at white space, and so within no word: terms come from the whole text, and only phrases need sentences.
     """
+    terms, phrases = _bag(F.col("own"), stop, people_words)
+    rows = m.withColumn("own", own_text(F.coalesce("body", F.lit(""))))
+    return rows.select(F.col(who).alias("who"), "id", "thread_id", *(["sent_ts"] if "sent_ts" in m.columns else []), terms.alias("terms"), phrases.alias("phrases"))
+
+
+def bag(text: Column, stop: tuple[str, ...] = STOP_WORDS, people_words: list[str] | None = None) -> Column:
+    """One text's terms and phrases, as a struct."""
+    def both(own: Column) -> Column:
+        terms, phrases = _bag(own, stop, people_words)
+        return F.struct(terms.alias("terms"), phrases.alias("phrases"))
+
+    return let(own_text(F.coalesce(text, F.lit(""))), both)
+
+
+def _bag(own: Column, stop: tuple[str, ...], people_words: list[str] | None) -> tuple[Column, Column]:
     names = [n.lower() for n in people_words or []]
     named = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
     kept = lambda text: F.transform(F.filter(F.transform(tokens(text), stemmed), lambda w: counted(w, stop)), F.lower)
-    rows = m.withColumn("own", own_text(F.coalesce("body", F.lit(""))))
     beside = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = F.flatten(F.transform(sentences(F.col("own")), lambda s: let(kept(s), beside)))
+    pairs = F.flatten(F.transform(sentences(own), lambda s: let(kept(s), beside)))
     real = F.filter(pairs, lambda p: (p["a"] != p["b"]) & ~F.array_contains(named, p["a"]) & ~F.array_contains(named, p["b"]))
-    return rows.select(
-        F.col(who).alias("who"), "id", "thread_id", *(["sent_ts"] if "sent_ts" in m.columns else []),
-        F.array_except(F.array_distinct(kept(F.col("own"))), named).alias("terms"), F.array_distinct(F.transform(real, lambda p: F.concat_ws(" ", p["a"], p["b"]))).alias("phrases"),
-    )
+    return F.array_except(F.array_distinct(kept(own)), named), F.array_distinct(F.transform(real, lambda p: F.concat_ws(" ", p["a"], p["b"])))
 
 
 def document_frequency(b: DataFrame, column: str = "terms") -> DataFrame:

@@ -19,7 +19,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettergraph.operators.vocabulary import bags
+from lettergraph.operators.texts import by_text
+from lettergraph.operators.vocabulary import bag
 from lettergraph.versions import Manifest, Versions
 
 SEGMENTS = 8  # changes of the window that are read together before they are summed up
@@ -34,7 +35,8 @@ def week_of(ts: str) -> Column:
 
 def term_rows(m: DataFrame) -> DataFrame:
     """(who, kind, term, week, n): messages that came in, by term and by phrase."""
-    b = bags(m.where("NOT is_sent AND sender_addr <> '' AND sent_ts IS NOT NULL"))
+    rows = m.where("NOT is_sent AND sender_addr <> '' AND sent_ts IS NOT NULL").select(F.col("sender_addr").alias("who"), "sent_ts", "body")
+    b = by_text(rows, "body", "bag", bag).select("who", "sent_ts", "bag.*")
     of = lambda kind, column: F.transform(column, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
     one = F.explode(F.concat(of("term", "terms"), of("phrase", "phrases")))
     return b.select("who", week_of("sent_ts").alias("week"), one.alias("t")).groupBy("who", "t.kind", "t.term", "week").agg(F.count("*").alias("n"))

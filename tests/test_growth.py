@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import T0, direct_fold, messages, sequential_threads
 
-from lettergraph.functions import text
+from lettergraph.functions import rules, text
 from lettergraph.operators import ingest, vocabulary
 from lettergraph.operators.search_index import SearchIndex, trigrams_of
 from lettergraph.operators.texts import by_text
 from lettergraph.plans import catalog, upkeep
 from lettergraph.sources import letters
-from lettergraph.streaming import fold, ingest as streams
+from lettergraph.streaming import chunks, fold, ingest as streams
 from lettergraph.versions import Versions
 
 
@@ -108,3 +108,15 @@ def test_gates_judge_each_different_text_once(spark):
     want = one_by_one.select("*", text.signals(F.col("body"), F.lit(""), ["tea"]).alias("s")).select("*", "s.*").select(got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("mentions_me").count() > 0
     assert "BroadcastHashJoin" in planned(new) and "rlike" not in planned(new).lower() and "rlike" not in planned(got).lower()
+
+
+def test_chunks_cut_each_different_text_once(spark):
+    schema = "id long, thread_id long, sender_addr string, is_sent boolean, sent_ts timestamp_ntz, body string"
+    bodies = ["river bank. stone", "stone bank river", "", None, f"kept {rules.PRESERVED} dropped", *[x[0] for x in letters.LETTERS]]
+    m = spark.createDataFrame([(i, 1, f"{'ab'[i % 2]}@x", i % 11 == 0, T0 + dt.timedelta(days=i % 30), bodies[i % len(bodies)]) for i in range(4 * len(bodies))], schema)
+    got = chunks.term_rows(m)
+    b = vocabulary.bags(m.where("NOT is_sent")).select("who", chunks.week_of("sent_ts").alias("week"), "terms", "phrases")
+    both = [b.select("who", F.lit(kind).alias("kind"), F.explode(f"{kind}s").alias("term"), "week") for kind in ("term", "phrase")]
+    want = both[0].union(both[1]).groupBy("who", "kind", "term", "week").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("kind = 'phrase'").count() > 0
+    assert "regexp" not in planned(got).lower() and "regexp" in planned(want).lower()
