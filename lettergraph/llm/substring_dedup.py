@@ -38,6 +38,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,38 +248,67 @@ def _matched(length: int, shard_words: int):
     return run
 
 
+def _covered(c: Chunk, rows: int, owners: np.ndarray, digests: np.ndarray, recurs: pa.Array, length: int, gram: int) -> np.ndarray:
+    """Which words lie under a window that recurs: text ``owners[i]`` holds a stretch ``digests[i]``, whose windows ``recurs[i]`` do."""
+    gone = np.zeros(len(c.starts), dtype=bool)
+    if not len(owners):
+        return gone
+    doc, at, _, _, d = _stretches(c, rows, length, gram)
+    known, of = np.unique(digests, return_inverse=True)
+    asked = owners * len(known) + of
+    order = np.argsort(asked)
+    near = np.minimum(np.searchsorted(known, d.view(np.int64)), len(known) - 1)
+    place = np.minimum(np.searchsorted(asked[order], doc * len(known) + near), len(asked) - 1)
+    hit = (known[near] == d.view(np.int64)) & (asked[order[place]] == doc * len(known) + near)
+    entry, at = order[place[hit]], at[hit]
+    sizes = np.asarray(pc.list_value_length(recurs)).astype(np.int64)
+    begins, n = (np.cumsum(sizes) - sizes)[entry], sizes[entry]
+    starts = np.repeat(at, n) + np.asarray(pc.list_flatten(recurs))[np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    marks = np.bincount(starts, minlength=len(gone) + 1) - np.bincount(starts + length, minlength=len(gone) + 1)
+    return np.cumsum(marks)[:-1] > 0
+
+
+def _results(c: Chunk, gone: np.ndarray) -> pa.StructArray:
+    """Counts, spans of what is ``gone`` and the other words joined by one space, a row a text."""
+    def a_text(x: np.ndarray) -> np.ndarray:  # sums over each text's words
+        return np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[c.first])
+
+    n = np.diff(c.first)
+    doc = np.repeat(np.arange(len(n)), n)
+    edge = np.append(np.ones(min(len(doc), 1), dtype=bool), doc[1:] != doc[:-1])  # a text's first word
+    opens = gone & (edge | ~np.append(False, gone)[:-1])
+    closes = gone & np.append((edge | ~gone)[1:], np.ones(min(len(doc), 1), dtype=bool))
+    base = c.first[:-1][doc]
+    span = pa.StructArray.from_arrays([pa.array(np.flatnonzero(opens) - base[opens]), pa.array(np.flatnonzero(closes) + 1 - base[closes])], names=["start", "end"])
+
+    starts, ends, of = c.starts[~gone], c.ends[~gone], doc[~gone]
+    gaps = ends[:-1][of[1:] == of[:-1]]  # the byte behind a word that another of its text follows
+    step = np.zeros(len(c.buf) + 1, dtype=np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    stays = np.cumsum(step[:-1], dtype=np.int8).view(bool)
+    stays[gaps] = True
+    letters = c.buf.copy()
+    letters[gaps] = 0x20
+    sizes = a_text(np.where(gone, 0, c.ends - c.starts + 1))
+    bounds = np.zeros(len(n) + 1, dtype=np.int32)
+    np.cumsum(np.maximum(sizes - 1, 0), out=bounds[1:])
+    kept = pa.StringArray.from_buffers(len(n), pa.py_buffer(bounds), pa.py_buffer(letters[stays]))
+    removed = pa.ListArray.from_arrays(lists(np.zeros(len(span), np.int8), a_text(opens)).offsets, span)
+    return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(a_text(gone)), removed, kept], names=["n_words", "n_removed", "removed", "kept_text"])
+
+
 def _kept(length: int, gram: int):
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,removed:array<struct<start:bigint,end:bigint>>,kept_text:string>")
     def run(text: pa.Array, found: pa.Array) -> pa.Array:
-        out, known = [], found.to_pylist()
+        owners, entries = np.asarray(pc.list_parent_indices(found)), pc.list_flatten(found)
+        digests, recurs, out = np.asarray(pc.struct_field(entries, "d")), pc.struct_field(entries, "recurs"), []
         for lo, hi, c in chunks(text):
-            if any(known[lo:hi]):
-                doc, at, n, _, d = _stretches(c, hi - lo, length, gram)
-                bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-            for row in range(hi - lo):
-                words, base = c.words(row), int(c.first[row])
-                if not known[lo + row]:
-                    out.append({"n_words": len(words), "n_removed": 0, "removed": [], "kept_text": b" ".join(words).decode()})
-                    continue
-                marks = np.zeros(len(words) + 1, dtype=np.int64)
-                recurring = {f["d"]: f["recurs"] for f in known[lo + row]}
-                for i in range(bounds[row], bounds[row + 1]):
-                    places = recurring.get(int(d[i].view(np.int64)))
-                    if places is not None:
-                        starts = np.array(places) + int(at[i]) - base
-                        marks[starts] += 1
-                        np.subtract.at(marks, starts + length, 1)
-                gone = np.cumsum(marks[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2)
-                kept, last = [], 0
-                for s, e in edges.tolist():
-                    kept += words[last:s]
-                    last = e
-                kept += words[last:]
-                out.append({"n_words": len(words), "n_removed": int(gone.sum()), "removed": [{"start": s, "end": e} for s, e in edges.tolist()], "kept_text": b" ".join(kept).decode()})
-        return pa.array(out, type=kind)
+            a, b = np.searchsorted(owners, [lo, hi]).tolist()
+            out.append(_results(c, _covered(c, hi - lo, owners[a:b] - lo, digests[a:b], recurs[a:b], length, gram)).cast(kind))
+        return pa.concat_arrays(out) if out else pa.array([], type=kind)
 
     return run
 

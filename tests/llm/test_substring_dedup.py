@@ -3,8 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from lettergraph.llm import substring_dedup
 from lettergraph.llm._words import SPACED, Chunk
 from lettergraph.llm.substring_dedup import SuffixAutomaton, remove_repeats
 
@@ -97,3 +99,24 @@ def test_very_long_text(spark):
     texts = [" ".join(words), " ".join(words[50_000:90_000]), "x " * 60_000]
     out = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").select("dedup.n_words", "dedup.n_removed").collect()
     assert [tuple(r) for r in out] == [(120_000, 40_000), (40_000, 40_000), (60_000, 60_000)]
+
+
+def test_words_are_kept_without_a_list_a_word(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [None, "", " \t", *["  ".join(r.choice(["a", "한", "zz"]) for _ in range(r.randrange(40))) + r.choice(["", "\n"]) for _ in range(60)]]
+    found, want = [], []
+    for t in texts:
+        words, gone = (t or "").split(), set()
+        _, at, n, _, d = substring_dedup._stretches(Chunk(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]), SPACED, False), 1, 5, 3)
+        places = {}
+        for i in range(len(at)):
+            some = places.setdefault(int(d[i].view(np.int64)), [k for k in range(int(n[i])) if r.random() < 0.4])
+            gone |= {int(at[i]) + k + j for k in some for j in range(5)}
+        entries = [{"d": k, "recurs": v} for k, v in places.items()]
+        spans = [{"start": i, "end": next(j for j in range(i, len(words) + 1) if j not in gone)} for i in sorted(gone) if i - 1 not in gone]
+        found.append(entries or None)
+        want.append({"n_words": len(words), "n_removed": len(gone), "removed": spans, "kept_text": " ".join(w for i, w in enumerate(words) if i not in gone)})
+    monkeypatch.setattr(Chunk, "words", None)
+    kind = pa.list_(pa.struct([("d", pa.int64()), ("recurs", pa.list_(pa.int32()))]))
+    got = substring_dedup._kept(5, 3).func(pa.array(texts), pa.array(found, type=kind))
+    assert got.to_pylist() == want and sum(x["n_removed"] for x in want) > 100
