@@ -25,6 +25,18 @@ def slot(ts: Column) -> tuple[Column, Column]:
     return day.cast("bigint"), (F.hour(ts) * 4 + F.floor(F.minute(ts) / 15)).cast("bigint")
 
 
+def time_ids(records: DataFrame, order: str = "arrival") -> DataFrame:
+    """Ids from the record's own time and its number in its quarter hour, in three digits, and from nothing else; null without a time.
+
+    Nothing is passed on: a number past 999 runs into the next quarter hour's, so ids are different only where no quarter hour
+    holds more.  ``allocated_ids`` keeps them different.
+    """
+    day, quarter = slot(F.col("sent_ts"))
+    number = F.row_number().over(Window.partitionBy("day", "quarter").orderBy(F.asc_nulls_last(order)))
+    rows = records.withColumn("day", day).withColumn("quarter", quarter).withColumn("number", number)
+    return rows.withColumn("id", F.col("day") * 100_000 + F.col("quarter") * 1000 + F.col("number")).drop("day", "quarter", "number")
+
+
 def allocated_ids(records: DataFrame, order: str = "arrival", digits: int | None = 3) -> DataFrame:
     """Ids from the record's own time: day, quarter hour in two digits, and the number in it in ``digits``.
 
@@ -32,9 +44,9 @@ def allocated_ids(records: DataFrame, order: str = "arrival", digits: int | None
     hold its fullest day: one number for all records, as ids of different lengths could meet.  A quarter hour
     that is full passes the rest on to the next of the same day.  The place of a record in its
     day follows from counts a quarter hour, ``next free = max(start of slot, place after the records before)``: a running
-    maximum over at most 96 slots a day, then a number within each slot.
+    maximum over at most 96 slots a day, then a number within each slot.  Records without a time share the day 0.
     """
-    day, quarter = slot(F.col("sent_ts"))
+    day, quarter = (F.coalesce(c, F.lit(0)) for c in slot(F.col("sent_ts")))
     rows = records.withColumn("day", day).withColumn("quarter", quarter)
     counts = rows.groupBy("day", "quarter").agg(F.count("*").alias("n"))
     by_day = Window.partitionBy("day").orderBy("quarter")
@@ -50,7 +62,7 @@ def allocated_ids(records: DataFrame, order: str = "arrival", digits: int | None
     # With so much room a slot: first place = total before + max over slots so far of (slot start - total before that slot).
     before = F.coalesce(F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counts.withColumn("before", before).withColumn("first", F.col("before") + F.max(F.col("quarter") * room - F.col("before")).over(by_day))
-    number = F.row_number().over(Window.partitionBy("day", "quarter").orderBy(order)) - 1
+    number = F.row_number().over(Window.partitionBy("day", "quarter").orderBy(F.asc_nulls_last(order))) - 1
     seated = rows.withColumn("number", number).join(placed.select("day", "quarter", "first", "width"), ["day", "quarter"])
     place = F.col("first") + F.col("number")
     slot_no = (place - place % room) / room

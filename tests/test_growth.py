@@ -2,6 +2,7 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 
 from pyspark.sql import functions as F
@@ -53,6 +54,19 @@ def test_pages_reach_python_in_small_batches(spark, tmp_path, query):
     assert int(spark.conf.get(rows)) <= 500 and int(spark.conf.get(size).lower().removesuffix("b")) <= 8 << 20
 
 
+@pytest.mark.parametrize("name, different", [("id_allocation", 53_001), ("id_allocation_passed_on", 53_003)])
+def test_ids_of_full_quarters_are_those_of_the_sql(spark, tmp_path, name, different):
+    """Quarter hours of 3,000 and 50,000 and two records without a time: the one query's ids meet once there and are null twice, the other's never."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, CASE WHEN i < 3000 THEN TIMESTAMP '2024-01-01 09:00:00' + i % 900 * INTERVAL 1 SECOND WHEN i = 3000 THEN TIMESTAMP '2024-01-01 09:15:00'
+WHEN i > 3002 THEN TIMESTAMP '2024-01-02 12:00:00' END AS ts, i % 7 AS user_id, 'click' AS event_type, 1.5 AS value, '{{}}' AS props FROM range(53003) AS r(i)) TO '{tmp_path}/events.parquet'""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(catalog.ORACLE_SQL[name]).fetchall()
+    got = [(r.record, r.id) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0]) and len(got) == 53_003
+    assert len({i for _, i in got}) == different
+
+
 def test_the_index_reaches_python_in_small_batches(spark, tmp_path):
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     spark.conf.unset(rows), spark.conf.unset(size)
