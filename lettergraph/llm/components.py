@@ -1,35 +1,3 @@
-"""Connected components of a link table."""
+"""Connected components of a link table: the library's own, under the name this subpackage uses."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lettergraph.shared import discard, written
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, component) for each node that has a link; component is the smallest node reachable.
-
-    Every node points to a node that is no larger.  A round lets each node learn the smallest grandparent among its
-    neighbours; the node itself and its parent take it over, and pointers jump to their own targets, so depth halves.
-    All steps are aggregations with partial minima and joins on node, so a node with many links is no burden.  Pointers
-    are written to the shared folder every round, the last round's removed: lineage stays short, and a lost executor costs
-    one round.
-    Null ends are ignored.
-    """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = written(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    at = pointers = written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("up")), "pointers")
-    for _ in range(rounds):
-        far = at.join(at.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", "up", "far")
-        near = edges.join(far.select(F.col("node").alias("v"), F.col("far").alias("heard")), "v").groupBy("u").agg(F.min("heard").alias("heard"))
-        news = far.join(near, far["node"] == near["u"]).select("node", "up", F.least("far", "heard").alias("low"))
-        told = news.select(F.explode(F.array(F.struct("node", "low"), F.struct(F.col("up").alias("node"), "low"))).alias("t")).select("t.*").groupBy("node").agg(F.min("low").alias("low"))
-        after = written(at.join(told, "node").select("node", F.least("up", "low").alias("up"), (F.col("low") < F.col("up")).alias("moved")), "pointers")
-        discard(pointers)
-        pointers, at = after, after.select("node", "up")
-        if after.where("moved").isEmpty():
-            discard(edges)
-            return at.withColumnRenamed("up", "component")
-    raise RuntimeError("components did not settle")
+from lettergraph.operators.links import components  # noqa: F401

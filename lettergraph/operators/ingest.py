@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettergraph.functions.text import normalised_subject
-from lettergraph.llm.components import components
+from lettergraph.operators.links import components
 from lettergraph.shared import written
 
 
